@@ -1,0 +1 @@
+"""bundlespark.streaming."""
