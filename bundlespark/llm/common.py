@@ -74,9 +74,9 @@ def with_rank(df: DataFrame, keys: list[str], salt: Column, order: list[str], ro
     numbered on its own and starts where the earlier buckets of its key end, so no
     task ever holds a whole key. ``order`` makes a second run of a task number alike
     (rows equal in it must be equal throughout); ``rows``: the rows of ``df``, for the
-    number of buckets.
+    number of buckets. Keys must not be null.
     """
-    buckets = max(1, -(-rows // RANK_ROWS)) * 4
+    buckets = max(32, 4 * -(-rows // RANK_ROWS))
     b, n, at = "_bucket", "_n", "_from"
     dealt = df.withColumn(b, F.pmod(salt, F.lit(buckets)).cast("int"))
     counts = dealt.groupBy(*keys, b).agg(F.count(F.lit(1)).alias(n))
@@ -84,9 +84,7 @@ def with_rank(df: DataFrame, keys: list[str], salt: Column, order: list[str], ro
     starts = counts.withColumn(at, F.coalesce(F.sum(n).over(before), F.lit(0))).drop(n)
     within = Window.partitionBy(*keys, b).orderBy(*order)
     numbered = dealt.withColumn("_r", F.row_number().over(within) - 1)
-    joined = numbered.join(starts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(b).alias("_kb"), at),
-                           [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(b) == F.col("_kb")])
-    return joined.withColumn(name, (F.col("_r") + F.col(at)).cast("long")).drop("_r", at, b, "_kb", *[f"_k{i}" for i in range(len(keys))])
+    return numbered.join(starts, [*keys, b]).withColumn(name, (F.col("_r") + F.col(at)).cast("long")).drop("_r", at, b)
 
 
 def skew_join(big: DataFrame, small: DataFrame, key: str, count: str, total: int) -> DataFrame:
