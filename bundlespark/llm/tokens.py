@@ -15,9 +15,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words remembered in a worker process; all are forgotten beyond that.
-MEMO = 300_000
-_BLANKS = str.maketrans("\n\t\r", "   ")
+#: Words remembered in a worker process: twice so many, of which the older half goes.
+MEMO = 400_000
 #: The tokenizer's own pre-split, and the code points below which its
 #: normal form composes nothing and lower-casing looks at one character at a time.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -36,26 +35,38 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.code = self.tokenizer.model, "I" if width == 4 else "H"
+        self.merged, self.code = self.tokenizer.model.tokenize, "I" if width == 4 else "H"
         self.find, self.plain = regex.compile(_SPLIT).findall, regex.compile(_PLAIN).fullmatch
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
+        self.older: dict[str, bytes] = {}
         self.letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def __missing__(self, word: str) -> bytes:
-        if self.plain(word):
-            ids = []
-            for part in self.find(word.lower()):
-                if not part.isascii():
-                    part = "".join([self.letter[b] for b in part.encode()])
-                ids += [t.id for t in self.model.tokenize(part)]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        if (out := self.older.get(word)) is None:
+            if not self.plain(word):
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+                out = struct.pack(f"<{len(ids)}{self.code}", *ids)
+            elif word.isalpha():
+                out = self.letters(low) if (low := word.lower()) == word else self[low]
+            elif word[:-1].isalpha() and word[-1] in ".,;:!?":
+                out = self[word[:-1]] + self[word[-1]]
+            else:
+                parts = self.find(word.lower())
+                out = self.letters(word) if parts == [word] else b"".join([self[p] for p in parts])
         if len(self) >= MEMO:
+            self.older = dict(self)
             self.clear()
-        out = self[word] = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        self[word] = out
         return out
 
+    def letters(self, part: str) -> bytes:
+        """The ids of one part of the split."""
+        if not part.isascii():
+            part = "".join([self.letter[b] for b in part.encode()])
+        ids = [t.id for t in self.merged(part)]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
 
 @lru_cache(4)
 def _words(path: str, width: int) -> _Words:
@@ -64,7 +75,7 @@ def _words(path: str, width: int) -> _Words:
 
 def encode(text: str | None, path: str, width: int = 4) -> bytes:
     """The ids of ``text`` (null: none), little-endian, ``width`` bytes each (2 or 4)."""
-    return b"".join(map(_words(path, width).__getitem__, (text or "").translate(_BLANKS).split(" ")))
+    return b"".join(map(_words(path, width).__getitem__, (text or "").replace("\n", " ").replace("\t", " ").split(" ")))
 
 
 def pieces(docs: DataFrame, path: str, size: int, *, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
