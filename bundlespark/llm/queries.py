@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, packing, pii, quality, simhash
+from . import bpe, embeddings, licenses, packing, pii, quality, shards, simhash, warc
 
 #: The vocabulary files; their place is a parameter of the operators.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,10 @@ def op2_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.matrices(_table(spark, sf_dir, "documents"), WORD_BPE, 2048)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN, ids=False, digests=True)
 
@@ -44,6 +48,11 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(_table(spark, sf_dir, "documents"), 16).select(
+        F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(docs, pii.fit(docs)).select("doc_id", "spans")
@@ -53,5 +62,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_matrices, op4_byte_bpe, op5_quality_rules, op6_license_scan, op7_simhash_near_dedup, op9_pii)}
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings")).select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_matrices, op3_warc, op4_byte_bpe, op5_quality_rules, op6_license_scan, op7_simhash_near_dedup, op8_sharding, op9_pii, op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}

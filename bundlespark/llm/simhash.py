@@ -51,16 +51,21 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fingerprint as a signed long) of every row, the whole text each."""
+    """(id, hash of the text, fingerprint as a signed long) of every row, the whole text each."""
     def work(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = [fingerprint(t.as_py(), words) for t in batch.column(1)]
+            out = [fingerprint(t.as_py(), words) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x - (1 << 64) if x >> 63 else x for x in out], pa.int64())], ["id", "fp"])
+                [*batch.columns[:2], pa.array([x - (1 << 64) if x >> 63 else x for x in out], pa.int64())], ["id", "hash", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), _hash(text).alias("hash"), text.alias("text")).mapInArrow(work, "id long, hash long, fp long")
+
+
+def _hash(text):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def anchors(fp):
@@ -152,9 +157,10 @@ def _compare(threshold: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp, component) of every row of ``docs``; linked are fingerprints within 2 bits.
+    """(id, hash, fp, root, component) of every row of ``docs``; linked are fingerprints within 2 bits.
 
-    ``component`` is the smallest id that links reach, the row's own included. Null and
+    ``component`` is the smallest id that links reach, the row's own included; ``root``
+    names the component by a fingerprint; ``hash`` is the text's. Null and
     empty texts have fingerprint 0 and link like any other; repeated rows each come back,
     with equal results; a null id is carried but never becomes a component's name unless
     all ids of the component are null. No rows in, none out; other columns are ignored.
@@ -167,12 +173,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = materialise(named.select("fp", "least", "n", "root"), "simhash-roots").df
     names = named.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("members"))
     total = named.agg(F.count(F.lit(1)), F.sum("n")).first()
-    classes = skew_join(named, names, "root", "members", total[0] or 0).select("fp", "n", "component")
-    return skew_join(fps, classes, "fp", "n", total[1] or 0).select("id", "fp", "component")
+    classes = skew_join(named, names, "root", "members", total[0] or 0).select("fp", "n", "root", "component")
+    return skew_join(fps, classes, "fp", "n", total[1] or 0).select("id", "hash", "fp", "root", "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller id; of rows with equal ids, all stay or go."""
-    classes = near_duplicates(docs, id_col, text_col)
-    keep = classes.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(key := fresh(docs.columns, "_kept"))).distinct()
-    return docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left_semi")
+    """One row of ``docs`` for each component: that with the smallest id (null ids last), then the smallest hash of its text.
+
+    Of rows equal in id and text one stays, whichever their other columns are.
+    """
+    classes = materialise(near_duplicates(docs, id_col, text_col), "simhash-classes").df
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("x"))
+    a, b = fresh(docs.columns, "_id"), fresh(docs.columns, "_hash")
+    keep = materialise(first.select(F.col("x.id").alias(a), F.col("x.hash").alias(b)), "simhash-keep").df
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(a)) & (_hash(F.col(text_col).cast("string")) == F.col(b))
+    stay = docs.join(keep, same, "left_semi")
+    repeated = classes.groupBy("id", "hash").count().filter("count > 1")
+    return stay if repeated.isEmpty() else stay.dropDuplicates([id_col, text_col])
