@@ -1,0 +1,96 @@
+"""Finding profiles: descriptors on disk, registries of several, and where they come from."""
+
+from __future__ import annotations
+
+import json
+import os
+from dataclasses import dataclass
+
+from . import profile
+
+#: Environment variables that name registries, and folders never looked into.
+SOURCES_VARIABLE, LEGACY_VARIABLE = "BUNDLE_PROFILE_REGISTRIES", "BUNDLE_PROFILE_REGISTRY"
+_PASSED_OVER = {"node_modules", "dist", "build", "target", "dist-newstyle", "__pycache__"}
+
+
+@dataclass(frozen=True)
+class Entry:
+    """A profile found: its source, its dotted name there ('' for the whole file), and itself."""
+
+    source: str
+    name: str
+    profile: profile.Profile
+
+
+@dataclass(frozen=True)
+class Failure:
+    """category: missing, unreadable or empty."""
+
+    source: str
+    category: str
+    message: str
+
+
+def exports(value, name: str = "") -> list[tuple[str, profile.Profile]]:
+    """Profiles in a JSON value: the value itself, or those under its fields by dotted name."""
+    if not isinstance(value, dict):
+        return []
+    if isinstance(value.get("name"), str) and "frontmatter" in value:
+        return [(name, profile.load(json.dumps(value)))]
+    return [x for k in sorted(value) for x in exports(value[k], f"{name}.{k}" if name else k)]
+
+
+def read(source: str) -> list[Entry] | Failure:
+    """The profiles of one registry file; nothing is ever fetched."""
+    try:
+        with open(source, encoding="utf-8") as f:
+            found = exports(json.load(f))
+    except FileNotFoundError as e:
+        return Failure(source, "missing", str(e))
+    except (OSError, ValueError, KeyError, TypeError) as e:
+        return Failure(source, "unreadable", str(e))
+    return [Entry(source, n, p) for n, p in found] or Failure(source, "empty", "no profile in it")
+
+
+def sources(flags=(), environment=None, configured=(), built_in=(), local=()) -> list[str]:
+    """Registries in order of precedence: flags, a JSON list in the environment, the older variable, configuration, built in; local ones are added."""
+    environment = environment or {}
+    chosen = list(flags)
+    if not chosen and environment.get(SOURCES_VARIABLE):
+        chosen = json.loads(environment[SOURCES_VARIABLE])
+    if not chosen and environment.get(LEGACY_VARIABLE):
+        chosen = [environment[LEGACY_VARIABLE]]
+    return list(dict.fromkeys([*(chosen or configured or built_in), *local]))
+
+
+def survey(refs: list[str]) -> tuple[list[Entry], list[Failure]]:
+    """Entries of all sources in their order, each (source, name) once; failures are kept beside them."""
+    entries, failures = [], []
+    for ref in dict.fromkeys(refs):
+        got = read(ref)
+        if isinstance(got, Failure):
+            failures.append(got)
+        else:
+            entries += got
+    return entries, failures
+
+
+def lookup(refs: list[str], name: str) -> profile.Profile:
+    """The one profile of that dotted or own name; LookupError for none, several, or if any source failed."""
+    entries, failures = survey(refs)
+    if failures:
+        raise LookupError("; ".join(f"{f.source}: {f.message}" for f in failures))
+    found = [e for e in entries if name in (e.name, e.profile.name)]
+    if len(found) != 1:
+        raise LookupError(f"no profile {name!r}" if not found else f"{name!r} is ambiguous: " + ", ".join(f"{e.source}#{e.name}" for e in found))
+    return found[0].profile
+
+
+def discover(top: str, depth: int = 4) -> list[str]:
+    """JSON files below ``top`` that hold a profile."""
+    found = []
+    for at, dirs, files in os.walk(top):
+        level = 0 if at == top else os.path.relpath(at, top).count(os.sep) + 1
+        dirs[:] = sorted(d for d in dirs if not d.startswith(".") and d not in _PASSED_OVER and not os.path.islink(os.path.join(at, d))) if level < depth else []
+        found += [os.path.join(at, f) for f in sorted(files) if f.endswith(".json") and isinstance(read(os.path.join(at, f)), list)]
+    return found
