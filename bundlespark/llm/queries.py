@@ -69,3 +69,31 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_matrices, op3_warc, op4_byte_bpe, op5_quality_rules, op6_license_scan, op7_simhash_near_dedup, op8_sharding, op9_pii, op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op3_warc"] = """
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id <> least_id then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id <> least_id then least_id end as refers_to
+from (select *, min(page_id) over (partition by payload_digest) as least_id
+      from (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages))
+"""
+
+_WORD = r"'[^\x20\x09-\x0D]+'"
+ORACLE_SQL["op5_quality_rules"] = rf"""
+with d as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), {_WORD}) as w from documents),
+lined as (select doc_id, host, t, w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, {_WORD})) as ls from d),
+grams as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d)),
+twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as n from grams) where n > 1),
+covered as (select doc_id, count(distinct i + k) as n from twice, (values (0), (1), (2), (3), (4)) as o(k) group by doc_id),
+line as (select doc_id, host, t, lower(array_to_string(regexp_extract_all(l, {_WORD}), ' ')) as form, len(regexp_extract_all(l, {_WORD})) as words
+         from (select doc_id, host, t, unnest(ls) as l from lined)),
+frequent as (select f.host, form from (select host, form, count(distinct t) as n from line group by 1, 2) f
+             join (select host, count(distinct t) as texts from d group by 1) h on f.host = h.host where n > 5 and n > texts * 0.08),
+gone as (select doc_id, sum(words) as lost from line join frequent using (host, form) group by 1),
+base as (select l.doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as word_chars,
+                length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines,
+                coalesce(c.n, 0) as n_repeat_words, coalesce(g.lost, 0) as lost
+         from lined l left join covered c on l.doc_id = c.doc_id left join gone g on l.doc_id = g.doc_id)
+select doc_id, n_words, cast(word_chars as bigint) as word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+       not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and lost <= n_words * 0.5 as kept, cast(lost as bigint) as lost from base
+"""
