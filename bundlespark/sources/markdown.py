@@ -163,7 +163,8 @@ def links(body: str) -> list[str]:
     for b in every:
         if b.kind == "code":
             continue
-        for kind, x in _inline(b.text):
+        text = "\n".join(line for line in b.text.split("\n") if not _DEFINITION.match(line)) if b.kind == "text" else b.text
+        for kind, x in _inline(text):
             if kind == "link":
                 target = x[1] if x[0] == "url" else known.get(x[1])
                 if target is not None:

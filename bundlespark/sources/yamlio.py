@@ -78,6 +78,10 @@ def parse(text: str) -> tuple[dict, str]:
     return found, re.sub(r"^\r?\n", "", rest, count=1)
 
 
+#: Characters that YAML takes only escaped, or takes for a line's end.
+_UNPRINTABLE = re.compile("[\x7f-\x9f\u2028\u2029\ud800-\udfff\ufeff\ufffe\uffff]")
+
+
 def _scalar(v) -> str:
     if v is None:
         return "null"
@@ -88,7 +92,7 @@ def _scalar(v) -> str:
     plain = re.fullmatch(r"[A-Za-z0-9_/.][A-Za-z0-9_/.@ +-]*(?::(?! )[A-Za-z0-9_/.@+-]+)*", v) and v == v.strip()
     if plain and yaml.load(v, _Loader) == v:  # noqa: S506
         return v
-    return json.dumps(v, ensure_ascii=False)
+    return _UNPRINTABLE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(v, ensure_ascii=False))
 
 
 def _lines(v, indent: int, ranked: bool = True):
