@@ -49,7 +49,7 @@ def render(c: Compiled) -> dict[str, str]:
     """path -> text of every page."""
     p = c.profile
     names = slugs([t.type for t in p.types])
-    root = [f"# {p.name}", ""] + ([p.description, ""] if p.description else []) + [f"Version `{p.okf_version}`.", "", "## Every concept", "", *(_lines(c.base) or ["No rules."]), "", "## Types", ""]
+    root = [f"# {p.name}", ""] + ([p.description, ""] if p.description else []) + [f"Version `{p.version}`.", "", "## Every concept", "", *(_lines(c.base) or ["No rules."]), "", "## Types", ""]
     root += [f"- [{t.type}](types/{n}.md)" + (f" — {t.description}" if t.description else "") for t, n in zip(p.types, names, strict=True)] or ["No types."]
     pages = {"profile.md": "\n".join(root) + "\n"}
     for t, n in zip(p.types, names, strict=True):

@@ -84,7 +84,7 @@ class TypeRule:
 @dataclass(frozen=True)
 class Profile:
     name: str
-    okf_version: str
+    version: str
     rules: tuple[Rule, ...]
     types: tuple[TypeRule, ...]
     description: str | None = None
@@ -145,7 +145,7 @@ def _dump_rules(rules) -> dict:
 def dump(p: Profile) -> str:
     """The stable JSON form of a profile; ``load`` reads it back."""
     types = [{"type": t.type, "description": t.description, "frontmatter": _dump_rules(t.rules), "pathPattern": t.path_pattern, "resourceScheme": t.resource_scheme, "requireSchemaSection": t.require_schema, "schemaColumns": list(t.schema_columns), "idPrefix": t.id_prefix} for t in p.types]
-    return json.dumps({"name": p.name, "description": p.description, "okfVersion": p.okf_version, "requireBundleVersion": p.require_bundle_version, "allowUnknownTypes": p.allow_unknown_types, "allowUnknownFields": p.allow_unknown_fields, "idField": p.id_field, "frontmatter": _dump_rules(p.rules), "types": types}, indent=2)
+    return json.dumps({"name": p.name, "description": p.description, "okfVersion": p.version, "requireBundleVersion": p.require_bundle_version, "allowUnknownTypes": p.allow_unknown_types, "allowUnknownFields": p.allow_unknown_fields, "idField": p.id_field, "frontmatter": _dump_rules(p.rules), "types": types}, indent=2)
 
 
 def refine(rule: Rule) -> Rule:
@@ -243,11 +243,11 @@ def _check_scope(profile: Profile, rules, raw, scope, prefix, errors, version) -
             if name == "uriWithScheme" and not re.fullmatch(r"[A-Za-z][A-Za-z0-9+.-]*", value or "") or name == "documentHandle" and not re.fullmatch(r"[A-Za-z][A-Za-z0-9]*", value or ""):
                 add("InvalidFormatParameter", value)
             if version and name in INTRODUCED and version < INTRODUCED[name]:
-                add("FormatRequiresOkfVersion", name)
+                add("FormatRequiresVersion", name)
         for kind, cond in r.presence:
             if cond is None:
                 if version and kind is not None and not prefix and r.field in SUPERSEDED and version >= SUPERSEDED[r.field]:
-                    add("FieldSupersededInOkfVersion")
+                    add("FieldSupersededInVersion")
                 continue
             if kind is None:
                 add("OptionalFieldWithCondition")
@@ -320,11 +320,11 @@ class Compiled:
 def compile_profile(p: Profile) -> Compiled:
     """Merges and checks a profile; ProfileError lists every contradiction."""
     errors: list = []
-    version = parse_version(p.okf_version)
+    version = parse_version(p.version)
     if version is None:
-        errors.append(("InvalidProfileOkfVersion", None, "", p.okf_version))
+        errors.append(("InvalidProfileVersion", None, "", p.version))
     elif version[0] != KNOWN_VERSION[0]:
-        errors.append(("ProfileOkfVersionNotUnderstood", None, "", p.okf_version))
+        errors.append(("ProfileVersionNotUnderstood", None, "", p.version))
         version = None
     else:
         version = min(version, KNOWN_VERSION)

@@ -49,7 +49,7 @@ def test_filters(c, equals, has, missing, want):
     assert [r[0] for r in rows(filters.listing(c, some))] == want
 
 
-def test_show(c):
+def test_listing(c):
     assert rows(filters.listing(c, [filters.of_type("Improvement Request")], ["status", "reviews.kind", "tags"])) == [
         ("requests/alpha", "Improvement Request", "accepted", "model", "profiles, cli", "Alpha"), ("requests/beta", "Improvement Request", "proposed", "-", "cli", "Beta"),
         ("requests/gamma", "Improvement Request", "completed", "human, model", "-", "Gamma")]
@@ -157,3 +157,24 @@ def test_discovery(tmp_path):
         (tmp_path / p).write_text(text)
     assert bundle.discover(str(tmp_path)) == [str(tmp_path / "a"), str(tmp_path / "b/c")]
     assert bundle.available(f"{tmp_path}/b:{tmp_path}:") == [str(tmp_path / "a"), str(tmp_path / "b/c")]
+
+
+def test_show(spark, root, c):
+    from bundlespark.operators import show
+
+    got = {r.label: r.value for r in show.detail(c, "IR-1", "2026-10-01").collect()}
+    assert got["id"] == "requests/alpha" and got["trust"] == "unverified" and got["generated"] == "process:fixture at 2026-06-16T00:00:00Z" and got["source"].startswith("s1 /x.txt author human:bo")
+    have = bundle.inventory(spark, root)
+    assert show.computation(c, "_drafts/calc", have) == ("inline", "select 1\n")
+    with pytest.raises(LookupError, match="no computation"):
+        show.computation(c, "IR-1", have)
+    assert [r.concept_id for r in show.menu(c, "id").collect()][0] == "_drafts/calc" and show.menu(c).count() == 5
+
+
+def test_commands(spark, root, capsys):
+    from bundlespark.__main__ import main
+
+    assert main(["concepts", root, "--where", "status=accepted", "--show", "tags"]) == 0 and capsys.readouterr().out == "requests/alpha\tImprovement Request\tprofiles, cli\tAlpha\n"
+    assert main(["validate", root]) == 1 and "DanglingReference" in capsys.readouterr().out
+    assert main(["show", root, "IR-9"]) == 1 and main(["id", root, "IR", "--key", "requestId"]) == 0 and capsys.readouterr().out.strip().endswith("3")
+    assert main(["bundles", root]) == 0 and root in capsys.readouterr().out

@@ -111,8 +111,8 @@ def test_merging(spark):
     ("UniqueByRequiresElementFields", {"optional": [{"field": "a", "uniqueBy": "id"}]}, {}), ("UniqueByFieldNotDeclared", {"optional": [{"field": "a", "uniqueBy": "id", "elementFields": {}}]}, {}),
     ("UniqueByFieldNotUnconditionallyRequired", {"optional": [{"field": "a", "uniqueBy": "id", "elementFields": {"optional": [{"field": "id", "cardinality": "scalar"}]}}]}, {}),
     ("UniqueByFieldNotScalar", {"optional": [{"field": "a", "uniqueBy": "id", "elementFields": {"required": [{"field": "id"}]}}]}, {}),
-    ("InvalidProfileOkfVersion", {}, {"okfVersion": "x"}), ("ProfileOkfVersionNotUnderstood", {}, {"okfVersion": "3.0"}), ("InvalidRequiredBundleVersion", {}, {"requireBundleVersion": "new"}),
-    ("FieldSupersededInOkfVersion", {"required": [{"field": "timestamp"}]}, {"okfVersion": "0.2"}), ("FormatRequiresOkfVersion", {"optional": [{"field": "a", "format": "actor"}]}, {"okfVersion": "0.1"}),
+    ("InvalidProfileVersion", {}, {"okfVersion": "x"}), ("ProfileVersionNotUnderstood", {}, {"okfVersion": "3.0"}), ("InvalidRequiredBundleVersion", {}, {"requireBundleVersion": "new"}),
+    ("FieldSupersededInVersion", {"required": [{"field": "timestamp"}]}, {"okfVersion": "0.2"}), ("FormatRequiresVersion", {"optional": [{"field": "a", "format": "actor"}]}, {"okfVersion": "0.1"}),
     ("UnsatisfiableVocabulary", {"optional": [{"field": "a", "allowedValues": ["x"]}]}, {"types": [{"type": "T", "frontmatter": {"optional": [{"field": "a", "allowedValues": ["y"]}]}}]}),
     ("ConflictingCardinality", {"optional": [{"field": "a", "cardinality": "list"}]}, {"types": [{"type": "T", "frontmatter": {"optional": [{"field": "a", "cardinality": "scalar"}]}}]}),
     ("ConflictingFieldFormat", {"optional": [{"field": "a", "format": "date"}]}, {"types": [{"type": "T", "frontmatter": {"optional": [{"field": "a", "format": "uri"}]}}]}),
