@@ -24,8 +24,9 @@ LEAST = 5
 DEPLETED = 0.5
 #: Fixed values of the rules within a text.
 MIN_WORDS, WINDOW, REPEATED_PERCENT, SYMBOLS = 10, 5, 20, "#*$%&|<>"
-#: Documents with frequent lines up to which these go by broadcast.
-BROADCAST_DOCS = 50_000
+#: Frequent lines up to which their keys, eight bytes each, go to every worker; beyond
+#: that, documents are joined with the keys of the lines that they lose.
+BROADCAST_LINES = 500_000
 
 
 def _repeated(words: list[bytes]) -> int:
@@ -134,13 +135,45 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
 
 
 def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The kept rows of ``docs``, frequent lines removed from their texts; columns and other rows stay as they are."""
+    """The kept rows of ``docs``, frequent lines removed from their texts; columns and other rows stay as they are.
+
+    Texts don't move if the frequent lines are few enough to go to every worker: each row
+    is then judged again where it is read. Otherwise rows meet their verdicts by a join.
+    """
+    measured = materialise(measure(docs, id_col=id_col, text_col=text_col, host_col=host_col), "quality").df
+    frequent = materialise(frequent_lines(measured), "quality-lines").df
+    if frequent.count() > BROADCAST_LINES:
+        return _clean_by_join(docs, id_col, text_col, host_col)
+    keys = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in frequent.select("key").collect()))
+
+    @F.pandas_udf("struct<kept:boolean,text:string>")
+    def judged(texts, hosts):
+        import pandas as pd
+
+        out = []
+        for text, host in zip(texts, hosts, strict=True):
+            words, lines = (data := (text or "").encode("utf-8", "replace")).split(), data.split(b"\n")
+            n = len(words)
+            if n < MIN_WORDS or 100 * _repeated(words) > REPEATED_PERCENT * n:
+                out.append((False, None))
+                continue
+            gone = [bool(s) and not s.isspace() and k in keys.value for s, k in zip(lines, _keys(_hash(host), lines), strict=True)]
+            lost = sum(len(s.split()) for s, g in zip(lines, gone, strict=True) if g)
+            rest = b"\n".join([s for s, g in zip(lines, gone, strict=True) if not g]).decode() if lost else None
+            out.append((lost <= n * DEPLETED, rest))
+        return pd.DataFrame(out, columns=["kept", "text"])
+
+    judged = judged.asNondeterministic()  # else the optimizer runs it once for the filter and once more for the text
+    verdict = fresh(docs.columns, "_verdict")
+    told = docs.withColumn(verdict, judged(F.col(text_col).cast("string"), F.col(host_col).cast("string"))).filter(F.col(f"{verdict}.kept"))
+    return told.withColumn(text_col, F.coalesce(F.col(f"{verdict}.text"), F.col(text_col))).select(*docs.columns)
+
+
+def _clean_by_join(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     verdict = materialise(judge(docs, id_col=id_col, text_col=text_col, host_col=host_col), "quality-verdict").df
     a, b, c, d, e = (fresh(docs.columns, n) for n in ("_id", "_hash", "_kept", "_removed", "_host"))
     touched = verdict.filter("not kept or removed is not null")
     few = touched.select(F.col("id").alias(a), F.col("hash").alias(b), F.col("host").alias(e), F.col("kept").alias(c), F.col("removed").alias(d)).dropDuplicates([a, b, e])
-    if touched.count() <= BROADCAST_DOCS:
-        few = F.broadcast(few)
     same = F.col(id_col).cast("long").eqNullSafe(F.col(a)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(b)) & (F.xxhash64(F.col(host_col).cast("string")) == F.col(e))
     left = docs.join(few, same, "left").filter(F.coalesce(F.col(c), F.lit(True)))
 

@@ -311,7 +311,9 @@ def test_copies_are_no_frame(spark):
     assert all(r.kept for r in quality.judge(spark.createDataFrame(near + other, DOCS)).collect())
 
 
-def test_clean_texts(spark):
+@pytest.mark.parametrize("most", [quality.BROADCAST_LINES, -1])
+def test_clean_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(quality, "BROADCAST_LINES", most)
     df = spark.createDataFrame(HOSTED, DOCS).repartition(4)
     got = collections.Counter((r.doc_id, r.text) for r in quality.clean(clashing(df)).collect())
     keep = {r[0] for r in brute_quality(HOSTED) if r[7]}
