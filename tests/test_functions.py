@@ -128,3 +128,18 @@ def test_schema_columns():
 def test_log():
     title, days = markdown.parse_log("# T\n\n## 2026-01-02\n\n* **Update**: did `x`\n* plain\n\n## bad\n")
     assert title == "T" and days == [("2026-01-02", [("Update", "did `x`"), (None, "plain")]), ("bad", [])]
+
+
+def test_authoring(spark):
+    from bundlespark.functions import authoring as a
+
+    df = spark.createDataFrame([('{"type":"T","x":1,"n":null}',)], "j string").withColumn("fm", F.parse_json("j"))
+    lit = F.lit
+    made = df.select(
+        F.to_json(a.set_key(F.col("fm"), "x", lit("y"))), F.to_json(a.remove_key(F.col("fm"), "x")), F.to_json(a.set_key(F.col("fm"), "x", lit(None).cast("string"))),
+        F.to_json(a.set_key(F.col("fm"), "verified", F.array(a.event(lit("human:a"))))), F.to_json(a.set_key(F.col("fm"), "sources", F.array(a.source(lit("/r"), id=lit("s"), usage_count=lit(3), usage_window=a.window(lit("2024-01-01"), lit(None).cast("string"))))))).first()
+    assert [json.loads(x) for x in made] == [
+        {"type": "T", "x": "y", "n": None}, {"type": "T", "n": None}, {"type": "T", "n": None}, {"type": "T", "x": 1, "n": None, "verified": [{"by": "human:a"}]},
+        {"type": "T", "x": 1, "n": None, "sources": [{"resource": "/r", "id": "s", "usage_count": 3, "usage_window": {"from": "2024-01-01"}}]}]
+    common = df.select(F.to_json(a.common(lit("T"), lit("t"), lit(None).cast("string"), tags=F.array(lit("x"))))).first()[0]
+    assert json.loads(common) == {"type": "T", "title": "t", "tags": ["x"]}
