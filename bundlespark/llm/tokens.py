@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words remembered in a worker process: twice so many, of which the older half goes.
-MEMO = 400_000
+MEMO = 200_000
 #: The tokenizer's own pre-split, and the code points below which its
 #: normal form composes nothing and lower-casing looks at one character at a time.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
