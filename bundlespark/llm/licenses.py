@@ -1,10 +1,12 @@
 """Licence scans with a positional index of rare tokens.
 
-The templates' words are indexed with their positions. A file's licence words are
-looked up from the rarest in the corpus downwards; each occurrence and posting give the
-relative position at which the template would start, and those that several rare words
-agree on are compared word by word. A template is reported if enough of its words stand
-where they should and its key phrases do so completely.
+Of each template the places of its rarest words in the corpus are indexed, one more than
+a match may miss: whatever stands in a file with COVERAGE of its words in place has one
+of them in place too, however frequent those words are. Each occurrence of an indexed
+word gives the relative position at which the template would start, and there it is
+compared word by word. A template is reported if enough of its words stand where they
+should and its key phrases do so completely. Word frequencies order the index only; what
+is found does not depend on them, nor on what else a file holds.
 """
 
 from __future__ import annotations
@@ -31,10 +33,6 @@ TEMPLATES = {
     "mit-text": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted", "free of charge")),
     "mpl-2.0": ("subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
 }
-#: A licence word counts as rare if at most this share of documents has it.
-RARE_SHARE = 0.1
-#: How many of a file's rarest licence words are looked up.
-LOOKED_UP = 6
 #: The share of a template's words that must stand in place.
 COVERAGE = 0.8
 
@@ -59,34 +57,33 @@ def places(words: list[bytes], phrase: list[bytes]) -> list[int]:
 
 
 class Index:
-    """Postings of the templates' words, and the corpus's inverse document frequencies."""
+    """Postings of each template's rarest words, enough of them that no match is without one."""
 
     def __init__(self, templates: dict[str, tuple[str, tuple[str, ...]]], documents: int, having: dict[bytes, int]):
         self.words = {label: text.encode().split() for label, (text, _) in templates.items()}
         self.keys = {label: [k.encode().split() for k in keys] for label, (_, keys) in templates.items()}
+        self.idf = {w: math.log((documents + 1) / (having.get(w, 0) + 1)) for words in self.words.values() for w in words}
+        self.needed = {label: frozenset(w for k in keys for w in k) for label, keys in self.keys.items()}
         self.postings: dict[bytes, list[tuple[str, int]]] = {}
         for label, words in self.words.items():
-            for at, word in enumerate(words):
-                self.postings.setdefault(word, []).append((label, at))
-        self.idf = {w: math.log((documents + 1) / (having.get(w, 0) + 1)) for w in self.postings}
-        self.rare = {w for w in self.postings if having.get(w, 0) <= RARE_SHARE * documents}
+            missed = max(m for m in range(len(words)) if (len(words) - m) / len(words) >= COVERAGE)
+            for at in sorted(range(len(words)), key=lambda i: (-self.idf[words[i]], words[i], i))[:missed + 1]:
+                self.postings.setdefault(words[at], []).append((label, at))
 
     def find(self, words: list[bytes]) -> dict[str, float]:
         """label -> share of its words in place, of the templates that the file holds."""
-        present = self.rare.intersection(words)
-        if not present:
+        present = self.idf.keys() & words
+        open_to = {label for label, needed in self.needed.items() if needed <= present}
+        if not open_to:
             return {}
-        starts: dict[tuple[str, int], int] = {}
-        looked_up = sorted(present, key=lambda w: (-self.idf[w], w))[:LOOKED_UP]
-        for word in looked_up:
-            for at in places(words, [word]):
-                for label, place in self.postings[word]:
-                    starts[label, at - place] = starts.get((label, at - place), 0) + 1
+        starts: set[tuple[str, int]] = set()
+        for word in present & self.postings.keys():
+            posted = [(label, place) for label, place in self.postings[word] if label in open_to]
+            if posted:
+                starts.update((label, at - place) for at in places(words, [word]) for label, place in posted)
         found: dict[str, float] = {}
-        for (label, start), votes in starts.items():
+        for label, start in starts:
             wanted = self.words[label]
-            if votes < min(2, len(self.rare.intersection(wanted))):
-                continue
             here = words[max(0, start):start + len(wanted)]
             shift = max(0, -start)
             share = sum(a == b for a, b in zip(here, wanted[shift:])) / len(wanted)
@@ -119,8 +116,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
     n_base counts the places of the phrases, first_word and last_word are the smallest
     and largest start of one (null: none). labels holds base_labels and those of the
     templates found. score is the largest share of a found template's words in place; 0.5
-    if there are phrases only; else 0. Null and empty texts have no words; rows are
-    independent given the word frequencies, so equal rows get equal results.
+    if there are phrases only; else 0. Null and empty texts have no words; a row's result
+    depends on its text alone.
     """
     vocabulary = {w.encode() for text, _ in templates.values() for w in text.split()}
     index = Index(templates, *having(docs, vocabulary, text_col))

@@ -345,6 +345,32 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def direct_labels(text):
+    """Every template tried at every place of the text."""
+    w, found = licenses.words_of(text), set()
+    for label, (notice, keys) in licenses.TEMPLATES.items():
+        t = notice.encode().split()
+        for start in range(1 - len(t), len(w)):
+            here, shift = w[max(0, start):start + len(t)], max(0, -start)
+            if sum(a == b for a, b in zip(here, t[shift:])) / len(t) >= licenses.COVERAGE and all(licenses.places(here, k.encode().split()) for k in keys):
+                found.add(label)
+    return found
+
+
+def found_labels(texts):
+    vocabulary = {x.encode() for notice, _ in licenses.TEMPLATES.values() for x in notice.split()}
+    having = collections.Counter(x for t in texts for x in vocabulary.intersection(licenses.words_of(t)))
+    index = licenses.Index(licenses.TEMPLATES, len(texts), having)
+    return [set(index.find(licenses.words_of(t))) for t in texts]
+
+
+@pytest.mark.parametrize("label", sorted(licenses.TEMPLATES))
+def test_a_notice_in_a_third_of_the_documents(label):
+    texts = [f"{words(20, i)} {licenses.TEMPLATES[label][0] if i % 3 == 0 else ''} {words(5, 900 + i)}" for i in range(300)]
+    got = found_labels(texts)
+    assert got == [direct_labels(t) for t in texts] and sum(label in x for x in got) == 100
+
+
 # -- 7: SimHash -----------------------------------------------------------------------
 
 
