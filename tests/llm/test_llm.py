@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -371,6 +372,14 @@ def test_a_notice_in_a_third_of_the_documents(label):
     assert got == [direct_labels(t) for t in texts] and sum(label in x for x in got) == 100
 
 
+@pytest.mark.parametrize("many", [2, 3, 11])
+def test_files_with_several_notices(many):
+    files = [" ".join(f"{licenses.TEMPLATES[x][0]} {words(6, n * 11 + k)}" for k, x in enumerate(c)) for n, c in enumerate(itertools.combinations(sorted(licenses.TEMPLATES), many))]
+    files.append("redistribution binary forms mozilla lesser gnu documentation obtaining " + words(9) + " released under the mit license")
+    got = found_labels([words(40, i) for i in range(2000)] + files)[2000:]
+    assert got == [direct_labels(t) for t in files] and all(len(x) >= many for x in got[:-1]) and got[-1] == {"mit"}
+
+
 # -- 7: SimHash -----------------------------------------------------------------------
 
 
