@@ -4,7 +4,7 @@ The tokenizer lower-cases, drops white space and never merges across it, so a te
 ids are its words' ids one after another. Words are cut at ASCII blanks only (all of
 which it drops) and looked up in a bounded memo; an unseen ASCII or Latin word goes
 through the same normalisation and split and then straight to the merge model, any
-other through the whole tokenizer.
+other, and any that holds an added token, through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ class _Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.merged, self.code = self.tokenizer.model.tokenize, "I" if width == 4 else "H"
         self.find, self.plain = regex.compile(_SPLIT).findall, regex.compile(_PLAIN).fullmatch
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = regex.compile("|".join(map(regex.escape, added)) or r"(?!)", regex.IGNORECASE).search
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.older: dict[str, bytes] = {}
@@ -44,7 +46,7 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         if (out := self.older.get(word)) is None:
-            if not self.plain(word):
+            if not self.plain(word) or self.added(word):
                 ids = self.tokenizer.encode(word, add_special_tokens=False).ids
                 out = struct.pack(f"<{len(ids)}{self.code}", *ids)
             elif word.isalpha():

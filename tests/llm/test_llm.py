@@ -108,6 +108,16 @@ def test_ids_are_the_tokenizers(docs):
     assert list(struct.unpack(f"<{len(b := tokens.encode(odd, WORD)) // 4}I", b)) == reference_ids(odd)[:-1]
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "<|startoftext|>", "a<|endoftext|>b", "A<|ENDOFTEXT|>b, don't", "x <|endoftext|><|startoftext|>. y", "é<|endoftext|>", "中<|endoftext|>", "<|endoftext|", "< |endoftext|>", "a<|endoftext|>\n<|startoftext|>\tb " * 700])
+def test_added_tokens(spark, text):
+    want = reference_ids(text)
+    for width, code in ((4, "I"), (2, "H")):
+        assert list(struct.unpack(f"<{len(b := tokens.encode(text, WORD, width)) // width}{code}", b)) == want[:-1]
+    got = tokens.pieces(spark.createDataFrame([(1, text)], "doc_id long, text string"), WORD, 2048).orderBy("piece").collect()
+    parts = [want[s:s + 2048] for s in range(0, len(want), 2048)]
+    assert [(r.length, r.ids_crc32) for r in got] == [(len(p), zlib.crc32(struct.pack(f"<{len(p)}I", *p))) for p in parts]
+
+
 def check_places(got, capacity=2048):
     for _, some in got.items():
         at = 0
