@@ -164,7 +164,7 @@ def configuration_plan(counts: dict[int, int], capacity: int, solves: int = 1) -
     plan: list[tuple[int, Config]] = [(counts[capacity], ((capacity, 1),))] if counts.get(capacity) else []
     for _ in range(solves):
         before = sum(left.values())
-        if before < 200:
+        if not before:
             break
         times, _ = configuration_lp(left, capacity)
         full = [(held, much) for held, much in times.items() if sum(n * k for n, k in held) == capacity]  # others are left to the remainder

@@ -172,6 +172,12 @@ def test_the_program_beats_greedy_where_greedy_is_bad():
     assert used(packing.configuration_plan) <= used(packing.best_fit_plan)
 
 
+def test_the_program_runs_at_every_size():
+    counts = {36: 50, 34: 50, 30: 50}  # best fit puts 36+36 together; 36+34+30 wastes nothing
+    used = lambda plan: sum(m for m, _ in plan(dict(counts), 100))
+    assert used(packing.configuration_plan) < used(packing.best_fit_plan) and packing.configuration_plan({100: 2}, 100) == [(2, ((100, 1),))]
+
+
 def test_segment_tree():
     tree, have, r = packing.SegmentTree(50), collections.Counter(), random.Random(1)
     for _ in range(500):
