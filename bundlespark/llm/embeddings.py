@@ -8,11 +8,15 @@ logarithm of the number of vectors: that is the exact way for crowds longer than
 window. A pair counts in the first pass that compares it, which the places and keys of
 all passes tell locally, so no pair is ever emitted: what leaves a pass are counts, and
 the links of spanning forests, whose union over all passes gives the components. Equal
-vectors go as one. Passes run one after another, each with one shuffle of the vectors.
+vectors go as one. Passes run one after another, each with one shuffle of the vectors;
+there are more of them the more vectors there are, so that recall does not fall.
 """
 
 from __future__ import annotations
 
+import math
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,8 +25,9 @@ from .common import components, materialise, skew_join, with_rank
 
 #: Cosine from which vectors are linked.
 COSINE = 0.9
-#: Passes; of pairs at cosine 0.98 one pass finds about 90 in 100, of those at 0.9 about 25.
+#: Passes at least, and the share of pairs at COSINE that all passes together are to find.
 PASSES = 10
+RECALL = 0.99
 #: Places within which the neighbours of a vector are compared, each way.
 WINDOW = 64
 #: Signs in a key; at least so many of them make a crowd.
@@ -32,13 +37,24 @@ BLOCK = 4096
 _SEED = 20_240_601
 
 
-def _directions(dim: int):
+def passes_for(count: int) -> int:
+    """Passes that find RECALL of the pairs at COSINE among ``count`` vectors.
+
+    A pass finds a smaller share of them the more vectors there are, since the crowd's
+    signs grow with the logarithm: simulated 0.35 at 10,000 vectors and 0.13 at a million.
+    The law here lies a little below that.
+    """
+    share = min(0.9, 0.34 * 0.85 ** math.log2(max(count, 1) / 10_000))
+    return max(PASSES, math.ceil(math.log(1 - RECALL) / math.log(1 - share)))
+
+
+def _directions(dim: int, passes: int):
     import numpy as np
 
-    return np.random.default_rng(_SEED).standard_normal((dim, PASSES * SIGNS))
+    return np.random.default_rng(_SEED).standard_normal((dim, passes * SIGNS))
 
 
-def _keyed(batches):
+def _keyed(batches, passes: int):
     """(id, vector as 64-bit floats, dim, a key for each pass); all but the id null for vectors that can't link."""
     import numpy as np
     import pyarrow as pa
@@ -55,8 +71,8 @@ def _keyed(batches):
                     by_dim.setdefault(len(values), []).append((i, x))
         for dim, some in by_dim.items():
             if dim not in made:
-                made[dim] = _directions(dim)
-            signs = (np.stack([x for _, x in some]) @ made[dim] > 0).reshape(len(some), PASSES, SIGNS)
+                made[dim] = _directions(dim, passes)
+            signs = (np.stack([x for _, x in some]) @ made[dim] > 0).reshape(len(some), passes, SIGNS)
             keys = signs @ (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
             for (i, x), k in zip(some, keys, strict=True):
                 rows[i] = ((x + 0.0).tobytes(), dim, k.tolist())
@@ -105,10 +121,10 @@ def _compare(number: int, prefix: int):
         import pyarrow as pa
 
         crowd, first, low, high, dim = (k.as_py() for k in key)
-        ranks = np.array(table.column("ranks").to_pylist(), np.int64).reshape(table.num_rows, PASSES)
+        ranks = np.array(table.column("ranks").to_pylist(), np.int64).reshape(table.num_rows, number + 1)
         order = np.argsort(ranks[:, number], kind="stable")
         ranks = ranks[order]
-        heads = np.array(table.column("keys").to_pylist(), np.int64).reshape(table.num_rows, PASSES)[order] >> (SIGNS - prefix)
+        heads = np.array(table.column("keys").to_pylist(), np.int64).reshape(table.num_rows, number + 1)[order] >> (SIGNS - prefix)
         x = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(-1, dim)[order]
         x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
         node, many = (np.asarray(table.column(c))[order] for c in ("node", "n"))
@@ -170,7 +186,7 @@ def _pass(full: DataFrame, number: int, prefix: int) -> DataFrame:
     others = F.sequence(zero, F.greatest(zero, F.floor((size - 1) / BLOCK).cast("long")))
     crowds = F.when(size > 0, F.transform(others, lambda k: task(True, first, F.least(own, k), F.greatest(own, k)))).otherwise(F.filter(F.array(task(False, zero, zero, zero)), lambda _: F.lit(False)))
     tasks = full.select("node", "n", "dim", "vector", "keys", "ranks", F.explode(F.concat(windows, crowds)).alias("t"))
-    keyed = tasks.select(F.col("t.crowd"), F.col("t.first"), F.col("t.low"), F.col("t.high"), "dim", "node", "n", "vector", "keys", "ranks")
+    keyed = tasks.select(F.col("t.crowd"), F.col("t.first"), F.col("t.low"), F.col("t.high"), "dim", "node", "n", "vector", *(F.slice(c, 1, number + 1).alias(c) for c in ("keys", "ranks")))
     return keyed.groupBy("crowd", "first", "low", "high", "dim").applyInArrow(_compare(number, prefix), "a long, b long, links long")
 
 
@@ -183,7 +199,8 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     nothing, nor do vectors of different lengths with each other. Rows with equal ids are
     rows of their own; a null id names no component, unless the component has no other.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(_keyed, "id long, vector binary, dim int, keys array<long>")
+    passes = passes_for(vectors.count())
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(partial(_keyed, passes=passes), "id long, vector binary, dim int, keys array<long>")
     rows = materialise(rows.withColumn("key", F.unhex(F.md5("vector"))), "vectors").df
     reps = rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector"), F.first("dim").alias("dim"), F.first("keys").alias("keys"))
     reps = materialise(reps.withColumn("one", F.lit(0)), "vector-classes").df
@@ -195,7 +212,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     prefix = min(SIGNS, max(LEAST_PREFIX, count.bit_length()))
     reps = materialise(reps, "vector-reps").df
     full = materialise(reps.join(_places(reps, prefix), "node"), "vector-places").df
-    found = [materialise(_pass(full, number, prefix), f"vector-pass-{number}").df for number in range(PASSES)]
+    found = [materialise(_pass(full, number, prefix), f"vector-pass-{number}").df for number in range(passes)]
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)

@@ -607,6 +607,24 @@ def test_embeddings(spark):
     assert all(r.kept == (r.id == r.component) for r in out.values()) and len(out) == len(some)
 
 
+def test_recall_holds_as_vectors_become_more():
+    n, some, r = 50_000, 1000, np.random.default_rng(5)
+    x = r.standard_normal((n, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    off = r.standard_normal((some, 32))
+    off -= (off * x[:some]).sum(1)[:, None] * x[:some]
+    x[some:2 * some] = 0.9 * x[:some] + (1 - 0.81) ** 0.5 * off / np.linalg.norm(off, axis=1)[:, None]
+    passes, prefix = embeddings.passes_for(n), n.bit_length()
+    directions, found = embeddings._directions(32, passes), np.zeros(some, bool)
+    for q in range(passes):
+        key = np.packbits(x @ directions[:, q * embeddings.SIGNS:(q + 1) * embeddings.SIGNS] > 0, axis=1)
+        key = np.concatenate([key, np.zeros((n, 8 - key.shape[1]), np.uint8)], axis=1).view(">u8").ravel().astype(np.uint64)
+        rank = np.argsort(np.argsort(key, kind="stable")).astype(np.int64)
+        a, b = slice(0, some), slice(some, 2 * some)
+        found |= (np.abs(rank[a] - rank[b]) <= embeddings.WINDOW) | (key[a] >> np.uint64(64 - prefix) == key[b] >> np.uint64(64 - prefix))
+    assert found.mean() > 0.98 and embeddings.passes_for(10) == embeddings.PASSES < embeddings.passes_for(10_000) < embeddings.passes_for(10_000_000)
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.near_duplicates(empty).count() == 0
