@@ -2,12 +2,10 @@
 
 Words are maximal runs without ASCII white space. A line's normal form is lower-cased,
 its white space single blanks; lines are counted by a 64-bit hash of host and normal
-form, once for each distinct document of the host. Documents are told apart by what
-stands around the line: the smallest hash among their other lines. Copies, exact or
-near, mostly agree in it and count as one, so that a much copied document is not taken
-for a page frame, while unrelated documents that share a line differ in it. A line above
-the limit of its host is removed wherever that host has it, and a document that loses
-more than DEPLETED of its words that way is rejected.
+form, once for each distinct document of the host: rows with the same text are one
+document, so a much copied text makes no line frequent. A line above the limit of its
+host is removed wherever that host has it, and a document that loses more than DEPLETED
+of its words that way is rejected.
 """
 
 from __future__ import annotations
@@ -55,15 +53,6 @@ def _normal(line: bytes) -> bytes:
     return b" ".join(line.split()).decode("utf-8", "replace").lower().encode()
 
 
-def _marks(lines: list[bytes]) -> list[int]:
-    """For each line the smallest hash among the text's other lines; 0 if it has none."""
-    from hashlib import md5
-
-    own = [int.from_bytes(md5(_normal(s)).digest()[:7], "big") + 1 for s in lines]
-    least = [*sorted(set(own))[:2], 0, 0]
-    return [least[1] if x == least[0] else least[0] for x in own]
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -82,11 +71,11 @@ def _keys(host: int, lines: list[bytes]) -> list[int]:
 
 
 def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """A row for each document: id, hashes of host and text, the counts, and its lines as keys and words."""
+    """A row for each document: id, hashes of host and text, the counts, its lines as keys and words, and its own number."""
     def work(batches):
         import pyarrow as pa
 
-        kinds = [("id", pa.int64()), ("host", pa.int64()), ("hash", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("keys", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))]
+        kinds = [("id", pa.int64()), ("host", pa.int64()), ("hash", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("keys", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))]
         for batch in batches:
             rows = []
             for key, host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -94,22 +83,29 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 data = text.encode("utf-8", "replace")
                 words = data.split()
                 lines = [s for s in data.split(b"\n") if s and not s.isspace()]
-                rows.append((key, host, _hash(text), len(words), len(b"".join(words).decode("utf-8", "replace")), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), _repeated(words), _keys(host, lines), _marks(lines), [len(s.split()) for s in lines]))
+                rows.append((key, host, _hash(text), len(words), len(b"".join(words).decode("utf-8", "replace")), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), _repeated(words), _keys(host, lines), [len(s.split()) for s in lines]))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, (_, k) in zip(zip(*rows), kinds, strict=True)] if rows else [pa.array([], k) for _, k in kinds], [n for n, _ in kinds])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(host_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(
-        work, "id long, host long, hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, keys array<long>, marks array<long>, sizes array<int>")
+    measured = docs.select(F.col(id_col).cast("long"), F.col(host_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(
+        work, "id long, host long, hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, keys array<long>, sizes array<int>")
+    return measured.withColumn("row", F.monotonically_increasing_id())
 
 
 def frequent_lines(measured: DataFrame) -> DataFrame:
-    """(key, rows): the lines above their host's limit and how many rows have them."""
-    hosts = measured.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).groupBy("host").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("docs"))
-    hosts = materialise(hosts, "quality-hosts").df
-    each = measured.select("host", F.explode(F.array_distinct(F.arrays_zip("keys", "marks"))).alias("x")).select("host", F.col("x.keys").alias("key"), F.col("x.marks").alias("mark"))
-    per_text = each.groupBy("host", "key", "mark").agg(F.count(F.lit(1)).alias("rows"))
-    per_line = per_text.groupBy("host", "key").agg(F.count(F.lit(1)).alias("texts_with"), F.sum("rows").alias("rows")).filter(F.col("texts_with") > LEAST)
-    total = hosts.agg(F.sum("docs")).first()[0] or 0
-    return skew_join(per_line, hosts, "host", "docs", total).filter(F.col("texts_with") > F.col("texts") * SHARE).groupBy("key").agg(F.sum("rows").alias("rows"))
+    """(key, rows): the lines above their host's limit and how many rows have them.
+
+    ``measured`` must be a written table, since rows are told apart by their numbers. Of
+    each distinct text of a host one row is opened, so lines are counted once a document
+    and in part before they are shuffled.
+    """
+    texts = measured.groupBy("host", "hash").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"))
+    texts = materialise(texts, "quality-texts").df
+    hosts = materialise(texts.groupBy("host").agg(F.count(F.lit(1)).alias("texts")), "quality-hosts").df
+    total = texts.count()
+    each = measured.select("row", "host", "keys").join(texts.select("row", "copies"), "row").select("host", F.explode(F.array_distinct("keys")).alias("key"), "copies")
+    per_line = each.groupBy("host", "key").agg(F.count(F.lit(1)).alias("texts_with"), F.sum("copies").alias("rows")).filter(F.col("texts_with") > LEAST)
+    hosts = hosts.withColumn("n", F.col("texts"))
+    return skew_join(per_line, hosts, "host", "n", total).filter(F.col("texts_with") > F.col("texts") * SHARE).groupBy("key").agg(F.sum("rows").alias("rows"))
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -123,15 +119,14 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
     measured = materialise(measure(docs, id_col=id_col, text_col=text_col, host_col=host_col), "quality").df
     frequent = materialise(frequent_lines(measured), "quality-lines").df
     total = frequent.agg(F.sum("rows")).first()[0] or 0
-    lines = measured.select("id", "hash", "host", F.explode(F.array_distinct("keys")).alias("key"))
-    gone = skew_join(lines, frequent, "key", "rows", total).groupBy(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("host").alias("_host")).agg(F.collect_set("key").alias("removed"))
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")) & (F.col("host") == F.col("_host"))
-    out = measured.join(gone, same, "left").drop("_id", "_hash", "_host")
+    lines = measured.select("row", F.explode(F.array_distinct("keys")).alias("key"))
+    gone = skew_join(lines, frequent, "key", "rows", total).groupBy("row").agg(F.collect_set("key").alias("removed"))
+    out = measured.join(gone, "row", "left")
     among = F.filter(F.arrays_zip("keys", "sizes"), lambda x: F.array_contains("removed", x["keys"]))
     lost = F.when(F.col("removed").isNull(), 0).otherwise(F.aggregate(among, F.lit(0).cast("long"), lambda a, x: a + x["sizes"]))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     return (out.withColumn("lost", lost.cast("long")).withColumn("base_failed", failed)
-            .withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= F.col("n_words") * DEPLETED)).drop("keys", "marks", "sizes"))
+            .withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= F.col("n_words") * DEPLETED)).drop("keys", "sizes", "row"))
 
 
 def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:

@@ -80,17 +80,14 @@ from (select *, min(page_id) over (partition by payload_digest) as least_id
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 ORACLE_SQL["op5_quality_rules"] = rf"""
-with d as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), {_WORD}) as w from documents),
+with d as (select doc_id, coalesce('s' || source, 'none') as host, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), {_WORD}) as w from documents),
 lined as (select doc_id, host, t, w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, {_WORD})) as ls from d),
 grams as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d)),
 twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as n from grams) where n > 1),
 covered as (select doc_id, count(distinct i + k) as n from twice, (values (0), (1), (2), (3), (4)) as o(k) group by doc_id),
 line as (select doc_id, host, t, lower(array_to_string(regexp_extract_all(l, {_WORD}), ' ')) as form, len(regexp_extract_all(l, {_WORD})) as words
          from (select doc_id, host, t, unnest(ls) as l from lined)),
-forms as (select distinct doc_id, host, form, substr(md5(form), 1, 14) as h from line),
-marked as (select *, case when h = min(h) over w then nth_value(h, 2) over w else min(h) over w end as mark from forms
-           window w as (partition by doc_id order by h rows between unbounded preceding and unbounded following)),
-frequent as (select f.host, form from (select host, form, count(distinct coalesce(mark, '')) as n from marked group by 1, 2) f
+frequent as (select f.host, form from (select host, form, count(distinct t) as n from line group by 1, 2) f
              join (select host, count(distinct t) as texts from d group by 1) h on f.host = h.host where n > 5 and n > texts * 0.08),
 gone as (select doc_id, sum(words) as lost from line join frequent using (host, form) group by 1),
 base as (select l.doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as word_chars,

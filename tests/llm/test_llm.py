@@ -296,9 +296,8 @@ def brute_quality(some):
     having, texts = collections.defaultdict(set), collections.defaultdict(set)
     for _, t, _, host, _ in some:
         texts[host].add(t or "")
-        forms = {form(x) for x in lines(t)}
-        for x in forms:
-            having[host, x].add(min((hashlib.md5(y.encode()).hexdigest()[:14] for y in forms if y != x), default=""))
+        for x in lines(t):
+            having[host, form(x)].add(t)
     out = []
     for i, t, _, host, _ in some:
         w, ls = re.findall(r"[^\x20\x09-\x0D]+", t or ""), lines(t)
@@ -321,11 +320,18 @@ def test_quality(spark):
     assert sum(r[8] > 0 for r in brute_quality(HOSTED)) == 43 and sum(not r[7] and not r[6] for r in brute_quality(HOSTED)) == 3
 
 
-def test_copies_are_no_frame(spark):
-    lines = [words(12, 70 + i) for i in range(10)]
-    near = [(i, "\n".join([*lines[:i % 10], lines[i % 10] + f" edit{i}", *lines[i % 10 + 1:]]), "en", "a", 0) for i in range(40)]
+def test_exact_copies_make_no_line_frequent(spark):
+    copied = [(i, words(12, 70) + "\n" + words(12, 71), "en", "a", 0) for i in range(60)]
     other = [(100 + i, "\n".join(words(12, 500 + 10 * i + k) for k in range(8)), "en", "a", 0) for i in range(60)]
-    assert all(r.kept for r in quality.judge(spark.createDataFrame(near + other, DOCS)).collect())
+    assert all(r.kept and not r.lost for r in quality.judge(spark.createDataFrame(copied + other, DOCS)).collect())
+
+
+@pytest.mark.parametrize("shared", [1, 3, 10, 20, 30, 50])
+def test_frames_of_any_length(spark, shared):
+    frame = [words(8, 900 + k) for k in range(shared)]
+    pages = [(i, "\n".join([*frame, words(12, i)]), "en", "a", 0) for i in range(200)]
+    out = quality.judge(spark.createDataFrame(pages, DOCS).repartition(4)).collect()
+    assert all(r.lost == 8 * shared and len(r.removed) == shared for r in out) and sum(r.kept for r in out) == (200 if shared == 1 else 0)
 
 
 @pytest.mark.parametrize("most", [quality.BROADCAST_LINES, -1])
