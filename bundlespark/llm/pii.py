@@ -5,8 +5,9 @@ always reported. Every candidate, of these and of further kinds, gets votes: of
 strict pattern, of gazetteers (issuers' prefixes, top-level domains, words of code and
 markup), of the words before it, and of its characters. Expectation-maximisation over
 the counts of vote patterns (at most a few thousand, whatever the corpus) estimates how
-reliable each labeler is; a logistic span classifier is trained on the resulting labels
-and becomes a column expression that accepts candidates of the further kinds.
+reliable each labeler is for each kind; a logistic span classifier is trained on the
+resulting labels and becomes a column expression that accepts candidates of the further
+kinds. Work is in proportion to the text: arrays of spans are built in blocks.
 """
 
 from __future__ import annotations
@@ -39,33 +40,69 @@ FURTHER = {
 KINDS = [*BASE, *FURTHER]
 #: Patterns so strict that hardly anything else has their form.
 STRICT = r"^(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z]{4}[0-9]{6,}|[^@]+@[^@]+\.[A-Za-z]{2,}|\+[0-9 ().-]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9]{16}|[0-9]{4}(?:[ -][0-9]{4}){3})$"
-#: Gazetteers: beginnings and ends that issuers and registries give; words of markup and code.
-KNOWN = r"^(?:AKIA|ASIA|ghp_|gho_|sk-|sk_live|xox[bp]-|eyJ|AIza|GB|DE|FR|ES|NL|IT|\+1|\+3|\+4|4|5[1-5])|\.(?:com|org|net|edu|gov|io|de|fr|es|uk)$"
-CODE = r"(?i)(?:lorem|http|html|style|class|width|color|function|return|example_)"
+#: Gazetteers, a kind each: what issuers and registries give out, and what they don't.
+KNOWN = {
+    "email": (r"(?i)\.(?:com|org|net|edu|gov|mil|int|info|biz|io|dev|app|eu|de|fr|es|uk|it|nl|be|ch|at|pl|se|no|dk|fi|pt|ie|us|ca|mx|br|jp|cn|in|au|nz)$", r"(?i)\.(?:png|jpe?g|gif|svg|js|css|py|html?|local|invalid|[0-9]+)$"),
+    "ip": (r"^0*(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\.", r"^(?:0+|0*127|0*22[4-9]|0*2[34][0-9]|0*25[0-5])\."),
+    "card": (r"^(?:4|5[1-5]|2[2-7]|3[4-8]|6011|64|65|62|50|67)", r"^(?:0|1|7|8|9)"),
+    "phone": (r"^\+(?:1|7|2[07]|3[0-469]|4[0-13-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])", r"^\+(?:0|80|83|89|99)"),
+    "account": (r"^(?:AD|AE|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IL|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SA|SE|SI|SK|SM|TR)", r"^(?:ISO|RFC|UTF|SHA|XX|ZZ|QQ)"),
+    "secret": (r"^(?:AKIA|ASIA|gh[pousr]_|glpat-|sk-|sk_live|rk_live|pk_live|xox[abp]-|eyJ|AIza|ya29|npm_|SG\.)", r"(?i)(?:lorem|http|html|style|class|width|color|function|return|example_)"),
+    "ssn": (r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)", r"^(?:000|666|9)|-00-|-0000$"),
+}
 #: Words before a candidate that speak for and against it.
 FOR = r"(?i)(?:token|key|secret|passw|pwd|api|ssn|social|account|iban|card|phone|tel|call|e-?mail|contact|ip|address)[\x20:=\"'#-]*$"
 AGAINST = r"(?i)(?:commit|sha1|sha256|md5|isbn|version|build|page|http\S*|href|src|id)[\x20:=\"'#/-]*$"
 #: Characters before a candidate that are looked at.
 CONTEXT = 24
+#: Elements that are gathered before they are put to the rest: bounds the copying in long arrays.
+RUN = 256
+#: Code points in a piece of a text that spans are cut from.
+PIECE = 1024
 #: The classifier's probability from which a candidate is reported.
 ACCEPT = 0.5
 VOTES = ("strict", "known", "before", "mixed")
 
 
+def _let(x: Column, body) -> Column:
+    """``body`` of ``x``, which is evaluated once."""
+    return F.transform(F.array(x), body)[0]
+
+
+def _scan(xs: Column, at: Column, step, kind: str) -> Column:
+    """An array<``kind``>: ``step(state, x)`` gives the next state and what to put out, from ``at`` and from left to right.
+
+    Growing an array copies it, so RUN elements at a time grow one of their own.
+    """
+    empty = F.expr(f"cast(array() as array<{kind}>)")
+
+    def one(acc, x):
+        then, out = step(acc["at"], x)
+        return F.struct(then.alias("at"), F.concat(acc["out"], out).alias("out"))
+
+    def run(acc, some):
+        return F.aggregate(some, F.struct(acc["at"].alias("at"), empty.alias("out")), one, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def whole(p):
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(p)), F.lit(RUN)), lambda i: F.slice(p, i, F.lit(RUN)))
+        return F.aggregate(runs, F.struct(at.alias("at"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("out")), run, lambda acc: F.flatten(acc["out"]))
+
+    return _let(xs, whole)
+
+
 def _spans(text: Column, pattern: str, needs: str | None) -> Column:
     """array<struct<start, end, match, before>> of the leftmost non-overlapping matches; code points."""
-    cut, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(cut, 1, F.size(found)), found, lambda c, m: F.struct(F.length(c).alias("gap"), F.right(c, F.lit(CONTEXT)).alias("before"), m.alias("match")))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,match:string,before:string>>)")
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = _let(found, lambda f: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(f)), f, lambda c, m: F.struct(F.length(c).alias("gap"), F.right(c, F.lit(CONTEXT)).alias("before"), m.alias("match"))))
+    kind = "struct<start:int,end:int,match:string,before:string>"
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
+    def step(at, x):
+        start = at + x["gap"]
         end = start + F.length(x["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), x["before"].alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return end, F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), x["before"].alias("before")))
 
-    out = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return out if needs is None else F.when(text.rlike(needs), out).otherwise(empty)
+    out = _scan(pairs, F.lit(0), step, kind)
+    return out if needs is None else F.when(text.rlike(needs), out).otherwise(F.expr(f"cast(array() as array<{kind}>)"))
 
 
 def _digits(x: Column) -> Column:
@@ -100,12 +137,12 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def _votes(x: Column) -> Column:
+def _votes(kind: str, x: Column) -> Column:
     m, before = x["match"], x["before"]
     mixed = F.length(F.regexp_replace(m, "[0-9]", "")) * 4 <= F.length(m) * 3
     return F.struct(
         _vote(m.rlike(STRICT), m.rlike("^[A-Za-z_-]+[0-9]{1,2}$")).alias("strict"),
-        _vote(m.rlike(KNOWN), m.rlike(CODE)).alias("known"),
+        _vote(m.rlike(KNOWN[kind][0]), m.rlike(KNOWN[kind][1])).alias("known"),
         _vote(before.rlike(FOR), before.rlike(AGAINST)).alias("before"),
         _vote(mixed, ~mixed).alias("mixed"))
 
@@ -123,17 +160,17 @@ def _candidates(docs: DataFrame, text_col: str, to: dict[str, str]) -> DataFrame
 
 def _voted(kind: str, spans: str) -> Column:
     passed = F.filter(spans, lambda x: _passes(kind, x["match"]))
-    return F.transform(passed, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), _votes(x).alias("votes")))
+    return F.transform(passed, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), _votes(kind, x).alias("votes")))
 
 
 @dataclass
 class Model:
-    """The span classifier: a weight for each labeler and each kind, and an intercept; and the labelers' reliabilities."""
+    """The span classifier: a weight for each labeler and each kind, and an intercept; and the labelers' reliabilities by kind and labeler."""
 
     weights: dict[str, float]
     kinds: dict[str, float]
     intercept: float
-    reliabilities: dict[str, tuple[float, float]]
+    reliabilities: dict[tuple[str, str], tuple[float, float]]
 
     def accepts(self, kind: str, votes: Column) -> Column:
         score = F.lit(self.intercept + self.kinds[kind])
@@ -142,31 +179,32 @@ class Model:
         return score >= F.lit(math.log(ACCEPT / (1 - ACCEPT)))
 
 
-def estimate(counts: dict[tuple, int], rounds: int = 50) -> tuple[dict[tuple, float], dict[str, tuple[float, float]]]:
+def estimate(counts: dict[tuple, int], rounds: int = 50) -> tuple[dict[tuple, float], dict[tuple[str, str], tuple[float, float]]]:
     """Expectation-maximisation over {(kind, vote, ...): how many}.
 
-    Returns the probability that each pattern is personal data, and each labeler's share
-    of right votes (of those it casts) on data that is and that is not. Counts are
-    smoothed by one vote each way, so no labeler becomes certain.
+    Returns the probability that each pattern is personal data, and for each kind and
+    labeler its share of right votes (of those it casts) on data that is and that is not.
+    Counts are smoothed by one vote each way, so no labeler becomes certain.
     """
-    reliable = {v: (0.85, 0.85) for v in VOTES}
-    prior = dict.fromkeys({k[0] for k in counts}, 0.5)
+    found = sorted({k[0] for k in counts})
+    reliable = {(kind, v): (0.85, 0.85) for kind in found for v in VOTES}
+    prior = dict.fromkeys(found, 0.5)
     sure: dict[tuple, float] = {}
     for _ in range(rounds):
         for key in counts:
             odds = math.log(prior[key[0]] / (1 - prior[key[0]]))
             for name, vote in zip(VOTES, key[1:], strict=True):
-                yes, no = reliable[name]
+                yes, no = reliable[key[0], name]
                 odds += vote and (math.log(yes / (1 - no)) if vote > 0 else math.log((1 - yes) / no))
             sure[key] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-        for i, name in enumerate(VOTES, 1):
-            cast = [(k[i], sure[k], n) for k, n in counts.items() if k[i]]
-            yes = (sum(n * p for v, p, n in cast if v > 0) + 4) / (sum(n * p for _, p, n in cast) + 5)
-            no = (sum(n * (1 - p) for v, p, n in cast if v < 0) + 4) / (sum(n * (1 - p) for _, p, n in cast) + 5)
-            reliable[name] = (min(0.99, max(0.55, yes)), min(0.99, max(0.55, no)))
-        for kind in prior:
-            own = [(sure[k], n) for k, n in counts.items() if k[0] == kind]
-            prior[kind] = (sum(p * n for p, n in own) + 1) / (sum(n for _, n in own) + 2)
+        for kind in found:
+            own = [(k, sure[k], n) for k, n in counts.items() if k[0] == kind]
+            for i, name in enumerate(VOTES, 1):
+                cast = [(k[i], p, n) for k, p, n in own if k[i]]
+                yes = (sum(n * p for v, p, n in cast if v > 0) + 4) / (sum(n * p for _, p, n in cast) + 5)
+                no = (sum(n * (1 - p) for v, p, n in cast if v < 0) + 4) / (sum(n * (1 - p) for _, p, n in cast) + 5)
+                reliable[kind, name] = (min(0.99, max(0.55, yes)), min(0.99, max(0.55, no)))
+            prior[kind] = (sum(p * n for _, p, n in own) + 1) / (sum(n for _, _, n in own) + 2)
     return sure, reliable
 
 
@@ -199,44 +237,65 @@ def fit(docs: DataFrame, *, text_col: str = "text") -> Model:
     return Model(*train(counts, sure), reliable)
 
 
-def _apart(spans: Column, other: str) -> Column:
-    return F.filter(spans, lambda x: ~F.exists(other, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+_SPAN = "struct<kind:string,start:int,end:int>"
+
+
+def _span(x: Column) -> Column:
+    return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
+
+
+def _apart(base: Column, more: Column) -> Column:
+    """Those of ``more`` that overlap no span of ``base``; of them, left to right, those that overlap none kept before; by kind, then start."""
+    rank = lambda x: F.array_position(F.array(*map(F.lit, FURTHER)), x["kind"]).cast("int")
+    event = lambda x, n: F.struct(x["start"].alias("start"), n.alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))
+    kind = "struct<start:int,rank:int,end:int,kind:string>"
+    none = F.expr(f"cast(array() as array<{kind}>)")
+    events = F.array_sort(F.concat(F.transform(base, lambda x: event(x, F.lit(0))), F.transform(more, lambda x: event(x, rank(x)))))
+    far = F.lit(2**31 - 1)
+    # From the right: the next base span's start; from the left: the furthest end so far.
+    clear = F.reverse(_scan(F.reverse(events), far, lambda at, x: (F.when(x["rank"] == 0, x["start"]).otherwise(at), F.when((x["rank"] == 0) | (x["end"] <= at), F.array(x)).otherwise(none)), kind))
+    kept = _scan(clear, F.lit(0), lambda at, x: (F.when((x["rank"] == 0) | (x["start"] >= at), F.greatest(at, x["end"])).otherwise(at), F.when((x["rank"] > 0) & (x["start"] >= at), F.array(x)).otherwise(none)), kind)
+    order = F.array_sort(F.transform(kept, lambda x: F.struct(x["rank"].alias("rank"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    return F.transform(order, _span)
 
 
 def find(docs: DataFrame, model: Model, *, text_col: str = "text", name: str = "spans") -> DataFrame:
     """``docs`` with a column of spans: array<struct<kind, start, end>> by kind, then start; code points, end exclusive.
 
     All base spans, and the further candidates that the model accepts and that overlap no
-    base span. Null and empty texts have none. Rows are independent given the model.
+    base span; of further ones that overlap, the leftmost stays, at one start the first
+    kind. Null and empty texts have none. Rows are independent given the model.
     """
     to = {}
     for kind in KINDS:
         to[kind] = fresh([*docs.columns, *to.values(), name], f"_{kind}")
     out = _candidates(docs, text_col, to)
-    base = fresh([*out.columns, name], "_base")
-    plain = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
-    out = out.withColumn(base, F.concat(*[F.transform(to[k], plain) for k in BASE]))
-
-    def accepted(kind):
-        found = F.filter(to[kind], lambda x: model.accepts(kind, x["votes"]))
-        for other in (base, *[to[k] for k in FURTHER if KINDS.index(k) < KINDS.index(kind)]):
-            found = _apart(found, other)
-        return F.transform(found, plain)
-
-    more = [accepted(kind) for kind in FURTHER]
-    return out.withColumn(name, F.concat(base, *more)).drop(base, *to.values())
+    more = fresh([*out.columns, name], "_more")
+    out = out.withColumn(name, F.concat(*[F.transform(to[k], _span) for k in BASE]))
+    out = out.withColumn(more, F.concat(*[F.transform(F.filter(to[k], lambda x: model.accepts(k, x["votes"])), _span) for k in FURTHER]))  # noqa: B023
+    apart = F.when(F.size(more) > 0, _let(F.col(name), lambda b: _apart(b, F.col(more)))).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
+    return out.withColumn(name, F.concat(name, apart)).drop(more, *to.values())
 
 
 def redact(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of its texts replaced by its kind in brackets, as [EMAIL]; overlapping spans become one."""
+    """``docs`` with every span of its texts replaced by its kind in brackets, as [EMAIL]; overlapping spans become one, of the kind that starts first."""
     spans = fresh(docs.columns, "_spans")
     text = F.col(text_col)
     in_order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.upper(x["kind"]).alias("kind"))))
+    last = F.array(F.struct(F.lit(2**31 - 1).alias("start"), F.lit(2**31 - 1).alias("end"), F.lit(None).cast("string").alias("kind")))
+    kind = "struct<from:int,to:int,kind:string>"
+
+    def step(at, x):  # what stands between the spans so far and this one, unless they overlap
+        gap = F.array(F.struct(at.alias("from"), x["start"].alias("to"), x["kind"].alias("kind")))
+        return F.greatest(at, x["end"]), F.when(x["start"] >= at, gap).otherwise(F.expr(f"cast(array() as array<{kind}>)"))
+
+    gaps = _scan(F.concat(in_order, last), F.lit(0), step, kind)
 
-    def step(acc, x):
-        fresh_one = x["start"] >= acc["at"]
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), x["kind"], F.lit("]"))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh_one, out).otherwise(acc["out"]).alias("out"))
+    def cut(pieces, x):  # a gap's text, from the pieces that hold it
+        first, end = F.floor(x["from"] / PIECE).cast("int"), F.least(F.floor((x["to"] - 1) / PIECE).cast("int") + 1, F.size(pieces))
+        some = F.array_join(F.slice(pieces, first + 1, F.greatest(end - first, F.lit(0))), "")
+        said = F.when(x["to"] > x["from"], F.substring(some, x["from"] % PIECE + 1, x["to"] - x["from"])).otherwise("")
+        return F.concat(said, F.coalesce(F.concat(F.lit("["), x["kind"], F.lit("]")), F.lit("")))
 
-    done = F.aggregate(in_order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    done = _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda p: F.array_join(F.transform(gaps, lambda x: cut(p, x)), ""))
     return find(docs, model, text_col=text_col, name=spans).withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(text)).select(*docs.columns)
