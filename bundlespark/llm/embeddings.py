@@ -32,8 +32,10 @@ RECALL = 0.99
 WINDOW = 64
 #: Signs in a key; at least so many of them make a crowd.
 SIGNS, LEAST_PREFIX = 62, 16
-#: Places that one task compares at a time.
+#: Places of a crowd that one task compares with as many others; places of windows in a
+#: task, of which there are fewer while that gives every core several tasks.
 BLOCK = 4096
+LEAST_BLOCK, TASKS_A_CORE = 512, 4
 _SEED = 20_240_601
 
 
@@ -108,13 +110,13 @@ def _places(reps: DataFrame, prefix: int) -> DataFrame:
     ranked = materialise(ranked, "vector-ranks").df
     crowds = ranked.groupBy("crowd").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")).filter(F.col("n") > WINDOW + 1).withColumn("size", F.col("n"))
     crowds = materialise(crowds, "vector-crowds").df
-    inside = skew_join(ranked, crowds, "crowd", "n", ranked.count()).select("node", "pass", "rank", "first", "size")
-    outside = ranked.join(crowds.select("crowd"), "crowd", "left_anti").select("node", "pass", "rank", F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("size"))
+    zero = F.lit(0).cast("long")
+    placed = skew_join(ranked, crowds, "crowd", "n", ranked.count(), "left").select("node", "pass", "rank", F.coalesce("first", zero).alias("first"), F.coalesce("size", zero).alias("size"))
     every = F.sort_array(F.collect_list(F.struct("pass", "rank", "first", "size")))
-    return inside.unionByName(outside).groupBy("node").agg(every.alias("x")).select("node", F.col("x.rank").alias("ranks"), F.col("x.first").alias("firsts"), F.col("x.size").alias("sizes"))
+    return placed.groupBy("node").agg(every.alias("x")).select("node", F.col("x.rank").alias("ranks"), F.col("x.first").alias("firsts"), F.col("x.size").alias("sizes"))
 
 
-def _compare(number: int, prefix: int):
+def _compare(number: int, prefix: int, places: int):
     """For one task's rows: (node, null, links first found here) and (node, node, 0) for a forest."""
     def work(key, table):
         import numpy as np
@@ -162,7 +164,7 @@ def _compare(number: int, prefix: int):
                 if low != high:
                     use &= ((pos[i] - first) // BLOCK == low) & ((pos[j] - first) // BLOCK == high)
             else:
-                use = (far > 0) & (far <= WINDOW) & (pos[j] // BLOCK == low)
+                use = (far > 0) & (far <= WINDOW) & (pos[j] // places == low)
             take(i[use], j[use])
         some = np.flatnonzero(links)
         return pa.Table.from_arrays([
@@ -173,24 +175,24 @@ def _compare(number: int, prefix: int):
     return work
 
 
-def _pass(full: DataFrame, number: int, prefix: int) -> DataFrame:
+def _pass(full: DataFrame, number: int, prefix: int, places: int) -> DataFrame:
     rank, first, size = (F.col(c)[number] for c in ("ranks", "firsts", "sizes"))
     zero = F.lit(0).cast("long")
-    block = F.floor(rank / BLOCK).cast("long")
+    block = F.floor(rank / places).cast("long")
 
     def task(crowd, first, low, high):
         return F.struct(F.lit(crowd).alias("crowd"), first.alias("first"), low.alias("low"), high.alias("high"))
 
-    windows = F.when(rank % BLOCK >= BLOCK - WINDOW, F.array(task(False, zero, block, zero), task(False, zero, block + 1, zero))).otherwise(F.array(task(False, zero, block, zero)))
+    windows = F.when(rank % places >= places - WINDOW, F.array(task(False, zero, block, zero), task(False, zero, block + 1, zero))).otherwise(F.array(task(False, zero, block, zero)))
     own = F.floor((rank - first) / BLOCK).cast("long")
     others = F.sequence(zero, F.greatest(zero, F.floor((size - 1) / BLOCK).cast("long")))
     crowds = F.when(size > 0, F.transform(others, lambda k: task(True, first, F.least(own, k), F.greatest(own, k)))).otherwise(F.filter(F.array(task(False, zero, zero, zero)), lambda _: F.lit(False)))
     tasks = full.select("node", "n", "dim", "vector", "keys", "ranks", F.explode(F.concat(windows, crowds)).alias("t"))
     keyed = tasks.select(F.col("t.crowd"), F.col("t.first"), F.col("t.low"), F.col("t.high"), "dim", "node", "n", "vector", *(F.slice(c, 1, number + 1).alias(c) for c in ("keys", "ranks")))
-    return keyed.groupBy("crowd", "first", "low", "high", "dim").applyInArrow(_compare(number, prefix), "a long, b long, links long")
+    return keyed.groupBy("crowd", "first", "low", "high", "dim").applyInArrow(_compare(number, prefix, places), "a long, b long, links long")
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", exact: bool = False) -> DataFrame:
     """(id, n_links, component, kept) of every row of ``vectors``.
 
     n_links counts the other rows found at cosine 0.9 or more; component is the smallest
@@ -198,8 +200,10 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     Null, empty and zero vectors, and those with null or non-finite components, link with
     nothing, nor do vectors of different lengths with each other. Rows with equal ids are
     rows of their own; a null id names no component, unless the component has no other.
+    With ``exact`` all vectors are one crowd, so a single pass compares every two of them,
+    in blocks: nothing is missed, and the work grows with the square of their number.
     """
-    passes = passes_for(vectors.count())
+    passes = 1 if exact else passes_for(vectors.count())
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(partial(_keyed, passes=passes), "id long, vector binary, dim int, keys array<long>")
     rows = materialise(rows.withColumn("key", F.unhex(F.md5("vector"))), "vectors").df
     reps = rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector"), F.first("dim").alias("dim"), F.first("keys").alias("keys"))
@@ -209,10 +213,11 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.lit(True).alias("kept"))
     numbers = materialise(with_rank(reps.select("one", "key"), ["one"], F.xxhash64("key"), ["key"], count, "node").select("key", "node"), "vector-nodes").df
     reps = reps.drop("one").join(numbers, "key")
-    prefix = min(SIGNS, max(LEAST_PREFIX, count.bit_length()))
+    prefix = 0 if exact else min(SIGNS, max(LEAST_PREFIX, count.bit_length()))
+    places = min(BLOCK, max(LEAST_BLOCK, count // (TASKS_A_CORE * vectors.sparkSession.sparkContext.defaultParallelism)))
     reps = materialise(reps, "vector-reps").df
     full = materialise(reps.join(_places(reps, prefix), "node"), "vector-places").df
-    found = [materialise(_pass(full, number, prefix), f"vector-pass-{number}").df for number in range(passes)]
+    found = [materialise(_pass(full, number, prefix, places), f"vector-pass-{number}").df for number in range(passes)]
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
