@@ -8,7 +8,11 @@ Everything here is bounded per task and on the driver:
 * ``with_rank`` numbers the rows of a key without ever sorting a key in one task;
 * ``skew_join`` broadcasts only keys that hold over a thousandth of the rows, of
   which there can be at most a thousand;
-* ``components`` is the alternating large-star / small-star algorithm.
+* ``components`` is the alternating large-star / small-star algorithm; a task holds
+  at most FOREST nodes at a time.
+
+Tables that a result still reads stay until ``drop_written``; others are deleted as soon
+as the step that needed them is done.
 """
 
 from __future__ import annotations
@@ -24,16 +28,21 @@ from pyspark.sql.window import Window
 HOT_SHARE = 1e-3
 #: Rows that one task ranks at a time.
 RANK_ROWS = 50_000
+#: Nodes of a forest that a task holds at a time.
+FOREST = 1_000_000
 
 _KEY = "bundlespark.scratch"
+_written: list["Written"] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local one, on a local master only."""
     for conf in (spark.conf, spark.sparkContext.getConf()):
         found = conf.get(_KEY, None) or conf.get("spark.checkpoint.dir", None)
         if found:
             return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = "file://" + tempfile.mkdtemp(prefix="bundlespark-")
     spark.conf.set(_KEY, made)
     return made
@@ -47,8 +56,11 @@ class Written:
         schema = df.schema
         df.write.parquet(at)
         self.df = self.spark.read.schema(schema).parquet(at)
+        _written.append(self)
 
     def drop(self) -> None:
+        if self in _written:
+            _written.remove(self)
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.at)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -59,6 +71,12 @@ def materialise(df: DataFrame, what: str) -> Written:
     return Written(df, f"{shared_dir(df.sparkSession)}/bundlespark/{what}-{uuid.uuid4().hex}")
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Deletes the tables that results of this session still read; call it when those are consumed."""
+    for table in [t for t in _written if t.spark is spark]:
+        table.drop()
+
+
 def fresh(taken, name: str) -> str:
     """``name``, or with underscores until no column of ``taken`` has it (in any case)."""
     have = {c.lower() for c in taken}
@@ -87,8 +105,8 @@ def with_rank(df: DataFrame, keys: list[str], salt: Column, order: list[str], ro
     return numbered.join(starts, [*keys, b]).withColumn(name, (F.col("_r") + F.col(at)).cast("long")).drop("_r", at, b)
 
 
-def skew_join(big: DataFrame, small: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """``big`` inner-joined with ``small``, which has one row a key and in ``count`` its rows of ``big``.
+def skew_join(big: DataFrame, small: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """``big`` joined (inner or left) with ``small``, which has one row a key and in ``count`` its rows of ``big``.
 
     Keys with over a thousandth of ``total`` rows, fewer than a thousand, go by
     broadcast; the others are small enough for any task of a shuffle.
@@ -98,11 +116,11 @@ def skew_join(big: DataFrame, small: DataFrame, key: str, count: str, total: int
     hot = small.filter(F.col(count) > hot_at).select(key, *rest)
     cold = small.filter(F.col(count) <= hot_at).select(key, *rest)
     return big.join(F.broadcast(hot), key).unionByName(
-        big.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+        big.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how))
 
 
 def _local_forest(batches):
-    """Arrow batches of (a, b) in; the links of a spanning forest of them, a star a tree, out."""
+    """Arrow batches of (a, b) in; the links of spanning forests of them, a star a tree, out; FOREST nodes at a time."""
     import pyarrow as pa
 
     up: dict[int, int] = {}
@@ -115,15 +133,21 @@ def _local_forest(batches):
             up[x], x = r, up.get(x, x)
         return r
 
+    def stars():
+        nodes = list(up)
+        for i in range(0, len(nodes), 50_000):
+            part = nodes[i:i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["a", "b"])
+        up.clear()
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = root(a), root(b)
             if a != b:
                 up[max(a, b)] = min(a, b)
-    nodes = list(up)
-    for i in range(0, len(nodes), 50_000):
-        part = nodes[i:i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["a", "b"])
+        if len(up) >= FOREST:
+            yield from stars()
+    yield from stars()
 
 
 def components(links: DataFrame, what: str = "components") -> DataFrame:

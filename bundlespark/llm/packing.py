@@ -198,7 +198,7 @@ PLANS = {"configuration": configuration_plan, "best_fit": best_fit_plan}
 
 
 def place(cut: DataFrame, capacity: int, method: str = "configuration") -> DataFrame:
-    """``cut`` (a table with doc_id, piece and length) with sequence_id and offset.
+    """``cut`` (a written table with length and row, a number that no two rows share) with sequence_id and offset.
 
     Every piece gets a place; offsets are gapless from 0 in each sequence. No rows in,
     none out. The plan is made on the driver from at most ``capacity`` counts.
@@ -207,27 +207,27 @@ def place(cut: DataFrame, capacity: int, method: str = "configuration") -> DataF
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
     plan = runs(PLANS[method](counts, capacity)) if counts else []
     table = spark.createDataFrame(plan, "_length long, _first long, _end long, _sequence long, _each long, _offset long")
-    ranked = with_rank(cut, ["length"], F.xxhash64("doc_id", "piece"), ["doc_id", "piece", "start"], sum(counts.values()), "_rank")
+    ranked = with_rank(cut, ["length"], F.xxhash64("row"), ["row"], sum(counts.values()), "_rank")
     on = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end"))
     return (ranked.join(F.broadcast(table), on)
             .withColumn("sequence_id", F.expr("_sequence + (_rank - _first) div _each"))
             .withColumn("offset", F.expr("_offset + (_rank - _first) % _each * length"))
-            .drop("_length", "_first", "_end", "_sequence", "_each", "_offset", "_rank"))
+            .drop("_length", "_first", "_end", "_sequence", "_each", "_offset", "_rank", "row"))
+
+
+def _cut(docs: DataFrame, path: str, capacity: int, id_col: str, text_col: str, ids: bool):
+    some = tokens.pieces(docs, path, capacity, id_col=id_col, text_col=text_col, ids=ids)
+    return materialise(some.withColumn("row", F.monotonically_increasing_id()), "pieces")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, *, method: str = "configuration", id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """Tokenizes ``docs`` and places every piece; see ``tokens.pieces`` and ``place``.
 
     Null and empty texts are one piece, the final 0. Texts over ``capacity`` ids are cut,
-    losslessly; equal rows are separate documents, ties are broken by id and piece. Other
-    columns, whatever their names, are ignored.
+    losslessly; equal rows are separate documents, whatever their ids. Other columns,
+    whatever their names, are ignored.
     """
-    cut = materialise(tokens.pieces(docs, path, capacity, id_col=id_col, text_col=text_col, ids=ids), "pieces")
-    return place(cut.df, capacity, method)
-
-
-#: Ids held before they are packed and written, two bytes each: bounds a task's memory.
-HELD_IDS = 16 << 20
+    return place(_cut(docs, path, capacity, id_col, text_col, ids).df, capacity, method)
 
 
 def matrices(docs: DataFrame, path: str, capacity: int = 2048, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,52 +238,45 @@ def matrices(docs: DataFrame, path: str, capacity: int = 2048, *, id_col: str =
     position_resets (where positions start again from 0), doc_ids, pieces and starts (of
     each segment: its document, number there and the document's ids before it).
 
-    Each task packs what it tokenizes, up to ``HELD_IDS`` ids at a time, so nothing is
-    shuffled; a batch of that many wastes at most part of its last few sequences. The
-    same input split gives the same rows again. Null and empty texts are one id, 0.
+    One plan for the whole input, whatever its split: pieces carry their ids to their
+    sequences, each at most ``capacity`` of them. Null and empty texts are one id, 0;
+    no rows in, none out.
     """
     def work(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
-
-        held, size, number = {}, 0, TaskContext.get().partitionId() << 40
 
-        def packed():
-            nonlocal held, size, number
+        for batch in batches:
             rows = []
-            for many, config in best_fit_plan({n: len(x) for n, x in held.items()}, capacity):
-                for _ in range(many):
-                    parts = [held[n].pop() for n, k in config for _ in range(k)]
-                    ends = [0]
-                    for p in parts:
-                        ends.append(ends[-1] + len(p[3]) // 2)
-                    rows.append({"sequence_id": number, "input_ids": b"".join(p[3] for p in parts).ljust(2 * capacity, b"\0"), "n_ids": ends[-1], "cu_seqlens": ends, "position_resets": ends[:-1], "doc_ids": [p[0] for p in parts], "pieces": [p[1] for p in parts], "starts": [p[2] for p in parts]})
-                    number += 1
-                    if len(rows) == 1000:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
-            held, size = {}, 0
+            for number, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ends = [0]
+                for p in some:
+                    ends.append(ends[-1] + len(p["ids"]) // 2)
+                rows.append({"sequence_id": number, "input_ids": b"".join([p["ids"] for p in some]).ljust(2 * capacity, b"\0"), "n_ids": ends[-1], "cu_seqlens": ends, "position_resets": ends[:-1],
+                             "doc_ids": [p["doc_id"] for p in some], "pieces": [p["piece"] for p in some], "starts": [p["start"] for p in some]})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                flat = tokens.encode(text.as_py(), path, 2) + b"\0\0"
-                for piece, at in enumerate(range(0, len(flat), 2 * capacity)):
-                    part = flat[at:at + 2 * capacity]
-                    held.setdefault(len(part) // 2, []).append((key, piece, at // 2, part))
-                size += len(flat) // 2
-                if size > HELD_IDS:
-                    yield from packed()
-        yield from packed()
-
     import pyarrow as pa
 
     ints = pa.list_(pa.int32())
     schema = pa.schema([("sequence_id", pa.int64()), ("input_ids", pa.binary()), ("n_ids", pa.int32()), ("cu_seqlens", ints), ("position_resets", ints), ("doc_ids", pa.list_(pa.int64())), ("pieces", ints), ("starts", pa.list_(pa.int64()))])
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
+    placed = pack(docs, path, capacity, method="best_fit", id_col=id_col, text_col=text_col, ids=True)
+    held = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "piece", "start", "ids"))).alias("held")
+    return placed.groupBy("sequence_id").agg(held).mapInArrow(
         work, "sequence_id long, input_ids binary, n_ids int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, pieces array<int>, starts array<long>")
 
 
 def write_matrices(docs: DataFrame, path: str, to: str, capacity: int = 2048) -> None:
-    """Writes ``matrices`` of ``docs`` as Parquet to ``to``, one file a task."""
+    """Writes ``matrices`` of ``docs`` as Parquet to ``to``, one file a task; ``read_matrix`` gives a file's ids back."""
     matrices(docs, path, capacity).write.parquet(to)
+
+
+def read_matrix(rows) -> "tuple":
+    """(ids as a matrix of unsigned 16-bit, a row a sequence; positions, counted anew in each segment) of collected rows."""
+    import numpy as np
+
+    ids = np.stack([np.frombuffer(r["input_ids"], "<u2") for r in rows]) if rows else np.zeros((0, 0), np.uint16)
+    positions = np.tile(np.arange(ids.shape[1]), (len(rows), 1))
+    for line, r in zip(positions, rows, strict=True):
+        for a, b in zip(r["cu_seqlens"], r["cu_seqlens"][1:], strict=False):
+            line[a:b] = np.arange(b - a)
+    return ids, positions

@@ -200,5 +200,5 @@ def assign(docs: DataFrame, bins: int = 16, *, id_col: str = "doc_id", text_col:
     ranked = with_rank(groups, ["class"], F.xxhash64("key"), ["key"], sum(counts.values()))
     placed = ranked.join(F.broadcast(table), (F.col("class") == F.col("_class")) & (F.col("rank") >= F.col("_first")) & (F.col("rank") < F.col("_end")))
     total = groups.agg(F.sum("copies")).first()[0] or 0
-    put = materialise(skew_join(rows, placed.select("key", "copies", "shard"), "key", "copies", total).select("id", "size", "crc", "shard"), "shard-put").df
-    return with_rank(put, ["shard"], F.xxhash64("id", "crc"), ["id", "crc", "size"], total, "slot").select("id", "size", "crc", "shard", "slot")
+    put = materialise(skew_join(rows, placed.select("key", "copies", "shard"), "key", "copies", total).select("id", "size", "crc", "shard", F.monotonically_increasing_id().alias("row")), "shard-put").df
+    return with_rank(put, ["shard"], F.xxhash64("row"), ["row"], total, "slot").select("id", "size", "crc", "shard", "slot")
