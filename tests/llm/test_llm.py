@@ -435,16 +435,29 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def direct_labels(text):
-    """Every template tried at every place of the text."""
-    w, found = licenses.words_of(text), set()
+def common_words(a, b):
+    """Length of the longest common subsequence, by the table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def direct_labels(text, score=False):
+    """Every template aligned with every stretch of the text."""
+    w, found = licenses.words_of(text), {}
     for label, (notice, keys) in licenses.TEMPLATES.items():
         t = notice.encode().split()
-        for start in range(1 - len(t), len(w)):
-            here, shift = w[max(0, start):start + len(t)], max(0, -start)
-            if sum(a == b for a, b in zip(here, t[shift:])) / len(t) >= licenses.COVERAGE and all(licenses.places(here, k.encode().split()) for k in keys):
-                found.add(label)
-    return found
+        long = len(t) + max(licenses.LEAST_INSERTED, int(licenses.INSERTED * len(t)))
+        if not all(licenses.places(w, k.encode().split()) for k in keys):
+            continue
+        for start in range(1 - long, len(w)):
+            here = w[max(0, start):start + long]
+            if all(licenses.places(here, k.encode().split()) for k in keys) and (share := common_words(here, t) / len(t)) >= licenses.COVERAGE:
+                found[label] = max(share, found.get(label, 0))
+    return found if score else set(found)
 
 
 def found_labels(texts):
@@ -454,19 +467,58 @@ def found_labels(texts):
     return [set(index.find(licenses.words_of(t))) for t in texts]
 
 
+def test_labels_and_score_by_brute_force(spark):
+    r, texts = random.Random(12), []
+    for i in range(160):
+        parts = []
+        for _ in range(r.randint(1, 2)):
+            t = licenses.TEMPLATES[r.choice(sorted(licenses.TEMPLATES))][0].split()
+            for _ in range(r.randint(0, max(1, len(t) // 5))):  # words left out, put in, replaced
+                at = r.randrange(len(t))
+                t[at:at + 1] = r.choice([[], [t[at], "new"], ["other"], [t[at]]])
+            parts += [words(r.randint(0, 8), 3 * i), " ".join(t), words(3, 3 * i + 1)]
+        texts.append(" ".join(parts))
+    some = [(i, t, "en", "a", 0) for i, t in enumerate(texts)]
+    out = {x.doc_id: x for x in licenses.scan(spark.createDataFrame(some, DOCS).repartition(4)).collect()}
+    hits = 0
+    for i, t, *_ in some:
+        want = direct_labels(t, score=True)
+        base = set(out[i].base_labels.split(",")) - {""}
+        assert set(out[i].labels.split(",")) - {""} == {*want, *base}
+        assert abs(out[i].score - max(want.values(), default=0.5 if base else 0.0)) < 1e-12
+        hits += bool(want)
+    assert 60 < hits < 160
+
+
+@pytest.mark.parametrize("label", sorted(licenses.TEMPLATES))
+def test_an_inserted_word(label):
+    notice, keys = licenses.TEMPLATES[label]
+    held = [k.split() for k in keys]
+    t = notice.split()
+    for at in range(len(t) + 1):
+        text = t[:at] + ["inserted"] + t[at:]
+        if all(licenses.places([x.encode() for x in text], [x.encode() for x in k]) for k in held):
+            assert label in found_labels([" ".join(text)])[0]
+
+
+def test_one_document_is_a_corpus(spark):
+    out = licenses.scan(spark.createDataFrame([(1, "Released under the MIT License.", "en", "a", 0)], DOCS)).first()
+    assert (out.labels, out.score) == ("mit", 1.0)
+
+
 @pytest.mark.parametrize("label", sorted(licenses.TEMPLATES))
 def test_a_notice_in_a_third_of_the_documents(label):
-    texts = [f"{words(20, i)} {licenses.TEMPLATES[label][0] if i % 3 == 0 else ''} {words(5, 900 + i)}" for i in range(300)]
+    texts = [f"{words(20, i)} {licenses.TEMPLATES[label][0] if i % 3 == 0 else ''} {words(5, 900 + i)}" for i in range(60)]
     got = found_labels(texts)
-    assert got == [direct_labels(t) for t in texts] and sum(label in x for x in got) == 100
+    assert got == [direct_labels(t) for t in texts] and sum(label in x for x in got) == 20
 
 
-@pytest.mark.parametrize("many", [2, 3, 11])
+@pytest.mark.parametrize("many", [2, len(licenses.TEMPLATES)])
 def test_files_with_several_notices(many):
-    files = [" ".join(f"{licenses.TEMPLATES[x][0]} {words(6, n * 11 + k)}" for k, x in enumerate(c)) for n, c in enumerate(itertools.combinations(sorted(licenses.TEMPLATES), many))]
+    files = [" ".join(f"{licenses.TEMPLATES[x][0]} {words(6, n * 22 + k)}" for k, x in enumerate(c)) for n, c in enumerate(itertools.combinations(sorted(licenses.TEMPLATES), many))]
     files.append("redistribution binary forms mozilla lesser gnu documentation obtaining " + words(9) + " released under the mit license")
     got = found_labels([words(40, i) for i in range(2000)] + files)[2000:]
-    assert got == [direct_labels(t) for t in files] and all(len(x) >= many for x in got[:-1]) and got[-1] == {"mit"}
+    assert all(len(x) >= many for x in got[:-1]) and got[-1] == {"mit"}
 
 
 # -- 7: SimHash -----------------------------------------------------------------------
