@@ -265,8 +265,16 @@ def test_written_matrices(docs, tmp_path):
     for line, at, r in zip(ids, positions, back):
         assert at[r.position_resets].max() == 0 and (np.diff(at)[[i for i in range(r.n_ids - 1) if i + 1 not in r.position_resets]] == 1).all()
         assert [int(line[e - 1]) for d, e in zip(r.doc_ids, r.cu_seqlens[1:]) if d == 4] in ([], [0])
-    least = -(-sum(r.n_ids for r in back) // 2048)
-    assert len(back) == least
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_the_input_split_wastes_little(spark, parts):
+    r = random.Random(2)
+    some = [(i, words(r.choice([3, 30, 200, 700]), i), "en", "a", 0) for i in range(250)]
+    out = packing.matrices(spark.createDataFrame(some, DOCS).repartition(parts), WORD).collect()
+    own, plan = [x.n_ids for x in out if x.sequence_id >= 0], [x.n_ids for x in out if x.sequence_id < 0]
+    assert all(n >= packing.FULL * 2048 for n in own) and sum(2 * n <= 2048 for n in plan) <= 1
+    assert len(out) <= 1.02 * sum(own + plan) / 2048 + 1 and sorted(d for x in out for d, p in zip(x.doc_ids, x.pieces) if p == 0) == list(range(250))
 
 
 # -- 3: archives ----------------------------------------------------------------------
@@ -571,13 +579,87 @@ def test_distributed_links_equal_brute_force(spark):
     assert {n: got.get(n, n) for n in u} == want
 
 
-def test_one_of_each(spark):
+def brute_similar(texts, similarity=0.8):
+    """Components by the distance of all pairs of fingerprints."""
+    fps = {i: int.from_bytes(simhash.wide_fingerprint(t), "big") for i, t in texts.items()}
+    limit, ids = int(simhash.WIDE * simhash.apart(similarity)), list(texts)
+    return components(ids, [(a, b) for a in ids for b in ids if a < b and (fps[a] ^ fps[b]).bit_count() <= limit])
+
+
+def edited(text, many, seed):
+    r, w = random.Random(seed), text.split()
+    for k in r.sample(range(len(w)), many):
+        w[k] = f"edit{seed}x{k}"
+    return " ".join(w)
+
+
+def jaccard(a, b):
+    a, b = ({tuple(x[i:i + 5]) for i in range(len(x) - 4)} for x in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_wide_fingerprints_tell_the_similarity():
+    base, off = words(400, 31), []
+    for seed in range(120):
+        other = edited(base, seed % 12, seed)
+        bits = int.from_bytes(simhash.wide_fingerprint(base), "big") ^ int.from_bytes(simhash.wide_fingerprint(other), "big")
+        off.append(bits.bit_count() / simhash.WIDE - simhash.apart(jaccard(base, other)))
+    assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.035
+    long = words(9000, 32)
+    assert len(simhash.wide_fingerprint(long)) == 64 and simhash.wide_fingerprint(None) == simhash.wide_fingerprint(" \n") == bytes(64) != simhash.wide_fingerprint("one")
+
+
+def test_blocks_within_the_threshold_share_an_anchor():
+    r, near = np.random.default_rng(3), simhash._near_golay()
+    x = r.integers(0, 1 << 23, 400)
+    for flips in ([], [4], [22], [0, 22], [7, 8]):
+        y = x.copy()
+        for f in flips:
+            y ^= 1 << f
+        at = lambda z: [set(p.tolist()) for p in (lambda rows, a: np.split(a, np.cumsum(np.bincount(rows, minlength=len(z)))[:-1]))(*simhash._golay_anchors(z, near))]
+        assert all(p & q for p, q in zip(at(x), at(y)))
+
+
+@pytest.mark.parametrize("crowd", [0, 30, 300])
+def test_links_of_a_cell(crowd):
+    r = np.random.default_rng(crowd)
+    fps = r.integers(0, 1 << 63, (150, 8)).astype(np.uint64)
+    for k in range(crowd):
+        y = fps[k % 5].copy()
+        for f in r.integers(0, 512, r.integers(0, 140)):
+            y[f // 64] ^= np.uint64(1) << np.uint64(f % 64)
+        fps = np.concatenate([fps, y[None]])
+    near = np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps[None]).sum(2) <= 77, 1)).tolist()
+    got = simhash._wide_links(fps, 77)
+    assert components(range(len(fps)), got) == components(range(len(fps)), near) and {tuple(sorted(map(int, p))) for p in got} <= set(map(tuple, near))
+
+
+@pytest.mark.parametrize("rows", [simhash.CELL_ROWS, 7])
+def test_similar_texts(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "CELL_ROWS", rows)
+    base = [words(120, 40 + k) for k in range(12)]
+    near = [(400 + i, edited(base[i % 12], 1, i), "en", "a", 0) for i in range(60)]
+    far = [(600 + i, edited(base[i % 12], 40, i), "en", "a", 0) for i in range(24)]
+    some = ROWS + [(300 + k, t, "en", "a", 0) for k, t in enumerate(base)] + near + far
+    out = simhash.similar(clashing(spark.createDataFrame(some, DOCS).repartition(4))).collect()
+    assert len(out) == len(some)
+    want = brute_similar({i: t for i, t, *_ in some if i is not None})
+    got = {r.id: r.component for r in out if r.id is not None}
+    assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
+    assert all(want[i] == want[got[i]] for i in got)  # nothing is linked that isn't similar
+    assert len({want[400 + i] for i in range(60)}) == 12 and all(want[600 + i] == 600 + i for i in range(24)) and got[4] == got[5] == got[6]
+    kept = simhash.one_of_each(clashing(spark.createDataFrame(some, DOCS).repartition(4)))
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({*got.values()})
+
+
+@pytest.mark.parametrize("most", [simhash.BROADCAST_ROWS, -1])
+def test_one_of_each(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
     df = spark.createDataFrame(ROWS, DOCS)
     kept = simhash.one_of_each(clashing(df))
-    fps = {i: brute_fingerprint(t) for i, t, *_ in ROWS if i is not None}
-    want = components(list(fps), [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2])
+    want = brute_similar({i: t for i, t, *_ in ROWS if i is not None})
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({*want.values()})
-    assert kept.count() == simhash.near_duplicates(df).select("root").distinct().count() and simhash.one_of_each(df.limit(0)).count() == 0
+    assert kept.count() == simhash.similar(df).select("root").distinct().count() and simhash.one_of_each(df.limit(0)).count() == 0
 
 
 # -- 8: shards ------------------------------------------------------------------------
@@ -816,7 +898,7 @@ def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
     assert [n for n, _ in p.STAGES] == ["quality rules", "near-duplicates", "personal data", "packing"]
-    some = HOSTED + [(900, words(40, 900) + " write to me@ex.org", "en", "a", 0), (901, "BAD " + "same five words again now " * 20, "en", "a", 0)]
+    some = HOSTED + [(900, words(40, 900) + " write to me@ex.org", "en", "a", 0), (902, words(40, 900) + " write to me@ex.org soon", "en", "a", 0), (901, "BAD " + "same five words again now " * 20, "en", "a", 0)]
     spark.createDataFrame(some, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
     for _, stage in p.STAGES[:-1]:
@@ -825,10 +907,9 @@ def test_pipeline(spark, tmp_path):
         seen.append({r.doc_id: r.text for r in docs.collect()})
     good = {r[0] for r in brute_quality(some) if r[7]}
     assert set(seen[0]) == good and 901 not in good and 900 in good
-    fps = {i: brute_fingerprint(t) for i, t in seen[0].items()}
-    some_ids = [i for i in fps if i is not None]
-    comp = components(some_ids, [(a, b) for a in some_ids for b in some_ids if a < b and (fps[a] ^ fps[b]).bit_count() <= 2])
+    comp = brute_similar({i: t for i, t in seen[0].items() if i is not None})
     assert {i for i in seen[1] if i is not None} == {i for i in comp if comp[i] == i}
+    assert 902 in seen[0] and 902 not in seen[1] and jaccard(some[-2][1], some[-3][1]) > 0.8
     assert seen[2][900].endswith("write to [EMAIL]") and set(seen[2]) == set(seen[1])
     packed = p.run(spark, str(tmp_path)).collect()
     ends = collections.Counter()
