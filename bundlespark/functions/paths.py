@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import ids
-from .values import strip
+from .values import let, strip
 
 #: An absolute URI by its characters; per cent signs need two hexadecimal digits.
 URI = r"^([A-Za-z][A-Za-z0-9+.-]*):(?:[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=-]|%[0-9A-Fa-f]{2})*$"
@@ -42,17 +42,21 @@ def classify(source_path: Column, raw: Column) -> Column:
     kind is external (with its scheme), bundle (with the path from the root), escape or
     malformed. A leading slash resolves from the root, anything else from the file's directory.
     """
-    t = strip(raw)
-    scheme, clean = uri_scheme(t), without_suffix(t)
-    candidate = F.when(clean.startswith("/"), F.regexp_replace(clean, "^/+", "")).otherwise(F.concat(ids.directory(source_path), F.lit("/"), clean))
-    path = collapse(candidate)
-    kind = (F.when((t == "") | t.isNull(), "malformed").when(scheme.isNotNull(), "external").when(clean == "", "malformed")
-            .when(path.isNull(), "escape").when(path == "", "malformed").otherwise("bundle"))
-    return F.struct(kind.alias("kind"), F.when(kind == "external", scheme).alias("scheme"), F.when(kind == "bundle", path).alias("path"))
+    def parts(t, scheme, clean):
+        candidate = F.when(clean.startswith("/"), F.regexp_replace(clean, "^/+", "")).otherwise(F.concat(ids.directory(source_path), F.lit("/"), clean))
+        return F.struct(t.alias("t"), scheme.alias("scheme"), clean.alias("clean"), collapse(candidate).alias("path"))
+
+    def kind(x):
+        return (F.when((x["t"] == "") | x["t"].isNull(), "malformed").when(x["scheme"].isNotNull(), "external").when(x["clean"] == "", "malformed")
+                .when(x["path"].isNull(), "escape").when(x["path"] == "", "malformed").otherwise("bundle"))
+
+    def whole(x):
+        return let(kind(x), lambda k: F.struct(k.alias("kind"), F.when(k == "external", x["scheme"]).alias("scheme"), F.when(k == "bundle", x["path"]).alias("path")))
+
+    return let(strip(raw), lambda t: let(without_suffix(t), lambda c: let(parts(t, uri_scheme(t), c), whole)))
 
 
 def link_target(source_path: Column, url: Column) -> Column:
     """The concept id that a Markdown link names; NULL for external links and whatever isn't a concept's file."""
     web = F.lower(url).rlike("^(https?://|mailto:)|^https?:")
-    found = classify(source_path, url)["path"]
-    return F.when(~web & found.endswith(".md"), ids.from_path(found))
+    return F.when(~web, let(classify(source_path, url)["path"], lambda p: F.when(p.endswith(".md"), ids.from_path(p))))

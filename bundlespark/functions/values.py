@@ -20,33 +20,56 @@ def get(v: Column, *keys: str) -> Column:
     return F.try_variant_get(v, _path(*keys), "variant")
 
 
+def let(x: Column, body) -> Column:
+    """``body`` of ``x``, which is evaluated once however often ``body`` names it."""
+    return F.transform(F.array(x), body)[0]
+
+
+def _kind(v: Column, items: Column) -> Column:
+    # The schema of a list or object is worked out from all that it holds, so those are told apart by casts.
+    scalar = lambda s: F.when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null").otherwise("number")
+    return (F.when(v.isNull(), F.lit(None).cast("string")).when(items.isNotNull(), "array")
+            .when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), "object").otherwise(let(F.schema_of_variant(v), scalar)))
+
+
 def kind(v: Column) -> Column:
     """One of string, number, boolean, null, array, object; NULL for a missing value."""
-    schema = F.schema_of_variant(v)
-    return (F.when(v.isNull(), None).when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean")
-            .when(schema == "VOID", "null").when(schema.startswith("ARRAY"), "array").when(schema.startswith("OBJECT"), "object").otherwise("number"))
+    return let(v, lambda w: _kind(w, items(w)))
+
+
+def read(v: Column) -> Column:
+    """struct<v, k, t, xs>: a value, its kind, its text if it is one and its elements if it is a list, each read once."""
+    plain = lambda w, xs: F.struct(w.alias("v"), _kind(w, xs).alias("k"), xs.alias("xs"))
+    typed = let(v, lambda w: let(F.struct(w.alias("v"), items(w).alias("xs")), lambda p: plain(p["v"], p["xs"])))
+    return let(typed, lambda q: F.struct(q["v"].alias("v"), q["k"].alias("k"), F.when(q["k"] == "string", F.try_variant_get(q["v"], "$", "string")).alias("t"), q["xs"].alias("xs")))
+
+
+def _if_schema(v: Column, wanted: str, as_type: str) -> Column:
+    return let(v, lambda w: F.when(F.schema_of_variant(w) == wanted, F.try_variant_get(w, "$", as_type)))
 
 
 def text(v: Column) -> Column:
     """The string that ``v`` is; NULL for anything else, numbers included."""
-    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return _if_schema(v, "STRING", "string")
 
 
 def boolean(v: Column) -> Column:
-    return F.when(F.schema_of_variant(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+    return _if_schema(v, "BOOLEAN", "boolean")
 
 
 def integer(v: Column) -> Column:
     """The number that ``v`` is if it is whole; NULL for text, fractions, anything over 38 digits."""
-    number = F.try_variant_get(v, "$", "decimal(38,0)")
-    exact = F.try_variant_get(v, "$", "double") == F.try_variant_get(v, "$", "double").cast("decimal(38,0)").cast("double")
-    return F.when((kind(v) == "number") & (F.schema_of_variant(v).isin("BIGINT", "INT", "SMALLINT", "TINYINT") | exact), number)
+    def whole(w):
+        exact = let(F.try_variant_get(w, "$", "double"), lambda d: d == d.cast("decimal(38,0)").cast("double"))
+        is_whole = let(F.schema_of_variant(w), lambda s: F.when(s.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), True).otherwise(exact))
+        return F.when(kind(w) == "number", F.when(is_whole, F.try_variant_get(w, "$", "decimal(38,0)")))
+
+    return let(v, whole)
 
 
 def scalar_text(v: Column) -> Column:
     """What a filter compares: text as it is, numbers and booleans as JSON; NULL for null, lists and objects."""
-    k = kind(v)
-    return F.when(k == "string", F.try_variant_get(v, "$", "string")).when(k.isin("number", "boolean"), F.to_json(v))
+    return let(v, lambda w: let(kind(w), lambda k: F.when(k == "string", F.try_variant_get(w, "$", "string")).when(k.isin("number", "boolean"), F.to_json(w))))
 
 
 def items(v: Column) -> Column:
@@ -56,13 +79,14 @@ def items(v: Column) -> Column:
 
 def one_or_many(v: Column) -> Column:
     """A list's elements, or the one value; empty if missing."""
-    return F.when(v.isNull(), F.expr("cast(array() as array<variant>)")).otherwise(F.coalesce(items(v), F.array(v)))
+    return let(v, lambda w: F.when(w.isNull(), F.expr("cast(array() as array<variant>)")).otherwise(F.coalesce(items(w), F.array(w))))
 
 
 def texts(v: Column) -> Column:
     """The strings of a list, others dropped; a bare string is a list of one."""
-    some = F.filter(F.transform(one_or_many(v), text), lambda x: x.isNotNull())
-    return F.when(kind(v).isin("array", "string"), some).otherwise(F.expr("cast(array() as array<string>)"))
+    some = lambda xs: F.filter(F.transform(xs, text), lambda x: x.isNotNull())
+    none = F.expr("cast(array() as array<string>)")
+    return let(read(v), lambda r: F.when(r["k"] == "array", some(r["xs"])).when(r["k"] == "string", F.array(r["t"])).otherwise(none))
 
 
 def field_values(fm: Column, path: tuple[str, ...]) -> Column:
@@ -89,5 +113,5 @@ def is_blank(x: Column) -> Column:
 
 def canonical(v: Column) -> Column:
     """A string equal for equal scalars of one kind; numbers compare by value."""
-    number = F.try_variant_get(v, "$", "double").cast("string")
-    return F.concat(kind(v), F.lit(":"), F.when(kind(v) == "number", number).otherwise(F.to_json(v)))
+    number = lambda w: F.try_variant_get(w, "$", "double").cast("string")
+    return let(v, lambda w: let(kind(w), lambda k: F.concat(k, F.lit(":"), F.when(k == "number", number(w)).otherwise(F.to_json(w)))))

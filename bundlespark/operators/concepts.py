@@ -23,13 +23,13 @@ def from_rows(rows: DataFrame, concept_id: Column, frontmatter: Column, body: Co
 
 
 def _window(v: Column) -> Column:
-    return F.when(values.kind(v) == "object", F.struct(values.text(values.get(v, "from")).alias("from"), values.text(values.get(v, "to")).alias("to")))
+    return values.let(v, lambda w: F.when(values.kind(w) == "object", F.struct(values.text(values.get(w, "from")).alias("from"), values.text(values.get(w, "to")).alias("to"))))
 
 
 def verified(fm: Column) -> Column:
     """array<struct<by, at>>; a bare mapping is one entry, entries without a textual 'by' don't count."""
-    v = values.get(fm, "verified")
-    every = F.when(values.kind(v).isin("array", "object"), values.one_or_many(v)).otherwise(F.expr("cast(array() as array<variant>)"))
+    none = F.expr("cast(array() as array<variant>)")
+    every = values.let(values.read(values.get(fm, "verified")), lambda r: F.when(r["k"] == "array", r["xs"]).when(r["k"] == "object", F.array(r["v"])).otherwise(none))
     some = F.transform(every, lambda x: F.struct(actors.parse(values.text(values.get(x, "by"))).alias("by"), values.text(values.get(x, "at")).alias("at")))
     return F.filter(some, lambda x: x["by"].isNotNull())
 
@@ -62,7 +62,7 @@ def project(concepts: DataFrame) -> DataFrame:
         "segments": F.split("concept_id", "/"),
         "type": F.coalesce(t("type"), F.lit("")),
         "title": t("title"), "description": t("description"), "resource": t("resource"), "tags": values.texts(values.get(fm, "tags")),
-        "generated": F.when(t("generated", "by").isNotNull(), F.struct(actors.parse(values.text(values.get(generated, "by"))).alias("by"), values.text(values.get(generated, "at")).alias("at"))),
+        "generated": values.let(t("generated", "by"), lambda by: F.when(by.isNotNull(), F.struct(actors.parse(by).alias("by"), values.text(values.get(generated, "at")).alias("at")))),
         "verified": verified(fm),
         "status": F.coalesce(status, F.lit("stable")),
         "stale_after": t("stale_after"),

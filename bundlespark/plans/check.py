@@ -17,7 +17,6 @@ from ..operators.concepts import CORE_KEYS
 from .profile import ANY, LIST, OBJECT, SCALAR, Compiled, Rule
 
 _NONE = "cast(array() as array<struct<code:string,path:string,detail:string>>)"
-_VARIANTS = "cast(array() as array<variant>)"
 
 
 def _none() -> Column:
@@ -37,11 +36,11 @@ def shown(v: Column) -> Column:
     return F.coalesce(F.to_json(v), F.lit(""))
 
 
-def state(rule: Rule, v: Column) -> Column:
-    """missing, absent (there, but blank or empty), present, or wrong (of another shape)."""
-    k = values.kind(v)
-    text = F.coalesce(~values.is_blank(values.text(v)), F.lit(False))
-    full = F.coalesce(F.size(values.items(v)) > 0, F.lit(False))
+def state(rule: Rule, r: Column) -> Column:
+    """missing, absent (there, but blank or empty), present, or wrong (of another shape) for a value as values.read gives it."""
+    v, k = r["v"], r["k"]
+    text = F.coalesce(~values.is_blank(r["t"]), F.lit(False))
+    full = F.coalesce(F.size(r["xs"]) > 0, F.lit(False))
     member = F.coalesce(F.size(F.map_keys(F.when(k == "object", v).cast("map<string,variant>"))) > 0, F.lit(False))
     if rule.cardinality == SCALAR:
         out = F.when(k == "string", F.when(text, "present").otherwise("absent")).when(k.isin("number", "boolean"), "present").otherwise("wrong")
@@ -56,10 +55,10 @@ def state(rule: Rule, v: Column) -> Column:
     return F.when(v.isNull(), "missing").otherwise(out)
 
 
-def in_vocabulary(allowed, v: Column) -> Column:
+def in_vocabulary(allowed, r: Column) -> Column:
     """Whether a text, or every element of a list, is one of ``allowed``."""
-    ok = lambda x: F.coalesce(values.text(x).isin(list(allowed)), F.lit(False))
-    return F.when(values.kind(v) == "array", F.forall(F.coalesce(values.items(v), F.expr(_VARIANTS)), ok)).otherwise(ok(v))
+    ok = lambda t: F.coalesce(t.isin(list(allowed)), F.lit(False))
+    return F.when(r["k"] == "array", F.forall(r["xs"], lambda x: ok(values.text(x)))).otherwise(ok(r["t"]))
 
 
 def _text_format(name: str, value: str | None, t: Column) -> Column:
@@ -80,21 +79,20 @@ def _text_format(name: str, value: str | None, t: Column) -> Column:
     return F.lit(False)
 
 
-def _format_one(form, v: Column) -> Column:
+def _format_one(form, r: Column) -> Column:
     name, value = form
-    k = values.kind(v)
     number = F.lit(False)
     if name in ("integer", "non-negative-integer"):
-        whole = values.integer(v)
-        number = whole.isNotNull() & (F.lit(True) if name == "integer" else whole >= 0)
-    out = F.when(k == "string", _text_format(name, value, values.text(v))).when(k == "number", number).when(k == "boolean", F.lit(name == "boolean")).otherwise(False)
+        number = values.let(values.integer(r["v"]), lambda n: n.isNotNull() & (F.lit(True) if name == "integer" else n >= 0))
+    out = F.when(r["k"] == "string", _text_format(name, value, r["t"])).when(r["k"] == "number", number).when(r["k"] == "boolean", F.lit(name == "boolean")).otherwise(False)
     return F.coalesce(out, F.lit(False))
 
 
-def has_format(form, v: Column) -> Column:
+def has_format(form, r: Column) -> Column:
     """Whether a value, or every element of a list, has the format; lists in lists are looked into once."""
-    inner = lambda x: F.when(values.kind(x) == "array", F.forall(F.coalesce(values.items(x), F.expr(_VARIANTS)), lambda y: _format_one(form, y))).otherwise(_format_one(form, x))
-    return F.when(values.kind(v) == "array", F.forall(F.coalesce(values.items(v), F.expr(_VARIANTS)), inner)).otherwise(_format_one(form, v))
+    one = lambda x: values.let(values.read(x), lambda q: _format_one(form, q))
+    inner = lambda q: F.when(q["k"] == "array", F.forall(q["xs"], one)).otherwise(_format_one(form, q))
+    return F.when(r["k"] == "array", F.forall(r["xs"], lambda x: values.let(values.read(x), inner))).otherwise(_format_one(form, r))
 
 
 def _presence(rule: Rule, strict: bool, sibling, path, nested: bool) -> Column:
@@ -109,42 +107,60 @@ def _presence(rule: Rule, strict: bool, sibling, path, nested: bool) -> Column:
     return _none() if out is None else out
 
 
-def _value_checks(rule: Rule, v: Column, path) -> list[Column]:
+def _value_checks(rule: Rule, r: Column, path) -> list[Column]:
     out = []
     if rule.allowed:
-        out.append(_if(~in_vocabulary(rule.allowed, v), "ValueNotInVocabulary", path, shown(v)))
+        out.append(_if(~in_vocabulary(rule.allowed, r), "ValueNotInVocabulary", path, shown(r["v"])))
     if rule.format:
-        out.append(_if(~has_format(rule.format, v), "ValueFormatMismatch", path, shown(v)))
+        out.append(_if(~has_format(rule.format, r), "ValueFormatMismatch", path, shown(r["v"])))
     return out
 
 
+def _repeated(rule: Rule, xs: Column) -> Column:
+    """Deviations of values that a list's records hold more than once under the rule's key: sorted together, not compared one by one."""
+    member = next(r for r in rule.elements if r.field == rule.unique_by)
+
+    def keyed(x, i):
+        key = lambda r: F.when((values.kind(x) == "object") & (state(member, r) == "present"), values.canonical(r["v"]))
+        return values.let(values.read(values.get(x, member.field)), lambda r: F.struct(key(r).alias("k"), i.alias("i"), shown(r["v"]).alias("s")))
+
+    def run(ys):  # ys is sorted by key and place: a value's first occurrence is one whose predecessor has another key
+        first = lambda y, j: (j == 0) | (ys[F.greatest(j - 1, F.lit(0))]["k"] != y["k"])
+        more = lambda y, j: F.coalesce(F.get(ys, j + 1)["k"] == y["k"], F.lit(False))
+        starts = F.filter(F.transform(ys, lambda y, j: F.when(first(y, j) & more(y, j), F.struct(y["i"].alias("i"), j.alias("j"), y["k"].alias("k"), y["s"].alias("s")))), lambda y: y.isNotNull())
+        where = lambda y: F.array_join(F.transform(F.filter(F.slice(ys, y["j"] + 1, F.size(ys)), lambda z: z["k"] == y["k"]), lambda z: z["i"].cast("string")), ", ")
+        return F.transform(F.array_sort(starts), lambda y: _one("DuplicateNestedFieldValue", f"{rule.field}.{rule.unique_by}", F.concat(y["s"], F.lit(" at ["), where(y), F.lit("]"))))
+
+    return values.let(F.array_sort(F.filter(F.transform(xs, keyed), lambda y: y["k"].isNotNull())), run)
+
+
 def _rule(rule: Rule, v: Column, strict: bool, sibling, path, nested: bool = False) -> Column:
-    there = state(rule, v)
-    given = _value_checks(rule, v, path)
-    present = list(given)
-    if rule.elements is not None:
-        def element(x, i):
-            at = F.concat(F.lit(f"{rule.field}["), i.cast("string"), F.lit("]"))
-            subs = [_rule(r, values.get(x, r.field), strict, lambda k: values.get(x, k), F.concat(at, F.lit("." + r.field)), True) for r in rule.elements]  # noqa: B023
-            ok = F.concat(*subs) if subs else _none()
-            return F.when(values.kind(x) == "object", ok).otherwise(F.array(_one("NestedElementNotRecord", at, shown(x))))
-
-        present.append(F.when(values.kind(v) == "array", F.flatten(F.transform(F.coalesce(values.items(v), F.expr(_VARIANTS)), element))).otherwise(_none()))
-        if rule.unique_by is not None:
-            member = next(r for r in rule.elements if r.field == rule.unique_by)
-            keyed = F.transform(F.coalesce(values.items(v), F.expr(_VARIANTS)), lambda x, i: F.struct(F.when((values.kind(x) == "object") & (state(member, values.get(x, member.field)) == "present"), values.canonical(values.get(x, member.field))).alias("k"), i.alias("i"), shown(values.get(x, member.field)).alias("s")))
-            keyed = F.filter(keyed, lambda x: x["k"].isNotNull())
-            again = F.filter(keyed, lambda x: (F.size(F.filter(keyed, lambda y: y["k"] == x["k"])) > 1) & (F.size(F.filter(keyed, lambda y: (y["k"] == x["k"]) & (y["i"] < x["i"]))) == 0))
-            where = lambda x: F.array_join(F.transform(F.filter(keyed, lambda y: y["k"] == x["k"]), lambda y: y["i"].cast("string")), ", ")
-            found = F.transform(again, lambda x: _one("DuplicateNestedFieldValue", f"{rule.field}.{rule.unique_by}", F.concat(x["s"], F.lit(" at ["), where(x), F.lit("]"))))
-            present.append(F.when(values.kind(v) == "array", found).otherwise(_none()))
-    if rule.members is not None:
-        subs = [_rule(r, values.get(v, r.field), strict, lambda k: values.get(v, k), f"{rule.field}.{r.field}", True) for r in rule.members]
-        present.append(F.when(values.kind(v) == "object", F.concat(*subs) if subs else _none()).otherwise(_none()))
-    together = lambda parts: F.concat(*parts) if parts else _none()
-    missing = _presence(rule, strict, sibling, path, nested)
-    return (F.when(there == "missing", missing).when(there == "absent", together([missing, *given]))
-            .when(there == "present", together(present)).otherwise(F.array(_one("CardinalityMismatch", path, F.concat(F.lit(f"{rule.cardinality}: "), shown(v))))))
+    """The deviations of one rule; ``v`` is read once, whatever is asked of it."""
+    def whole(r):
+        return values.let(state(rule, r), lambda there: outcome(r, there))
+
+    def outcome(r, there):
+        given = _value_checks(rule, r, path)
+        present = list(given)
+        if rule.elements is not None:
+            def element(x, i):
+                at = F.concat(F.lit(f"{rule.field}["), i.cast("string"), F.lit("]"))
+                subs = [_rule(e, values.get(x, e.field), strict, lambda k: values.get(x, k), F.concat(at, F.lit("." + e.field)), True) for e in rule.elements]  # noqa: B023
+                ok = F.concat(*subs) if subs else _none()
+                return F.when(values.kind(x) == "object", ok).otherwise(F.array(_one("NestedElementNotRecord", at, shown(x))))
+
+            present.append(F.when(r["k"] == "array", F.flatten(F.transform(r["xs"], element))).otherwise(_none()))
+            if rule.unique_by is not None:
+                present.append(F.when(r["k"] == "array", _repeated(rule, r["xs"])).otherwise(_none()))
+        if rule.members is not None:
+            subs = [_rule(m, values.get(r["v"], m.field), strict, lambda k: values.get(r["v"], k), f"{rule.field}.{m.field}", True) for m in rule.members]
+            present.append(F.when(r["k"] == "object", F.concat(*subs) if subs else _none()).otherwise(_none()))
+        together = lambda parts: F.concat(*parts) if parts else _none()
+        missing = _presence(rule, strict, sibling, path, nested)
+        return (F.when(there == "missing", missing).when(there == "absent", together([missing, *given]))
+                .when(there == "present", together(present)).otherwise(F.array(_one("CardinalityMismatch", path, F.concat(F.lit(f"{rule.cardinality}: "), shown(r["v"]))))))
+
+    return values.let(values.read(v), whole)
 
 
 def path_regex(pattern: str) -> str:
@@ -167,8 +183,8 @@ def _type_checks(c: Compiled, t) -> Column:
     if t.path_pattern is not None:
         out.append(_if(~F.col("concept_id").rlike(path_regex(t.path_pattern)), "PathPatternMismatch", "", t.path_pattern))
     if t.resource_scheme is not None:
-        raw = values.text(values.get(fm, "resource"))
-        out.append(F.when(raw.isNull(), F.array(_one("MissingResource", "resource", t.resource_scheme))).otherwise(_if(~raw.startswith(t.resource_scheme + "://"), "ResourceSchemeMismatch", "resource", raw)))
+        said = lambda raw: F.when(raw.isNull(), F.array(_one("MissingResource", "resource", t.resource_scheme))).otherwise(_if(~raw.startswith(t.resource_scheme + "://"), "ResourceSchemeMismatch", "resource", raw))
+        out.append(values.let(values.text(values.get(fm, "resource")), said))
     if t.require_schema:
         have = F.col("schema_columns")
         want = F.array(*[F.lit(x.strip().lower()) for x in t.schema_columns]) if t.schema_columns else F.expr("cast(array() as array<string>)")
@@ -193,72 +209,90 @@ def _targets(c: Compiled, which: str):
                     yield name, r, m
 
 
-def _values_of(concepts: DataFrame, c: Compiled, name, r: Rule, m: Rule | None) -> DataFrame:
-    """(concept_id, source_path, path, v) of the single values that a rule looks at, lists opened."""
+def _values_of(c: Compiled, name, r: Rule, m: Rule | None, number: int) -> Column:
+    """array<struct<rule, path, v>> of the single values that a rule looks at, lists opened; ``number`` tells the rule."""
     own = F.col("type") == name if name is not None else ~F.col("type").isin(list(c.by_type)) if c.by_type else F.lit(True)
+    none = F.expr("cast(array() as array<struct<rule:int,path:string,v:variant>>)")
+    value = lambda at, v: F.struct(F.lit(number).alias("rule"), at.alias("path"), v.alias("v"))
+    open_ = lambda at, q: F.when(q["k"] == "array", F.transform(q["xs"], lambda x, i: value(F.concat(at, F.lit("["), i.cast("string"), F.lit("]")), x))).otherwise(F.array(value(at, q["v"])))
+    given = lambda rule, at, v: values.let(values.read(v), lambda q: F.when(state(rule, q).isin("absent", "present"), open_(at, q)).otherwise(none))
     top = values.get(F.col("fm"), r.field)
-    open_ = lambda at, v: F.when(values.kind(v) == "array", F.transform(F.coalesce(values.items(v), F.expr(_VARIANTS)), lambda x, i: F.struct(F.concat(at, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.alias("v")))).otherwise(F.array(F.struct(at.alias("path"), v.alias("v"))))
-    ok = lambda rule, v: state(rule, v).isin("absent", "present")
-    none = F.expr("cast(array() as array<struct<path:string,v:variant>>)")
     if m is None:
-        got = F.when(ok(r, top), open_(F.lit(r.field), top)).otherwise(none)
+        got = given(r, F.lit(r.field), top)
     else:
-        def inner(x, at):
-            v = values.get(x, m.field)
-            return F.when((values.kind(x) == "object") & ok(m, v), open_(F.concat(at, F.lit("." + m.field)), v)).otherwise(none)
+        inner = lambda x, at: F.when(values.kind(x) == "object", given(m, F.concat(at, F.lit("." + m.field)), values.get(x, m.field))).otherwise(none)
+
+        def whole(q):
+            lists = F.flatten(F.transform(q["xs"], lambda x, i: inner(x, F.concat(F.lit(r.field + "["), i.cast("string"), F.lit("]"))))) if r.elements is not None else none
+            return F.when(state(r, q) == "present", F.when(q["k"] == "array", lists).otherwise(inner(q["v"], F.lit(r.field)) if r.members is not None else none)).otherwise(none)
+
+        got = values.let(values.read(top), whole)
+    return F.when(own, got).otherwise(none)
+
+
+def _by_rule(given: list) -> Column:
+    """A column for each rule's number."""
+    out = F.when(F.lit(False), given[0])
+    for i, x in enumerate(given):
+        out = out.when(F.col("rule") == i, x)
+    return out
+
 
-        lists = F.flatten(F.transform(F.coalesce(values.items(top), F.expr(_VARIANTS)), lambda x, i: inner(x, F.concat(F.lit(r.field + "["), i.cast("string"), F.lit("]"))))) if r.elements is not None else none
-        got = F.when(state(r, top) == "present", F.when(values.kind(top) == "array", lists).otherwise(inner(top, F.lit(r.field)) if r.members is not None else none)).otherwise(none)
-    return concepts.where(own).select("concept_id", "source_path", F.explode(got).alias("x")).select("concept_id", "source_path", "x.path", "x.v")
+def _opened(concepts: DataFrame, c: Compiled, which: str, *more: str):
+    """(the rules' own settings, (concept_id, source_path, rule, path, v, raw, ...) of all values that they look at): one pass for all rules."""
+    found = list(_targets(c, which))
+    if not found:
+        return [], None
+    every = F.concat(*[_values_of(c, name, r, m, i) for i, (name, r, m) in enumerate(found)])
+    each = concepts.select("concept_id", "source_path", *more, F.explode(every).alias("x")).select("concept_id", "source_path", *more, "x.rule", "x.path", "x.v")
+    return [getattr(m or r, which) for _, r, m in found], each.withColumn("raw", values.text(F.col("v")))
 
 
 def references(concepts: DataFrame, c: Compiled) -> DataFrame:
     """Deviations of handle references: owners are concepts whose type declares the handle's prefix."""
-    out = None
-    key = c.profile.id_field
-    for name, r, m in _targets(c, "reference"):
-        ref = (m or r).reference
-        each = _values_of(concepts, c, name, r, m).withColumn("raw", values.text(F.col("v"))).withColumn("h", ids.handle(F.col("raw")))
-        each = each.withColumn("handle", F.when(F.col("h.prefix") == ref.prefix, F.col("raw"))).withColumn("scheme", paths.uri_scheme(F.col("raw")))
-        if key:
-            owned = F.lit(None).cast("string")
-            for t in c.profile.types:
-                if t.id_prefix:
-                    owned = F.when(F.col("type") == t.type, F.lit(t.id_prefix)).otherwise(owned)
-            raw = values.text(values.get(F.col("fm"), key))
-            owners = concepts.where(ids.handle(raw)["prefix"] == owned).groupBy(raw.alias("handle")).agg(F.collect_set("concept_id").alias("owners"))
-            each = each.join(owners, "handle", "left")
-        else:
-            each = each.withColumn("owners", F.lit(None).cast("array<string>"))
-        self_ = F.array_contains("owners", F.col("concept_id")) & (not ref.allow_self)
+    key, owned = c.profile.id_field, F.lit(None).cast("string")
+    for t in c.profile.types:
+        if t.id_prefix:
+            owned = F.when(F.col("type") == t.type, F.lit(t.id_prefix)).otherwise(owned)
+    raw = values.text(values.get(F.col("fm"), key)) if key else F.lit(None).cast("string")
+    own = values.let(raw, lambda t: F.when(ids.handle(t)["prefix"] == owned, t))
+    some = concepts.withColumn("own_handle", own)
+    refs, each = _opened(some, c, "reference", "own_handle")
+    if each is None:
+        return None
+    prefix = _by_rule([F.lit(r.prefix) for r in refs])
+    each = each.withColumn("h", ids.handle(F.col("raw"))).withColumn("handle", F.when(F.col("h.prefix") == prefix, F.col("raw"))).withColumn("scheme", paths.uri_scheme(F.col("raw")))
+    owners = some.where("own_handle is not null").groupBy(F.col("own_handle").alias("owner")).agg(F.count(F.lit(1)).alias("owners"))
+    each = each.join(owners, F.col("handle") == F.col("owner"), "left")
+
+    def judged(ref):
         external = F.when(F.col("scheme").isNull(), "MalformedDocumentReference").when(~F.col("scheme").isin(list(ref.schemes)), "ExternalReferenceSchemeNotAllowed")
         if ref.pattern is not None:
             external = external.when(~F.col("raw").rlike(f"^(?:{ref.pattern})$"), "ExternalReferencePatternMismatch")
         local = (F.when(F.lit(not ref.allow_local), "LocalDocumentReferenceNotAllowed").when(F.col("h.prefix") != ref.prefix, "ReferenceHandlePrefixMismatch")
-                 .when(F.col("owners").isNull(), "DanglingHandleReference").when(self_, "SelfDocumentReference"))
-        code = F.when(F.col("raw").isNull(), "MalformedDocumentReference").when(F.col("h").isNotNull(), local).otherwise(external)
-        rows = each.select("concept_id", code.alias("code"), "path", shown(F.col("v")).alias("detail")).where("code is not null")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+                 .when(F.col("owners").isNull(), "DanglingHandleReference").when((F.col("own_handle") == F.col("handle")) & (not ref.allow_self), "SelfDocumentReference"))
+        return F.when(F.col("raw").isNull(), "MalformedDocumentReference").when(F.col("h").isNotNull(), local).otherwise(external)
+
+    return each.select("concept_id", _by_rule([judged(r) for r in refs]).alias("code"), "path", shown(F.col("v")).alias("detail")).where("code is not null")
 
 
 def path_references(concepts: DataFrame, c: Compiled, inventory: DataFrame | None) -> DataFrame:
     """Deviations of path values; without an inventory only targets that end in .md can be known to be missing."""
+    rules, each = _opened(concepts, c, "path")
+    if each is None:
+        return None
     known = (concepts.select(F.col("source_path").alias("p")) if inventory is None else inventory.select(F.array_join(ids.segments(F.col("path")), "/").alias("p"))).distinct()
-    out = None
-    for name, r, m in _targets(c, "path"):
-        rule = (m or r).path
-        each = _values_of(concepts, c, name, r, m).withColumn("raw", values.text(F.col("v"))).withColumn("at", paths.classify(F.col("source_path"), F.col("raw")))
-        each = each.withColumn("target", F.col("at.path")).join(known, F.col("target") == F.col("p"), "left")
-        md = F.col("target").endswith(".md")
-        gone = F.col("p").isNull() & (md if inventory is None else F.lit(True))
+    each = each.withColumn("at", paths.classify(F.col("source_path"), F.col("raw"))).withColumn("target", F.col("at.path")).join(known, F.col("target") == F.col("p"), "left")
+    md = F.col("target").endswith(".md")
+    gone = F.col("p").isNull() & (md if inventory is None else F.lit(True))
+
+    def judged(rule):
         inside = (F.when(md & ids.from_path(F.col("target")).isNull(), "MalformedPathReference")
                   .when((F.col("target") == F.col("source_path")) & (not rule.allow_self), "SelfDocumentReference").when(gone, "DanglingPathReference"))
-        code = (F.when(F.col("raw").isNull() | (F.col("at.kind") == "malformed"), "MalformedPathReference").when(F.col("at.kind") == "escape", "PathEscapesBundle")
+        return (F.when(F.col("raw").isNull() | (F.col("at.kind") == "malformed"), "MalformedPathReference").when(F.col("at.kind") == "escape", "PathEscapesBundle")
                 .when(F.col("at.kind") == "external", F.when(~F.col("at.scheme").isin(list(rule.schemes)), "ExternalReferenceSchemeNotAllowed")).otherwise(inside))
-        rows = each.select("concept_id", code.alias("code"), "path", shown(F.col("v")).alias("detail")).where("code is not null")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+
+    return each.select("concept_id", _by_rule([judged(r) for r in rules]).alias("code"), "path", shown(F.col("v")).alias("detail")).where("code is not null")
 
 
 def check(concepts: DataFrame, c: Compiled, *, strict: bool = False, inventory: DataFrame | None = None) -> DataFrame:
