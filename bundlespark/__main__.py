@@ -32,14 +32,29 @@ def _parser() -> argparse.ArgumentParser:
             s.add_argument("--declare-version")
         if name == "log":
             s.add_argument("--check-stale", action="store_true")
+            s.add_argument("--since", help="a git revision: concepts changed since then whose log was not")
+            s.add_argument("--add", metavar="MESSAGE", help="write an entry to the log beside --concept, or to the root's")
+            s.add_argument("--concept")
+            s.add_argument("--kind", default="Update")
+            s.add_argument("--date", default=datetime.date.today().isoformat())
         if name == "show":
-            s.add_argument("concept")
+            s.add_argument("concept", nargs="?", help="an id or handle; without it, the menu of concepts")
             s.add_argument("--computation", action="store_true")
+            s.add_argument("--sort", choices=("modified", "id"), default="modified")
         if name == "id":
             s.add_argument("prefix", nargs="?", help="the next free handle of this prefix; all handles without it")
             s.add_argument("--key", default="docId")
     for name in ("bundles", "profiles"):
-        sub.add_parser(name).add_argument("top", nargs="*", default=None)
+        s = sub.add_parser(name)
+        s.add_argument("top", nargs="*", default=None)
+        if name == "bundles":
+            s.add_argument("--prefixes", action="store_true", help="also the prefixes of the handles that each bundle uses")
+    s = sub.add_parser("profile")
+    s.add_argument("question", choices=("list", "show", "sources"))
+    s.add_argument("name", nargs="?")
+    s.add_argument("--registry", action="append", default=[])
+    s.add_argument("--top", help="also the descriptors below this folder")
+    s.add_argument("--wide", action="store_true")
     s = sub.add_parser("document")
     s.add_argument("profile")
     s.add_argument("--out")
@@ -54,8 +69,26 @@ def main(argv=None) -> int:
     if a.command == "bundles":
         from .sources import bundle
 
-        print("\n".join(sorted({r for t in a.top for r in bundle.discover(t)}) if a.top else bundle.available(os.environ.get("BUNDLE_ROOTS"))))
+        roots = sorted({r for t in a.top for r in bundle.discover(t)}) if a.top else bundle.available(os.environ.get("BUNDLE_ROOTS"))
+        for r in roots:
+            print("\t".join([r, *([", ".join(_prefixes(r))] if a.prefixes else [])]))
         return 0
+    if a.command == "profile":
+        refs = registry.sources(a.registry, os.environ, local=registry.discover(a.top) if a.top else ())
+        entries, failures = registry.survey(refs)
+        for f in failures:
+            print(f"{f.source}: {f.category}: {f.message}", file=sys.stderr)
+        if a.question == "sources":
+            print("\n".join(refs))
+        elif a.question == "list":
+            print("\n".join(registry.table(entries, a.wide)))
+        else:
+            found = [e for e in entries if a.name in (e.name, e.profile.name)]
+            if len(found) != 1:
+                print(f"{len(found) or 'no'} profile{'s' * (len(found) != 1)} named {a.name}", file=sys.stderr)
+                return 1
+            print("\n".join(registry.detail(found[0])))
+        return int(bool(failures))
     if a.command == "profiles":
         entries, failures = registry.survey([f for t in a.top or ["."] for f in registry.discover(t)])
         print("\n".join(f"{e.source}\t{e.name}\t{e.profile.name}" for e in entries))
@@ -83,7 +116,9 @@ def main(argv=None) -> int:
             return 1
     from pyspark.sql import SparkSession
 
-    from .operators import computations, graph, handles, index, logs, provenance, show, trust, validate
+    from pyspark.sql import functions as F
+
+    from .operators import computations, concepts, graph, handles, index, logs, provenance, show, trust, validate
     from .sources import bundle
 
     spark = SparkSession.builder.appName("bundlespark").config("spark.ui.showConsoleProgress", "false").getOrCreate()
@@ -102,15 +137,31 @@ def main(argv=None) -> int:
     elif a.command == "computations":
         put(computations.report(c))
     elif a.command == "graph":
-        put(graph.as_json(c))
+        print(graph.document(c)) if a.json else put(graph.as_json(c))
     elif a.command == "concepts":
         put(filters.where(c, wanted).selectExpr("to_json(fm) as json") if a.json else filters.listing(c, wanted, a.show))
     elif a.command == "index":
-        text = index.render(c, bundle.inventory(spark, root), a.declare_version or bundle.declared_version(root))
+        text = index.render(c, bundle.inventory(spark, root), a.declare_version or bundle.declared_version(root), bundle.directories(spark, root))
         bundle.write_indexes(text, root) if a.write else put(text)
     elif a.command == "log":
         found = bundle.read_logs(spark, root)
-        put(logs.stale(c, found) if a.check_stale else logs.days(found))
+        if a.add is not None:
+            at = logs.path_beside(a.concept)
+            if a.concept and concepts.find(c, a.concept).isEmpty():
+                print(f"no concept is {a.concept!r}", file=sys.stderr)
+            bundle.write_texts(logs.serialize(logs.append(found, at, a.date, a.add, a.kind), bundle.log_titles(spark, root)).where(F.col("log_path") == at).select(F.col("log_path").alias("source_path"), "text"), root)
+            print(f"wrote {at} for {a.date}")
+        elif a.since:
+            try:
+                changed = bundle.changed_since(spark, root, a.since)
+            except bundle.BundleError as e:
+                print(f"not compared with {a.since}: {e}", file=sys.stderr)
+                return 0
+            put(logs.drift(c, found, changed))
+        else:
+            put(logs.stale(c, found) if a.check_stale else logs.days(found))
+    elif a.command == "show" and not a.concept:
+        put(show.menu(c, a.sort))
     elif a.command == "show":
         try:
             print("\n".join(show.computation(c, a.concept, bundle.inventory(spark, root)))) if a.computation else put(show.detail(c, a.concept, today))
@@ -133,10 +184,27 @@ def main(argv=None) -> int:
         unmet = check.version_unmet(rules, version) if rules else None
         if unmet:
             print(f"the profile requires version {unmet[0]}, the bundle declares {unmet[1]}")
-        return int(validate.failed(found, log_problems, deviations, profile_enforce=a.profile_enforce, log_enforce=a.log_enforce) or bool(unmet and a.profile_enforce))
+        if validate.failed(found, log_problems, deviations, profile_enforce=a.profile_enforce, log_enforce=a.log_enforce) or (unmet and a.profile_enforce):
+            return 1
+        print(f"OK: {c.count()} concepts" + (f", version {version}" if version else ""))
+        if deviations is not None and (n := deviations.count()):
+            print(f"profile: {n} advisory deviations (--profile-enforce makes them failures)")
+        if n := logs.stale(c, bundle.read_logs(spark, root)).count():
+            print(f"log: {n} concepts newer than their log (--log-enforce makes days out of order failures)")
     return 0
 
 
+def _prefixes(root: str) -> list[str]:
+    """The prefixes of handles that the bundle at ``root`` uses; none if it can't be read."""
+    from pyspark.sql import SparkSession
+
+    from .operators import handles
+    from .sources import bundle
+
+    spark = SparkSession.builder.appName("bundlespark").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    return [r[0] for r in handles.observed_prefixes(bundle.read(spark, root, mode="PERMISSIVE")).collect()]
+
+
 def check_filters(rules, types, wanted) -> list[str]:
     """What is wrong with filters that cannot match under a profile, a line each."""
     from .plans import profile

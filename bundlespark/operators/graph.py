@@ -27,16 +27,18 @@ def by_segments(*names: str) -> list[Column]:
     return [F.split(n, "/") for n in names]
 
 
-def edges(concepts: DataFrame) -> DataFrame:
+def edges(concepts: DataFrame, ordered: bool = True) -> DataFrame:
     """(source, target) of links between concepts, each once; self links included."""
     known = concepts.select(F.col("concept_id").alias("target"))
-    return links_of(concepts).select("source", "target").join(known, "target", "left_semi").select("source", "target").distinct().orderBy(*by_segments("source", "target"))
+    found = links_of(concepts).select("source", "target").join(known, "target", "left_semi").select("source", "target").distinct()
+    return found.orderBy(*by_segments("source", "target")) if ordered else found
 
 
-def dangling(concepts: DataFrame) -> DataFrame:
+def dangling(concepts: DataFrame, ordered: bool = True) -> DataFrame:
     """(source, link_pos, target) of links to no concept, every occurrence."""
     known = concepts.select(F.col("concept_id").alias("target"))
-    return links_of(concepts).join(known, "target", "left_anti").select("source", "link_pos", "target").orderBy("source", "link_pos")
+    found = links_of(concepts).join(known, "target", "left_anti").select("source", "link_pos", "target")
+    return found.orderBy("source", "link_pos") if ordered else found
 
 
 def duplicate_ids(concepts: DataFrame) -> DataFrame:
@@ -46,7 +48,7 @@ def duplicate_ids(concepts: DataFrame) -> DataFrame:
 
 def degrees(concepts: DataFrame) -> DataFrame:
     """(concept_id, out_degree, in_degree) over known edges."""
-    e = edges(concepts)
+    e = edges(concepts, ordered=False)
     out = e.groupBy(F.col("source").alias("concept_id")).agg(F.count(F.lit(1)).alias("out_degree"))
     into = e.groupBy(F.col("target").alias("concept_id")).agg(F.count(F.lit(1)).alias("in_degree"))
     every = concepts.select("concept_id").distinct()
@@ -54,6 +56,14 @@ def degrees(concepts: DataFrame) -> DataFrame:
     return every.join(out, "concept_id", "left").join(into, "concept_id", "left").select("concept_id", zero("out_degree"), zero("in_degree"))
 
 
+def document(concepts: DataFrame) -> str:
+    """The graph as one JSON object of nodes and edges, in report order: for a bundle whose graph fits a document."""
+    parts: dict[str, list[str]] = {"nodes": [], "edges": []}
+    for r in as_json(concepts).toLocalIterator():
+        parts[r["part"]].append(r["json"])
+    return "{" + ",".join(f'"{k}":[{",".join(v)}]' for k, v in parts.items()) + "}"
+
+
 def as_json(concepts: DataFrame) -> DataFrame:
     """(part, pos, json): nodes, then edges, each object on a row of its own, in report order."""
     n = nodes(concepts).select(F.lit("nodes").alias("part"), F.split("id", "/").alias("k"), F.to_json(F.struct("id", "label", "type", "description", "resource", "tags"), {"ignoreNullFields": "false"}).alias("json"))

@@ -25,16 +25,20 @@ def _parents(paths: DataFrame) -> DataFrame:
     return paths.select(F.explode(steps).alias("x")).select("x.dir", "x.child").distinct()
 
 
-def render(projected: DataFrame, inventory: DataFrame | None = None, version: str | None = None) -> DataFrame:
+def render(projected: DataFrame, inventory: DataFrame | None = None, version: str | None = None, directories: DataFrame | None = None) -> DataFrame:
     """(dir, text): the index of every directory; the root's carries ``version`` as frontmatter if given.
 
     ``inventory`` has a column path with all files of the bundle; those that are neither
-    concepts nor reserved are listed as files.
+    concepts nor reserved are listed as files. A directory has an index whatever it holds;
+    ``directories`` has a column dir with those that exist, for such as hold no file.
     """
     parts = bullets(projected).groupBy("dir", "type").agg(F.sort_array(F.collect_list(F.struct("source_path", "bullet"))).alias("b"))
     parts = parts.select("dir", F.lit(3).alias("rank"), "type", F.col("b.bullet").alias("b"))
     files = projected.select(F.col("source_path").alias("path")) if inventory is None else inventory.select("path")
-    subs = _parents(files).groupBy("dir").agg(F.sort_array(F.collect_set("child")).alias("c"))
+    steps = _parents(files)
+    if directories is not None:
+        steps = steps.unionByName(_parents(directories.select(F.concat("dir", F.lit("/")).alias("path")))).distinct()
+    subs = steps.groupBy("dir").agg(F.sort_array(F.collect_set("child")).alias("c"))
     subs = subs.select("dir", F.lit(1).alias("rank"), F.lit("Subdirectories").alias("type"), F.transform("c", lambda c: F.concat(F.lit("- ["), c, F.lit("/]("), c, F.lit("/index.md)"))).alias("b"))
     every = parts.unionByName(subs)
     if inventory is not None:
@@ -43,6 +47,8 @@ def render(projected: DataFrame, inventory: DataFrame | None = None, version: st
         every = every.unionByName(other.select("dir", F.lit(2).alias("rank"), F.lit("Files").alias("type"), F.transform("f", lambda f: F.concat(F.lit("- ["), f, F.lit("]("), f, F.lit(")"))).alias("b")))
     section = F.concat(F.lit("# "), F.col("type"), F.lit("\n\n"), F.array_join("b", "\n"))
     text = every.groupBy("dir").agg(F.sort_array(F.collect_list(F.struct("rank", "type", section.alias("s")))).alias("x")).select("dir", F.concat(F.array_join("x.s", "\n\n"), F.lit("\n\n")).alias("text"))
+    here = steps.select(F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), F.col("child")).alias("dir")).unionByName(projected.select(F.lit("").alias("dir")).limit(1)).distinct()
+    text = here.join(text, "dir", "full").select("dir", F.coalesce("text", F.lit("\n")).alias("text"))
     if version is None:
         return text
     quoted = version.replace("\\", "\\\\").replace('"', '\\"')

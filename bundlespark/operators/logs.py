@@ -1,7 +1,8 @@
 """Change logs: days and entries, their order, and which log covers a concept.
 
 A log is rows (log_path, day_pos, date, entry_pos, kind, text); a day without entries
-has one row whose entry_pos is NULL. See sources.markdown for reading them.
+has one row whose entry_pos is NULL, a log without days one whose day_pos is NULL: it
+covers its concepts all the same. See sources.markdown for reading them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from ..functions import ids, values
 
 def days(logs: DataFrame) -> DataFrame:
     """(log_path, day_pos, date, entries)."""
-    return logs.groupBy("log_path", "day_pos", "date").agg(F.count("entry_pos").alias("entries")).orderBy("log_path", "day_pos")
+    return logs.where("day_pos is not null").groupBy("log_path", "day_pos", "date").agg(F.count("entry_pos").alias("entries")).orderBy("log_path", "day_pos")
 
 
 def check(logs: DataFrame) -> DataFrame:
@@ -73,11 +74,16 @@ def drift(concepts: DataFrame, logs: DataFrame, changed: DataFrame) -> DataFrame
     return nearest(touched, logs).join(paths, F.col("log_path") == F.col("p"), "left_anti").orderBy("concept_id")
 
 
+def path_beside(concept_id: str | None) -> str:
+    """The log in the directory of a concept; the root's without one."""
+    return "/".join([*(concept_id or "").split("/")[:-1], "log.md"])
+
+
 def append(logs: DataFrame, log_path: str, date: str, text: str, kind: str | None = "Update") -> DataFrame:
     """``logs`` with an entry first among those of its day; a new day goes before the first older one."""
     spark = logs.sparkSession
     own, rest = logs.where(F.col("log_path") == log_path), logs.where(F.col("log_path") != log_path)
-    rows = [r.asDict() for r in own.orderBy("day_pos", "entry_pos").collect()]  # one log file
+    rows = [r.asDict() for r in own.where("day_pos is not null").orderBy("day_pos", "entry_pos").collect()]  # one log file
     groups: list[tuple[str, list]] = []
     for r in rows:
         if not groups or groups[-1][0] != (r["day_pos"], r["date"]):
@@ -100,8 +106,8 @@ def serialize(logs: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """(log_path, text): each log as Markdown; ``titles`` has log_path and title, '' where missing."""
     entry = F.concat(F.lit("* "), F.coalesce(F.concat(F.lit("**"), F.col("kind"), F.lit("**: ")), F.lit("")), F.col("text"))
     day = logs.groupBy("log_path", "day_pos", "date").agg(F.sort_array(F.collect_list(F.when(F.col("entry_pos").isNotNull(), F.struct("entry_pos", entry.alias("e"))))).alias("es"))
-    lines = day.select("log_path", "day_pos", F.array_join(F.concat(F.array(F.concat(F.lit("## "), "date")), F.col("es.e")), "\n").alias("part"))
-    whole = lines.groupBy("log_path").agg(F.sort_array(F.collect_list(F.struct("day_pos", "part"))).alias("ds"))
+    lines = day.select("log_path", "day_pos", F.array_join(F.concat(F.array(F.concat(F.lit("## "), F.coalesce("date", F.lit("")))), F.col("es.e")), "\n").alias("part"))
+    whole = lines.groupBy("log_path").agg(F.sort_array(F.collect_list(F.when(F.col("day_pos").isNotNull(), F.struct("day_pos", "part")))).alias("ds"))
     if titles is not None:
         whole = whole.join(titles.select("log_path", "title"), "log_path", "left")
     else:

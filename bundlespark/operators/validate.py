@@ -96,11 +96,17 @@ def dangling_paths(concepts: DataFrame, inventory: DataFrame) -> DataFrame:
     return found.select("concept_id", "pos", "field", "target", "alternative")
 
 
-def validate(concepts: DataFrame, inventory: DataFrame | None = None, strict: bool = False, version: str | None = None) -> DataFrame:
-    """All diagnostics, ordered by phase, concept and position; needs projected concepts with Markdown facts."""
+def validate(concepts: DataFrame, inventory: DataFrame | None = None, strict: bool = False, version: str | None = None, ordered: bool = True) -> DataFrame:
+    """All diagnostics, ordered (if asked) by phase, concept and position; needs projected concepts with Markdown facts."""
     gate = Gate(version)
-    out = documents(concepts, strict, version)
-    out = out.unionByName(graph.dangling(concepts).select(F.lit(2).alias("phase"), F.col("source").alias("concept_id"), F.col("link_pos").alias("pos"), F.lit("DanglingReference").alias("code"), F.col("target").alias("detail")))
+    # Problems and link targets come from one pass over the bodies.
+    row = lambda phase, pos, code, detail: F.struct(F.lit(phase).alias("phase"), pos.alias("pos"), code.alias("code"), detail.alias("detail"))
+    found = F.transform(document_problems(strict, gate), lambda x, i: row(1, i, x["code"], x["detail"]))
+    links = F.transform("links", lambda u, i: row(2, i, F.lit("DanglingReference"), paths.link_target(F.col("source_path"), u)))
+    each = concepts.select("concept_id", F.explode(F.concat(found, F.filter(links, lambda x: x["detail"].isNotNull()))).alias("x")).select("x.phase", "concept_id", "x.pos", "x.code", "x.detail")
+    known = concepts.select(F.col("concept_id").alias("known")).distinct()
+    target = F.when(F.col("phase") == 2, F.col("detail"))
+    out = each.join(known, target == F.col("known"), "left").where("phase = 1 or known is null").drop("known")
     if strict:
         have = concepts.select(F.col("source_path").alias("path")) if inventory is None else inventory
         gone = dangling_paths(concepts, have)
@@ -109,7 +115,7 @@ def validate(concepts: DataFrame, inventory: DataFrame | None = None, strict: bo
     code = "BundleVersionUnparseable" if gate.unparseable else "BundleVersionNotUnderstood" if gate.not_understood else None
     if strict and code:
         out = out.unionByName(concepts.sparkSession.createDataFrame([(5, "", 0, code, version)], "phase int, concept_id string, pos int, code string, detail string"))
-    return out.orderBy("phase", "concept_id", "pos")
+    return out.orderBy("phase", "concept_id", "pos") if ordered else out
 
 
 def failed(diagnostics: DataFrame, log_problems: DataFrame | None = None, deviations: DataFrame | None = None, *, profile_enforce: bool = False, log_enforce: bool = False) -> bool:

@@ -185,26 +185,26 @@ _EDGES = """(select 'customers/' || c_custkey as source, 'nations/' || c_nationk
 
 @query(f"select source, target from {_EDGES}")
 def graph_edges(spark, d):
-    return graph.edges(carriers.geography(spark, d))
+    return graph.edges(carriers.geography(spark, d, "links"), ordered=False)
 
 
 @query(f"""select id as concept_id, (select count(*) from {_EDGES} where source = id) as out_degree, (select count(*) from {_EDGES} where target = id) as in_degree
  from (select 'customers/' || c_custkey as id from customer union all select 'nations/' || n_nationkey from nation union all select 'regions/' || r_regionkey from region)""")
 def graph_degrees(spark, d):
-    return graph.degrees(carriers.geography(spark, d))
+    return graph.degrees(carriers.geography(spark, d, "links"))
 
 
 @query("""select 'customers/' || c_custkey as source, 1 as link_pos, 'regions/' || (c_nationkey % 7) as target from customer where c_nationkey % 7 not in (select r_regionkey from region)
  union all select 'regions/' || r_regionkey, 0, 'index' from region""")
 def dangling_links(spark, d):
-    return graph.dangling(carriers.geography(spark, d))
+    return graph.dangling(carriers.geography(spark, d, "links"), ordered=False)
 
 
 @query("select distinct 'orders/' || o_orderkey as source, 'customers/' || o_custkey as target from orders where o_custkey in (select c_custkey from customer)")
 def graph_edges_dedup(spark, d):
-    o = carriers.orders(spark, d, facts=True, lines=False).select("concept_id", "source_path", "links")
+    o = carriers.orders(spark, d, facts="links", lines=False).select("concept_id", "source_path", "links")
     none = F.expr("cast(array() as array<string>)").alias("links")
-    return graph.edges(o.unionByName(carriers.customers(spark, d).select("concept_id", "source_path", none))).where("source like 'orders/%'")
+    return graph.edges(o.unionByName(carriers.customers(spark, d).select("concept_id", "source_path", none)), ordered=False).where("source like 'orders/%'")
 
 
 @query("select 'customers/' || c_custkey as concept_id, 2 as copies from customer where c_custkey % 10 = 0")
@@ -331,7 +331,7 @@ def _profile(fields: dict | None = None, types: list | None = None, **more) -> p
 
 
 def _deviations(concepts_, compiled, **how):
-    return check.check(concepts_, compiled, **how).select("concept_id", "code", "path")
+    return check.check(concepts_, compiled, ordered=False, **how).select("concept_id", "code", "path")
 
 
 @query(f"select concept_id, 'MissingProfileField' as code, 'status' as path from {_CUST} where status is null")
@@ -436,7 +436,7 @@ def index_text(spark, d):
 @query("""select 2 as phase, 'customers/' || c_custkey as concept_id, 1 as pos, 'DanglingReference' as code, 'regions/' || (c_nationkey % 7) as detail from customer where c_nationkey % 7 not in (select r_regionkey from region)
  union all select 2, 'regions/' || r_regionkey, 0, 'DanglingReference', 'index' from region""")
 def validate_permissive(spark, d):
-    return validate.validate(carriers.geography(spark, d))
+    return validate.validate(carriers.geography(spark, d), ordered=False)
 
 
 @query("""select code, count(*) as n from (
@@ -444,7 +444,7 @@ def validate_permissive(spark, d):
  union all select 'MissingGeneratedField' from nation union all select 'MissingGeneratedField' from region
  union all select 'DanglingReference' from customer where c_nationkey % 7 not in (select r_regionkey from region) union all select 'DanglingReference' from region) group by code""")
 def validate_strict(spark, d):
-    return validate.validate(carriers.geography(spark, d), strict=True, version="0.2").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    return validate.validate(carriers.geography(spark, d), strict=True, version="0.2", ordered=False).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"select concept_id, true as same from {_CUST}")

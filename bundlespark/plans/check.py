@@ -295,7 +295,7 @@ def path_references(concepts: DataFrame, c: Compiled, inventory: DataFrame | Non
     return each.select("concept_id", _by_rule([judged(r) for r in rules]).alias("code"), "path", shown(F.col("v")).alias("detail")).where("code is not null")
 
 
-def check(concepts: DataFrame, c: Compiled, *, strict: bool = False, inventory: DataFrame | None = None) -> DataFrame:
+def check(concepts: DataFrame, c: Compiled, *, strict: bool = False, inventory: DataFrame | None = None, ordered: bool = True) -> DataFrame:
     """All deviations of projected concepts (schema_columns is needed if a type requires a schema section)."""
     kind = F.col("type")
     fields, own = _fields(c, c.base, strict), _none()
@@ -312,7 +312,7 @@ def check(concepts: DataFrame, c: Compiled, *, strict: bool = False, inventory:
     if c.profile.id_field:
         again = handles.duplicates(concepts, c.profile.id_field)
         out = out.unionByName(again.select(F.lit(3).alias("phase"), "concept_id", F.lit(0).alias("ord"), F.lit("DuplicateDocumentId").alias("code"), F.lit(c.profile.id_field).alias("path"), F.concat_ws(" also on ", "handle", "first_id").alias("detail")))
-    return out.orderBy(F.when(F.col("phase") == 3, 1).otherwise(0), "concept_id", "phase", "ord", "path", "code")
+    return out.orderBy(F.when(F.col("phase") == 3, 1).otherwise(0), "concept_id", "phase", "ord", "path", "code") if ordered else out
 
 
 def version_unmet(c: Compiled, declared: str | None) -> tuple[str, str | None] | None:

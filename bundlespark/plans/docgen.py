@@ -35,13 +35,13 @@ def _phrases(r: Rule) -> list[str]:
     return out
 
 
-def _lines(rules, depth: int = 0) -> list[str]:
+def rule_lines(rules, depth: int = 0) -> list[str]:
     out = []
     for r in rules:
         need = "required" if any(k is True for k, _ in r.presence) else "recommended" if any(k is False for k, _ in r.presence) else "optional"
         out.append("  " * depth + f"- `{r.field}` ({need})" + (": " + "; ".join(_phrases(r)) if _phrases(r) else "") + (f" — {r.description}" if r.description else ""))
         for inner in (r.elements, r.members):
-            out += _lines(inner or (), depth + 1)
+            out += rule_lines(inner or (), depth + 1)
     return out
 
 
@@ -49,13 +49,13 @@ def render(c: Compiled) -> dict[str, str]:
     """path -> text of every page."""
     p = c.profile
     names = slugs([t.type for t in p.types])
-    root = [f"# {p.name}", ""] + ([p.description, ""] if p.description else []) + [f"Version `{p.version}`.", "", "## Every concept", "", *(_lines(c.base) or ["No rules."]), "", "## Types", ""]
+    root = [f"# {p.name}", ""] + ([p.description, ""] if p.description else []) + [f"Version `{p.version}`.", "", "## Every concept", "", *(rule_lines(c.base) or ["No rules."]), "", "## Types", ""]
     root += [f"- [{t.type}](types/{n}.md)" + (f" — {t.description}" if t.description else "") for t, n in zip(p.types, names, strict=True)] or ["No types."]
     pages = {"profile.md": "\n".join(root) + "\n"}
     for t, n in zip(p.types, names, strict=True):
         more = [s for s in (t.path_pattern and f"Path: `{t.path_pattern}`.", t.resource_scheme and f"Resource: `{t.resource_scheme}://`.", t.id_prefix and f"Handle: `{t.id_prefix}-N`.",
                             t.require_schema and "Schema section with columns " + ", ".join(f"`{x}`" for x in t.schema_columns) + ".") if s]
-        text = [f"# {t.type}", ""] + ([t.description, ""] if t.description else []) + [x for s in more for x in (s, "")] + (_lines(c.by_type[t.type]) or ["No rules."])
+        text = [f"# {t.type}", ""] + ([t.description, ""] if t.description else []) + [x for s in more for x in (s, "")] + (rule_lines(c.by_type[t.type]) or ["No rules."])
         pages[f"types/{n}.md"] = "\n".join(text) + "\n"
     return pages
 

@@ -24,7 +24,7 @@ class Entry:
 
 @dataclass(frozen=True)
 class Failure:
-    """category: missing, unreadable or empty."""
+    """category: missing, unreadable (not opened), malformed (no JSON), invalid (no profile where one should be) or empty."""
 
     source: str
     category: str
@@ -47,8 +47,12 @@ def read(source: str) -> list[Entry] | Failure:
             found = exports(json.load(f))
     except FileNotFoundError as e:
         return Failure(source, "missing", str(e))
-    except (OSError, ValueError, KeyError, TypeError) as e:
+    except OSError as e:
         return Failure(source, "unreadable", str(e))
+    except json.JSONDecodeError as e:
+        return Failure(source, "malformed", str(e))
+    except (ValueError, KeyError, TypeError, AttributeError) as e:
+        return Failure(source, "invalid", str(e))
     return [Entry(source, n, p) for n, p in found] or Failure(source, "empty", "no profile in it")
 
 
@@ -86,6 +90,54 @@ def lookup(refs: list[str], name: str) -> profile.Profile:
     return found[0].profile
 
 
+#: What the compact table cuts its columns and descriptions to.
+WIDTHS, DESCRIPTION = (14, 28, 28, 3, 5, 12), 98
+HEAD = ("SOURCE", "EXPORT", "NAME", "OKF", "TYPES", "ID FIELD")
+
+
+def _cut(text: str, width: int) -> str:
+    return text if len(text) <= width else text[:width - 1] + "\u2026"
+
+
+def table(entries: list[Entry], wide: bool = False) -> list[str]:
+    """A line with the identity of each profile and one with its description; columns as wide as needed, or cut to WIDTHS."""
+    rows = [(HEAD, None)]
+    for e in entries:
+        p = e.profile
+        rows.append(((e.source, e.name or "(root)", p.name, p.version, str(len(p.types)), p.id_field or "-"), " ".join((p.description or "-").split())))
+    widths = [max(len(r[i]) for r, _ in rows) for i in range(len(HEAD))] if wide else WIDTHS
+    out = []
+    for cells, said in rows:
+        shown = [_cut(c, w) for c, w in zip(cells, widths, strict=True)]
+        out.append("  ".join(c.rjust(w) if i in (3, 4) else c.ljust(w) for i, (c, w) in enumerate(zip(shown, widths, strict=True))).rstrip())
+        if said is not None:
+            out.append("  " + (said if wide else _cut(said, DESCRIPTION)))
+    return out
+
+
+def detail(e: Entry) -> list[str]:
+    """A profile's settings, a line each, then its rules by presence and its types with theirs."""
+    from . import docgen
+
+    p = e.profile
+    flag = lambda x: "true" if x else "false"
+    out = [f"export: {e.name or '(root)'}", f"name: {p.name}", f"description: {p.description or '(none)'}", f"okfVersion: {p.version}", f"requireBundleVersion: {p.require_bundle_version or '(none)'}",
+           f"allowUnknownTypes: {flag(p.allow_unknown_types)}", f"allowUnknownFields: {flag(p.allow_unknown_fields)}", f"idField: {p.id_field or '(none)'}"]
+
+    def rules(some, indent):
+        for title, is_one in (("required", lambda r: any(k is True for k, _ in r.presence)), ("recommended", lambda r: any(k is False for k, _ in r.presence) and not any(k is True for k, _ in r.presence)), ("optional", lambda r: all(k is None for k, _ in r.presence))):
+            own = [r for r in some if is_one(r)]
+            yield f"{indent}frontmatter.{title}:" + ("" if own else " (none)")
+            yield from (indent + "  " + line for line in docgen.rule_lines(own))
+
+    compiled = profile.compile_profile(p)
+    out += rules(compiled.base, "")
+    for t in p.types:
+        out += [f"type: {t.type}", f"  description: {t.description or '(none)'}", f"  pathPattern: {t.path_pattern or '(none)'}", f"  resourceScheme: {t.resource_scheme or '(none)'}", f"  idPrefix: {t.id_prefix or '(none)'}"]
+        out += rules(compiled.by_type[t.type], "  ")
+    return out
+
+
 def discover(top: str, depth: int = 4) -> list[str]:
     """JSON files below ``top`` that hold a profile."""
     found = []

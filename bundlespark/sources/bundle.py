@@ -1,7 +1,8 @@
 """Bundles on disk: directory trees of Markdown files, read in parallel and written back.
 
-The driver lists paths only; tasks open and parse the files. Spark's own listing would
-pass over names that begin with '_' or '.', which a bundle may have.
+The driver lists paths only; tasks open and parse the files, so on a cluster the bundle
+must lie on a file system that all machines mount at the same place. Spark's own listing
+would pass over names that begin with '_' or '.', which a bundle may have.
 """
 
 from __future__ import annotations
@@ -39,6 +40,12 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([(p,) for p in _paths(root)], "path string")
 
 
+def directories(spark: SparkSession, root: str) -> DataFrame:
+    """(dir) of every directory below the root."""
+    found = [os.path.relpath(os.path.join(at, d), root).replace(os.sep, "/") for at, dirs, _ in os.walk(root) for d in dirs]
+    return spark.createDataFrame([(d,) for d in sorted(found)], "dir string")
+
+
 def _listed(spark: SparkSession, paths: list[str]) -> DataFrame:
     parts = max(1, -(-len(paths) // FILES_A_TASK))
     return spark.createDataFrame([(p,) for p in paths], "path string").repartition(parts, "path") if paths else spark.createDataFrame([], "path string")
@@ -95,6 +102,34 @@ def read_logs(spark: SparkSession, root: str) -> DataFrame:
     return markdown.log_rows(files.mapInPandas(texts, "path string, text string"))
 
 
+def log_titles(spark: SparkSession, root: str) -> DataFrame:
+    """(log_path, title) of every log.md and of those that could be beside a file; a log yet to be written is named after its directory."""
+    found = [p for p in _paths(root) if p.endswith(".md")]
+    at = sorted({os.path.join(os.path.dirname(p), "log.md") for p in found} | {"log.md"})
+
+    def title(p: str) -> str:
+        try:
+            with open(os.path.join(root, p), encoding="utf-8") as f:
+                return markdown.parse_log(f.read())[0]
+        except FileNotFoundError:
+            return f"{os.path.dirname(p) or 'Bundle'} Update Log"
+
+    return spark.createDataFrame([(p, title(p)) for p in at], "log_path string, title string")
+
+
+def changed_since(spark: SparkSession, root: str, revision: str) -> DataFrame:
+    """(path) of files that git finds changed since ``revision``; BundleError says why there is no answer."""
+    import subprocess
+
+    try:
+        done = subprocess.run(["git", "-C", root, "diff", "--name-only", "--relative", revision, "--", "."], capture_output=True, text=True, check=False)
+    except OSError as e:
+        raise BundleError(str(e)) from e
+    if done.returncode:
+        raise BundleError((done.stderr or done.stdout).strip().split("\n")[0])
+    return spark.createDataFrame([(p,) for p in done.stdout.split("\n") if p], "path string")
+
+
 def declared_version(root: str) -> str | None:
     """okf_version of the root's index.md, text or number; None if there is none."""
     try:

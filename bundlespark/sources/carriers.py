@@ -21,7 +21,11 @@ def _at(key: Column) -> Column:
     return F.concat(F.lit("2024-01-"), F.lpad((key % 28 + 1).cast("string"), 2, "0"), F.lit("T00:00:00Z"))
 
 
-def customers(spark: SparkSession, sf_dir: str, facts: bool = False) -> DataFrame:
+def _read(out: DataFrame, facts: bool | str) -> DataFrame:
+    return markdown.with_links(out) if facts == "links" else markdown.with_facts(out) if facts else out
+
+
+def customers(spark: SparkSession, sf_dir: str, facts: bool | str = False) -> DataFrame:
     """customers/KEY: tags, a status that some lack, verified in each of its spellings, a handle, a null key."""
     t = table(spark, sf_dir, "customer")
     k, nation = F.col("c_custkey"), F.col("c_nationkey").cast("string")
@@ -38,29 +42,29 @@ def customers(spark: SparkSession, sf_dir: str, facts: bool = False) -> DataFram
         F.struct(F.concat(F.lit("process:load"), nation).alias("by"), _at(k).alias("at")).alias("generated"))
     body = F.concat(F.lit("Lives in [home](/nations/"), nation, F.lit(".md), see also [region](../regions/"), (F.col("c_nationkey") % 7).cast("string"), F.lit(".md#top) and `[code](/x.md)`.\n"))
     out = project(from_rows(t, F.concat(F.lit("customers/"), k.cast("string")), fm, body))
-    return markdown.with_facts(out) if facts else out
+    return _read(out, facts)
 
 
-def nations(spark: SparkSession, sf_dir: str, facts: bool = False) -> DataFrame:
+def nations(spark: SparkSession, sf_dir: str, facts: bool | str = False) -> DataFrame:
     t = table(spark, sf_dir, "nation")
     fm = F.struct(F.lit("Nation").alias("type"), F.col("n_name").alias("title"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("number "), F.col("n_nationkey").cast("string"))).alias("description"))
     body = F.concat(F.lit("Part of [it](/regions/"), F.col("n_regionkey").cast("string"), F.lit(".md).\n"))
     out = project(from_rows(t, F.concat(F.lit("nations/"), F.col("n_nationkey").cast("string")), fm, body))
-    return markdown.with_facts(out) if facts else out
+    return _read(out, facts)
 
 
-def regions(spark: SparkSession, sf_dir: str, facts: bool = False) -> DataFrame:
+def regions(spark: SparkSession, sf_dir: str, facts: bool | str = False) -> DataFrame:
     t = table(spark, sf_dir, "region")
     fm = F.struct(F.lit("Region").alias("type"), F.col("r_name").alias("title"))
     out = project(from_rows(t, F.concat(F.lit("regions/"), F.col("r_regionkey").cast("string")), fm, F.lit("See [top](/index.md).\n")))
-    return markdown.with_facts(out) if facts else out
+    return _read(out, facts)
 
 
-def geography(spark: SparkSession, sf_dir: str, facts: bool = True) -> DataFrame:
+def geography(spark: SparkSession, sf_dir: str, facts: bool | str = True) -> DataFrame:
     return customers(spark, sf_dir, facts).unionByName(nations(spark, sf_dir, facts)).unionByName(regions(spark, sf_dir, facts))
 
 
-def orders(spark: SparkSession, sf_dir: str, facts: bool = False, lines: bool = True) -> DataFrame:
+def orders(spark: SparkSession, sf_dir: str, facts: bool | str = False, lines: bool = True) -> DataFrame:
     """orders/KEY: generated on the order's day, its lines as records, sources with and without windows."""
     t = table(spark, sf_dir, "orders")
     key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
@@ -81,7 +85,7 @@ def orders(spark: SparkSession, sf_dir: str, facts: bool = False, lines: bool =
     to = F.col("o_custkey").cast("string")
     body = F.concat(F.lit("For [a](/customers/"), to, F.lit(".md) and again [b](../customers/"), to, F.lit(".md).\n"))
     out = project(from_rows(t, F.concat(F.lit("orders/"), key.cast("string")), fm, body))
-    return markdown.with_facts(out) if facts else out
+    return _read(out, facts)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 A block scanner (fenced and indented code, ATX and setext headings, lists, block quotes)
 and an inline scanner (code spans, escapes, inline and reference links, images,
-autolinks). Not read: HTML blocks as such, entities, nested emphasis in link texts.
+autolinks). HTML blocks hold no Markdown; entities in targets are decoded. Work is in
+proportion to the text.
 """
 
 from __future__ import annotations
 
+import html
 import re
 from dataclasses import dataclass, field
 
@@ -16,6 +18,17 @@ from pyspark.sql import functions as F
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
 _ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _ITEM = re.compile(r"^( {0,3})([-*+]|[0-9]{1,9}[.)])(?:( +)(.*)|)$")
+#: The tags that begin an HTML block, and those whose block ends with their closing tag.
+_HTML = re.compile(r"^ {0,3}</?(?:address|article|aside|base|basefont|blockquote|body|caption|center|col|colgroup|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|frame|frameset|h[1-6]|head|header|hr|html|iframe|legend|li|link|main|menu|menuitem|nav|noframes|ol|optgroup|option|p|param|search|section|summary|table|tbody|td|tfoot|th|thead|title|tr|track|ul)(?:[\s/>]|$)", re.I)
+_RAW = ((re.compile(r"^ {0,3}<(?:script|pre|style|textarea)(?:[\s>]|$)", re.I), re.compile(r"</(?:script|pre|style|textarea)>", re.I)),
+        (re.compile(r"^ {0,3}<!--"), re.compile("-->")), (re.compile(r"^ {0,3}<\?"), re.compile(r"\?>")), (re.compile(r"^ {0,3}<![A-Za-z]"), re.compile(">")))
+_ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);")
+_QUOTED = re.compile(r"(?: {0,3}> ?)*")
+_MARK = re.compile(r"\\.|`+|<[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*>|[\[\]]", re.S)
+_AUTOLINK = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*)>")
+_DESTINATION = re.compile(r"""\(\s*(?:<([^<>\n]*)>|((?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*))(?:\s+(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?\s*\)""")
+_LABEL = re.compile(r"\[([^\]]*)\]")
+_PLAIN = re.compile(r"[^\\`<\[!]+|.", re.S)
 _DEFINITION = re.compile(r"^ {0,3}\[(?!\^)([^\]]+)\]:[ \t]*<?([^\s>]+)>?")
 
 
@@ -43,8 +56,7 @@ def blocks(body: str) -> list[Block]:
 
     while i < len(lines):
         line = lines[i].expandtabs(4)
-        while m := re.match(r"^ {0,3}> ?", line):
-            line = line[m.end():]
+        line = line[_QUOTED.match(line).end():]
         fence = _FENCE.match(line) or (in_list and _FENCE.match(line.strip()))
         if fence and not (fence[1][0] == "`" and "`" in fence[2]):
             close()
@@ -55,6 +67,14 @@ def blocks(body: str) -> list[Block]:
                 code.append(re.sub(rf"^ {{0,{indent}}}", "", lines[i]))
                 i += 1
             out.append(Block("code", "\n".join(code) + "\n" if code else ""))
+        elif raw := next((end for begin, end in _RAW if begin.match(line)), None):
+            close()
+            while i < len(lines) and not raw.search(lines[i]):
+                i += 1
+        elif _HTML.match(line):
+            close()
+            while i + 1 < len(lines) and lines[i + 1].strip():
+                i += 1
         elif not line.strip():
             close()
             if i + 1 < len(lines) and lines[i + 1].strip() and not lines[i + 1].startswith(" ") and not _ITEM.match(lines[i + 1]):
@@ -92,62 +112,77 @@ def blocks(body: str) -> list[Block]:
     return out
 
 
+def _pairs(text: str) -> tuple[dict[int, int], dict[int, int]]:
+    """(where the code span that begins at a run of backticks ends, where the bracket that opens at a place closes), in one pass."""
+    from bisect import bisect_right
+
+    runs: dict[int, list[int]] = {}
+    for m in re.finditer("`+", text):
+        runs.setdefault(len(m[0]), []).append(m.start())
+    codes, brackets, opened, at = {}, {}, [], 0
+    while m := _MARK.search(text, at):
+        at = m.end()
+        if m[0][0] == "`":
+            same = runs.get(len(m[0]), [])
+            next_one = bisect_right(same, m.start())
+            if next_one < len(same):
+                codes[m.start()] = same[next_one]
+                at = same[next_one] + len(m[0])
+        elif m[0] == "[":
+            opened.append(m.start())
+        elif m[0] == "]" and opened:
+            brackets[opened.pop()] = m.start()
+    return codes, brackets
+
+
 def _inline(text: str):
     """('code' | 'link' | 'image' | 'text', content) spans; for links the content is the raw target."""
     i, n = 0, len(text)
+    codes, brackets = _pairs(text)
     while i < n:
         c = text[i]
         if c == "\\" and i + 1 < n:
             yield "text", text[i + 1]
             i += 2
         elif c == "`":
-            run = re.match(r"`+", text[i:])[0]
-            end = re.compile(rf"(?<!`){run}(?!`)").search(text, i + len(run))
-            if end:
-                yield "code", text[i + len(run):end.start()].strip(" ")
-                i = end.end()
+            run = 1
+            while i + run < n and text[i + run] == "`":
+                run += 1
+            if i in codes:
+                yield "code", text[i + run:codes[i]].strip(" ")
+                i = codes[i] + run
             else:
-                yield "text", run
-                i += len(run)
-        elif c == "<" and (m := re.match(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*)>", text[i:])):
+                yield "text", text[i:i + run]
+                i += run
+        elif c == "<" and (m := _AUTOLINK.match(text, i)):
             yield "link", ("url", m[1], m[1])
-            i += m.end()
+            i = m.end()
         elif c == "[" or (c == "!" and text[i + 1:i + 2] == "["):
             image = c == "!"
             start = i + 1 + image
-            depth, j, code = 1, start, False
-            while j < n and depth:
-                if text[j] == "\\":
-                    j += 1
-                elif text[j] == "`":
-                    code = not code
-                elif not code and text[j] == "[":
-                    depth += 1
-                elif not code and text[j] == "]":
-                    depth -= 1
-                j += 1
-            if depth:
+            end = brackets.get(start - 1)
+            if end is None:
                 yield "text", text[i:start]
                 i = start
                 continue
-            label = text[start:j - 1]
-            m = re.match(r"""\(\s*(?:<([^<>\n]*)>|((?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*))(?:\s+(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?\s*\)""", text[j:])
+            m = _DESTINATION.match(text, end + 1)
             if m:
-                target = re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", m[1] if m[1] is not None else m[2])
-                yield ("image" if image else "link"), ("url", target, label)
-                i = j + m.end()
-            elif not label.startswith("^"):
-                m = re.match(r"\[([^\]]*)\]", text[j:])
+                target = _ENTITY.sub(lambda e: html.unescape(e[0]), m[1] if m[1] is not None else m[2])
+                target = re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", target)
+                yield ("image" if image else "link"), ("url", target, text[start:end])
+                i = m.end()
+            elif not text.startswith("^", start):
+                label, m = text[start:end], _LABEL.match(text, end + 1)
                 ref = (m[1] or label) if m else label
                 yield ("image" if image else "link"), ("ref", " ".join(ref.lower().split()), label)
-                i = j + (m.end() if m else 0)
+                i = m.end() if m else end + 1
             else:
-                yield "note", label[1:]
-                i = j
+                yield "note", text[start + 1:end]
+                i = end + 1
         else:
-            m = re.match(r"[^\\`<\[!]+|.", text[i:], re.S)
+            m = _PLAIN.match(text, i)
             yield "text", m[0]
-            i += m.end()
+            i = m.end()
 
 
 def links(body: str) -> list[str]:
@@ -242,7 +277,20 @@ FACTS = "links array<string>, computation_blocks array<string>, footnotes array<
 
 def facts(body: str | None) -> dict:
     body = body or ""
-    return {"links": links(body), "computation_blocks": computation_blocks(body), "footnotes": footnotes(body), "schema_columns": schema_columns(body)}
+    # Most bodies lack what the later ones look for, and then need no scan for it.
+    return {"links": links(body), "computation_blocks": computation_blocks(body) if "computation" in body.lower() else [],
+            "footnotes": footnotes(body) if "[^" in body else [], "schema_columns": schema_columns(body) if "schema" in body.lower() else None}
+
+
+def with_links(concepts: DataFrame) -> DataFrame:
+    """``concepts`` with the links of each body only."""
+    import pandas as pd
+
+    @F.pandas_udf("array<string>")
+    def read(bodies):
+        return pd.Series([links(b or "") for b in bodies], dtype=object)
+
+    return concepts.withColumn("links", read("body"))
 
 
 def with_facts(concepts: DataFrame) -> DataFrame:
@@ -257,15 +305,17 @@ def with_facts(concepts: DataFrame) -> DataFrame:
 
 
 def log_rows(files: DataFrame) -> DataFrame:
-    """Rows of operators.logs from (path, text) of log files."""
+    """Rows of operators.logs from (path, text) of log files; a log without days has one row whose day_pos is NULL."""
     def work(batches):
         import pandas as pd
 
         for pdf in batches:
             rows = []
             for path, text in zip(pdf["path"], pdf["text"], strict=True):
+                own = []
                 for d, (date, entries) in enumerate(parse_log(text)[1]):
-                    rows += [(path, d, date, e, kind, said) for e, (kind, said) in enumerate(entries)] or [(path, d, date, None, None, None)]
+                    own += [(path, d, date, e, kind, said) for e, (kind, said) in enumerate(entries)] or [(path, d, date, None, None, None)]
+                rows += own or [(path, None, None, None, None, None)]
             out = pd.DataFrame(rows, columns=["log_path", "day_pos", "date", "entry_pos", "kind", "text"])
             yield out.astype({"day_pos": "Int32", "entry_pos": "Int32"})
 

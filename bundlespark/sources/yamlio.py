@@ -13,15 +13,15 @@ from decimal import Decimal
 
 import yaml
 
-CORE = ["type", "title", "description", "resource", "tags", "timestamp", "generated", "verified", "status", "stale_after",
-        "sources", "usage_window", "runtime", "parameters", "computation", "executor", "attester"]
+from ..operators.concepts import CORE_KEYS as CORE
+
 
 
 class DocumentError(ValueError):
     """A document whose frontmatter cannot be read."""
 
 
-class _Loader(yaml.SafeLoader):
+class _Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
     yaml_implicit_resolvers: dict = {}
 
     def construct_mapping(self, node, deep=False):
@@ -34,12 +34,13 @@ class _Loader(yaml.SafeLoader):
         return {str(k.value): self.construct_object(v, deep=True) for k, v in node.value}
 
 
-for _tag, _pattern, _first in (
+_RESOLVERS = (
     ("bool", r"^(?:true|True|TRUE|false|False|FALSE)$", "tTfF"),
     ("null", r"^(?:~|null|Null|NULL|)$", ["~", "n", "N", ""]),
     ("int", r"^[-+]?(?:0|[1-9][0-9]*)$", "-+0123456789"),
     ("float", r"^[-+]?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?$", "-+0123456789"),
-):
+)
+for _tag, _pattern, _first in _RESOLVERS:
     _Loader.add_implicit_resolver(f"tag:yaml.org,2002:{_tag}", re.compile(_pattern), list(_first))
 _Loader.add_constructor("tag:yaml.org,2002:int", lambda loader, node: int(node.value))
 _Loader.add_constructor("tag:yaml.org,2002:float", lambda loader, node: Decimal(node.value))
@@ -78,6 +79,8 @@ def parse(text: str) -> tuple[dict, str]:
     return found, re.sub(r"^\r?\n", "", rest, count=1)
 
 
+#: Plain scalars that would be read as something else than text.
+_OTHER = re.compile("|".join(p for _, p, _ in _RESOLVERS) + r"|^(?:\.\.\.|-)(?: |$)")
 #: Characters that YAML takes only escaped, or takes for a line's end.
 _UNPRINTABLE = re.compile("[\x7f-\x9f\u2028\u2029\ud800-\udfff\ufeff\ufffe\uffff]")
 
@@ -90,7 +93,7 @@ def _scalar(v) -> str:
     if isinstance(v, (int, float, Decimal)):
         return str(v)
     plain = re.fullmatch(r"[A-Za-z0-9_/.][A-Za-z0-9_/.@ +-]*(?::(?! )[A-Za-z0-9_/.@+-]+)*", v) and v == v.strip()
-    if plain and yaml.load(v, _Loader) == v:  # noqa: S506
+    if plain and v != "---" and not _OTHER.match(v) and not v.startswith("- "):
         return v
     return _UNPRINTABLE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(v, ensure_ascii=False))
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from bundlespark.plans import catalogue
+from bundlespark.plans import catalogue, more_queries  # noqa: F401
 
 
 @pytest.fixture(scope="module")
