@@ -215,11 +215,6 @@ def place(cut: DataFrame, capacity: int, method: str = "configuration") -> DataF
             .drop("_length", "_first", "_end", "_sequence", "_each", "_offset", "_rank", "row"))
 
 
-def _cut(docs: DataFrame, path: str, capacity: int, id_col: str, text_col: str, ids: bool):
-    some = tokens.pieces(docs, path, capacity, id_col=id_col, text_col=text_col, ids=ids)
-    return materialise(some.withColumn("row", F.monotonically_increasing_id()), "pieces")
-
-
 def pack(docs: DataFrame, path: str, capacity: int = 2048, *, method: str = "configuration", id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """Tokenizes ``docs`` and places every piece; see ``tokens.pieces`` and ``place``.
 
@@ -227,7 +222,30 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, *, method: str = "con
     losslessly; equal rows are separate documents, whatever their ids. Other columns,
     whatever their names, are ignored.
     """
-    return place(_cut(docs, path, capacity, id_col, text_col, ids).df, capacity, method)
+    cut = tokens.pieces(docs, path, capacity, id_col=id_col, text_col=text_col, ids=ids)
+    return place(materialise(cut.withColumn("row", F.monotonically_increasing_id()), "pieces").df, capacity, method)
+
+
+#: Ids that a task packs at a time, two bytes each: bounds its memory.
+HELD_IDS = 16 << 20
+#: The least filled share of a sequence that a task closes by itself.
+FULL = 0.99
+_MATRIX = "sequence_id long, input_ids binary, n_ids int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, pieces array<int>, starts array<long>"
+
+
+def _matrix_schema():
+    import pyarrow as pa
+
+    ints = pa.list_(pa.int32())
+    return pa.schema([("sequence_id", pa.int64()), ("input_ids", pa.binary()), ("n_ids", pa.int32()), ("cu_seqlens", ints), ("position_resets", ints), ("doc_ids", pa.list_(pa.int64())), ("pieces", ints), ("starts", pa.list_(pa.int64()))])
+
+
+def _matrix_row(number: int | None, parts: list[tuple[int, int, int, bytes]], size: int) -> dict:
+    ends = [0]
+    for p in parts:
+        ends.append(ends[-1] + len(p[3]) // 2)
+    return {"sequence_id": number, "input_ids": b"".join([p[3] for p in parts]).ljust(2 * size, b"\0"), "n_ids": ends[-1], "cu_seqlens": ends, "position_resets": ends[:-1],
+            "doc_ids": [p[0] for p in parts], "pieces": [p[1] for p in parts], "starts": [p[2] for p in parts]}
 
 
 def matrices(docs: DataFrame, path: str, capacity: int = 2048, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,31 +256,59 @@ def matrices(docs: DataFrame, path: str, capacity: int = 2048, *, id_col: str =
     position_resets (where positions start again from 0), doc_ids, pieces and starts (of
     each segment: its document, number there and the document's ids before it).
 
-    One plan for the whole input, whatever its split: pieces carry their ids to their
-    sequences, each at most ``capacity`` of them. Null and empty texts are one id, 0;
-    no rows in, none out.
+    Each task packs what it tokenizes, up to ``HELD_IDS`` ids at a time, and closes the
+    sequences that are filled to FULL. The pieces of the others, few if tasks are large,
+    are packed by one plan for the whole input. So but for that plan's sequences all are
+    filled to FULL, however the input is split, and ids are shuffled only where they have
+    to meet. Null and empty texts are one id, 0; no rows in, none out.
     """
     def work(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        for batch in batches:
+        schema, held, size, number = _matrix_schema(), {}, 0, TaskContext.get().partitionId() << 40
+
+        def packed():
+            nonlocal held, size, number
             rows = []
-            for number, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ends = [0]
-                for p in some:
-                    ends.append(ends[-1] + len(p["ids"]) // 2)
-                rows.append({"sequence_id": number, "input_ids": b"".join([p["ids"] for p in some]).ljust(2 * capacity, b"\0"), "n_ids": ends[-1], "cu_seqlens": ends, "position_resets": ends[:-1],
-                             "doc_ids": [p["doc_id"] for p in some], "pieces": [p["piece"] for p in some], "starts": [p["start"] for p in some]})
+            for many, config in best_fit_plan({n: len(x) for n, x in held.items()}, capacity):
+                for _ in range(many):
+                    parts = [held[n].pop() for n, k in config for _ in range(k)]
+                    if sum(n * k for n, k in config) >= FULL * capacity:
+                        rows.append(_matrix_row(number, parts, capacity))
+                        number += 1
+                    else:
+                        rows += [_matrix_row(None, [p], 0) for p in parts]
+                    if len(rows) >= 1000:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows = []
+            held, size = {}, 0
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    import pyarrow as pa
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                flat = tokens.encode(text.as_py(), path, 2) + b"\0\0"
+                for piece, at in enumerate(range(0, len(flat), 2 * capacity)):
+                    part = flat[at:at + 2 * capacity]
+                    held.setdefault(len(part) // 2, []).append((key, piece, at // 2, part))
+                size += len(flat) // 2
+                if size > HELD_IDS:
+                    yield from packed()
+        yield from packed()
+
+    def joined(batches):
+        import pyarrow as pa
 
-    ints = pa.list_(pa.int32())
-    schema = pa.schema([("sequence_id", pa.int64()), ("input_ids", pa.binary()), ("n_ids", pa.int32()), ("cu_seqlens", ints), ("position_resets", ints), ("doc_ids", pa.list_(pa.int64())), ("pieces", ints), ("starts", pa.list_(pa.int64()))])
-    placed = pack(docs, path, capacity, method="best_fit", id_col=id_col, text_col=text_col, ids=True)
+        for batch in batches:
+            rows = [_matrix_row(-1 - number, [(p["doc_id"], p["piece"], p["start"], p["ids"]) for p in some], capacity) for number, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, _matrix_schema())
+
+    raw = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(work, _MATRIX)
+    made = materialise(raw.withColumn("row", F.monotonically_increasing_id()), "matrices").df
+    left = made.where("sequence_id is null").select("row", F.col("n_ids").cast("long").alias("length"), F.col("doc_ids")[0].alias("doc_id"), F.col("pieces")[0].alias("piece"), F.col("starts")[0].alias("start"), F.col("input_ids").alias("ids"))
     held = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "piece", "start", "ids"))).alias("held")
-    return placed.groupBy("sequence_id").agg(held).mapInArrow(
-        work, "sequence_id long, input_ids binary, n_ids int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, pieces array<int>, starts array<long>")
+    rest = place(left, capacity, "best_fit").groupBy("sequence_id").agg(held).mapInArrow(joined, _MATRIX)
+    return made.where("sequence_id is not null").drop("row").unionByName(rest)
 
 
 def write_matrices(docs: DataFrame, path: str, to: str, capacity: int = 2048) -> None:
