@@ -415,10 +415,10 @@ def profile_path_reference(spark, d):
     return _deviations(carriers.parts(spark, d), _profile(rules), inventory=spark.createDataFrame([("tools/run.py",)], "path string"))
 
 
-@query("select * from (values ('UndeclaredField', 'statuz=x'), ('ValueOutOfVocabulary', 'status=acepted'), ('ValueOutOfVocabulary', 'type=Ghost')) t(code, filter)")
+@query("select * from (values ('UndeclaredField', 'segmnt=x'), ('ValueOutOfVocabulary', 'segment=NAVAL'), ('ValueOutOfVocabulary', 'type=Vendor')) t(code, filter)")
 def filter_profile_check(spark, d):
-    rules = {"optional": [{"field": "status", "allowedValues": ["accepted", "draft"]}]}
-    found = profile.check_filters(_profile(rules, [{"type": "Customer"}], allowUnknownTypes=False), [], _eq("status=acepted", "status=draft", "statuz=x", "type=Ghost", "verified.by=z"))
+    rules = {"optional": [{"field": "segment", "allowedValues": ["BUILDING", "MACHINERY"]}]}
+    found = profile.check_filters(_profile(rules, [{"type": "Customer"}], allowUnknownTypes=False), [], _eq("segment=NAVAL", "segment=BUILDING", "segmnt=x", "type=Vendor", "generated.by=z"))
     return spark.createDataFrame([(c, f) for c, f, _ in found], "code string, filter string")
 
 

@@ -6,16 +6,19 @@ from bundlespark.functions.ids import Gate
 from bundlespark.operators import computations, concepts, filters, graph, handles, index, logs, provenance, trust, validate
 from bundlespark.sources import bundle
 
+#: A harbour: boats with hull numbers, quays, a table of tides.
 FILES = {
     "index.md": '---\nokf_version: "0.2"\n---\n',
-    "log.md": "# Log\n\n## 2026-06-10\n\n* **Update**: did it\n\n## 2026-06-12\n\n* plain\n",
-    "requests/log.md": "# R\n\n## 2026-07-01\n\n* x\n",
-    "requests/alpha.md": "---\ntype: Improvement Request\ntitle: Alpha\nrequestId: IR-1\nstatus: accepted\ntags: [profiles, cli]\ngenerated: {by: process:fixture, at: 2026-06-16T00:00:00Z}\nreviews:\n- {kind: model, outcome: approved}\nsources:\n- {id: s1, resource: /x.txt, usage_count: 3, author: human:bo}\n- {title: no resource}\nusage_window: {from: 2026-01-01}\n---\n\nSee [beta](beta.md), [beta](/requests/beta.md#x), [up](../notes/scratch.md) and [gone](/nowhere.md).[^s2]\n",
-    "requests/beta.md": "---\ntype: Improvement Request\ntitle: Beta\nrequestId: IR-2\nstatus: proposed\ntags: cli\nverified: {by: human:n, at: '2026-01-01'}\nstale_after: 2026-09-23\ngenerated: {by: human:n, at: 2026-07-02}\n---\n\nbody\n",
-    "requests/gamma.md": "---\ntype: Improvement Request\ntitle: Gamma\nrequestId: IR-2\nstatus: completed\ncompletedAt: 2026-06-20\ngenerated: {by: process:fixture}\nreviews:\n- {kind: human, outcome: changes-requested}\n- {kind: model, outcome: approved}\nverified:\n- {by: process:p, at: '2026-02-01'}\n- {at: '2027-01-01'}\n---\n",
-    "notes/scratch.md": "---\r\ntype: Note\r\ntitle: Scratch\r\ngenerated: {by: human:n, at: 2026-06-11}\r\nnum: 12\r\n---\r\n\r\ntext\r\n",
-    "_drafts/calc.md": "---\ntype: Attested Computation\nruntime: bq\nparameters:\n- {name: year, type: integer, required: true}\nexecutor: {resource: tools/run.py}\n---\n\n# Computation\n\n```sql\nselect 1\n```\n",
-    "tools/run.py": "pass\n",
+    "log.md": "# Harbour\n\n## 2031-03-04\n\n* **Survey**: sounded\n\n## 2031-03-09\n\n* dredged\n",
+    "boats/log.md": "# Boats\n\n## 2031-05-20\n\n* hauled out\n",
+    "quays/log.md": "# Nothing yet\n",
+    "boats/heron.md": "---\ntype: Boat\ntitle: Heron\nhull: HB-14\nstatus: moored\ntags: [wood, sail, day]\ngenerated: {by: process:census, at: 2031-05-02T08:00:00Z}\nrepairs:\n- {part: mast, result: kept}\n- {part: keel, result: replaced}\n"
+                      "sources:\n- {title: hearsay}\n- {id: deed, resource: /deeds/14.txt, usage_count: 8, author: human:iva}\nusage_window: {to: 2031-06-30}\n---\n\nLies at [the quay](../quays/north.md), beside [Tern](/boats/tern.md#mooring); the [quay](/quays/north.md) again. Sister of [a wreck](wreck.md).[^chart]\n",
+    "boats/skua.md": "---\ntype: Boat\ntitle: Skua\nhull: HB-15\nstatus: scrapped\nsold: 2030-01-01\ngenerated: {by: process:census}\nrepairs: {part: hull, result: kept}\nverified:\n- {at: '2032-01-01'}\n- {by: process:scan, at: '2031-02-03'}\n---\n",
+    "boats/tern.md": "---\ntype: Boat\ntitle: Tern\nhull: HB-15\nstatus: at sea\ntags: sail\nverified: {by: human:iva, at: '2031-01-01'}\nstale_after: 2031-04-01\ngenerated: {by: human:iva, at: 2031-06-01}\n---\n\nout\n",
+    "quays/north.md": "---\r\ntype: Quay\r\ntitle: North\r\ngenerated: {by: human:iva, at: 2031-03-30}\r\ndepth: 7\r\n---\r\n\r\nstone\r\n",
+    "_plans/tide.md": "---\ntype: Attested Computation\nruntime: duck\nparameters:\n- {name: port, type: string, required: true}\nexecutor: {resource: tools/tide.py}\n---\n\n# Computation\n\n```sql\nselect 2\n```\n",
+    "tools/tide.py": "pass\n",
 }
 
 
@@ -38,27 +41,28 @@ def rows(df):
 
 
 @pytest.mark.parametrize("equals,has,missing,want", [
-    ([], [], [], ["_drafts/calc", "notes/scratch", "requests/alpha", "requests/beta", "requests/gamma"]),
-    (["status=accepted"], [], [], ["requests/alpha"]), (["tags=cli"], [], [], ["requests/alpha", "requests/beta"]),
-    (["reviews.outcome=approved"], [], [], ["requests/alpha", "requests/gamma"]), (["generated.by=human:n"], [], [], ["notes/scratch", "requests/beta"]),
-    ([], [], ["status"], ["_drafts/calc", "notes/scratch"]), ([], ["completedAt"], [], ["requests/gamma"]), (["status=withdrawn"], [], [], []),
-    (["status=accepted", "status=proposed"], [], [], ["requests/alpha", "requests/beta"]), (["type=Improvement Request", "status=proposed"], [], [], ["requests/beta"]),
-    (["status=accepted"], [], ["status"], []), (["num=12"], [], [], ["notes/scratch"]), (["status=stable"], [], [], [])])
+    ([], [], [], ["_plans/tide", "boats/heron", "boats/skua", "boats/tern", "quays/north"]),
+    (["status=at sea"], [], [], ["boats/tern"]), (["tags=sail"], [], [], ["boats/heron", "boats/tern"]), (["repairs.result=kept"], [], [], ["boats/heron", "boats/skua"]), (["repairs.part=keel"], [], [], ["boats/heron"]),
+    (["generated.by=process:census"], [], [], ["boats/heron", "boats/skua"]), ([], [], ["generated"], ["_plans/tide"]), ([], ["sold"], [], ["boats/skua"]), (["hull=HB-99"], [], [], []),
+    (["hull=HB-14", "hull=HB-15"], [], [], ["boats/heron", "boats/skua", "boats/tern"]), (["type=Boat", "tags=wood"], [], [], ["boats/heron"]), ([], ["sold"], ["sold"], []), (["depth=7"], [], [], ["quays/north"]), (["status=stable"], [], [], [])])
 def test_filters(c, equals, has, missing, want):
     some = [*map(filters.parse_equals, equals), *map(filters.present, has), *map(filters.absent, missing)]
     assert [r[0] for r in rows(filters.listing(c, some))] == want
 
 
 def test_listing(c):
-    assert rows(filters.listing(c, [filters.of_type("Improvement Request")], ["status", "reviews.kind", "tags"])) == [
-        ("requests/alpha", "Improvement Request", "accepted", "model", "profiles, cli", "Alpha"), ("requests/beta", "Improvement Request", "proposed", "-", "cli", "Beta"),
-        ("requests/gamma", "Improvement Request", "completed", "human, model", "-", "Gamma")]
+    assert rows(filters.listing(c, [filters.of_type("Boat")], ["repairs.part", "tags", "sold"])) == [
+        ("boats/heron", "Boat", "mast, keel", "wood, sail, day", "-", "Heron"), ("boats/skua", "Boat", "hull", "-", "2030-01-01", "Skua"), ("boats/tern", "Boat", "-", "sail", "-", "Tern")]
 
 
 def test_graph(c):
-    assert rows(graph.edges(c)) == [("requests/alpha", "notes/scratch"), ("requests/alpha", "requests/beta")]
-    assert rows(graph.dangling(c)) == [("requests/alpha", 3, "nowhere")]
+    assert rows(graph.edges(c)) == [("boats/heron", "boats/tern"), ("boats/heron", "quays/north")]
+    assert rows(graph.dangling(c)) == [("boats/heron", 3, "boats/wreck")]
     assert [r[0] for r in rows(graph.nodes(c))] == sorted(r[0] for r in rows(c.select("concept_id")))
+    import json
+
+    whole = json.loads(graph.document(c))
+    assert [e["target"] for e in whole["edges"]] == ["boats/tern", "quays/north"] and len(whole["nodes"]) == 5
 
 
 def test_edges_sort_by_segments(spark):
@@ -67,51 +71,59 @@ def test_edges_sort_by_segments(spark):
 
 
 def test_trust(c):
-    assert rows(trust.report(c, "2026-09-23")) == [
-        ("_drafts/calc", "unverified", "stable", "ok"), ("notes/scratch", "unverified", "stable", "ok"), ("requests/alpha", "unverified", "accepted", "ok"),
-        ("requests/beta", "human-reviewed", "proposed", "stale since 2026-09-23"), ("requests/gamma", "machine-confirmed", "completed", "ok")]
-    assert rows(c.where("concept_id = 'requests/gamma'").select(trust.latest(c.verified))) == [("2026-02-01",)]
+    assert rows(trust.report(c, "2031-04-01")) == [
+        ("_plans/tide", "unverified", "stable", "ok"), ("boats/heron", "unverified", "moored", "ok"), ("boats/skua", "machine-confirmed", "scrapped", "ok"),
+        ("boats/tern", "human-reviewed", "at sea", "stale since 2031-04-01"), ("quays/north", "unverified", "stable", "ok")]
+    assert rows(c.where("concept_id = 'boats/skua'").select(trust.latest(c.verified))) == [("2031-02-03",)]
 
 
 def test_sources_and_computations(c):
-    assert rows(provenance.report(c)) == [("requests/alpha", 0, "s1", "/x.txt", "author human:bo, used 3 times since 2026-01-01")]
-    assert rows(computations.report(c)) == [("_drafts/calc", "bq", "year (integer, required)", "inline", "executor")]
+    assert rows(provenance.report(c)) == [("boats/heron", 0, "deed", "/deeds/14.txt", "author human:iva, used 8 times until 2031-06-30")]
+    assert rows(computations.report(c)) == [("_plans/tide", "duck", "port (string, required)", "inline", "executor")]
 
 
 def test_logs(spark, root, c):
     found = bundle.read_logs(spark, root)
     assert [tuple(r)[2:3] + tuple(r)[0:2] for r in logs.check(found).collect()] == [("LogDaysOutOfOrder", "log.md", 0)]
-    assert dict(rows(logs.nearest(c, found))) == {"_drafts/calc": "log.md", "notes/scratch": "log.md", "requests/alpha": "requests/log.md", "requests/beta": "requests/log.md", "requests/gamma": "requests/log.md"}
-    assert rows(logs.stale(c, found)) == [("requests/beta", "2026-07-02", "requests/log.md", "2026-07-01")]
-    assert {r[0] for r in rows(logs.stale(c, found.limit(0)))} == {"notes/scratch", "requests/alpha", "requests/beta"}
-    more = logs.append(found, "requests/log.md", "2026-07-02", "new")
-    assert {r[0]: r[1] for r in rows(logs.serialize(more))}["requests/log.md"] == "# \n\n## 2026-07-02\n* **Update**: new\n\n## 2026-07-01\n* x\n"
-    changed = spark.createDataFrame([("requests/beta.md",), ("notes/scratch.md",), ("log.md",)], "path string")
-    assert rows(logs.drift(c, found, changed)) == [("requests/beta", "requests/log.md")]
+    assert dict(rows(logs.nearest(c, found))) == {"_plans/tide": "log.md", "boats/heron": "boats/log.md", "boats/skua": "boats/log.md", "boats/tern": "boats/log.md", "quays/north": "quays/log.md"}
+    assert rows(logs.stale(c, found)) == [("boats/tern", "2031-06-01", "boats/log.md", "2031-05-20"), ("quays/north", "2031-03-30", "quays/log.md", None)]
+    assert {r[0] for r in rows(logs.stale(c, found.limit(0)))} == {"quays/north", "boats/heron", "boats/tern"}
+    more = logs.append(logs.append(found, "boats/log.md", "2031-06-02", "launched"), "quays/log.md", "2031-01-01", "built", None)
+    assert {r[0]: r[1] for r in rows(logs.serialize(more))} == {
+        "boats/log.md": "# \n\n## 2031-06-02\n* **Update**: launched\n\n## 2031-05-20\n* hauled out\n", "quays/log.md": "# \n\n## 2031-01-01\n* built\n",
+        "log.md": "# \n\n## 2031-03-04\n* **Survey**: sounded\n\n## 2031-03-09\n* dredged\n"}
+    assert {r[0]: r[1] for r in rows(logs.serialize(found))}["quays/log.md"] == "# \n" and logs.days(found).count() == 3
+    changed = spark.createDataFrame([("boats/tern.md",), ("quays/north.md",), ("quays/log.md",)], "path string")
+    assert rows(logs.drift(c, found, changed)) == [("boats/tern", "boats/log.md")]
 
 
 def test_handles(c):
-    assert [(r[0], int(r[1]), r[2]) for r in rows(handles.in_bundle(c, "requestId"))] == [("IR", 1, "requests/alpha"), ("IR", 2, "requests/beta"), ("IR", 2, "requests/gamma")]
-    assert [int(r[1]) for r in rows(handles.next_number(c, "requestId", "IR"))] == [3] and [int(r[1]) for r in rows(handles.next_number(c, "requestId", "X"))] == [1]
-    assert rows(handles.duplicates(c, "requestId")) == [("IR-2", "requests/beta", "requests/gamma")]
-    assert rows(handles.observed_prefixes(c)) == [("IR",)]
+    assert [(r[0], int(r[1]), r[2]) for r in rows(handles.in_bundle(c, "hull"))] == [("HB", 14, "boats/heron"), ("HB", 15, "boats/skua"), ("HB", 15, "boats/tern")]
+    assert [int(r[1]) for r in rows(handles.next_number(c, "hull", "HB"))] == [16] and [int(r[1]) for r in rows(handles.next_number(c, "hull", "Q"))] == [1]
+    assert rows(handles.duplicates(c, "hull")) == [("HB-15", "boats/skua", "boats/tern")]
+    assert rows(handles.observed_prefixes(c)) == [("HB",)]
 
 
 def test_resolve(c):
-    assert concepts.resolve(c, "requests/alpha").first().title == "Alpha" and concepts.resolve(c, "IR-1").first().title == "Alpha"
-    for bad in ("IR-2", "IR-9"):
+    assert concepts.resolve(c, "boats/heron").first().title == "Heron" and concepts.resolve(c, " HB-14").first().title == "Heron"
+    for bad in ("HB-15", "HB-1"):
         with pytest.raises(LookupError):
             concepts.resolve(c, bad)
 
 
 def test_validate(spark, root, c):
     permissive = rows(validate.validate(c, bundle.inventory(spark, root)).select("concept_id", "code", "detail"))
-    assert permissive == [("requests/beta", "FieldMustBeListOfText", "tags"), ("requests/alpha", "DanglingReference", "nowhere")]
+    assert permissive == [("boats/tern", "FieldMustBeListOfText", "tags"), ("boats/heron", "DanglingReference", "boats/wreck")]
     strict = rows(validate.validate(c, bundle.inventory(spark, root), strict=True, version="0.2").select("concept_id", "code", "detail"))
     of = lambda i: [(code, detail) for k, code, detail in strict if k == i]
-    assert of("requests/alpha") == [("MissingRecommendedField", "description"), ("SourceMissingResource", "1"), ("FootnoteLabelNotInSources", "s2"), ("SourceIdNotCited", "s1"), ("DanglingReference", "nowhere")]
-    assert of("_drafts/calc") == [("MissingRecommendedField", "title"), ("MissingRecommendedField", "description"), ("MissingGeneratedField", ""), ("DanglingFrontmatterPath", "executor.resource -> _drafts/tools/run.py (did you mean /tools/run.py)")]
-    assert validate.failed(validate.validate(c)) and not validate.failed(validate.validate(c.where("concept_id = 'notes/scratch'")))
+    assert of("boats/heron") == [("MissingRecommendedField", "description"), ("SourceMissingResource", "0"), ("FootnoteLabelNotInSources", "chart"), ("SourceIdNotCited", "deed"), ("DanglingReference", "boats/wreck")]
+    assert of("_plans/tide") == [("MissingRecommendedField", "title"), ("MissingRecommendedField", "description"), ("MissingGeneratedField", ""), ("DanglingFrontmatterPath", "executor.resource -> _plans/tools/tide.py (did you mean /tools/tide.py)")]
+    assert validate.failed(validate.validate(c)) and not validate.failed(validate.validate(c.where("concept_id = 'quays/north'")))
+
+
+def test_one_pass_over_the_bodies(c):
+    plan = validate.validate(c, strict=True, version="0.2", ordered=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(") <= 2 and not any(w in plan for w in ("Cartesian", "Cross"))
 
 
 def test_versions(spark, root, c):
@@ -121,9 +133,11 @@ def test_versions(spark, root, c):
 
 
 def test_index(spark, root, c):
-    made = dict(rows(index.render(c, bundle.inventory(spark, root), "0.2")))
-    assert made["notes"] == "# Note\n\n- [Scratch](scratch.md)\n\n" and made["tools"] == "# Files\n\n- [run.py](run.py)\n\n"
-    assert made[""] == '---\nokf_version: "0.2"\n---\n\n# Subdirectories\n\n- [_drafts/](_drafts/index.md)\n- [notes/](notes/index.md)\n- [requests/](requests/index.md)\n- [tools/](tools/index.md)\n\n'
+    empty = spark.createDataFrame([("boats",), ("sheds",), ("sheds/old",)], "dir string")
+    made = dict(rows(index.render(c, bundle.inventory(spark, root), "0.2", empty)))
+    assert made["quays"] == "# Quay\n\n- [North](north.md)\n\n" and made["tools"] == "# Files\n\n- [tide.py](tide.py)\n\n"
+    assert made[""] == '---\nokf_version: "0.2"\n---\n\n# Subdirectories\n\n' + "".join(f"- [{d}/]({d}/index.md)\n" for d in ("_plans", "boats", "quays", "sheds", "tools")) + "\n"
+    assert made["sheds"] == "# Subdirectories\n\n- [old/](old/index.md)\n\n" and made["sheds/old"] == "\n"
 
 
 def test_round_trip(spark, c, tmp_path):
@@ -162,19 +176,62 @@ def test_discovery(tmp_path):
 def test_show(spark, root, c):
     from bundlespark.operators import show
 
-    got = {r.label: r.value for r in show.detail(c, "IR-1", "2026-10-01").collect()}
-    assert got["id"] == "requests/alpha" and got["trust"] == "unverified" and got["generated"] == "process:fixture at 2026-06-16T00:00:00Z" and got["source"].startswith("s1 /x.txt author human:bo")
+    got = {r.label: r.value for r in show.detail(c, "HB-14", "2031-10-01").collect()}
+    assert got["id"] == "boats/heron" and got["trust"] == "unverified" and got["generated"] == "process:census at 2031-05-02T08:00:00Z" and got["source"].startswith("deed /deeds/14.txt author human:iva")
     have = bundle.inventory(spark, root)
-    assert show.computation(c, "_drafts/calc", have) == ("inline", "select 1\n")
+    assert show.computation(c, "_plans/tide", have) == ("inline", "select 2\n")
     with pytest.raises(LookupError, match="no computation"):
-        show.computation(c, "IR-1", have)
-    assert [r.concept_id for r in show.menu(c, "id").collect()][0] == "_drafts/calc" and show.menu(c).count() == 5
+        show.computation(c, "HB-14", have)
+    assert [r.concept_id for r in show.menu(c, "id").collect()][0] == "_plans/tide" and show.menu(c).count() == 5
+
 
+def test_commands(spark, root, capsys, tmp_path):
+    import json
+    import shutil
+    import subprocess
 
-def test_commands(spark, root, capsys):
     from bundlespark.__main__ import main
 
-    assert main(["concepts", root, "--where", "status=accepted", "--show", "tags"]) == 0 and capsys.readouterr().out == "requests/alpha\tImprovement Request\tprofiles, cli\tAlpha\n"
-    assert main(["validate", root]) == 1 and "DanglingReference" in capsys.readouterr().out
-    assert main(["show", root, "IR-9"]) == 1 and main(["id", root, "IR", "--key", "requestId"]) == 0 and capsys.readouterr().out.strip().endswith("3")
-    assert main(["bundles", root]) == 0 and root in capsys.readouterr().out
+    said = lambda *a: (main(list(a)), capsys.readouterr().out)
+    assert said("concepts", root, "--where", "status=moored", "--show", "tags") == (0, "boats/heron\tBoat\twood, sail, day\tHeron\n")
+    assert said("validate", root)[0] == 1 and said("show", root, "HB-1")[0] == 1 and said("show", root, "--sort", "id")[1].startswith("_plans/tide")
+    assert said("id", root, "HB", "--key", "hull")[1].strip().endswith("16") and said("bundles", root, "--prefixes") == (0, f"{root}\tHB\n")
+    own = str(tmp_path / "harbour")
+    shutil.copytree(root, own)
+    git = lambda *a: subprocess.run(["git", "-C", own, "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", ".")
+    git("commit", "-q", "-m", "x")
+    assert said("log", own, "--add", "painted", "--concept", "quays/north", "--date", "2031-04-02", "--kind", "Care") == (0, "wrote quays/log.md for 2031-04-02\n")
+    with open(f"{own}/quays/log.md", encoding="utf-8") as f:
+        assert f.read() == "# Nothing yet\n\n## 2031-04-02\n* **Care**: painted\n"
+    for name in ("boats/tern.md", "quays/north.md"):
+        with open(f"{own}/{name}", "a", encoding="utf-8") as f:
+            f.write("more\n")
+    assert said("log", own, "--since", "HEAD") == (0, "boats/tern\tboats/log.md\n") and said("log", own, "--since", "nothing-such")[0] == 0
+    shutil.rmtree(f"{own}/boats")
+    assert "OK: 2 concepts, version 0.2" in said("validate", own)[1].splitlines()
+    (tmp_path / "p.json").write_text(json.dumps({"name": "tides", "description": "of\n the harbour", "frontmatter": {"required": [{"field": "port"}]}, "types": [{"type": "Quay", "idPrefix": "Q"}]}))
+    registry = ["--registry", str(tmp_path / "p.json")]
+    code, text = said("profile", "list", "--wide", *registry)
+    assert code == 0 and text.splitlines()[1].split()[1:] == ["(root)", "tides", "0.2", "1", "-"] and text.splitlines()[2] == "  of the harbour"
+    code, text = said("profile", "show", "tides", *registry)
+    assert code == 0 and "  - `port` (required)" in text.splitlines() and "type: Quay" in text.splitlines() and said("profile", "show", "none", *registry)[0] == 1
+    assert said("profile", "sources", *registry) == (0, registry[1] + "\n")
+
+
+def test_markdown_in_linear_time():
+    import time
+
+    from bundlespark.sources import markdown
+
+    began = time.time()
+    for text in ("[" * 100_000, "[a](/b.md) " * 10_000, "`" * 100_000, "> " * 50_000, "[a](" * 25_000, "[[a]" * 25_000):
+        markdown.facts(text + " schema computation [^x]")
+    assert time.time() - began < 20
+
+
+def test_markdown_blocks_and_entities():
+    from bundlespark.sources import markdown
+
+    assert markdown.links("<table>\n[a](a.md)\n</table>\n\n[b](b.md?x=1&amp;y) <!-- [c](c.md) -->\n\n<!--\n[d](d.md)\n\n[e](e.md)\n-->\n\n[f](f&#46;md)\n") == ["b.md?x=1&y", "c.md", "f.md"]
