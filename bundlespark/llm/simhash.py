@@ -229,6 +229,12 @@ def apart(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def limit_for(similarity: float) -> int:
+    """Bits in which linked fingerprints may differ: the average at ``similarity`` and one standard deviation, so that five in six pairs just there are linked."""
+    p = apart(similarity)
+    return int(WIDE * p + (WIDE * p * (1 - p)) ** 0.5)
+
+
 def _near_golay():
     """(syndrome of each bit, for each syndrome the words within RADIUS + BLOCK_THRESHOLD / 2 that have it, and how many)."""
     import itertools
@@ -381,8 +387,8 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, *, id_col:
     """(id, hash, root, component) of every row of ``docs``; linked are texts whose fingerprints tell a similarity of ``similarity`` or more.
 
     The similarity is the Jaccard similarity of the sets of ``words``-word shingles, read
-    from WIDE-bit fingerprints: texts are linked if they differ in at most ``apart`` of
-    the bits. Blocks of the fingerprint are replicated to every word of the Golay code
+    from WIDE-bit fingerprints: texts are linked if they differ in at most ``limit_for``
+    bits. Blocks of the fingerprint are replicated to every word of the Golay code
     within its covering radius plus half the block's threshold, and whole fingerprints
     are compared per anchor. More blocks are used the more texts there are; what they
     miss of the pairs at ``similarity`` is at most 1 - RECALL, and less of closer pairs.
@@ -405,7 +411,7 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, *, id_col:
     distinct = materialise(distinct, "wide-distinct").df
     count, total = distinct.agg(F.count(F.lit(1)), F.sum("n")).first()
     blocks, beside = blocks_for(count, similarity)
-    limit = int(WIDE * apart(similarity))
+    limit = limit_for(similarity)
     cells = distinct.select("node", "fp").mapInArrow(_cells(blocks, beside), "key long, node long, fp binary")
     full = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_ROWS).withColumn("parts", F.ceil(F.col("n") / CELL_ROWS).cast("long"))
     full = materialise(full, "wide-full").df

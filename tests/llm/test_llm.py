@@ -582,7 +582,7 @@ def test_distributed_links_equal_brute_force(spark):
 def brute_similar(texts, similarity=0.8):
     """Components by the distance of all pairs of fingerprints."""
     fps = {i: int.from_bytes(simhash.wide_fingerprint(t), "big") for i, t in texts.items()}
-    limit, ids = int(simhash.WIDE * simhash.apart(similarity)), list(texts)
+    limit, ids = simhash.limit_for(similarity), list(texts)
     return components(ids, [(a, b) for a in ids for b in ids if a < b and (fps[a] ^ fps[b]).bit_count() <= limit])
 
 
