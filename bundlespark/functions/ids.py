@@ -51,8 +51,11 @@ def is_reserved(path: Column) -> Column:
 
 def handle(x: Column) -> Column:
     """struct<prefix, number> of PREFIX-N; NULL if it isn't one. Numbers over 38 digits aren't."""
-    number = F.regexp_extract(x, HANDLE, 2)
-    return F.when(x.rlike(HANDLE) & ~x.endswith("\n") & (F.length(number) <= 38), F.struct(F.regexp_extract(x, HANDLE, 1).alias("prefix"), number.try_cast("decimal(38,0)").alias("number")))
+    def whole(t):
+        number = F.regexp_extract(t, HANDLE, 2)
+        return F.when(t.rlike(HANDLE) & ~t.endswith("\n") & (F.length(number) <= 38), F.struct(F.regexp_extract(t, HANDLE, 1).alias("prefix"), number.try_cast("decimal(38,0)").alias("number")))
+
+    return F.transform(F.array(x), whole)[0]  # the text is worked out once, whatever it takes
 
 
 def is_date(x: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import actors
+from ..functions.values import let
 
 
 def effective_window(own: Column, document: Column) -> Column:
@@ -15,18 +16,22 @@ def effective_window(own: Column, document: Column) -> Column:
 
 def signals(source: Column, window: Column) -> Column:
     """The signals present, as one phrase; '' if there are none."""
-    start, end = window["from"], window["to"]
-    framed = (F.when(start.isNotNull() & end.isNotNull(), F.concat(F.lit(" in "), start, F.lit(".."), end))
-              .when(start.isNotNull(), F.concat(F.lit(" since "), start)).when(end.isNotNull(), F.concat(F.lit(" until "), end)).otherwise(""))
+    def framed(w):
+        start, end = w["from"], w["to"]
+        return (F.when(start.isNotNull() & end.isNotNull(), F.concat(F.lit(" in "), start, F.lit(".."), end))
+                .when(start.isNotNull(), F.concat(F.lit(" since "), start)).when(end.isNotNull(), F.concat(F.lit(" until "), end)).otherwise(""))
+
     return F.concat_ws(", ", F.concat(F.lit("author "), actors.render(source["author"])),
-                       F.concat(F.lit("used "), source["usage_count"].cast("string"), F.lit(" times"), framed), F.concat(F.lit("modified "), source["last_modified"]))
+                       F.concat(F.lit("used "), source["usage_count"].cast("string"), F.lit(" times"), let(window, framed)), F.concat(F.lit("modified "), source["last_modified"]))
 
 
-def report(projected: DataFrame) -> DataFrame:
+def report(projected: DataFrame, ordered: bool = True) -> DataFrame:
     """(concept_id, pos, label, resource, signals) of every source, in the order declared, never ranked."""
-    each = projected.select("concept_id", "usage_window", F.posexplode("sources").alias("pos", "s"))
-    window = effective_window(F.col("s.usage_window"), F.col("usage_window"))
-    return each.select("concept_id", "pos", F.coalesce("s.id", F.lit("(no id)")).alias("label"), F.col("s.resource").alias("resource"), signals(F.col("s"), window).alias("signals")).orderBy("concept_id", "pos")
+    # Lines are made before the list is opened: opened first, each field that is read would read the whole list anew.
+    line = lambda s, w: F.struct(F.coalesce(s["id"], F.lit("(no id)")).alias("label"), s["resource"].alias("resource"), signals(s, effective_window(s["usage_window"], w)).alias("signals"))
+    lines = let(F.struct("sources", "usage_window"), lambda p: F.transform(p["sources"], lambda s: line(s, p["usage_window"])))
+    out = projected.select("concept_id", F.posexplode(lines).alias("pos", "x")).select("concept_id", "pos", "x.label", "x.resource", "x.signals")
+    return out.orderBy("concept_id", "pos") if ordered else out
 
 
 def duplicate_ids(ids: Column) -> Column:

@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if its files give fewer tasks than that, as one small file does; large inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _when(condition: Column, value) -> Column:
     return F.when(condition, value if isinstance(value, Column) else F.lit(value))
 
@@ -27,7 +33,7 @@ def _read(out: DataFrame, facts: bool | str) -> DataFrame:
 
 def customers(spark: SparkSession, sf_dir: str, facts: bool | str = False) -> DataFrame:
     """customers/KEY: tags, a status that some lack, verified in each of its spellings, a handle, a null key."""
-    t = table(spark, sf_dir, "customer")
+    t = spread(table(spark, sf_dir, "customer"))
     k, nation = F.col("c_custkey"), F.col("c_nationkey").cast("string")
     by = lambda who: F.struct(F.concat(F.lit(who), nation).alias("by"), _at(k).alias("at"))
     bare = F.to_json(by("human:n"))
@@ -66,7 +72,7 @@ def geography(spark: SparkSession, sf_dir: str, facts: bool | str = True) -> Dat
 
 def orders(spark: SparkSession, sf_dir: str, facts: bool | str = False, lines: bool = True) -> DataFrame:
     """orders/KEY: generated on the order's day, its lines as records, sources with and without windows."""
-    t = table(spark, sf_dir, "orders")
+    t = spread(table(spark, sf_dir, "orders")) if not lines else table(spark, sf_dir, "orders")
     key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
     if lines:
         each = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey")).agg(F.sort_array(F.collect_list(F.struct(
@@ -115,7 +121,7 @@ def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """computations/KEY: attested computations with every combination of file, blocks and halves; other parts are notes."""
-    t = table(spark, sf_dir, "part")
+    t = spread(table(spark, sf_dir, "part"))
     k = F.col("p_partkey")
     fm = F.struct(
         F.when(k % 2 == 0, "Attested Computation").otherwise("Note").alias("type"), F.col("p_name").alias("title"), F.col("p_brand").alias("description"), F.struct(F.lit("human:p").alias("by"), F.lit("2024-01-01").alias("at")).alias("generated"),
