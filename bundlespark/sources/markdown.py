@@ -290,7 +290,8 @@ def with_links(concepts: DataFrame) -> DataFrame:
     def read(bodies):
         return pd.Series([links(b or "") for b in bodies], dtype=object)
 
-    return concepts.withColumn("links", read("body"))
+    # Else the optimizer has it run once for a filter on the lists that it opens and once more for the lists.
+    return concepts.withColumn("links", read.asNondeterministic()("body"))
 
 
 def with_facts(concepts: DataFrame) -> DataFrame:
@@ -301,7 +302,7 @@ def with_facts(concepts: DataFrame) -> DataFrame:
     def read(bodies):
         return pd.DataFrame([facts(b) for b in bodies], columns=["links", "computation_blocks", "footnotes", "schema_columns"])
 
-    return concepts.withColumn("_facts", read("body")).select("*", "_facts.*").drop("_facts")
+    return concepts.withColumn("_facts", read.asNondeterministic()("body")).select("*", "_facts.*").drop("_facts")
 
 
 def log_rows(files: DataFrame) -> DataFrame:

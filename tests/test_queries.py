@@ -34,6 +34,14 @@ def test_plans_stay_in_the_jvm(spark, sf, name):
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas", "NestedLoop", "Cartesian"))
 
 
+@pytest.mark.parametrize("name,scans,python,reads", [("profile_nested", 2, 0, 80), ("profile_reference", 10, 0, 90), ("sources_report", 1, 0, 40), ("validate_strict", 15, 3, 160), ("graph_edges", 6, 3, 0), ("dangling_links", 6, 3, 0)])
+def test_plans_read_little_more_than_once(spark, sf, name, scans, python, reads):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "2000")
+    run = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution()
+    plan, made = run.optimizedPlan().toString(), run.executedPlan().toString()
+    assert made.count("FileScan") <= scans and plan.count("ArrowEvalPython") <= python and plan.count("try_variant_get") <= reads
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
