@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 #: Transitions and words remembered in a worker process; all are forgotten beyond that.
 TRANSITIONS = 400_000
 MEMO = 300_000
+#: Characters of the longest word remembered, so that MEMO bounds bytes too.
+LONGEST = 64
 #: Ids decoded at a time.
 _CHUNK = 65_536
 
@@ -41,16 +43,25 @@ class Transducer:
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
         self.follows: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
+        #: A state: (bytes that the longest live path lacks, ((how many of them, path) longest first), token emitted last).
+        self.states, self.numbers, self.moves = [], {}, []
         self._forget()
 
     def _forget(self) -> None:
-        #: A state: (bytes that the longest live path lacks, ((how many of them, path) longest first), token emitted last).
-        start = (b"", ((0, ()),), -1)
-        self.states, self.numbers, self.moves = [start], {start: 0}, [{}]
+        for made in (self.states, self.numbers, self.moves):
+            made.clear()
+        self._number((b"", ((0, ()),), -1))
         self.made = 0
         if len(self.follows) > TRANSITIONS:
             self.follows.clear()
 
+    def _number(self, key) -> int:
+        if key not in self.numbers:
+            self.numbers[key] = len(self.states)
+            self.states.append(key)
+            self.moves.append({})
+        return self.numbers[key]
+
     def _merged(self, data: bytes) -> list[bytes]:
         parts = [data[i:i + 1] for i in range(len(data))]
         while len(parts) > 1:
@@ -73,6 +84,10 @@ class Transducer:
         return self.whole[t]
 
     def _move(self, state: int, byte: int) -> tuple[int, Path]:
+        if self.made > TRANSITIONS:  # also within a piece, however long it is
+            here = self.states[state]
+            self._forget()
+            state = self._number(here)
         seen, live, last = self.states[state]
         seen += bytes((byte,))
         new, paths = None, []
@@ -93,20 +108,14 @@ class Transducer:
         live = tuple((k, p[shared:]) for k, p in paths)
         last = out[-1] if out else last
         key = (seen[len(seen) - keep:] if keep else b"", live, last if any(not p for _, p in live) else -2)
-        if key not in self.numbers:
-            self.numbers[key] = len(self.states)
-            self.states.append(key)
-            self.moves.append({})
         self.made += 1
-        move = self.moves[state][byte] = (self.numbers[key], out)
+        move = self.moves[state][byte] = (self._number(key), out)
         return move
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one piece; a piece that is a token is that token."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if self.made > TRANSITIONS:
-            self._forget()
         state, out, moves = 0, [], self.moves
         for byte in piece:
             move = moves[state].get(byte) or self._move(state, byte)
@@ -126,10 +135,12 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         import struct
 
-        if len(self) >= MEMO:
-            self.clear()
         ids = self.encode(piece.encode("utf-8", "surrogateescape"))
-        out = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= LONGEST:
+            if len(self) >= MEMO:
+                self.clear()
+            self[piece] = out
         return out
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Words remembered in a worker process: twice so many, of which the older half goes.
 MEMO = 200_000
+#: Characters of the longest word remembered, so that MEMO bounds bytes too.
+LONGEST = 64
 #: The tokenizer's own pre-split, and the code points below which its
 #: normal form composes nothing and lower-casing looks at one character at a time.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -56,10 +58,11 @@ class _Words(dict):
             else:
                 parts = self.find(word.lower())
                 out = self.letters(word) if parts == [word] else b"".join([self[p] for p in parts])
-        if len(self) >= MEMO:
-            self.older = dict(self)
-            self.clear()
-        self[word] = out
+        if len(word) <= LONGEST:
+            if len(self) >= MEMO:
+                self.older = dict(self)
+                self.clear()
+            self[word] = out
         return out
 
     def letters(self, part: str) -> bytes:

@@ -350,6 +350,23 @@ def test_transducer_forgets(monkeypatch):
         assert t.encode(text.encode()) == enc.encode_ordinary(text)
 
 
+def test_transducer_forgets_within_a_piece(monkeypatch):
+    enc, t, r = tiktoken_encoder(), bpe.Transducer(bpe.read_ranks(BYTE)), random.Random(4)
+    monkeypatch.setattr(bpe, "TRANSITIONS", 40)
+    piece = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=20_000))
+    assert t.encode(piece.encode()) == enc.encode_ordinary(piece)
+    assert len(t.states) <= 42 and len(t.moves) == len(t.states) == len(t.numbers)
+
+
+def test_memos_hold_no_long_words():
+    enc, words = tiktoken_encoder(), ["x" * 64, "y" * 65, "ab" * 50_000]
+    pieces, ids = bpe._Pieces(bpe.Transducer(bpe.read_ranks(BYTE))), tokens._Words(WORD, 4)
+    for w in words:
+        assert np.frombuffer(pieces[w], "<u4").tolist() == enc.encode_ordinary(w)
+        assert np.frombuffer(ids[w], "<u4").tolist() == ids.tokenizer.encode(w, add_special_tokens=False).ids
+    assert [w in pieces for w in words] == [w in ids for w in words] == [True, False, False]
+
+
 def test_utf8_stream():
     data, r = ("aé€😀" * 50).encode() + b"\xff\xe2\x82" + "é".encode() + b"\xf0\x9f", random.Random(5)
     for _ in range(50):
