@@ -63,12 +63,17 @@ class Transducer:
         return self.numbers[key]
 
     def _merged(self, data: bytes) -> list[bytes]:
+        get, none = self.ranks.get, 1 << 60
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 60:
-                break
+        ranks = [get(data[i:i + 2], none) for i in range(len(data) - 1)]
+        while ranks and (rank := min(ranks)) < none:
+            at = ranks.index(rank)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get(parts[at - 1] + parts[at], none)
+            if at < len(ranks):
+                ranks[at] = get(parts[at] + parts[at + 1], none)
         return parts
 
     def _may_follow(self, a: int, b: int) -> bool:
