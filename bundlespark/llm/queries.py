@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, licenses, packing, pii, quality, shards, simhash, warc
+from . import bpe, decontamination, embeddings, licenses, packing, pii, quality, shards, simhash, variants, vectorcodes, warc
 
 #: The vocabulary files; their place is a parameter of the operators.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -67,7 +67,21 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_matrices, op3_warc, op4_byte_bpe, op5_quality_rules, op6_license_scan, op7_simhash_near_dedup, op8_sharding, op9_pii, op10_embedding_near_dedup)}
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.encode(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_matrices, op3_warc, op4_byte_bpe, op5_quality_rules, op6_license_scan, op7_simhash_near_dedup, op8_sharding, op9_pii, op10_embedding_near_dedup,
+                                 op11_decontamination, op12_vector_codes, op13_spelling_variants)}
 ORACLE_SQL: dict[str, str] = {}
 
 ORACLE_SQL["op3_warc"] = """
@@ -97,3 +111,51 @@ base as (select l.doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w,
 select doc_id, n_words, cast(word_chars as bigint) as word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
        not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and lost <= n_words * 0.5 as kept, cast(lost as bigint) as lost from base
 """
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL["op11_decontamination"] = rf"""
+with d as materialized (select doc_id, {_TERMS} as w from documents),
+item as materialized (select item_id, w, least(10, len(w)) as k from (select item_id, {_TERMS} as w from benchmark) where len(w) > 0),
+win as materialized (select item_id, k, array_to_string(w[j:j + k - 1], ' ') as g, w[j:j + k - 1] as ws from (select *, unnest(range(1, len(w) - k + 2)) as j from item)),
+gram as (select doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') as g from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as p from d, (select distinct k from win))),
+occ as materialized (select distinct doc_id, p, k, item_id from gram join win using (k, g)),
+hit as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + k)) as q from occ) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, cast(item_id as varchar) as item_id from occ) group by doc_id),
+wins as materialized (select row_number() over () as win, item_id, ws from (select distinct item_id, list_sort(list_distinct(ws)) as ws from win)),
+post as (select win, doc_id, pos, word from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as pos from d) join (select win, unnest(ws) as word from wins) using (word)),
+reach as (select win, doc_id, count(distinct word) over (partition by win, doc_id order by pos range between current row and 19 following) as n from post),
+near as (select doc_id, count(distinct item_id) as n_near from (select distinct win, doc_id, n from reach) join wins using (win) where n = len(ws) group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0) as n_near
+from d left join hit on hit.doc_id = d.doc_id left join named on named.doc_id = d.doc_id left join near on near.doc_id = d.doc_id
+"""
+
+_CODED = "a{n} as materialized (select vec_id, part, cast(min(d * 256 + entry) % 256 as integer) as entry, cast(min(d * 256 + entry) // 256 as bigint) as error from (select vec_id, part, entry, sum((x - y) * (x - y)) as d from x join b{n} using (part, pos) group by all) group by all)"
+_MEANS = "b{m} as materialized (select part, pos, entry, coalesce(m.y, b.y) as y from b{n} b left join (select part, pos, entry, cast((s - ((s % n) + n) % n) // n as bigint) as y from (select part, pos, entry, sum(x) as s, count(*) as n from x join a{n} using (vec_id, part) group by all)) m using (part, pos, entry))"
+ORACLE_SQL["op12_vector_codes"] = f"""
+with v as materialized (select vec_id, label, list_transform(embedding, lambda c: cast(floor(cast(c as double) * 1024) as bigint)) as e, len(embedding) // 4 as width
+                        from embeddings where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+x as materialized (select vec_id, part, pos, e[width * part + pos + 1] as x from (select *, unnest(range(width)) as pos from v), range(4) as p(part)),
+b0 as materialized (select part, pos, row_number() over (partition by part, pos order by vec_id) - 1 as entry, x as y from x where vec_id in (select vec_id from v order by vec_id limit 256)),
+{", ".join(_CODED.format(n=n) + ", " + _MEANS.format(n=n, m=n + 1) for n in range(4))},
+{_CODED.format(n=4)},
+coded as (select vec_id, label, string_agg(lower(lpad(hex(entry), 2, '0')), '' order by part) as code, cast(sum(error) as bigint) as error from a4 join v using (vec_id) group by vec_id, label)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, (select sha256(string_agg(cast(y as varchar), ',' order by part, entry, pos)) from b4) as codebooks_sha256 from coded
+"""
+
+ORACLE_SQL["op13_spelling_variants"] = rf"""
+with recursive tab as (select list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+runs as (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), '{_UPPER}', '{_LOWER}') as run from documents),
+counted as materialized (select run, times, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: case when unicode(c) < 128 then [unicode(c)] else [195, 128 + (unicode(c) & 63)] end)) as bytes
+                         from (select doc_id, run, count(*) as times from runs where length(run) >= 6 group by all)),
+hashed as (select run, times, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as h from counted, tab),
+altered as (select case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, times from hashed),
+words as materialized (select word, cast(sum(times) as bigint) as n from altered where length(word) >= 6 group by word having sum(times) >= 5),
+cut as materialized (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as s from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+near as materialized (select a.word, b.word as other, b.n as other_n from cut a join cut b on a.s = b.s and a.i = b.i and a.word <> b.word
+                      union select c.word, w.word, w.n from cut c join words w on w.word = c.s union select w.word, c.word, c.n from cut c join words w on w.word = c.s),
+best as (select word, count(*) as n_near, arg_min(other, (-other_n, other)) as other, max(other_n) as other_n from near group by word),
+formed as materialized (select words.word, n, coalesce(n_near, 0) as n_near, case when other_n >= 5 * n then other end as form, case when other_n >= 5 * n then other_n end as form_n from words left join best on words.word = best.word),
+walk as (select word, word as root from formed union all select walk.word, formed.form from walk join formed on formed.word = walk.root where formed.form is not null)
+select f.word, f.form, walk.root, f.n, f.n_near, f.form_n from formed f join walk on walk.word = f.word join formed e on e.word = walk.root where e.form is null
+"""
