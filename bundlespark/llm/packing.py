@@ -16,6 +16,9 @@ segment tree over capacities to find the tightest sequence.
 
 from __future__ import annotations
 
+import logging
+import math
+
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -24,10 +27,18 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import materialise, with_rank
 
+_log = logging.getLogger(__name__)
+
 #: The share of the linear program's solution that is used whole; the remainder then
 #: still has lengths of every size, which best fit needs to fill its sequences.
 ROUNDED = 0.9
 
+#: How the program is solved, one after another until a plan is within CLOSE of the lower
+#: bound: rounds, rate, pricings a round, lengths up to which it is tried.
+SOLVERS, CLOSE = ((30, 6.0, 1, 1 << 30), (30, 6.0, 12, 1 << 30), (100, 20.0, 12, 256)), 1.002
+#: How often what rounding leaves is solved again.
+SOLVES = 5
+
 Config = tuple[tuple[int, int], ...]  # (length, how many of it), longest first
 
 
@@ -118,66 +129,109 @@ def _knapsack(lengths, prices, capacity):
     return value, choice
 
 
-def configuration_lp(counts: dict[int, int], capacity: int, rounds: int = 30, rate: float = 6.0) -> tuple[dict[Config, float], float]:
+def configuration_lp(counts: dict[int, int], capacity: int, rounds: int = 30, rate: float = 6.0, repriced: int = 12) -> tuple[dict[Config, float], float]:
     """A fractional solution {configuration: times} and a lower bound on the sequences.
 
     Multiplicative weights: a length's price is its size times exp(-rate * (its covered
     share - the share of rounds done)). A round prices once and uses the best completion
-    of every length whose value is near the best, in proportion to what it still lacks.
+    of every length, from the most valuable on, until the round's share of the sequences is
+    spent. No length is used beyond its own share of the round: those that reach it are
+    taken out and the others priced again, so a scarce length that fits everywhere, such
+    as a very short one, doesn't hold up the rest.
     """
     import numpy as np
 
     lengths = np.array(sorted(counts))
-    size, need = lengths.tolist(), [float(counts[x]) for x in sorted(counts)]
-    covered, times, wanted = [0.0] * len(size), {}, np.array(need)
-    bound = float(wanted @ lengths) / capacity
-    budget = bound / rounds
+    size, times, wanted = lengths.tolist(), {}, np.array([float(counts[x]) for x in sorted(counts)])
+    covered = np.zeros(len(size))
+    bound = max(float(wanted @ lengths) / capacity, float(wanted[2 * lengths > capacity].sum()))
     for step in range(rounds):
-        lag = np.array(covered) / wanted - (step + 0.5) / rounds
+        lag = covered / wanted - (step + 0.5) / rounds
         prices = lengths / capacity * np.exp(-rate * np.clip(lag, -1, 1))
-        value, choice = _knapsack(lengths, prices, capacity)
-        bound = max(bound, float(wanted @ prices) / value[capacity])
-        worth, then = prices + value[capacity - lengths], choice.tolist()
-        spent = 0.0
-        for first in np.argsort(-worth, kind="stable").tolist():
-            if spent >= budget:
+        share = np.minimum(wanted * 1.5 / rounds, wanted - covered)
+        spent, using = 0.0, np.arange(len(size))
+        for again in range(repriced):
+            value, choice = _knapsack(lengths[using], prices[using], capacity)
+            if not again:
+                bound = max(bound, float(wanted @ prices) / value[capacity])
+                budget = bound / rounds
+            worth, then, mine = prices[using] + value[capacity - lengths[using]], choice.tolist(), using.tolist()
+            for first in np.argsort(-worth, kind="stable").tolist():
+                if spent >= budget:
+                    break
+                held, room, i = {}, capacity, first
+                while i >= 0:
+                    held[mine[i]] = held.get(mine[i], 0) + 1
+                    room -= size[mine[i]]
+                    i = then[room]
+                much = min([budget - spent, *(share[i] / k for i, k in held.items())])
+                if much <= 0:
+                    continue
+                key = tuple((size[i], held[i]) for i in sorted(held, reverse=True))
+                times[key] = times.get(key, 0.0) + much
+                for i, k in held.items():
+                    covered[i] += much * k
+                    share[i] -= much * k
+                spent += much
+            using = np.flatnonzero(share > 1e-9 * wanted)
+            if spent >= budget or not len(using):
                 break
-            held, room, i = {}, capacity, first
-            while i >= 0:
-                held[i] = held.get(i, 0) + 1
-                room -= size[i]
-                i = then[room]
-            much = min([budget - spent, *(min(need[i] * 1.5 / rounds, need[i] - covered[i]) / k for i, k in held.items())])
-            if much <= 0:
-                continue
-            key = tuple((size[i], held[i]) for i in sorted(held, reverse=True))
-            times[key] = times.get(key, 0.0) + much
-            for i, k in held.items():
-                covered[i] += much * k
-            spent += much
     return times, bound
 
 
-def configuration_plan(counts: dict[int, int], capacity: int, solves: int = 1) -> list[tuple[int, Config]]:
-    """(how many sequences, what each holds): the linear program, rounded, then best fit for the remainder."""
-    left = {x: n for x, n in counts.items() if n and x < capacity}
-    plan: list[tuple[int, Config]] = [(counts[capacity], ((capacity, 1),))] if counts.get(capacity) else []
-    for _ in range(solves):
-        before = sum(left.values())
-        if not before:
+def used(plan: list[tuple[int, Config]]) -> int:
+    return sum(many for many, _ in plan)
+
+
+def _take(left: dict[int, int], chosen) -> list[tuple[int, Config]]:
+    """Whole sequences of ``chosen`` (configuration, times), those used most first; takes them out of ``left``."""
+    plan = []
+    for held, much in sorted(chosen, key=lambda x: (-x[1], x[0])):
+        many = min([int(much + 1e-9), *(left.get(n, 0) // k for n, k in held)])
+        if many > 0:
+            plan.append((many, held))
+            for n, k in held:
+                left[n] -= many * k
+                if not left[n]:
+                    del left[n]
+    return plan
+
+
+def configuration_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, Config]]:
+    """(how many sequences, what each holds): the linear program, rounded.
+
+    Two roundings of a solution are tried. One takes nine tenths of its exactly full
+    sequences and leaves the rest to best fit, which then still has lengths of every size.
+    The other takes every configuration of the solution, rounds it down, and solves what is
+    left again while that gets anywhere. The shortest plan wins, best fit alone being one
+    of them, so no plan is worse. How far it lies from the program's own lower bound is
+    logged.
+    """
+    whole = [(counts[capacity], ((capacity, 1),))] if counts.get(capacity) else []
+    lengths = {x: n for x, n in counts.items() if n and x < capacity}
+    if not lengths:
+        return whole
+    best, bound = best_fit_plan(lengths, capacity), 0.0
+    for rounds, rate, repriced, most in SOLVERS:
+        if bound and used(best) <= math.ceil(bound - 1e-6) * CLOSE or len(lengths) > most:
             break
-        times, _ = configuration_lp(left, capacity)
-        full = [(held, much) for held, much in times.items() if sum(n * k for n, k in held) == capacity]  # others are left to the remainder
-        for held, much in sorted(full, key=lambda x: (-x[1], x[0])):
-            many = min([int(ROUNDED * much), *(left.get(n, 0) // k for n, k in held)])
-            if many > 0:
-                plan.append((many, held))
-                for n, k in held:
-                    left[n] -= many * k
-        left = {x: n for x, n in left.items() if n}
-        if sum(left.values()) > 0.9 * before:
+        times, least = configuration_lp(lengths, capacity, rounds, rate, repriced)
+        bound = max(bound, least)
+        left = dict(lengths)
+        full = _take(left, [(held, ROUNDED * much) for held, much in times.items() if sum(n * k for n, k in held) == capacity])
+        best = min(best, full + best_fit_plan(left, capacity), key=used)
+        if used(best) <= math.ceil(bound - 1e-6) * CLOSE:
             break
-    return plan + best_fit_plan(left, capacity)
+        left, plan = dict(lengths), []
+        for _ in range(SOLVES):
+            before = sum(left.values())
+            plan += _take(left, times.items())
+            if not left or sum(left.values()) > 0.9 * before:
+                break
+            times, _ = configuration_lp(left, capacity, rounds, rate, repriced)
+        best = min(best, plan + best_fit_plan(left, capacity), key=used)
+    _log.info("%d sequences; the program's lower bound is %d", used(whole + best), used(whole) + math.ceil(bound - 1e-6))
+    return whole + best
 
 
 def runs(plan: list[tuple[int, Config]]) -> list[tuple[int, int, int, int, int, int]]:
