@@ -135,11 +135,19 @@ def find_concept(spark, d):
     return concepts.find(carriers.nations(spark, d), "nations/7").select("concept_id", "title")
 
 
-@query("select 'customers/11' as concept_id, 'id' as by union all select 'customers/12', 'handle'")
+@query("""select 'orders/' || o_orderkey as concept_id, 'id' as by from (select min(o_orderkey) as o_orderkey from orders) union all select 'orders/' || o_orderkey, 'handle' from (select max(o_orderkey) as o_orderkey from orders)""")
 def resolve_concept(spark, d):
-    c = carriers.customers(spark, d)
+    c = carriers.orders(spark, d, lines=False)
+    ends = carriers.table(spark, d, "orders").agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
     by = lambda raw, how: concepts.resolve(c, raw).select("concept_id", F.lit(how).alias("by"))
-    return by("customers/11", "id").unionByName(by("CUS-13", "handle"))
+    return by(f"orders/{ends[0]}", "id").unionByName(by(f"ORD-{ends[1]}", "handle"))
+
+
+@query("""select 'CUS-' || (c_custkey % 1000 + 1) as handle, 'customers/' || c_custkey as concept_id, n > 1 as ambiguous from (select c_custkey, count(*) over (partition by c_custkey % 1000) as n from customer) where c_custkey % 1000 = 12""")
+def ambiguous_handle(spark, d):
+    found = concepts.find_by_handle(carriers.customers(spark, d), "CUS-13", "docId").select(F.lit("CUS-13").alias("handle"), "concept_id")
+    n = found.groupBy("handle").agg((F.count(F.lit(1)) > 1).alias("ambiguous"))
+    return found.join(n, "handle").select("handle", "concept_id", "ambiguous")
 
 
 @query("""select 'd' || n_nationkey || case n_nationkey % 3 when 0 then '/index.md' when 1 then '/log.md' else '/index.markdown' end as path, n_nationkey % 3 <> 2 as reserved, 'd' || n_nationkey as dir from nation""")

@@ -1,8 +1,9 @@
 """Bundles on disk: directory trees of Markdown files, read in parallel and written back.
 
-The driver lists paths only; tasks open and parse the files, so on a cluster the bundle
-must lie on a file system that all machines mount at the same place. Spark's own listing
-would pass over names that begin with '_' or '.', which a bundle may have.
+Reading and writing go through the data source of ``bundle_source``: tasks list, open and
+parse the files, so on a cluster the bundle must lie on a file system that all machines
+mount at the same place. Spark's own listing would pass over names that begin with '_' or
+'.', which a bundle may have.
 """
 
 from __future__ import annotations
@@ -15,106 +16,77 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..operators.concepts import project
 from . import markdown, yamlio
+from .bundle_source import CONCEPTS, FILES, LOGS, RESERVED, BundleSource
 
-RESERVED = ("index.md", "log.md")
-_READ = "source_path string, json string, body string, modified double, error string, " + markdown.FACTS
-#: Files that one task parses, about.
-FILES_A_TASK = 2_000
 _HIDDEN = {"node_modules", "dist", "build", "target", "dist-newstyle", "__pycache__"}
+_REGISTERED = "bundlespark.source"
 
 
 class BundleError(ValueError):
     """A file of the bundle that cannot be read as a concept."""
 
 
-def _paths(root: str) -> list[str]:
-    found = []
-    for at, dirs, files in os.walk(root):
-        dirs.sort()
-        found += [os.path.relpath(os.path.join(at, f), root).replace(os.sep, "/") for f in files if os.path.isfile(os.path.join(at, f))]
-    return sorted(found)
+def _register(spark: SparkSession) -> None:
+    if spark.conf.get(_REGISTERED, None) is None:
+        spark.dataSource.register(BundleSource)
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        spark.conf.set(_REGISTERED, "yes")
+
+
+def scan(spark: SparkSession, root: str, what: str = "concepts", columns: str = CONCEPTS) -> DataFrame:
+    """The rows of the data source; of ``columns`` only what they need is worked out."""
+    _register(spark)
+    return spark.read.format("bundle").option("what", what).option("prune", "true").schema(columns).load(root)
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
     """(path) of every regular file, reserved and other ones included."""
-    return spark.createDataFrame([(p,) for p in _paths(root)], "path string")
+    return scan(spark, root, "files", FILES)
 
 
 def directories(spark: SparkSession, root: str) -> DataFrame:
     """(dir) of every directory below the root."""
-    found = [os.path.relpath(os.path.join(at, d), root).replace(os.sep, "/") for at, dirs, _ in os.walk(root) for d in dirs]
-    return spark.createDataFrame([(d,) for d in sorted(found)], "dir string")
-
-
-def _listed(spark: SparkSession, paths: list[str]) -> DataFrame:
-    parts = max(1, -(-len(paths) // FILES_A_TASK))
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(parts, "path") if paths else spark.createDataFrame([], "path string")
+    return scan(spark, root, "dirs", FILES).withColumnRenamed("path", "dir")
 
 
-def read(spark: SparkSession, root: str, mode: str = "FAILFAST") -> DataFrame:
-    """Projected concepts of the bundle at ``root``, with Markdown facts, file times and errors.
+def read(spark: SparkSession, root: str, mode: str = "FAILFAST", facts: bool = True) -> DataFrame:
+    """Projected concepts of the bundle at ``root``, with Markdown facts (if asked), file times and errors.
 
-    FAILFAST raises BundleError for the first path that can't be read; PERMISSIVE keeps
-    such rows with the reason in ``error`` and no frontmatter.
+    FAILFAST raises BundleError for the smallest path that can't be read, found by a scan of
+    its own that reads frontmatter only and keeps nothing; PERMISSIVE keeps such rows with
+    the reason in ``error`` and no frontmatter.
     """
-    paths = [p for p in _paths(root) if p.endswith(".md") and p.rsplit("/", 1)[-1] not in RESERVED]
-
-    def parse(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for p in pdf["path"]:
-                full = os.path.join(root, p)
-                row = {"source_path": p, "json": None, "body": None, "modified": os.path.getmtime(full), "error": None}
-                try:
-                    with open(full, encoding="utf-8", newline="") as f:
-                        fm, row["body"] = yamlio.parse(f.read())
-                    row["json"] = yamlio.to_json(fm)
-                except (yamlio.DocumentError, UnicodeDecodeError) as e:
-                    row["error"] = str(e)
-                rows.append(row | markdown.facts(row["body"]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _READ.split(", ")])
-
-    raw = _listed(spark, paths).mapInPandas(parse, _READ)
     bad_id = F.when(ids.from_path(F.col("source_path")).isNull(), F.lit("the file's name makes no concept id"))
-    raw = raw.withColumn("concept_id", ids.from_path(F.col("source_path"))).withColumn("error", F.coalesce("error", bad_id))
-    raw = raw.withColumn("fm", F.parse_json(F.coalesce("json", F.lit("{}")))).drop("json")
+    error = F.coalesce("error", bad_id)
     if mode == "FAILFAST":
-        raw = raw.cache()
-        first = raw.where("error is not null").orderBy("source_path").select("source_path", "error").first()
-        if first:
+        wrong = scan(spark, root, columns="source_path string, error string").withColumn("error", error).where("error is not null")
+        first = wrong.agg(F.min(F.struct("source_path", "error")).alias("x")).select("x.*").first()
+        if first[0] is not None:
             raise BundleError(f"{first[0]}: {first[1]}")
-    return project(raw)
+    raw = scan(spark, root, columns=CONCEPTS if facts else "source_path string, json string, body string, modified double, error string")
+    raw = raw.withColumn("concept_id", ids.from_path(F.col("source_path"))).withColumn("error", error)
+    return project(raw.withColumn("fm", F.parse_json(F.coalesce("json", F.lit("{}")))).drop("json"))
 
 
 def read_logs(spark: SparkSession, root: str) -> DataFrame:
     """Rows of operators.logs for every log.md."""
-    def texts(batches):
-        for pdf in batches:
-            out = []
-            for p in pdf["path"]:
-                with open(os.path.join(root, p), encoding="utf-8") as f:
-                    out.append(f.read())
-            yield pdf.assign(text=out)
-
-    files = _listed(spark, [p for p in _paths(root) if p.rsplit("/", 1)[-1] == "log.md"])
-    return markdown.log_rows(files.mapInPandas(texts, "path string, text string"))
+    return markdown.log_rows(scan(spark, root, "logs", LOGS))
 
 
 def log_titles(spark: SparkSession, root: str) -> DataFrame:
     """(log_path, title) of every log.md and of those that could be beside a file; a log yet to be written is named after its directory."""
-    found = [p for p in _paths(root) if p.endswith(".md")]
-    at = sorted({os.path.join(os.path.dirname(p), "log.md") for p in found} | {"log.md"})
+    import pandas as pd
 
-    def title(p: str) -> str:
-        try:
-            with open(os.path.join(root, p), encoding="utf-8") as f:
-                return markdown.parse_log(f.read())[0]
-        except FileNotFoundError:
-            return f"{os.path.dirname(p) or 'Bundle'} Update Log"
+    @F.pandas_udf("string")
+    def title(texts):
+        return pd.Series([markdown.parse_log(t)[0] for t in texts], dtype=object)
 
-    return spark.createDataFrame([(p, title(p)) for p in at], "log_path string, title string")
+    own = scan(spark, root, "logs", LOGS).select(F.col("path").alias("log_path"), title("text").alias("own"))
+    at = inventory(spark, root).where(F.col("path").endswith(".md")).select(ids.directory(F.col("path")).alias("dir"))
+    at = at.unionByName(spark.createDataFrame([("",)], "dir string")).distinct()
+    named = at.withColumn("log_path", F.when(F.col("dir") == "", "log.md").otherwise(F.concat("dir", F.lit("/log.md"))))
+    unwritten = F.concat(F.when(F.col("dir") == "", "Bundle").otherwise(F.col("dir")), F.lit(" Update Log"))
+    return named.join(own, "log_path", "left").select("log_path", F.coalesce("own", unwritten).alias("title"))
 
 
 def changed_since(spark: SparkSession, root: str, revision: str) -> DataFrame:
@@ -188,15 +160,8 @@ def serialized(concepts: DataFrame) -> DataFrame:
 
 
 def write(concepts: DataFrame, root: str) -> None:
-    """Writes each concept's file below ``root``, a folder all tasks share; other files stay."""
-    def put(rows):
-        for r in rows:
-            path = os.path.join(root, r.source_path)
-            os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-            with open(path, "w", encoding="utf-8", newline="") as f:
-                f.write(r.text)
-
-    serialized(concepts).foreachPartition(put)
+    """Writes each concept's file below ``root``, all or none; other files stay."""
+    write_texts(serialized(concepts), root)
 
 
 def write_indexes(rendered: DataFrame, root: str) -> None:
@@ -205,11 +170,7 @@ def write_indexes(rendered: DataFrame, root: str) -> None:
 
 
 def write_texts(files: DataFrame, root: str) -> None:
-    def put(rows):
-        for r in rows:
-            path = os.path.join(root, r.source_path)
-            os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-            with open(path, "w", encoding="utf-8", newline="") as f:
-                f.write(r.text)
-
-    files.foreachPartition(put)
+    """Writes files from (source_path, text), all or none; see ``bundle_source``."""
+    _register(files.sparkSession)
+    os.makedirs(root, exist_ok=True)
+    files.select("source_path", "text").write.format("bundle").mode("append").save(root)
