@@ -76,6 +76,14 @@ def markdown_links(spark, d):
     return _notes(spark, d, body).select("concept_id", F.array_join("links", " ").alias("links"))
 
 
+@query("""select 'notes/' || p_partkey as concept_id, 'c' || p_partkey || '.md in' || p_partkey || '.md q.md ' || case p_partkey % 2 when 0 then 'e.md' else '(e).md' end || ' r' || (p_partkey % 3) || '.md' as links from part""")
+def markdown_nested_links(spark, d):
+    """The inner of two nested links, links in an image's text, links in and around emphasis, an image in a link."""
+    odd = F.when(_k() % 2 == 0, "e.md").otherwise("(e).md")
+    body = _text("[a [b](c", _k(), ".md)](d.md) and ![x [l](in", _k(), ".md)](i.png), [![p](p.png)](q.md), **bold *[e](", odd, ")* end**, <i title='[no](f.md)'>[a [r] b](g h)</i>\n\n[R]: r", _k() % 3, ".md\n")
+    return _notes(spark, d, body).select("concept_id", F.array_join("links", " ").alias("links"))
+
+
 @query("""select 'notes/' || p_partkey as source, 0 as link_pos, 'notes/x' || p_partkey as target from part union all select 'notes/' || p_partkey, 2, 'top' from part where p_partkey % 2 = 0""")
 def link_positions(spark, d):
     body = F.when(_k() % 2 == 0, _text("[a](x", _k(), ".md) [b](http://w) [c](../top.md#s)")).otherwise(_text("[a](./x", _k(), ".md)"))

@@ -1,20 +1,20 @@
 """What the operators need of Markdown: links, code blocks, footnotes, tables, logs.
 
-A block scanner (fenced and indented code, ATX and setext headings, lists, block quotes)
-and an inline scanner (code spans, escapes, inline and reference links, images,
-autolinks). HTML blocks hold no Markdown; entities in targets are decoded. Work is in
-proportion to the text.
+A block scanner (fenced and indented code, ATX and setext headings, lists, block quotes);
+what stands in a block is a tree, see ``inlines``. HTML blocks hold no Markdown. Work is
+in proportion to the text.
 """
 
 from __future__ import annotations
 
-import html
 import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import inlines
+
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
 _ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _ITEM = re.compile(r"^( {0,3})([-*+]|[0-9]{1,9}[.)])(?:( +)(.*)|)$")
@@ -22,13 +22,7 @@ _ITEM = re.compile(r"^( {0,3})([-*+]|[0-9]{1,9}[.)])(?:( +)(.*)|)$")
 _HTML = re.compile(r"^ {0,3}</?(?:address|article|aside|base|basefont|blockquote|body|caption|center|col|colgroup|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|frame|frameset|h[1-6]|head|header|hr|html|iframe|legend|li|link|main|menu|menuitem|nav|noframes|ol|optgroup|option|p|param|search|section|summary|table|tbody|td|tfoot|th|thead|title|tr|track|ul)(?:[\s/>]|$)", re.I)
 _RAW = ((re.compile(r"^ {0,3}<(?:script|pre|style|textarea)(?:[\s>]|$)", re.I), re.compile(r"</(?:script|pre|style|textarea)>", re.I)),
         (re.compile(r"^ {0,3}<!--"), re.compile("-->")), (re.compile(r"^ {0,3}<\?"), re.compile(r"\?>")), (re.compile(r"^ {0,3}<![A-Za-z]"), re.compile(">")))
-_ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);")
 _QUOTED = re.compile(r"(?: {0,3}> ?)*")
-_MARK = re.compile(r"\\.|`+|<[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*>|[\[\]]", re.S)
-_AUTOLINK = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*)>")
-_DESTINATION = re.compile(r"""\(\s*(?:<([^<>\n]*)>|((?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*))(?:\s+(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?\s*\)""")
-_LABEL = re.compile(r"\[([^\]]*)\]")
-_PLAIN = re.compile(r"[^\\`<\[!]+|.", re.S)
 _DEFINITION = re.compile(r"^ {0,3}\[(?!\^)([^\]]+)\]:[ \t]*<?([^\s>]+)>?")
 
 
@@ -112,99 +106,28 @@ def blocks(body: str) -> list[Block]:
     return out
 
 
-def _pairs(text: str) -> tuple[dict[int, int], dict[int, int]]:
-    """(where the code span that begins at a run of backticks ends, where the bracket that opens at a place closes), in one pass."""
-    from bisect import bisect_right
-
-    runs: dict[int, list[int]] = {}
-    for m in re.finditer("`+", text):
-        runs.setdefault(len(m[0]), []).append(m.start())
-    codes, brackets, opened, at = {}, {}, [], 0
-    while m := _MARK.search(text, at):
-        at = m.end()
-        if m[0][0] == "`":
-            same = runs.get(len(m[0]), [])
-            next_one = bisect_right(same, m.start())
-            if next_one < len(same):
-                codes[m.start()] = same[next_one]
-                at = same[next_one] + len(m[0])
-        elif m[0] == "[":
-            opened.append(m.start())
-        elif m[0] == "]" and opened:
-            brackets[opened.pop()] = m.start()
-    return codes, brackets
-
-
-def _inline(text: str):
-    """('code' | 'link' | 'image' | 'text', content) spans; for links the content is the raw target."""
-    i, n = 0, len(text)
-    codes, brackets = _pairs(text)
-    while i < n:
-        c = text[i]
-        if c == "\\" and i + 1 < n:
-            yield "text", text[i + 1]
-            i += 2
-        elif c == "`":
-            run = 1
-            while i + run < n and text[i + run] == "`":
-                run += 1
-            if i in codes:
-                yield "code", text[i + run:codes[i]].strip(" ")
-                i = codes[i] + run
-            else:
-                yield "text", text[i:i + run]
-                i += run
-        elif c == "<" and (m := _AUTOLINK.match(text, i)):
-            yield "link", ("url", m[1], m[1])
-            i = m.end()
-        elif c == "[" or (c == "!" and text[i + 1:i + 2] == "["):
-            image = c == "!"
-            start = i + 1 + image
-            end = brackets.get(start - 1)
-            if end is None:
-                yield "text", text[i:start]
-                i = start
-                continue
-            m = _DESTINATION.match(text, end + 1)
-            if m:
-                target = _ENTITY.sub(lambda e: html.unescape(e[0]), m[1] if m[1] is not None else m[2])
-                target = re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", target)
-                yield ("image" if image else "link"), ("url", target, text[start:end])
-                i = m.end()
-            elif not text.startswith("^", start):
-                label, m = text[start:end], _LABEL.match(text, end + 1)
-                ref = (m[1] or label) if m else label
-                yield ("image" if image else "link"), ("ref", " ".join(ref.lower().split()), label)
-                i = m.end() if m else end + 1
-            else:
-                yield "note", text[start + 1:end]
-                i = end + 1
-        else:
-            m = _PLAIN.match(text, i)
-            yield "text", m[0]
-            i = m.end()
-
-
-def links(body: str) -> list[str]:
-    """Targets of links in document order; images aren't links, what stands in code doesn't count."""
-    every = blocks(body)
-    known = {}
+def _definitions(every: list[Block]) -> dict[str, str]:
+    known: dict[str, str] = {}
     for b in every:
-        if b.kind == "text":
+        if b.kind == "text" and "]:" in b.text:
             for line in b.text.split("\n"):
                 if m := _DEFINITION.match(line):
-                    known.setdefault(" ".join(m[1].lower().split()), m[2])
-    out = []
+                    known.setdefault(inlines.label(m[1]), inlines.decoded(m[2]))
+    return known
+
+
+def _trees(every: list[Block]):
+    """The inline nodes of each block that isn't code, link definitions left out."""
+    known = _definitions(every)
     for b in every:
-        if b.kind == "code":
-            continue
-        text = "\n".join(line for line in b.text.split("\n") if not _DEFINITION.match(line)) if b.kind == "text" else b.text
-        for kind, x in _inline(text):
-            if kind == "link":
-                target = x[1] if x[0] == "url" else known.get(x[1])
-                if target is not None:
-                    out.append(target)
-    return out
+        if b.kind != "code":
+            text = "\n".join(line for line in b.text.split("\n") if not _DEFINITION.match(line)) if known and b.kind == "text" else b.text
+            yield inlines.parse(text, known)
+
+
+def links(body: str) -> list[str]:
+    """Targets of links in document order, those in an image's text too; images aren't links, what stands in code doesn't count."""
+    return [x.text for nodes in _trees(blocks(body)) for x in inlines.walk(nodes) if x.kind == "link"]
 
 
 def computation_blocks(body: str) -> list[str]:
@@ -223,11 +146,12 @@ def computation_blocks(body: str) -> list[str]:
 
 def footnotes(body: str) -> list[str]:
     """Labels of footnote references outside code, each once, in the order first seen; definitions don't count."""
-    out = []
-    for b in blocks(body):
-        if b.kind != "code":
+    every = blocks(body)
+    known, out = _definitions(every), []
+    for b in every:
+        if b.kind != "code" and "[^" in b.text:
             text = re.sub(r"(?m)^ {0,3}\[\^[^\]\s]+\]:", "", b.text)
-            out += [x for kind, x in _inline(text) if kind == "note" and x and not re.search(r"\s", x)]
+            out += [x.text for x in inlines.walk(inlines.parse(text, known)) if x.kind == "note" and x.text and not re.search(r"\s", x.text)]
     return list(dict.fromkeys(out))
 
 
@@ -248,10 +172,7 @@ def schema_columns(body: str) -> list[str] | None:
 
 def plain(text: str) -> str:
     """Inline text without its marks."""
-    out = ""
-    for kind, x in _inline(text):
-        out += x if kind in ("text", "code") else x[2] if kind in ("link", "image") else f"[^{x}]"
-    return re.sub(r"(\*\*|__|(?<!\w)[*_]|[*_](?!\w))", "", out)
+    return inlines.plain(inlines.parse(text, {}))
 
 
 def parse_log(text: str) -> tuple[str, list[tuple[str, list[tuple[str | None, str]]]]]:

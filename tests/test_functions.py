@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bundlespark.functions import actors, ids, paths, values
 from bundlespark.operators import filters
-from bundlespark.sources import markdown, yamlio
+from bundlespark.sources import inlines, markdown, yamlio
 
 
 def column(spark, items, build, kind="string"):
@@ -143,3 +144,45 @@ def test_authoring(spark):
         {"type": "T", "x": 1, "n": None, "sources": [{"resource": "/r", "id": "s", "usage_count": 3, "usage_window": {"from": "2024-01-01"}}]}]
     common = df.select(F.to_json(a.common(lit("T"), lit("t"), lit(None).cast("string"), tags=F.array(lit("x"))))).first()[0]
     assert json.loads(common) == {"type": "T", "title": "t", "tags": ["x"]}
+
+
+# -- inline Markdown --------------------------------------------------------------------
+
+
+def shown(nodes):
+    return "".join(n.text if n.kind == "text" else f"<{n.kind}{' ' + n.text if n.text else ''}>{shown(n.children)}</>" for n in nodes)
+
+
+@pytest.mark.parametrize("text,tree", [
+    ("[a [b](c.md)](d.md)", "[a <link c.md>b</>](d.md)"), ("![x [l](in.md)](i.png)", "<image i.png>x <link in.md>l</></>"), ("[![i](p.png)](q.md)", "<link q.md><image p.png>i</></>"),
+    ("*a **b** c*", "<em>a <strong>b</> c</>"), ("***a** b*", "<em><strong>a</> b</>"), ("a*b*c_d_e", "a<em>b</>c_d_e"), ("**a*", "*<em>a</>"), ("foo***bar***baz", "foo<em><strong>bar</></>baz"), ("* a *", "* a *"), ("*foo**bar*", "<em>foo**bar</>"),
+    ("*[z*](w.md)", "*<link w.md>z*</>"), ("**foo [*bar*](x) baz**", "<strong>foo <link x><em>bar</></> baz</>"), ("*a `*` b*", "<em>a <code *></> b</>"), ("`` ` ``", "<code `></>"),
+    ("[a](<b c> 't')", "<link b c>a</>"), ("[a](b(c(d)e)f)", "<link b(c(d)e)f>a</>"), ("[a](b", "[a](b"), ("[a](b c)", "[a](b c)"), ("[x][Ref] [ref][] [REF] [no][nope]", "<link R>x</> <link R>ref</> <link R>REF</> [no][nope]"),
+    ("[foo [ref]](z)", "[foo <link R>ref</>](z)"), ("[^n] \\[no](e) [^u](v)", "<note n></> [no](e) <link v>^u</>"), ("<a b='[n](o)'>[y](p)</a>", "<html <a b='[n](o)'>></><link p>y</><html </a>></>"),
+    ("<https://h/x> <a@b.c>", "<link https://h/x>https://h/x</> <link mailto:a@b.c>a@b.c</>"), ("a&amp;b &nope; &", "a&b &nope; &")])
+def test_inline_trees(text, tree):
+    assert shown(inlines.parse(text, {"ref": "R"})) == tree
+
+
+@pytest.mark.parametrize("text", ["[" * 100_000, "[a](b)" * 50_000, "[" * 50_000 + "]" * 50_000, "*a " * 50_000, "*a* " * 50_000, "**a *b " * 30_000, "[a](" * 50_000, "![" * 50_000 + "](x)" * 50_000, "<a b='" * 30_000, "_a__b___" * 20_000, "a**b" * 30_000 + "c* " * 30_000, "[*a" * 30_000 + "](x)" * 30_000])
+def test_inline_markdown_in_linear_time(text):
+    began = time.time()
+    markdown.links(text)
+    assert time.time() - began < 20
+
+
+@given(st.text("ab *_[]()!`\\<>&\n", max_size=40))
+@settings(max_examples=400, deadline=None)
+def test_no_link_is_in_a_link(text):
+    for x in inlines.walk(inlines.parse(text, {"a": "R"})):
+        assert x.kind != "link" or not any(y.kind == "link" and not y.text.startswith("a:") for y in inlines.walk(x.children))
+        assert x.kind != "text" or not x.children
+
+
+@given(st.text("ab *_", max_size=30))
+@settings(max_examples=400, deadline=None)
+def test_emphasis_takes_marks_away_and_nothing_else(text):
+    nodes = inlines.parse(text, {})
+    marks = sum(2 if x.kind == "em" else 4 for x in inlines.walk(nodes) if x.kind in ("em", "strong"))
+    said = inlines.plain(nodes)
+    assert len(said) + marks == len(text) and [c for c in said if c not in "*_"] == [c for c in text if c not in "*_"]
