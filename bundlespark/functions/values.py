@@ -111,6 +111,31 @@ def is_blank(x: Column) -> Column:
     return strip(x) == ""
 
 
+def repeated(keyed: Column) -> Column:
+    """The runs of two or more equal keys of array<struct<k, i, ...>>, each an array by place, in the order of their first places.
+
+    Elements are sorted together once; a run ends where the next begins, so the work after
+    the sort is in proportion to the list.
+    """
+    def runs(ys):
+        before = lambda j: F.get(ys, j - 1)["k"]
+        starts = F.filter(F.transform(ys, lambda y, j: F.when((j == 0) | (before(j) != y["k"]), j)), lambda j: j.isNotNull())
+
+        def cut(ss):
+            long = F.filter(F.transform(ss, lambda s, t: F.struct(s.alias("at"), (F.coalesce(F.get(ss, t + 1), F.size(ys)) - s).alias("n"))), lambda x: x["n"] > 1)
+            return F.sort_array(F.transform(long, lambda x: let(F.slice(ys, x["at"] + 1, x["n"]), lambda run: F.struct(run[0]["i"].alias("i"), run.alias("run")))))
+
+        return F.transform(let(starts, cut), lambda x: x["run"])
+
+    return let(F.sort_array(keyed), runs)  # sort_array: array_sort's default comparison is interpreted
+
+
+def key_of(r: Column) -> Column:
+    """``canonical`` of a value as ``read`` gives it."""
+    number = F.try_variant_get(r["v"], "$", "double").cast("string")
+    return F.concat(r["k"], F.lit(":"), F.when(r["k"] == "string", r["t"]).when(r["k"] == "number", number).otherwise(F.to_json(r["v"])))
+
+
 def canonical(v: Column) -> Column:
     """A string equal for equal scalars of one kind; numbers compare by value."""
     number = lambda w: F.try_variant_get(w, "$", "double").cast("string")

@@ -43,10 +43,22 @@ def fields(concepts: DataFrame) -> DataFrame:
     return each.select("concept_id", "key", t.alias("handle")).where(ids.handle(F.col("handle")).isNotNull()).orderBy("concept_id", "key")
 
 
-def unique_values(concepts: DataFrame, key: str, member: str) -> DataFrame:
-    """(concept_id, value, indexes): scalars that a list's records hold more than once under ``member``."""
-    each = concepts.select("concept_id", F.posexplode(F.coalesce(values.items(values.get(F.col("fm"), key)), F.expr("cast(array() as array<variant>)"))).alias("at", "x"))
-    some = each.select("concept_id", "at", values.get(F.col("x"), member).alias("v")).where(values.scalar_text(F.col("v")).isNotNull() & ~F.coalesce(values.is_blank(values.text(F.col("v"))), F.lit(False)))
-    keyed = some.select("concept_id", "at", values.canonical(F.col("v")).alias("k"), values.scalar_text(F.col("v")).alias("value"))
-    grouped = keyed.groupBy("concept_id", "k").agg(F.min_by("value", "at").alias("value"), F.sort_array(F.collect_list("at")).alias("indexes")).where(F.size("indexes") > 1)
-    return grouped.select("concept_id", "value", "indexes").orderBy("concept_id", F.col("indexes")[0])
+def unique_values(concepts: DataFrame, key: str, member: str, ordered: bool = True) -> DataFrame:
+    """(concept_id, value, indexes): scalars that a list's records hold more than once under ``member``.
+
+    Each concept is judged by itself, where its row is: nothing is shuffled but for the
+    order of the report, and concepts that share an id are kept apart.
+    """
+    xs = F.coalesce(values.items(values.get(F.col("fm"), key)), F.expr("cast(array() as array<variant>)"))
+
+    def keyed(x, i):
+        def of(r):
+            scalar = r["k"].isin("string", "number", "boolean") & ~F.coalesce(values.is_blank(r["t"]), F.lit(False))
+            return F.when(scalar, F.struct(values.key_of(r).alias("k"), i.alias("i"), F.coalesce(r["t"], F.to_json(r["v"])).alias("s")))
+
+        return values.let(values.read(values.get(x, member)), of)
+
+    runs = values.repeated(F.filter(F.transform(xs, keyed), lambda y: y.isNotNull()))
+    each = concepts.select("concept_id", F.explode(F.transform(runs, lambda run: F.struct(run[0]["s"].alias("value"), run["i"].alias("indexes")))).alias("run"))
+    out = each.select("concept_id", "run.value", "run.indexes")
+    return out.orderBy("concept_id", F.col("indexes")[0]) if ordered else out  # a sort by ranges works all of it out twice

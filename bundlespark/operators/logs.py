@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import ids, values
+from ..functions.trie import RadixTrie
+from .lineage import cut
+
+#: Logs, and characters of their paths, up to which they go to every worker.
+TRIE_LOGS, TRIE_BYTES = 200_000, 16 << 20
+#: Tasks that the rows that ask for one directory are dealt to.
+SALTS = 16
 
 
 def days(logs: DataFrame) -> DataFrame:
@@ -32,12 +39,6 @@ def check(logs: DataFrame) -> DataFrame:
     return bad.unionByName(empty).unionByName(order)
 
 
-def ancestors(path: Column) -> Column:
-    """The directories that enclose a file, '' (the root) first."""
-    at = F.filter(F.split(ids.directory(path), "/"), lambda s: ~s.isin("", "."))
-    return F.transform(F.sequence(F.lit(0), F.size(at)), lambda n: F.array_join(F.slice(at, F.lit(1), n), "/"))
-
-
 def _normal(path: Column) -> Column:
     return F.array_join(ids.segments(path), "/")
 
@@ -45,12 +46,63 @@ def _normal(path: Column) -> Column:
 def nearest(concepts: DataFrame, logs: DataFrame) -> DataFrame:
     """(concept_id, log_path): the log in the deepest directory around each concept; NULL if there is none.
 
-    A longest-prefix join as an equi-join: a concept looks up each directory around it.
+    A longest-prefix lookup. Directories of logs up to TRIE_LOGS and TRIE_BYTES go to every
+    worker as a trie, and a concept's row is answered where it is. More of them are met by
+    the directories of the concepts, each once: a directory without a log points to the one
+    above it, and pointers are doubled until all have arrived, see ``_climb``.
     """
     at = logs.select("log_path").distinct().select("log_path", _normal(ids.directory(F.col("log_path"))).alias("dir"))
-    up = concepts.select("concept_id", F.posexplode(ancestors(F.col("source_path"))).alias("depth", "dir"))
-    found = up.join(at, "dir").groupBy("concept_id").agg(F.max_by("log_path", "depth").alias("log_path"))
-    return concepts.select("concept_id").distinct().join(found, "concept_id", "left")
+    at = at.groupBy("dir").agg(F.min("log_path").alias("log_path"))
+    here = concepts.select("concept_id", _normal(ids.directory(F.col("source_path"))).alias("dir"))
+    size = at.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("log_path")), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= TRIE_LOGS and size["bytes"] <= TRIE_BYTES:
+        found = here.withColumn("log_path", _trie_lookup(at)(F.col("dir")))
+    else:
+        found = _climb(here, at)
+    return found.groupBy("concept_id").agg(F.max_by("log_path", F.length("log_path")).alias("log_path"))
+
+
+def _trie_lookup(at: DataFrame):
+    import pandas as pd
+
+    trie = RadixTrie()
+    for r in at.collect():  # at most TRIE_LOGS rows
+        trie.put(tuple(r["dir"].split("/")) if r["dir"] else (), r["log_path"])
+    shared = at.sparkSession.sparkContext.broadcast(trie)
+
+    @F.pandas_udf("string")
+    def deepest(dirs):
+        known: dict[str, str | None] = {}
+        for d in dirs:
+            if d not in known:
+                known[d] = shared.value.deepest(tuple(d.split("/")) if d else ())
+        return pd.Series([known[d] for d in dirs], dtype=object)
+
+    return deepest
+
+
+def _climb(here: DataFrame, at: DataFrame) -> DataFrame:
+    """``here`` with the log of the deepest directory around each, by joins over distinct directories.
+
+    The root, which every directory would ask, is asked once; rows that ask for one
+    directory are dealt to SALTS tasks.
+    """
+    spark = here.sparkSession
+    root = at.where("dir = ''").select("log_path").first()
+    dirs = here.select("dir").distinct()
+    parts = F.split("dir", "/")
+    every = dirs.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("dir")).where("dir <> ''").distinct()
+    parent = F.when(F.col("log_path").isNull() & F.col("dir").contains("/"), F.regexp_replace("dir", "/[^/]*$", ""))
+    now = cut(every.join(at.where("dir <> ''"), "dir", "left").withColumn("up", parent))
+    while not now.where("up is not null").isEmpty():
+        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        above = now.select(F.col("dir").alias("up"), F.col("log_path").alias("found"), F.col("up").alias("further"), salt.alias("salt"))
+        climbing = now.where("up is not null").withColumn("salt", F.pmod(F.xxhash64("dir"), F.lit(SALTS)).cast("int"))
+        climbed = climbing.join(above, ["up", "salt"]).select("dir", F.col("found").alias("log_path"), F.col("further").alias("up"))
+        now = cut(now.where("up is null").select("dir", "log_path", "up").unionByName(climbed))
+    own = now.select(F.col("dir").alias("asked"), "log_path")
+    found = here.join(own, F.col("dir") == F.col("asked"), "left").drop("asked")
+    return found.withColumn("log_path", F.coalesce("log_path", F.lit(root[0] if root else None).cast("string")))
 
 
 def recorded_date(fm: Column) -> Column:

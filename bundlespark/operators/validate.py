@@ -38,7 +38,7 @@ def _source_problems(fm: Column, labels: Column) -> Column:
     at = F.filter(F.transform(entries, lambda x, i: F.when((values.kind(x) == "object") & solid(values.text(values.get(x, "resource"))).isNull(), i)), lambda i: i.isNotNull())
     missing = F.transform(at, lambda i: _problem("SourceMissingResource", i.cast("string")))
     own = F.filter(F.transform(entries, lambda x: solid(values.text(values.get(x, "id")))), lambda x: x.isNotNull())
-    again = F.filter(F.array_distinct(own), lambda x: F.size(F.filter(own, lambda y: y == x)) > 1)
+    again = F.transform(values.repeated(F.transform(own, lambda x, i: F.struct(x.alias("k"), i.alias("i")))), lambda run: run[0]["k"])
     stripped = F.array_distinct(F.transform(own, values.strip))
     unknown = F.transform(F.array_except(labels, stripped), lambda x: _problem("FootnoteLabelNotInSources", x))
     uncited = F.when(F.size(labels) > 0, F.transform(F.array_except(stripped, labels), lambda x: _problem("SourceIdNotCited", x))).otherwise(F.expr(_NONE))

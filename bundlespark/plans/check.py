@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import actors, ids, paths, values
+from ..functions import actors, ids, paths, posix, values
 from ..operators import handles
 from ..operators.concepts import CORE_KEYS
 from .profile import ANY, LIST, OBJECT, SCALAR, Compiled, Rule
@@ -121,17 +121,11 @@ def _repeated(rule: Rule, xs: Column) -> Column:
     member = next(r for r in rule.elements if r.field == rule.unique_by)
 
     def keyed(x, i):
-        key = lambda r: F.when((values.kind(x) == "object") & (state(member, r) == "present"), values.canonical(r["v"]))
+        key = lambda r: F.when(state(member, r) == "present", values.key_of(r))
         return values.let(values.read(values.get(x, member.field)), lambda r: F.struct(key(r).alias("k"), i.alias("i"), shown(r["v"]).alias("s")))
 
-    def run(ys):  # ys is sorted by key and place: a value's first occurrence is one whose predecessor has another key
-        first = lambda y, j: (j == 0) | (ys[F.greatest(j - 1, F.lit(0))]["k"] != y["k"])
-        more = lambda y, j: F.coalesce(F.get(ys, j + 1)["k"] == y["k"], F.lit(False))
-        starts = F.filter(F.transform(ys, lambda y, j: F.when(first(y, j) & more(y, j), F.struct(y["i"].alias("i"), j.alias("j"), y["k"].alias("k"), y["s"].alias("s")))), lambda y: y.isNotNull())
-        where = lambda y: F.array_join(F.transform(F.filter(F.slice(ys, y["j"] + 1, F.size(ys)), lambda z: z["k"] == y["k"]), lambda z: z["i"].cast("string")), ", ")
-        return F.transform(F.array_sort(starts), lambda y: _one("DuplicateNestedFieldValue", f"{rule.field}.{rule.unique_by}", F.concat(y["s"], F.lit(" at ["), where(y), F.lit("]"))))
-
-    return values.let(F.array_sort(F.filter(F.transform(xs, keyed), lambda y: y["k"].isNotNull())), run)
+    said = lambda run: _one("DuplicateNestedFieldValue", f"{rule.field}.{rule.unique_by}", F.concat(run[0]["s"], F.lit(" at ["), F.array_join(F.transform(run, lambda y: y["i"].cast("string")), ", "), F.lit("]")))
+    return F.transform(values.repeated(F.filter(F.transform(xs, keyed), lambda y: y["k"].isNotNull())), said)
 
 
 def _rule(rule: Rule, v: Column, strict: bool, sibling, path, nested: bool = False) -> Column:
@@ -268,7 +262,7 @@ def references(concepts: DataFrame, c: Compiled) -> DataFrame:
     def judged(ref):
         external = F.when(F.col("scheme").isNull(), "MalformedDocumentReference").when(~F.col("scheme").isin(list(ref.schemes)), "ExternalReferenceSchemeNotAllowed")
         if ref.pattern is not None:
-            external = external.when(~F.col("raw").rlike(f"^(?:{ref.pattern})$"), "ExternalReferencePatternMismatch")
+            external = external.when(~F.col("raw").rlike(posix.whole(ref.pattern)), "ExternalReferencePatternMismatch")
         local = (F.when(F.lit(not ref.allow_local), "LocalDocumentReferenceNotAllowed").when(F.col("h.prefix") != ref.prefix, "ReferenceHandlePrefixMismatch")
                  .when(F.col("owners").isNull(), "DanglingHandleReference").when((F.col("own_handle") == F.col("handle")) & (not ref.allow_self), "SelfDocumentReference"))
         return F.when(F.col("raw").isNull(), "MalformedDocumentReference").when(F.col("h").isNotNull(), local).otherwise(external)

@@ -9,7 +9,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ids, values
+from ..functions import ids, posix, values
 from ..operators import concepts, filters, graph, handles, index, logs, show, validate
 from ..operators.concepts import from_rows, project
 from ..sources import bundle, carriers, markdown
@@ -288,6 +288,18 @@ def profile_unique_by(spark, d):
     return _checked(carriers.orders(spark, d), _profile(rules))
 
 
+_POSIX = ["[[:digit:]]+", "x[]a]*", "[a&&b]", "[^[:space:]]+", "(Brand|x)#[1-3]{2}", "Brand.[^]-]+", "[[:alpha:]#]+[[.1.]-5]{1,2}", "B(r|ra)(nd|and)?#.*"]
+
+
+@query("select 'notes/' || p_partkey as concept_id, p as pattern, regexp_full_match(t, p) as matched from part, (values (p_brand), (cast(p_partkey as varchar)), ('x]a' || p_size), ('x]a'), ('&'), ('a b')) s(t), (values "
+       + ", ".join(f"('{p}')" for p in _POSIX if "[." not in p) + ") r(p)")
+def posix_patterns(spark, d):
+    texts = F.array("p_brand", _k().cast("string"), _text("x]a", F.col("p_size")), F.lit("x]a"), F.lit("&"), F.lit("a b"))
+    each = carriers.table(spark, d, "part").select(_text("notes/", _k()).alias("concept_id"), F.explode(texts).alias("t"))
+    rows = F.array(*[F.struct(F.lit(p).alias("pattern"), F.col("t").rlike(posix.whole(p)).alias("matched")) for p in _POSIX if "[." not in p])
+    return each.select("concept_id", F.explode(rows).alias("x")).select("concept_id", "x.pattern", "x.matched")
+
+
 _URI = "case p_partkey % 4 when 0 then 'ticket:AB-' || p_partkey when 1 then 'ticket:ab' when 2 then 'mail:x' else 'no uri' end"
 
 
@@ -295,7 +307,7 @@ _URI = "case p_partkey % 4 when 0 then 'ticket:AB-' || p_partkey when 1 then 'ti
  'about' as path, '"' || {_URI} || '"' as detail from part where p_partkey % 4 > 0""")
 def profile_uri_pattern(spark, d):
     raw = F.when(_k() % 4 == 0, _text("ticket:AB-", _k())).when(_k() % 4 == 1, "ticket:ab").when(_k() % 4 == 2, "mail:x").otherwise("no uri")
-    rules = [{"field": "about", "reference": {"localPrefix": "PRT", "allowLocal": False, "externalUriSchemes": ["ticket"], "externalUriPattern": "ticket:[A-Z]{2}-[0-9]+"}}]
+    rules = [{"field": "about", "reference": {"localPrefix": "PRT", "allowLocal": False, "externalUriSchemes": ["ticket"], "externalUriPattern": "ticket:[[:upper:]]{2}-[[:digit:]]+"}}]
     return _checked(_notes(spark, d, F.lit(""), F.struct(F.lit("Note").alias("type"), raw.alias("about")), facts=False), _profile({"optional": rules}))
 
 

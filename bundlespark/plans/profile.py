@@ -10,6 +10,7 @@ import json
 import re
 from dataclasses import dataclass, field, replace
 
+from ..functions import posix
 from ..functions.ids import KNOWN_VERSION, parse_version
 from ..operators.concepts import CORE_KEYS
 
@@ -298,12 +299,10 @@ def _check_scope(profile: Profile, rules, raw, scope, prefix, errors, version) -
 
 
 def bad_pattern(pattern: str) -> str | None:
-    """Why ``pattern`` is no POSIX extended expression that means the same to Java; None if it does."""
-    if re.search(r"\(\?|[*+?}]\?|[*+?}]\+|\\[A-Za-z0-9]", pattern):
-        return "uses look-around, lazy or possessive repeats, or letter escapes"
+    """Why ``pattern`` is no POSIX extended expression; None if it is one."""
     try:
-        re.compile(pattern)
-    except re.error as e:
+        posix.to_java(pattern)
+    except posix.PatternError as e:
         return str(e)
     return None
 

@@ -1,6 +1,7 @@
 """Small bundles on disk, with exact expected rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from bundlespark.functions.ids import Gate
 from bundlespark.operators import computations, concepts, filters, graph, handles, index, logs, provenance, trust, validate
@@ -235,3 +236,48 @@ def test_markdown_blocks_and_entities():
     from bundlespark.sources import markdown
 
     assert markdown.links("<table>\n[a](a.md)\n</table>\n\n[b](b.md?x=1&amp;y) <!-- [c](c.md) -->\n\n<!--\n[d](d.md)\n\n[e](e.md)\n-->\n\n[f](f&#46;md)\n") == ["b.md?x=1&y", "f.md"]
+
+
+# -- nearest logs, lists held by one concept ------------------------------------------------
+
+
+def lookup(paths, logs_at):
+    def one(p):
+        at = p.split("/")[:-1]
+        return next((d + "/log.md" if d else "log.md" for n in range(len(at), -1, -1) if (d := "/".join(at[:n])) in logs_at), None)
+
+    return {p[:-3]: one(p) for p in paths}
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+@pytest.mark.parametrize("root", [True, False])
+def test_nearest_logs(spark, monkeypatch, most, root):
+    """By a trie, and by joins over directories where it is too large."""
+    import random
+
+    monkeypatch.setattr(logs, "TRIE_LOGS", most)
+    monkeypatch.setattr(logs, "SALTS", 3)
+    r = random.Random(3)
+    paths = ["/".join([r.choice("abc") + r.choice(["", "x"]) for _ in range(r.randint(0, 7))] + [f"c{i}.md"]) for i in range(300)]
+    at = {"/".join(p.split("/")[:r.randint(1, 4)]) for p in r.sample(paths, 25)} - {p for p in paths} - {""} | ({""} if root else set())
+    at = {d for d in at if not d.endswith(".md")}
+    c = spark.createDataFrame([(p[:-3], p) for p in paths], "concept_id string, source_path string")
+    held = spark.createDataFrame([(d + "/log.md" if d else "log.md",) for d in sorted(at)], "log_path string")
+    assert dict(map(tuple, logs.nearest(c, held).collect())) == lookup(paths, at)
+    assert dict(map(tuple, logs.nearest(c, held.limit(0)).collect())) == dict.fromkeys(p[:-3] for p in paths)
+
+
+def test_one_root_log_is_no_hot_key(spark):
+    c = spark.range(1000).select(F.concat(F.lit("d/"), F.col("id").cast("string")).alias("concept_id")).withColumn("source_path", F.concat("concept_id", F.lit(".md")))
+    plan = logs.nearest(c, spark.createDataFrame([("log.md",)], "log_path string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and plan.count("Exchange hashpartitioning(concept_id") == 1
+
+
+def test_concepts_that_share_an_id_keep_their_lists(spark):
+    rows = [("a/b", '{"xs":[{"n":"x"}]}'), ("a/b", '{"xs":[{"n":"x"}]}'), ("c", '{"xs":[{"n":"y"},{"n":1},{"n":"y"},3,{"n":1.0},{"n":" "},{"n":" "}]}'), ("d", "{}")]
+    c = spark.createDataFrame(rows, "concept_id string, j string").select("concept_id", F.parse_json("j").alias("fm"))
+    found = handles.unique_values(c, "xs", "n")
+    assert [tuple(r) for r in found.collect()] == [("c", "y", [0, 2]), ("c", "1", [1, 4])]
+    many = spark.range(1).select(F.lit("z").alias("concept_id"), F.parse_json(F.to_json(F.struct(F.transform(F.sequence(F.lit(0), F.lit(49_999)), lambda n: F.struct((n % 25_000).alias("n"))).alias("xs")))).alias("fm"))
+    assert handles.unique_values(many, "xs", "n").count() == 25_000
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from bundlespark.functions import actors, ids, paths, values
+from bundlespark.functions import actors, ids, paths, posix, trie, values
 from bundlespark.operators import filters
 from bundlespark.sources import inlines, markdown, yamlio
 
@@ -186,3 +186,43 @@ def test_emphasis_takes_marks_away_and_nothing_else(text):
     marks = sum(2 if x.kind == "em" else 4 for x in inlines.walk(nodes) if x.kind in ("em", "strong"))
     said = inlines.plain(nodes)
     assert len(said) + marks == len(text) and [c for c in said if c not in "*_"] == [c for c in text if c not in "*_"]
+
+
+# -- POSIX patterns, tries, runs ----------------------------------------------------------
+
+
+@pytest.mark.parametrize("pattern,yes,no", [
+    ("[[:digit:]]+", ["12", "0"], ["", "d", ":", "1a"]), ("[]a]", ["]", "a"], ["", "]a", "["]), ("[^]a]", ["b", "["], ["]", "a", "\n"]), ("[a&&b]", ["a", "b", "&"], ["&&", "c"]), ("[^[:space:]]", ["x", "\\"], [" ", "\t", "\n"]),
+    ("a{2}b{1,}c{0,1}", ["aab", "aabbc"], ["ab", "aac", "aabcc"]), ("a|bc", ["a", "bc"], ["ac", "b"]), ("(a|ab)(c|bcd)", ["abcd", "ac", "abc"], ["abcdd"]), ("a.c", ["abc", "a.c"], ["a\nc", "ac"]),
+    ("[a\\]", ["\\", "a"], [""]), ("\\d\\.", ["d."], ["1.", "dx"]), ("[a-c-]", ["-", "b"], ["d"]), ("[--/]", ["-", ".", "/"], [","]), ("[[.-.]x[=y=]]", ["-", "x", "y"], ["z"]), ("x{", ["x{"], ["x"]), ("a]b}", ["a]b}"], ["ab"]),
+    ("^a$", ["a"], ["^a$"]), ("x\n^y", ["x\ny"], ["x^y"]), ("[[:upper:]é]+", ["AÉ".replace("É", "é")], ["a"]), ("\\<ab\\>.*", ["ab", "ab c"], ["abc"])])
+def test_posix_patterns(spark, pattern, yes, no):
+    got = column(spark, yes + no, lambda x: x.rlike(posix.whole(pattern)))
+    assert got == [True] * len(yes) + [False] * len(no)
+
+
+@pytest.mark.parametrize("pattern", ["", "a||b", "(", ")", "(a", "*a", "a**", "a+?", "[a", "[[:nope:]]", "[z-a]", "a{3,2}", "a{999}", "\\", "[[.ab.]]", "(?=x)", "()", "a|"])
+def test_what_is_not_posix(pattern):
+    with pytest.raises(posix.PatternError):
+        posix.to_java(pattern)
+
+
+@given(st.lists(st.tuples(st.lists(st.sampled_from("abc"), max_size=5), st.integers(0, 99)), max_size=20), st.lists(st.lists(st.sampled_from("abcd"), max_size=7), max_size=10))
+def test_tries_find_the_longest_prefix(held, asked):
+    tree, plain = trie.RadixTrie(), {}
+    for path, value in held:
+        tree.put(tuple(path), str(value))
+        plain[tuple(path)] = str(value)
+    for path in asked:
+        want = next((plain[tuple(path[:n])] for n in range(len(path), -1, -1) if tuple(path[:n]) in plain), None)
+        assert tree.deepest(tuple(path)) == want
+
+
+def test_runs(spark):
+    lists = [["b", "a", "b", "c", "a", "b"], [], ["x"], ["z", "z"]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<string>")
+    got = df.orderBy("i").select(F.transform(values.repeated(F.transform("x", lambda k, i: F.struct(k.alias("k"), i.alias("i")))), lambda run: F.struct(run[0]["k"].alias("k"), run["i"].alias("i"))).alias("r")).collect()
+    assert [[(x.k, x.i) for x in r.r] for r in got] == [[("b", [0, 2, 5]), ("a", [1, 4])], [], [], [("z", [0, 1])]]
+    began = time.time()
+    long = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(99_999)), lambda n: F.struct((n % 50_000).alias("k"), n.alias("i"))).alias("x"))
+    assert long.select(F.size(values.repeated(F.col("x")))).first()[0] == 50_000 and time.time() - began < 20

