@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, posix, values
 from ..operators import concepts, filters, graph, handles, index, logs, show, validate
 from ..operators.concepts import from_rows, project
-from ..sources import bundle, carriers, markdown
+from ..sources import bundle, carriers, markdown, store
 from . import check, docgen, profile, registry
 from .catalogue import _profile, query
 
@@ -468,3 +468,25 @@ def bundle_on_disk(spark, d):
 def filter_selectors(spark, d):
     wanted = [filters.parse_equals("type=Nation"), filters.present("description")]
     return filters.where(carriers.nations(spark, d), wanted).select("concept_id", F.concat(F.lit("nations/"), F.regexp_extract(values.text(values.get(F.col("fm"), "description")), "[0-9]+", 0)).alias("stated"))
+
+
+def _stored(spark, d) -> DataFrame:
+    """Customers as a stored corpus, in a folder of its own."""
+    at = "file://" + os.path.join(_scratch(spark), "customers")
+    store.save(carriers.customers(spark, d), at)
+    return store.load(spark, at)
+
+
+_STATUS = "case when c_acctbal < 0 then 'deprecated' when c_custkey % 3 = 0 then 'draft' end"
+
+
+@query(f"select 'customers/' || c_custkey as concept_id from customer where c_mktsegment in ('BUILDING', 'MACHINERY') and {_STATUS} = 'draft'")
+def stored_filter(spark, d):
+    wanted = [filters.parse_equals(x) for x in ("type=Customer", "tags=BUILDING", "tags=MACHINERY", "status=draft")]
+    return store.where(_stored(spark, d), wanted).select("concept_id")
+
+
+@query(f"""select 'customers/' || c_custkey as concept_id, 'Customer' as type, coalesce({_STATUS}, '-') as status, c_mktsegment || ', nation-' || c_nationkey as tags, 'process:load' || c_nationkey as "generated.by", c_name as title
+ from customer where c_acctbal >= 0 and c_custkey % 3 <> 0 and c_custkey % 5 = 0""")
+def stored_listing(spark, d):
+    return store.listing(_stored(spark, d), [filters.absent("status"), filters.present("note"), filters.present("generated.by")], ["status", "tags", "generated.by"])
