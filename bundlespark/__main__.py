@@ -141,8 +141,8 @@ def main(argv=None) -> int:
     elif a.command == "concepts":
         put(filters.where(c, wanted).selectExpr("to_json(fm) as json") if a.json else filters.listing(c, wanted, a.show))
     elif a.command == "index":
-        text = index.render(c, bundle.inventory(spark, root), a.declare_version or bundle.declared_version(root), bundle.directories(spark, root))
-        bundle.write_indexes(text, root) if a.write else put(text)
+        given = (c, bundle.inventory(spark, root), a.declare_version or bundle.declared_version(root), bundle.directories(spark, root))
+        bundle.write_index_lines(index.lines(*given), root) if a.write else put(index.render(*given))
     elif a.command == "log":
         found = bundle.read_logs(spark, root)
         if a.add is not None:

@@ -50,14 +50,26 @@ def is_reserved(path: Column) -> Column:
 
 
 def handle(x: Column) -> Column:
-    """struct<prefix, number> of PREFIX-N; NULL if it isn't one. Numbers over 38 digits aren't."""
+    """struct<prefix, number> of PREFIX-N, the number as its digits, however many; NULL if it isn't one."""
     def whole(t):
-        number = F.regexp_extract(t, HANDLE, 2)
-        return F.when(t.rlike(HANDLE) & ~t.endswith("\n") & (F.length(number) <= 38), F.struct(F.regexp_extract(t, HANDLE, 1).alias("prefix"), number.try_cast("decimal(38,0)").alias("number")))
+        return F.when(t.rlike(HANDLE) & ~t.endswith("\n"), F.struct(*[F.regexp_extract(t, HANDLE, i).alias(name) for i, name in ((1, "prefix"), (2, "number"))]))
 
     return F.transform(F.array(x), whole)[0]  # the text is worked out once, whatever it takes
 
 
+def by_number(number: Column) -> list[Column]:
+    """Order of digits without leading zeros by what they count."""
+    return [F.length(number), number]
+
+
+def successor(number: Column) -> Column:
+    """The digits of one more: the last that is no nine is raised, the nines after it turn to zeros."""
+    nines = F.length(F.regexp_extract(number, "9*$", 0))
+    at = F.length(number) - nines
+    raised = F.concat(F.substring(number, F.lit(1), at - 1), (F.substring(number, at, F.lit(1)).cast("int") + 1).cast("string"))
+    return F.concat(F.when(at > 0, raised).otherwise("1"), F.repeat(F.lit("0"), nines))
+
+
 def is_date(x: Column) -> Column:
     """YYYY-MM-DD that the calendar has."""
     return F.coalesce(x.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(x, "yyyy-MM-dd").isNotNull(), F.lit(False))

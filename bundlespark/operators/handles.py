@@ -10,15 +10,16 @@ from ..functions import ids, values
 
 
 def in_bundle(concepts: DataFrame, key: str) -> DataFrame:
-    """(prefix, number, concept_id) of every valid handle under ``key``."""
+    """(prefix, number, concept_id) of every valid handle under ``key``; numbers are digits, of any length, in the order of what they count."""
     found = concepts.select("concept_id", ids.handle(values.text(values.get(F.col("fm"), key))).alias("h")).where("h is not null")
-    return found.select("h.prefix", "h.number", "concept_id").orderBy("prefix", "number", "concept_id")
+    return found.select("h.prefix", "h.number", "concept_id").orderBy("prefix", *ids.by_number(F.col("number")), "concept_id")
 
 
 def next_number(concepts: DataFrame, key: str, prefix: str) -> DataFrame:
     """(prefix, number): one above the largest in use; gaps are never filled, an unused prefix starts at 1."""
     used = in_bundle(concepts, key).where(F.col("prefix") == prefix)
-    return used.agg((F.coalesce(F.max("number"), F.lit(0)) + 1).cast("decimal(38,0)").alias("number")).select(F.lit(prefix).alias("prefix"), "number")
+    largest = F.max(F.struct(*ids.by_number(F.col("number"))))["number"]
+    return used.agg(largest.alias("largest")).select(F.lit(prefix).alias("prefix"), F.coalesce(ids.successor(F.col("largest")), F.lit("1")).alias("number"))
 
 
 def duplicates(concepts: DataFrame, key: str) -> DataFrame:

@@ -25,6 +25,48 @@ def _parents(paths: DataFrame) -> DataFrame:
     return paths.select(F.explode(steps).alias("x")).select("x.dir", "x.child").distinct()
 
 
+def _there(projected: DataFrame, steps: DataFrame) -> DataFrame:
+    """(dir) of every directory that has an index: those that hold something, and the root of a bundle with concepts."""
+    return steps.select(F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), F.col("child")).alias("dir")).unionByName(projected.select(F.lit("").alias("dir")).limit(1)).distinct()
+
+
+def _front(version: str) -> str:
+    quoted = version.replace("\\", "\\\\").replace('"', '\\"')
+    return f'---\nokf_version: "{quoted}"\n---\n\n'
+
+
+#: What lines are put together by.
+ORDER = ["dir", "rank", "type", "step", "name", "text"]
+
+
+def lines(projected: DataFrame, inventory: DataFrame | None = None, version: str | None = None, directories: DataFrame | None = None) -> DataFrame:
+    """(dir, rank, type, step, name, text): the lines of every index that ``render`` makes, a row each.
+
+    The texts of a directory, in the order of the columns, are its index. A section is its
+    heading (step 0), its entries (1) and the line that ends it (2), so nothing is gathered
+    and a directory may be of any size; ``sources.bundle.write_index_lines`` writes them.
+    Concepts without a type are in no section.
+    """
+    steps = _parents(projected.select(F.col("source_path").alias("path")) if inventory is None else inventory.select("path"))
+    if directories is not None:
+        steps = steps.unionByName(_parents(directories.select(F.concat("dir", F.lit("/")).alias("path")))).distinct()
+    entry = lambda rank, kind, name, text: ["dir", F.lit(rank).alias("rank"), kind.alias("type"), F.lit(1).alias("step"), name.alias("name"), F.concat(text, F.lit("\n")).alias("text")]
+    every = bullets(projected).where("type is not null").select(*entry(3, F.col("type"), F.col("source_path"), F.col("bullet")))
+    child = F.col("child")
+    every = every.unionByName(steps.select(*entry(1, F.lit("Subdirectories"), child, F.concat(F.lit("- ["), child, F.lit("/]("), child, F.lit("/index.md)")))))
+    if inventory is not None:
+        other = inventory.where(~ids.is_reserved(F.col("path"))).join(projected.select(F.col("source_path").alias("path")), "path", "left_anti")
+        other = other.select(ids.directory(F.col("path")).alias("dir"), ids.base_name(F.col("path")).alias("f")).distinct()
+        every = every.unionByName(other.select(*entry(2, F.lit("Files"), F.col("f"), F.concat(F.lit("- ["), "f", F.lit("]("), "f", F.lit(")")))))
+    end = lambda step, text: F.struct(F.lit(step).alias("step"), F.lit("").alias("name"), text.alias("text"))
+    ends = F.array(end(0, F.concat(F.lit("# "), F.col("type"), F.lit("\n\n"))), end(2, F.lit("\n")))
+    sections = every.select("dir", "rank", "type").distinct().select("dir", "rank", "type", F.explode(ends).alias("x")).select("dir", "rank", "type", "x.*")
+    there = _there(projected, steps)
+    alone = lambda rows, rank, text: rows.select("dir", F.lit(rank).alias("rank"), F.lit("").alias("type"), F.lit(0).alias("step"), F.lit("").alias("name"), F.lit(text).alias("text"))
+    out = every.unionByName(sections).unionByName(alone(there.join(every.select("dir").distinct(), "dir", "left_anti"), 4, "\n"))
+    return out if version is None else out.unionByName(alone(there.where("dir = ''"), 0, _front(version)))
+
+
 def render(projected: DataFrame, inventory: DataFrame | None = None, version: str | None = None, directories: DataFrame | None = None) -> DataFrame:
     """(dir, text): the index of every directory; the root's carries ``version`` as frontmatter if given.
 
@@ -47,9 +89,7 @@ def render(projected: DataFrame, inventory: DataFrame | None = None, version: st
         every = every.unionByName(other.select("dir", F.lit(2).alias("rank"), F.lit("Files").alias("type"), F.transform("f", lambda f: F.concat(F.lit("- ["), f, F.lit("]("), f, F.lit(")"))).alias("b")))
     section = F.concat(F.lit("# "), F.col("type"), F.lit("\n\n"), F.array_join("b", "\n"))
     text = every.groupBy("dir").agg(F.sort_array(F.collect_list(F.struct("rank", "type", section.alias("s")))).alias("x")).select("dir", F.concat(F.array_join("x.s", "\n\n"), F.lit("\n\n")).alias("text"))
-    here = steps.select(F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), F.col("child")).alias("dir")).unionByName(projected.select(F.lit("").alias("dir")).limit(1)).distinct()
-    text = here.join(text, "dir", "full").select("dir", F.coalesce("text", F.lit("\n")).alias("text"))
+    text = _there(projected, steps).join(text, "dir", "full").select("dir", F.coalesce("text", F.lit("\n")).alias("text"))
     if version is None:
         return text
-    quoted = version.replace("\\", "\\\\").replace('"', '\\"')
-    return text.withColumn("text", F.when(F.col("dir") == "", F.concat(F.lit(f'---\nokf_version: "{quoted}"\n---\n\n'), "text")).otherwise(F.col("text")))
+    return text.withColumn("text", F.when(F.col("dir") == "", F.concat(F.lit(_front(version)), "text")).otherwise(F.col("text")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import actors, paths
@@ -40,7 +40,11 @@ def computation(projected: DataFrame, raw: str, inventory: DataFrame) -> tuple[s
     return "file", path
 
 
+def menu_order(by: str = "modified") -> list[Column]:
+    """Last modified first, unknown times last, then by id; or by id alone."""
+    return [*([F.desc_nulls_last("modified")] if by == "modified" else []), F.col("concept_id")]
+
+
 def menu(projected: DataFrame, by: str = "modified") -> DataFrame:
-    """Concepts for choosing one: last modified first, unknown times last, then by id; or by id alone."""
-    order = [F.desc_nulls_last("modified")] if by == "modified" else []
-    return projected.orderBy(*order, "concept_id").select("concept_id", "type", "title")
+    """Concepts for choosing one, in ``menu_order``."""
+    return projected.orderBy(*menu_order(by)).select("concept_id", "type", "title")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, paths, values
 from ..functions.ids import Gate
-from . import computations, graph
+from . import computations, graph, lookup
 
 _NONE = "cast(array() as array<struct<code:string,detail:string>>)"
 
@@ -92,7 +92,7 @@ def dangling_paths(concepts: DataFrame, inventory: DataFrame) -> DataFrame:
     gone = each.join(known.withColumnRenamed("path", "target"), "target", "left_anti")
     root = paths.collapse(F.regexp_replace(paths.without_suffix(values.strip(F.col("raw"))), "^/+", ""))
     other = gone.withColumn("alt", F.when(root != F.col("target"), root))
-    found = other.join(known.withColumnRenamed("path", "alternative"), F.col("alt") == F.col("alternative"), "left")
+    found = lookup.meet(other, F.col("alt"), known.withColumnRenamed("path", "alternative"), "alternative", "concept_id", "field")
     return found.select("concept_id", "pos", "field", "target", "alternative")
 
 
@@ -106,7 +106,7 @@ def validate(concepts: DataFrame, inventory: DataFrame | None = None, strict: bo
     each = concepts.select("concept_id", F.explode(F.concat(found, F.filter(links, lambda x: x["detail"].isNotNull()))).alias("x")).select("x.phase", "concept_id", "x.pos", "x.code", "x.detail")
     known = concepts.select(F.col("concept_id").alias("known")).distinct()
     target = F.when(F.col("phase") == 2, F.col("detail"))
-    out = each.join(known, target == F.col("known"), "left").where("phase = 1 or known is null").drop("known")
+    out = lookup.meet(each, target, known, "known", "concept_id", "pos").where("phase = 1 or known is null").drop("known")
     if strict:
         have = concepts.select(F.col("source_path").alias("path")) if inventory is None else inventory
         gone = dangling_paths(concepts, have)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import actors, ids, paths, posix, values
-from ..operators import handles
+from ..operators import handles, lookup
 from ..operators.concepts import CORE_KEYS
 from .profile import ANY, LIST, OBJECT, SCALAR, Compiled, Rule
 
@@ -232,61 +232,70 @@ def _by_rule(given: list) -> Column:
     return out
 
 
-def _opened(concepts: DataFrame, c: Compiled, which: str, *more: str):
-    """(the rules' own settings, (concept_id, source_path, rule, path, v, raw, ...) of all values that they look at): one pass for all rules."""
-    found = list(_targets(c, which))
-    if not found:
-        return [], None
-    every = F.concat(*[_values_of(c, name, r, m, i) for i, (name, r, m) in enumerate(found)])
-    each = concepts.select("concept_id", "source_path", *more, F.explode(every).alias("x")).select("concept_id", "source_path", *more, "x.rule", "x.path", "x.v")
-    return [getattr(m or r, which) for _, r, m in found], each.withColumn("raw", values.text(F.col("v")))
+def _judge_reference(ref) -> Column:
+    external = F.when(F.col("scheme").isNull(), "MalformedDocumentReference").when(~F.col("scheme").isin(list(ref.schemes)), "ExternalReferenceSchemeNotAllowed")
+    if ref.pattern is not None:
+        external = external.when(~F.col("raw").rlike(posix.whole(ref.pattern)), "ExternalReferencePatternMismatch")
+    local = (F.when(F.lit(not ref.allow_local), "LocalDocumentReferenceNotAllowed").when(F.col("h.prefix") != ref.prefix, "ReferenceHandlePrefixMismatch")
+             .when(F.col("owners").isNull(), "DanglingHandleReference").when((F.col("own_handle") == F.col("handle")) & (not ref.allow_self), "SelfDocumentReference"))
+    return F.when(F.col("raw").isNull(), "MalformedDocumentReference").when(F.col("h").isNotNull(), local).otherwise(external)
 
 
-def references(concepts: DataFrame, c: Compiled) -> DataFrame:
-    """Deviations of handle references: owners are concepts whose type declares the handle's prefix."""
+def _judge_path(rule, whole_inventory: bool) -> Column:
+    target = F.col("at.path")
+    md = target.endswith(".md")
+    gone = F.col("owners").isNull() & (F.lit(True) if whole_inventory else md)
+    inside = (F.when(md & ids.from_path(target).isNull(), "MalformedPathReference")
+              .when((target == F.col("source_path")) & (not rule.allow_self), "SelfDocumentReference").when(gone, "DanglingPathReference"))
+    return (F.when(F.col("raw").isNull() | (F.col("at.kind") == "malformed"), "MalformedPathReference").when(F.col("at.kind") == "escape", "PathEscapesBundle")
+            .when(F.col("at.kind") == "external", F.when(~F.col("at.scheme").isin(list(rule.schemes)), "ExternalReferenceSchemeNotAllowed")).otherwise(inside))
+
+
+def _own_handle(c: Compiled) -> Column:
+    """The handle under the profile's id field, where its prefix is the one that the concept's type declares."""
     key, owned = c.profile.id_field, F.lit(None).cast("string")
     for t in c.profile.types:
         if t.id_prefix:
             owned = F.when(F.col("type") == t.type, F.lit(t.id_prefix)).otherwise(owned)
     raw = values.text(values.get(F.col("fm"), key)) if key else F.lit(None).cast("string")
-    own = values.let(raw, lambda t: F.when(ids.handle(t)["prefix"] == owned, t))
-    some = concepts.withColumn("own_handle", own)
-    refs, each = _opened(some, c, "reference", "own_handle")
-    if each is None:
-        return None
-    prefix = _by_rule([F.lit(r.prefix) for r in refs])
-    each = each.withColumn("h", ids.handle(F.col("raw"))).withColumn("handle", F.when(F.col("h.prefix") == prefix, F.col("raw"))).withColumn("scheme", paths.uri_scheme(F.col("raw")))
-    owners = some.where("own_handle is not null").groupBy(F.col("own_handle").alias("owner")).agg(F.count(F.lit(1)).alias("owners"))
-    each = each.join(owners, F.col("handle") == F.col("owner"), "left")
-
-    def judged(ref):
-        external = F.when(F.col("scheme").isNull(), "MalformedDocumentReference").when(~F.col("scheme").isin(list(ref.schemes)), "ExternalReferenceSchemeNotAllowed")
-        if ref.pattern is not None:
-            external = external.when(~F.col("raw").rlike(posix.whole(ref.pattern)), "ExternalReferencePatternMismatch")
-        local = (F.when(F.lit(not ref.allow_local), "LocalDocumentReferenceNotAllowed").when(F.col("h.prefix") != ref.prefix, "ReferenceHandlePrefixMismatch")
-                 .when(F.col("owners").isNull(), "DanglingHandleReference").when((F.col("own_handle") == F.col("handle")) & (not ref.allow_self), "SelfDocumentReference"))
-        return F.when(F.col("raw").isNull(), "MalformedDocumentReference").when(F.col("h").isNotNull(), local).otherwise(external)
-
-    return each.select("concept_id", _by_rule([judged(r) for r in refs]).alias("code"), "path", shown(F.col("v")).alias("detail")).where("code is not null")
-
-
-def path_references(concepts: DataFrame, c: Compiled, inventory: DataFrame | None) -> DataFrame:
-    """Deviations of path values; without an inventory only targets that end in .md can be known to be missing."""
-    rules, each = _opened(concepts, c, "path")
-    if each is None:
-        return None
-    known = (concepts.select(F.col("source_path").alias("p")) if inventory is None else inventory.select(F.array_join(ids.segments(F.col("path")), "/").alias("p"))).distinct()
-    each = each.withColumn("at", paths.classify(F.col("source_path"), F.col("raw"))).withColumn("target", F.col("at.path")).join(known, F.col("target") == F.col("p"), "left")
-    md = F.col("target").endswith(".md")
-    gone = F.col("p").isNull() & (md if inventory is None else F.lit(True))
-
-    def judged(rule):
-        inside = (F.when(md & ids.from_path(F.col("target")).isNull(), "MalformedPathReference")
-                  .when((F.col("target") == F.col("source_path")) & (not rule.allow_self), "SelfDocumentReference").when(gone, "DanglingPathReference"))
-        return (F.when(F.col("raw").isNull() | (F.col("at.kind") == "malformed"), "MalformedPathReference").when(F.col("at.kind") == "escape", "PathEscapesBundle")
-                .when(F.col("at.kind") == "external", F.when(~F.col("at.scheme").isin(list(rule.schemes)), "ExternalReferenceSchemeNotAllowed")).otherwise(inside))
-
-    return each.select("concept_id", _by_rule([judged(r) for r in rules]).alias("code"), "path", shown(F.col("v")).alias("detail")).where("code is not null")
+    return values.let(raw, lambda t: F.when(ids.handle(t)["prefix"] == owned, t))
+
+
+def _met(concepts: DataFrame, c: Compiled, found: Column, inventory: DataFrame | None) -> DataFrame:
+    """(phase, concept_id, ord, code, path, detail) of the deviations ``found`` in each concept, and of its references and paths.
+
+    Whatever rules look up is opened in the pass that finds the rest and carries a tag, h
+    for handles and p for paths; all of it meets one table of owned handles and files in one
+    join. Without an inventory only targets that end in .md can be known to be missing.
+    """
+    rules = [(which, getattr(m or r, which), name, r, m) for which in ("reference", "path") for name, r, m in _targets(c, which)]
+    blank = lambda kind: F.lit(None).cast(kind)
+    row = lambda phase, ord_, code, path, detail, rule, v: F.struct(phase.alias("phase"), ord_.alias("ord"), code.alias("code"), path.alias("path"), detail.alias("detail"), rule.alias("rule"), v.alias("v"))
+    rows = F.transform(found, lambda x, i: row(F.lit(1), i, x["code"], x["path"], x["detail"], blank("int"), blank("variant")))
+    if not rules:
+        return concepts.select("concept_id", F.explode(rows).alias("x")).select("x.phase", "concept_id", "x.ord", "x.code", "x.path", "x.detail")
+    opened = F.concat(*[_values_of(c, name, r, m, i) for i, (_, _, name, r, m) in enumerate(rules)])
+    rows = F.concat(rows, F.transform(opened, lambda x: row(F.lit(2), F.lit(0), blank("string"), x["path"], blank("string"), x["rule"], x["v"])))
+    some = concepts.withColumn("own_handle", _own_handle(c))
+    each = some.select("concept_id", "source_path", "own_handle", F.explode(rows).alias("x")).select("concept_id", "source_path", "own_handle", "x.*").withColumn("raw", values.text(F.col("v")))
+    prefix = _by_rule([F.lit(own.prefix if which == "reference" else None).cast("string") for which, own, *_ in rules])
+    is_path = F.col("rule") >= sum(which == "reference" for which, *_ in rules)
+    each = each.withColumn("h", F.when(~is_path, ids.handle(F.col("raw")))).withColumn("handle", F.when(F.col("h.prefix") == prefix, F.col("raw"))).withColumn("scheme", F.when(~is_path, paths.uri_scheme(F.col("raw"))))
+    each = each.withColumn("at", F.when(is_path, paths.classify(F.col("source_path"), F.col("raw"))))
+    tagged = lambda tag, x: F.concat(F.lit(tag + ":"), x)
+    there = [tagged("h", F.col("own_handle"))] if rules[0][0] == "reference" else []
+    there += [tagged("p", F.col("source_path"))] if rules[-1][0] == "path" and inventory is None else []
+    known = some.select(F.explode(F.array_compact(F.array(*there))).alias("known")) if there else None
+    if rules[-1][0] == "path" and inventory is not None:
+        files = inventory.select(tagged("p", F.array_join(ids.segments(F.col("path")), "/")).alias("known"))
+        known = files if known is None else known.unionByName(files)
+    known = known.groupBy("known").agg(F.count(F.lit(1)).alias("owners"))
+    key = F.when(is_path, tagged("p", F.col("at.path"))).otherwise(tagged("h", F.col("handle")))
+    each = lookup.meet(each, key, known, "known", "concept_id", "path", "code")
+    looked_up = _by_rule([_judge_reference(own) if which == "reference" else _judge_path(own, inventory is not None) for which, own, *_ in rules])
+    first = F.col("phase") == 1
+    out = each.select("phase", "concept_id", "ord", F.when(first, F.col("code")).otherwise(looked_up).alias("code"), "path", F.when(first, F.col("detail")).otherwise(shown(F.col("v"))).alias("detail"))
+    return out.where("code is not null")
 
 
 def check(concepts: DataFrame, c: Compiled, *, strict: bool = False, inventory: DataFrame | None = None, ordered: bool = True) -> DataFrame:
@@ -298,11 +307,7 @@ def check(concepts: DataFrame, c: Compiled, *, strict: bool = False, inventory:
         own = F.when(kind == t.type, _type_checks(c, t)).otherwise(own)
     unknown = _if(~kind.isin([t.type for t in c.profile.types]) if c.profile.types else F.lit(True), "TypeNotInProfile", "type", kind)
     unknown = _none() if c.profile.allow_unknown_types else unknown
-    each = concepts.select("concept_id", F.posexplode(F.concat(unknown, fields, own)).alias("ord", "x"))
-    out = each.select(F.lit(1).alias("phase"), "concept_id", "ord", "x.code", "x.path", "x.detail")
-    for more in (references(concepts, c), path_references(concepts, c, inventory)):
-        if more is not None:
-            out = out.unionByName(more.select(F.lit(2).alias("phase"), "concept_id", F.lit(0).alias("ord"), "code", "path", "detail"))
+    out = _met(concepts, c, F.concat(unknown, fields, own), inventory)
     if c.profile.id_field:
         again = handles.duplicates(concepts, c.profile.id_field)
         out = out.unionByName(again.select(F.lit(3).alias("phase"), "concept_id", F.lit(0).alias("ord"), F.lit("DuplicateDocumentId").alias("code"), F.lit(c.profile.id_field).alias("path"), F.concat_ws(" also on ", "handle", "first_id").alias("detail")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
@@ -9,9 +10,13 @@ from .profile import Compiled, Rule
 
 
 def slugs(names: list[str]) -> list[str]:
-    """A file name for each type; equal ones get their position appended."""
-    made = [re.sub(r"[^a-z0-9]+", "-", n.lower()).strip("-") or "type" for n in names]
-    return [s if made.count(s) == 1 else f"{s}-{i + 1}" for i, s in enumerate(made)]
+    """A file name for each type, none twice: a name that is taken is numbered from the type's position on, an empty one always."""
+    out: list[str] = []
+    for position, name in enumerate(names, 1):
+        stem = re.sub(r"[^a-z0-9]+", "-", name.lower()).strip("-") or f"type-{position}"
+        numbered = (f"{stem}-{n}" for n in itertools.count(position))
+        out.append(next(s for s in itertools.chain([stem], numbered) if s not in out))
+    return out
 
 
 def _phrases(r: Rule) -> list[str]:

@@ -9,13 +9,16 @@ mount at the same place. Spark's own listing would pass over names that begin wi
 from __future__ import annotations
 
 import os
+import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..operators import index
 from ..operators.concepts import project
-from . import markdown, yamlio
+from . import bundle_source, markdown, yamlio
 from .bundle_source import CONCEPTS, FILES, LOGS, RESERVED, BundleSource
 
 _HIDDEN = {"node_modules", "dist", "build", "target", "dist-newstyle", "__pycache__"}
@@ -169,6 +172,26 @@ def write_indexes(rendered: DataFrame, root: str) -> None:
     write_texts(rendered.select(F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), F.lit("index.md")).alias("source_path"), "text"), root)
 
 
+def write_index_lines(lines: DataFrame, root: str) -> None:
+    """Writes the index.md of each directory of operators.index.lines, all or none.
+
+    Lines are sorted by ranges, so a directory of any size is dealt to many tasks. Each
+    appends to one staged file for a directory; one task joins the files of a directory that
+    was cut, in order, by copying. No row holds more than a line and no task a whole index.
+    """
+    _register(lines.sparkSession)
+    os.makedirs(root, exist_ok=True)
+    top = os.path.join(root, bundle_source.STAGING, uuid.uuid4().hex)
+    dealt = lines.select(*index.ORDER).repartitionByRange(*index.ORDER).sortWithinPartitions(*index.ORDER)
+    pieces = dealt.mapInArrow(partial(bundle_source.pieces_of, top=top), "dir string, rank int, type string, step int, name string, piece string")
+    whole = pieces.groupBy("dir").agg(F.sort_array(F.collect_list(F.struct("rank", "type", "step", "name", "piece"))).alias("x"))  # at most one a partition
+    path = F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), F.lit("index.md"))
+    try:
+        whole.select(path.alias("source_path"), F.col("x.piece").alias("pieces")).write.format("bundle").mode("append").save(root)
+    finally:
+        bundle_source.forget(root, top)
+
+
 def write_texts(files: DataFrame, root: str) -> None:
     """Writes files from (source_path, text), all or none; see ``bundle_source``."""
     _register(files.sparkSession)

@@ -179,6 +179,8 @@ class Attempt(WriterCommitMessage):
 class BundleWriter(DataSourceArrowWriter):
     """Files from rows with source_path and text. Of rows with one path one stays, whichever; null texts are empty."""
 
+    given = "text"
+
     def __init__(self, root: str):
         self.root, self.job = root, uuid.uuid4().hex
         recover(root)
@@ -188,15 +190,18 @@ class BundleWriter(DataSourceArrowWriter):
         top = os.path.join(self.root, STAGING, self.job, folder)
         os.makedirs(top, exist_ok=True)
         for batch in iterator:
-            for path, text in zip(batch.column("source_path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for path, given in zip(batch.column("source_path").to_pylist(), batch.column(self.given).to_pylist(), strict=True):
                 to = os.path.normpath(os.path.join(top, path))
                 if not to.startswith(top + os.sep):
                     raise ValueError(f"{path!r} is not inside the bundle")
                 os.makedirs(os.path.dirname(to), exist_ok=True)
-                with open(to, "w", encoding="utf-8", newline="") as f:
-                    f.write(text or "")
+                self.put(to, given)
         return Attempt(folder)
 
+    def put(self, to: str, text: str | None) -> None:
+        with open(to, "w", encoding="utf-8", newline="") as f:
+            f.write(text or "")
+
     def commit(self, messages) -> None:
         top = os.path.join(self.root, STAGING, self.job)
         os.makedirs(top, exist_ok=True)
@@ -212,6 +217,43 @@ class BundleWriter(DataSourceArrowWriter):
         _tidy(self.root)
 
 
+class PieceWriter(BundleWriter):
+    """Files from rows with source_path and pieces, each the path of a staged file; they are joined in order and stay."""
+
+    given = "pieces"
+
+    def put(self, to: str, pieces: list[str]) -> None:
+        with open(to, "wb") as f:
+            for piece in pieces:
+                with open(piece, "rb") as g:
+                    shutil.copyfileobj(g, f)
+
+
+def pieces_of(batches, top: str):
+    """Sorted lines to a file for each directory, in a folder of this attempt below ``top``: (dir, its first line's rank, type, step and name, file)."""
+    import pyarrow as pa
+
+    names = ["dir", "rank", "type", "step", "name"]
+    folder, out, at, made = os.path.join(top, uuid.uuid4().hex), None, None, 0
+    try:
+        for batch in batches:
+            rows = []
+            for *key, text in zip(*(batch.column(n).to_pylist() for n in [*names, "text"]), strict=True):
+                if out is None or key[0] != at:
+                    if out is not None:
+                        out.close()
+                    piece = os.path.join(folder, str(made // 1000), str(made))
+                    os.makedirs(os.path.dirname(piece), exist_ok=True)
+                    out, at, made = open(piece, "w", encoding="utf-8", newline=""), key[0], made + 1  # noqa: SIM115
+                    rows.append((*key, piece))
+                out.write(text)
+            types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [*names, "piece"])
+    finally:
+        if out is not None:
+            out.close()
+
+
 def _tidy(root: str) -> None:
     try:
         os.rmdir(os.path.join(root, STAGING))
@@ -239,6 +281,12 @@ def _promote(root: str, job: str) -> None:
     _tidy(root)
 
 
+def forget(root: str, top: str) -> None:
+    """Removes what was staged in ``top``, a folder below the staging folder of ``root``."""
+    shutil.rmtree(top, ignore_errors=True)
+    _tidy(root)
+
+
 def recover(root: str) -> None:
     """Finishes commits that were recorded and then cut off. What no commit recorded stays where it is, out of sight."""
     try:
@@ -267,4 +315,4 @@ class BundleSource(DataSource):
     def writer(self, schema, overwrite: bool) -> BundleWriter:
         if overwrite:
             raise ValueError("a bundle is written with mode append: files of the same name are replaced, others stay")
-        return BundleWriter(self.options["path"])
+        return (PieceWriter if "pieces" in schema.names else BundleWriter)(self.options["path"])

@@ -139,6 +139,10 @@ def test_index(spark, root, c):
     assert made["quays"] == "# Quay\n\n- [North](north.md)\n\n" and made["tools"] == "# Files\n\n- [tide.py](tide.py)\n\n"
     assert made[""] == '---\nokf_version: "0.2"\n---\n\n# Subdirectories\n\n' + "".join(f"- [{d}/]({d}/index.md)\n" for d in ("_plans", "boats", "quays", "sheds", "tools")) + "\n"
     assert made["sheds"] == "# Subdirectories\n\n- [old/](old/index.md)\n\n" and made["sheds/old"] == "\n"
+    texts = {}
+    for r in index.lines(c, bundle.inventory(spark, root), "0.2", empty).orderBy(*index.ORDER).collect():
+        texts[r.dir] = texts.get(r.dir, "") + r.text
+    assert texts == made
 
 
 def test_round_trip(spark, c, tmp_path):

@@ -29,7 +29,7 @@ def test_concept_ids(spark):
 
 def test_handles(spark):
     got = column(spark, ["IR-1", "A1-20", "IR-01", "IR-0", "1R-2", "IR", "IR-1 ", "X-" + "9" * 38, "X-" + "9" * 39], ids.handle)
-    assert [g and (g.prefix, int(g.number)) for g in got] == [("IR", 1), ("A1", 20), None, None, None, None, None, ("X", int("9" * 38)), None]
+    assert [g and (g.prefix, int(g.number)) for g in got] == [("IR", 1), ("A1", 20), None, None, None, None, None, ("X", int("9" * 38)), ("X", int("9" * 39))]
 
 
 def test_dates_and_versions(spark):
@@ -226,3 +226,10 @@ def test_runs(spark):
     began = time.time()
     long = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(99_999)), lambda n: F.struct((n % 50_000).alias("k"), n.alias("i"))).alias("x"))
     assert long.select(F.size(values.repeated(F.col("x")))).first()[0] == 50_000 and time.time() - began < 20
+
+
+def test_numbers_of_any_length(spark):
+    many = ["1", "9", "10", "19", "99", "8999", "9" * 60, "1" + "0" * 59, "4" + "9" * 70]
+    assert column(spark, many, ids.successor) == [str(int(n) + 1) for n in many]
+    df = spark.createDataFrame([(n,) for n in many], "n string")
+    assert [r.n for r in df.orderBy(*ids.by_number(F.col("n"))).collect()] == sorted(many, key=int)

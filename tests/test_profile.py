@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from bundlespark.operators import filters
+from bundlespark.operators import filters, lookup
 from bundlespark.operators.concepts import project
 from bundlespark.plans import check, docgen, profile, registry
 
@@ -73,6 +73,31 @@ def test_paths(spark):
     assert ("d/a", "DanglingPathReference", "p[7]") in deviations(spark, docs, c, inventory=have)
 
 
+def test_lookups_share_one_join_and_deal_what_looks_up_nothing(spark):
+    """Of 20,000 rows nine tenths look up nothing and one in twenty the same: no task gets twice the median."""
+    key = F.when(F.col("id") % 20 == 0, "hot").when(F.col("id") % 20 == 1, F.col("id").cast("string"))
+    probes, known = spark.range(20_000).select("id", key.alias("key")), spark.range(100).select(F.col("id").cast("string").alias("known")).unionByName(spark.sql("select 'hot' as known"))
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(k, v)
+    try:
+        met = lookup.meet(probes, F.col("key"), known, "known", "id")
+        sizes = sorted(r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect())
+        assert met.count() == 20_000 and met.where("known is not null").count() == 1_000 + 5 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+        c = compiled({"optional": [{"field": "r", "reference": {"localPrefix": "BK"}}, {"field": "p", "path": {}}]}, [{"type": "D", "idPrefix": "BK"}], idField="id")
+        docs = {"a": {"type": "D", "id": "BK-1", "r": "BK-2", "p": "b.md"}, "b": {"type": "D", "r": "BK-1", "p": "gone.md"}}
+        plan = check._met(bundle(spark, docs), c, check._none(), None)
+        assert plan._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 1
+        assert sorted((r.concept_id, r.code) for r in plan.collect()) == [("a", "DanglingHandleReference"), ("b", "DanglingPathReference")]
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_page_names(spark):
+    assert docgen.slugs(["a b", "A-B", "a b 2", "!!", "type 4"]) == ["a-b", "a-b-2", "a-b-2-3", "type-4", "type-4-5"]
+
+
 def test_uniqueness(spark):
     c = compiled({"optional": [{"field": "slots", "uniqueBy": "id", "elementFields": {"required": [{"field": "id", "cardinality": "scalar"}]}}]})
     docs = {"a": {"slots": [{"id": "n"}, {"id": "s"}, {"id": 1}, {"id": "n"}, {"id": "1"}, {"id": "s"}, {"id": "s"}]}}
@@ -162,6 +187,6 @@ def test_registry(tmp_path):
 def test_documentation(tmp_path):
     c = compiled({"required": [{"field": "a", "allowedValues": ["x"], "description": "why"}]}, [{"type": "A b"}, {"type": "A-B"}, {"type": "C", "idPrefix": "C"}])
     pages = docgen.render(c)
-    assert list(pages) == ["profile.md", "types/a-b-1.md", "types/a-b-2.md", "types/c.md"] and pages == docgen.render(c) and "- `a` (required): one of `x` — why" in pages["profile.md"]
+    assert list(pages) == ["profile.md", "types/a-b.md", "types/a-b-2.md", "types/c.md"] and pages == docgen.render(c) and "- `a` (required): one of `x` — why" in pages["profile.md"]
     (tmp_path / "old.md").write_text("x")
     assert docgen.write(c, str(tmp_path)) == ["old.md"]

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, StringStartsWith
 from pyspark.sql.types import StructType
 
+from bundlespark.operators import index
+from bundlespark.operators.concepts import project
 from bundlespark.sources import bundle, bundle_source
 from bundlespark.sources.bundle_source import STAGING, BundleReader, BundleWriter, Files, PruningReader
 
@@ -152,3 +154,28 @@ def test_overwriting_is_refused(spark, tmp_path):
     bundle._register(spark)
     with pytest.raises(Exception, match="mode append"):
         spark.createDataFrame([("a", "b")], "source_path string, text string").write.format("bundle").mode("overwrite").save(str(tmp_path))
+
+
+def test_index_of_a_directory_that_many_tasks_write(spark, tmp_path):
+    n = 20_000
+    fm = F.parse_json(F.format_string('{"type":"T%d","title":"t%d"}', F.col("id") % 2, F.col("id")))
+    at = F.when(F.col("id") % 50 == 0, F.concat(F.lit("few/d"), F.col("id") % 7)).otherwise("big")
+    c = spark.range(n).select(F.concat_ws("/", at, F.col("id").cast("string")).alias("concept_id"), fm.alias("fm"), F.lit("").alias("body"))
+    c = project(c.withColumn("source_path", F.concat("concept_id", F.lit(".md"))))
+    want = {os.path.join(r.dir, "index.md"): r.text for r in index.render(c, version="0.2").collect()}
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        bundle.write_index_lines(index.lines(c, version="0.2"), str(tmp_path / "b"))
+        dealt = index.lines(c).repartitionByRange(*index.ORDER).where("dir = 'big'").groupBy(F.spark_partition_id()).count().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    assert tree(tmp_path / "b") == want and dealt > 1 and not os.path.exists(tmp_path / "b" / STAGING)
+
+
+def test_pieces_hold_one_line_at_a_time(tmp_path):
+    names = ["dir", "rank", "type", "step", "name", "text"]
+    batch = lambda *rows: pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+    given = [batch(("a", 3, "T", 0, "", "# T\n\n"), ("a", 3, "T", 1, "x", "- é\n")), batch(("a", 3, "T", 1, "y", "- y\n"), ("b", 3, "T", 0, "", "# T\n\n"))]
+    made = [r for b in bundle_source.pieces_of(given, str(tmp_path)) for r in b.to_pylist()]
+    assert [(r["dir"], open(r["piece"], encoding="utf-8").read()) for r in made] == [("a", "# T\n\n- é\n- y\n"), ("b", "# T\n\n")]
