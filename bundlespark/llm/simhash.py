@@ -13,7 +13,8 @@ comparing within cells is bounded work. Equal fingerprints collapse before that.
 
 Texts with much in common differ in more bits than such a code can bridge at once.
 ``similar`` therefore takes fingerprints of 512 bits and covers blocks of 23 of them with
-the perfect [23, 12] Golay code, whose covering radius is 3.
+the perfect [23, 12] Golay code, whose covering radius is 3. What fingerprints propose is
+decided by the shingles themselves: no link is kept without its exact Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -194,6 +195,22 @@ BROADCAST_ROWS = 500_000
 #: Fixed value: the generator polynomial of the binary [23, 12] Golay code.
 GOLAY = 0xC75
 _SEED = 20_240_611
+#: Pairs that a class left open proposes a row and cell in the first round; each round takes eight times as many.
+PROPOSED = 4
+#: Pairs of one text that a task of the comparison of shingles gets, at most about.
+PAIR_ROWS = 8192
+
+
+def shingle_hashes(text: str | None, words: int = 5):
+    """The distinct XXH64 of the shingles of a text, ascending; none without words."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    w = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
+    if not w:
+        return np.empty(0, np.uint64)
+    shingles = map(b" ".join, zip(*(w[k:] for k in range(words)))) if len(w) >= words else [b" ".join(w)]
+    return np.unique(np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64))
 
 
 def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
@@ -202,13 +219,10 @@ def wide_fingerprint(text: str | None, words: int = 5) -> bytes:
     Shingles as in ``fingerprint``; each shingle's further bits are mixed from its first 64.
     """
     import numpy as np
-    from xxhash import xxh64_intdigest
 
-    w = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
-    if not w:
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
         return bytes(WIDE // 8)
-    shingles = map(b" ".join, zip(*(w[k:] for k in range(words)))) if len(w) >= words else [b" ".join(w)]
-    hashes = np.unique(np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64))
     total = np.zeros(WIDE, np.int64)
     step = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for i in range(0, len(hashes), _BLOCK // 16):
@@ -290,7 +304,7 @@ def blocks_for(count: int, similarity: float) -> tuple[int, int]:
 
 
 def _cells(blocks: int, beside: int):
-    """(key, node, fp) for every cell of every fingerprint: a row a block and anchor near it."""
+    """(key, node, fp, ...) for every cell of every (node, fp, ...): a row a block and anchor near it."""
     def work(batches):
         import numpy as np
         import pyarrow as pa
@@ -310,7 +324,7 @@ def _cells(blocks: int, beside: int):
                     more = bits[:, at_bits[23:]].astype(np.int64) @ (1 << np.arange(beside)) if beside else 0
                     rows, anchor = _golay_anchors(x, near)
                     key = anchor | (more[rows] << 12 if beside else 0) | b << (12 + beside)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(pa.array(rows)), fps.take(pa.array(rows))], ["key", "node", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *(c.take(pa.array(rows)) for c in part.columns)], ["key", *part.schema.names])
 
     return work
 
@@ -350,16 +364,44 @@ def _wide_links(fps, limit: int):
     return links
 
 
-def _compare_wide(limit: int):
+def _open_links(fps, labels, limit: int, most: int):
+    """For each row, the ``most`` nearest of the later rows that are within ``limit`` and of another class; (i, i) says that there are more.
+
+    Classes come by size, smallest first; every row of one is compared with all later
+    classes. So a cell of one class takes nothing, and one large class a pass over its
+    rows for each row of the others.
+    """
+    import numpy as np
+
+    _, of, many = np.unique(labels, return_inverse=True, return_counts=True)
+    order = np.lexsort((np.arange(len(fps)), of, many[of]))
+    fps, of, links = fps[order], of[order], []
+    ends = np.flatnonzero(np.append(of[1:] != of[:-1], True)) + 1
+    start = 0
+    for end in ends[:-1].tolist():
+        for i in range(start, end):
+            far = np.bitwise_count(fps[end:] ^ fps[i]).sum(1, dtype=np.int32)
+            near = np.flatnonzero(far <= limit)
+            if len(near) > most:
+                links.append((order[i], order[i]))
+                near = near[np.argsort(far[near], kind="stable")[:most]]
+            links += [(order[i], order[end + j]) for j in near]
+        start = end
+    return links
+
+
+def _compare_wide(limit: int, most: int | None = None):
+    """Links of the forest of each cell; with ``most``, those of ``_open_links``, whose classes the last column names."""
     def work(batches):
         """Rows sorted by cell and part of it; a cell may continue in the next batch."""
         import numpy as np
         import pyarrow as pa
 
-        keys, nodes, fps = [], [], []
+        keys, nodes, fps, labels = [], [], [], []
 
         def done(last):
             k, n = np.concatenate(keys), np.concatenate(nodes)
+            c = np.concatenate(labels) if labels else None
             f = np.frombuffer(b"".join(fps), np.uint64).reshape(-1, WIDE // 64)
             ends = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
             if last:
@@ -367,15 +409,20 @@ def _compare_wide(limit: int):
             links, at = [], 0
             for end in ends.tolist():
                 if end - at > 1:
-                    links += [(n[at + i], n[at + j]) for i, j in _wide_links(f[at:end], limit)]
+                    found = _wide_links(f[at:end], limit) if most is None else _open_links(f[at:end], c[at:end], limit, most)
+                    links += [(n[at + i], n[at + j]) for i, j in found]
                 at = end
             keys[:], nodes[:], fps[:] = [k[at:]], [n[at:]], [f[at:].tobytes()]
+            if c is not None:
+                labels[:] = [c[at:]]
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
         for batch in batches:
             keys.append(np.stack([np.asarray(batch.column(i)) for i in range(3)], axis=1))
             nodes.append(np.asarray(batch.column(3)))
             fps.append(b"".join(batch.column(4).to_pylist()))
+            if most is not None:
+                labels.append(np.asarray(batch.column(5)))
             yield done(False)
         if keys:
             yield done(True)
@@ -383,16 +430,119 @@ def _compare_wide(limit: int):
     return work
 
 
+def _proposals(rows: DataFrame, blocks: int, beside: int, limit: int, most: int | None = None) -> DataFrame:
+    """(a, b) that cells of ``rows`` (node, fp, and with ``most`` its class) propose, see ``_compare_wide``.
+
+    A cell of more than CELL_ROWS is dealt out in parts, every two of which meet in a task.
+    """
+    own = ["node", "fp"] + ([] if most is None else ["class"])
+    cells = rows.select(*own).mapInArrow(_cells(blocks, beside), "key long, node long, fp binary" + ("" if most is None else ", class long"))
+    full = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_ROWS).withColumn("parts", F.ceil(F.col("n") / CELL_ROWS).cast("long"))
+    full = materialise(full, "wide-full")
+    held = full.df.agg(F.sum("n")).first()[0] or 0
+    zero = F.lit(0).cast("long")
+    if held:
+        part = F.pmod(F.xxhash64("node"), F.col("parts"))
+        pairs = F.transform(F.sequence(zero, F.col("parts") - 1), lambda k: F.struct(F.least(part, k).alias("low"), F.greatest(part, k).alias("high")))
+        dealt = skew_join(cells, full.df, "key", "n", max(1, held), "left").select("key", *own, F.explode(F.when(F.col("parts").isNull(), F.array(F.struct(zero.alias("low"), zero.alias("high")))).otherwise(pairs)).alias("x"))
+        dealt = dealt.select("key", "x.low", "x.high", *own)
+    else:
+        dealt = cells.select("key", zero.alias("low"), zero.alias("high"), *own)
+    order = ["key", "low", "high"]
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compare_wide(limit, most), "a long, b long")
+
+
+def _shingles(docs: DataFrame, nodes: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles) of ``nodes`` (node, and in ``rep`` the id and hash of a row that has it)."""
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                s = shingle_hashes(batch.column(1)[i].as_py(), words).view("int64")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(s))], ["node", "shingles"])
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), _hash(text).alias("hash"), text.alias("text"))
+    named = nodes.select("node", F.col("rep.id").alias("rep_id"), F.col("rep.hash").alias("rep_hash"))
+    few = named.count() <= BROADCAST_ROWS
+    found = rows.join(F.broadcast(named) if few else named, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("hash") == F.col("rep_hash")))
+    return found.select("node", "text").mapInArrow(work, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of ``pairs`` whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Shingles of a text with many pairs are dealt out to a task for each PAIR_ROWS of them.
+    """
+    total, zero, dealt, parts = pairs.count(), F.lit(0).cast("long"), pairs.select("a", "b"), {}
+    for end, other in (("a", "b"), ("b", "a")):
+        many = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")).withColumn(f"parts_{end}", F.ceil(F.col("n") / PAIR_ROWS).cast("long"))
+        parts[end] = materialise(many, "wide-many").df
+        dealt = skew_join(dealt, parts[end], end, "n", total).withColumn(f"part_{end}", F.pmod(F.xxhash64(other), F.col(f"parts_{end}"))).drop(f"parts_{end}")
+    both = dealt
+    for end in ("a", "b"):
+        copies = shingles.join(parts[end], F.col("node") == F.col(end))
+        copies = copies.select(end, F.col("shingles").alias(f"of_{end}"), F.explode(F.sequence(zero, F.col(f"parts_{end}") - 1)).alias(f"part_{end}"))
+        both = both.join(copies, [end, f"part_{end}"])
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return both.where(shared / (F.size("of_a") + F.size("of_b") - shared) >= similarity).select("a", "b")
+
+
+def _classes(docs: DataFrame, distinct: DataFrame, count: int, similarity: float, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(member, root) of the nodes of ``distinct`` that verified links connect.
+
+    A forest of what is near by fingerprint is verified first. Where a link of it is
+    struck, the texts that hung together by it are open: in rounds, each proposes its
+    nearest of other classes, more in each round, until every pair that is near and meets
+    in a cell is in one class or was compared by its shingles.
+    """
+    blocks, beside = blocks_for(count, similarity)
+    limit = limit_for(similarity)
+
+    def ordered(links):
+        return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    tried = materialise(ordered(_proposals(distinct, blocks, beside, limit)), "wide-tried").df
+    ends = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    shingles = materialise(_shingles(docs, distinct.join(ends, "node", "left_semi"), words, id_col, text_col), "wide-shingles")
+    good = materialise(_verified(tried, shingles.df, similarity), "wide-good").df
+    roots = components(good, "wide-links")
+    if good.count() < tried.count():
+        groups = materialise(components(tried, "wide-groups").withColumnRenamed("root", "grp"), "wide-groups").df
+        struck = groups.join(tried.join(good, ["a", "b"], "left_anti").select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+        sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).join(struck.select("grp").distinct(), "grp", "left_semi")
+        open_ = materialise(skew_join(groups, sizes, "grp", "n", max(1, groups.count())).select("node").join(distinct.select("node", "fp"), "node"), "wide-open").df
+        most = PROPOSED
+        while True:
+            labelled = open_.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("class"))
+            raw = materialise(_proposals(labelled, blocks, beside, limit, most), "wide-raw")
+            more = not raw.df.where("a = b").isEmpty()
+            new = materialise(ordered(raw.df).join(tried, ["a", "b"], "left_anti"), "wide-new").df
+            raw.drop()
+            if not new.isEmpty():
+                good = good.unionByName(materialise(_verified(new, shingles.df, similarity), "wide-good").df)
+                tried = tried.unionByName(new)
+                roots = components(good, "wide-links")
+            if not more:
+                break
+            most *= 8
+    roots = materialise(roots.withColumnRenamed("node", "member"), "wide-members").df
+    shingles.drop()
+    return roots
+
+
 def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, hash, root, component) of every row of ``docs``; linked are texts whose fingerprints tell a similarity of ``similarity`` or more.
+    """(id, hash, root, component) of every row of ``docs``; linked are texts with a similarity of ``similarity`` or more.
 
-    The similarity is the Jaccard similarity of the sets of ``words``-word shingles, read
-    from WIDE-bit fingerprints: texts are linked if they differ in at most ``limit_for``
-    bits. Blocks of the fingerprint are replicated to every word of the Golay code
+    The similarity is the Jaccard similarity of the sets of ``words``-word shingles.
+    Pairs are proposed by WIDE-bit fingerprints that differ in at most ``limit_for`` bits:
+    blocks of the fingerprint are replicated to every word of the Golay code
     within its covering radius plus half the block's threshold, and whole fingerprints
     are compared per anchor. More blocks are used the more texts there are; what they
     miss of the pairs at ``similarity`` is at most 1 - RECALL, and less of closer pairs.
-    A cell of more than CELL_ROWS is dealt out in parts, every two of which meet in a task.
+    Each proposed link is then decided by the shingles (by XXH64); texts with equal
+    fingerprints count as one, which only all but equal sets of shingles have.
 
     ``component`` is the smallest id that links reach. Null and empty texts are alike;
     repeated rows each come back; a null id names no component unless all of it are null.
@@ -407,26 +557,10 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, *, id_col:
     text = F.col(text_col).cast("string")
     fps = docs.select(F.col(id_col).cast("long").alias("id"), _hash(text).alias("hash"), text.alias("text")).mapInArrow(work, "id long, hash long, fp binary")
     fps = materialise(fps.withColumn("key", F.xxhash64("fp")), "wide").df
-    distinct = fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id())
+    distinct = fps.groupBy("fp").agg(F.min("id").alias("least"), F.min(F.struct("id", "hash")).alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id())
     distinct = materialise(distinct, "wide-distinct").df
     count, total = distinct.agg(F.count(F.lit(1)), F.sum("n")).first()
-    blocks, beside = blocks_for(count, similarity)
-    limit = limit_for(similarity)
-    cells = distinct.select("node", "fp").mapInArrow(_cells(blocks, beside), "key long, node long, fp binary")
-    full = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_ROWS).withColumn("parts", F.ceil(F.col("n") / CELL_ROWS).cast("long"))
-    full = materialise(full, "wide-full").df
-    rows = full.agg(F.sum("n")).first()[0] or 0
-    zero = F.lit(0).cast("long")
-    if rows:
-        part = F.pmod(F.xxhash64("node"), F.col("parts"))
-        pairs = F.transform(F.sequence(zero, F.col("parts") - 1), lambda k: F.struct(F.least(part, k).alias("low"), F.greatest(part, k).alias("high")))
-        dealt = skew_join(cells, full, "key", "n", max(1, rows), "left").select("key", "node", "fp", F.explode(F.when(F.col("parts").isNull(), F.array(F.struct(zero.alias("low"), zero.alias("high")))).otherwise(pairs)).alias("x"))
-        dealt = dealt.select("key", "x.low", "x.high", "node", "fp")
-    else:
-        dealt = cells.select("key", zero.alias("low"), zero.alias("high"), "node", "fp")
-    order = ["key", "low", "high"]
-    links = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compare_wide(limit), "a long, b long")
-    roots = components(links, "wide-links").withColumnRenamed("node", "member")
+    roots = _classes(docs, distinct, count, similarity, words, id_col, text_col)
     named = distinct.join(roots, F.col("node") == F.col("member"), "left").withColumn("root", F.coalesce("root", "node"))
     named = materialise(named.select("fp", "least", "n", "root"), "wide-roots").df
     names = named.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("members"))

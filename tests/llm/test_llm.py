@@ -609,10 +609,13 @@ def test_distributed_links_equal_brute_force(spark):
 
 
 def brute_similar(texts, similarity=0.8):
-    """Components by the distance of all pairs of fingerprints."""
-    fps = {i: int.from_bytes(simhash.wide_fingerprint(t), "big") for i, t in texts.items()}
-    limit, ids = simhash.limit_for(similarity), list(texts)
-    return components(ids, [(a, b) for a in ids for b in ids if a < b and (fps[a] ^ fps[b]).bit_count() <= limit])
+    """Components by the Jaccard similarity of all pairs of texts."""
+    def shingles(text):
+        w = re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "").strip("\x20\t\n\x0b\x0c\r"))
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+
+    sets, ids = {i: shingles(t) for i, t in texts.items()}, list(texts)
+    return components(ids, [(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])])
 
 
 def edited(text, many, seed):
@@ -663,6 +666,44 @@ def test_links_of_a_cell(crowd):
     assert components(range(len(fps)), got) == components(range(len(fps)), near) and {tuple(sorted(map(int, p))) for p in got} <= set(map(tuple, near))
 
 
+@pytest.mark.parametrize("most", [1, 3, 500])
+def test_open_links_of_a_cell(most):
+    r = np.random.default_rng(most)
+    fps = r.integers(0, 1 << 63, (1, 8)).astype(np.uint64).repeat(60, 0)
+    for y in fps:
+        for f in r.integers(0, 512, r.integers(0, 70)):
+            y[f // 64] ^= np.uint64(1) << np.uint64(f % 64)
+    labels = r.integers(0, 5, 60)
+    far = np.bitwise_count(fps[:, None] ^ fps[None]).sum(2)
+    near = {(i, j) for i in range(60) for j in range(i + 1, 60) if far[i, j] <= 77 and labels[i] != labels[j]}
+    got = [tuple(sorted(map(int, p))) for p in simhash._open_links(fps, labels, 77, most)]
+    pairs, more = {p for p in got if p[0] != p[1]}, [p for p in got if p[0] == p[1]]
+    assert pairs <= near and len(got) == len(set(got)) and (pairs == near) == (not more) == (most == 500) and near
+
+
+@pytest.mark.parametrize("cell,most,pairs", [(simhash.CELL_ROWS, simhash.PROPOSED, simhash.PAIR_ROWS), (7, 1, 2)])
+def test_links_are_decided_by_shingles(spark, monkeypatch, cell, most, pairs):
+    for name, value in (("CELL_ROWS", cell), ("PROPOSED", most), ("PAIR_ROWS", pairs)):
+        monkeypatch.setattr(simhash, name, value)
+    texts = {}
+    for k in range(8):  # at 0.77 of the base, with copies of their own: near by fingerprint, not similar
+        base = words(120, 70 + k)
+        texts[100 * k] = base
+        for m in range(5):
+            mid = edited(base, 3, 10 * m + k)
+            texts[100 * k + 10 * m + 1] = mid
+            for c in range(3):
+                texts[100 * k + 10 * m + 2 + c] = edited(mid, 1, 100 + c)
+    fps = {i: int.from_bytes(simhash.wide_fingerprint(t), "big") for i, t in texts.items()}
+    limit, want = simhash.limit_for(0.8), brute_similar(texts)
+    struck = [(i, j) for i in texts for j in texts if i < j and (fps[i] ^ fps[j]).bit_count() <= limit and want[i] != want[j]]
+    out = simhash.similar(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in texts.items()], DOCS).repartition(3)).collect()
+    got = {r.id: r.component for r in out}
+    assert len(struck) > 20 and len(got) == len(out) == len(texts)
+    assert all(want[i] == want[got[i]] for i in got)  # no link below the similarity
+    assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
+
+
 @pytest.mark.parametrize("rows", [simhash.CELL_ROWS, 7])
 def test_similar_texts(spark, monkeypatch, rows):
     monkeypatch.setattr(simhash, "CELL_ROWS", rows)
