@@ -196,7 +196,7 @@ BROADCAST_ROWS = 500_000
 GOLAY = 0xC75
 _SEED = 20_240_611
 #: Pairs that a class left open proposes a row and cell in the first round; each round takes eight times as many.
-PROPOSED = 4
+PROPOSED = 32
 #: Pairs of one text that a task of the comparison of shingles gets, at most about.
 PAIR_ROWS = 8192
 
@@ -521,9 +521,10 @@ def _classes(docs: DataFrame, distinct: DataFrame, count: int, similarity: float
             new = materialise(ordered(raw.df).join(tried, ["a", "b"], "left_anti"), "wide-new").df
             raw.drop()
             if not new.isEmpty():
-                good = good.unionByName(materialise(_verified(new, shingles.df, similarity), "wide-good").df)
-                tried = tried.unionByName(new)
-                roots = components(good, "wide-links")
+                tried, linked = tried.unionByName(new), materialise(_verified(new, shingles.df, similarity), "wide-good").df
+                if not linked.isEmpty():
+                    good = good.unionByName(linked)
+                    roots = components(good, "wide-links")
             if not more:
                 break
             most *= 8
