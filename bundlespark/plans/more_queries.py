@@ -27,10 +27,10 @@ def _text(*parts) -> Column:
 
 
 def _notes(spark: SparkSession, d: str, body, fm=None, facts: bool | str = True) -> DataFrame:
-    """notes/KEY for every part, with the given body and frontmatter."""
+    """notes/KEY for every part, with the given body and frontmatter; ``facts`` may name the one kind that is wanted."""
     fm = F.struct(F.lit("Note").alias("type"), F.col("p_name").alias("title")) if fm is None else fm
-    out = project(from_rows(carriers.table(spark, d, "part"), _text("notes/", _k()), fm, body))
-    return markdown.with_facts(out) if facts else out
+    out = project(from_rows(carriers.spread(carriers.table(spark, d, "part")), _text("notes/", _k()), fm, body))
+    return {"links": markdown.with_links, "footnotes": markdown.with_footnotes}.get(facts, markdown.with_facts)(out) if facts else out
 
 
 def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -74,7 +74,7 @@ def schema_headers(spark, d):
 @query("""select 'notes/' || p_partkey as concept_id, '/a' || p_partkey || '.md b.md?x=1&y=2 ref' || (p_partkey % 4) || '.md https://h/x in(1).md q.md' as links from part""")
 def markdown_links(spark, d):
     body = _text("See [a](/a", _k(), ".md) and [b](<b.md?x=1&amp;y=2> \"title\"), ![no](c.png), `[no](d.md)`, \\[no](e.md), [Some  Ref][r].\n\n<div>\n[no](f.md)\n</div>\n\n<https://h/x> and [p](in(1).md)\n\n> [q](q.md)\n\n[R]: ref", _k() % 4, ".md\n")
-    return _notes(spark, d, body).select("concept_id", F.array_join("links", " ").alias("links"))
+    return _notes(spark, d, body, facts="links").select("concept_id", F.array_join("links", " ").alias("links"))
 
 
 @query("""select 'notes/' || p_partkey as concept_id, 'c' || p_partkey || '.md in' || p_partkey || '.md q.md ' || case p_partkey % 2 when 0 then 'e.md' else '(e).md' end || ' r' || (p_partkey % 3) || '.md' as links from part""")
@@ -88,7 +88,7 @@ def markdown_nested_links(spark, d):
 @query("""select 'notes/' || p_partkey as source, 0 as link_pos, 'notes/x' || p_partkey as target from part union all select 'notes/' || p_partkey, 2, 'top' from part where p_partkey % 2 = 0""")
 def link_positions(spark, d):
     body = F.when(_k() % 2 == 0, _text("[a](x", _k(), ".md) [b](http://w) [c](../top.md#s)")).otherwise(_text("[a](./x", _k(), ".md)"))
-    return graph.dangling(_notes(spark, d, body), ordered=False)
+    return graph.dangling(_notes(spark, d, body, facts="links"), ordered=False)
 
 
 @query("select 'notes/' || p_partkey as concept_id, '/notes/' || p_partkey || '.md' as target from part")

@@ -14,9 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt out to all cores if its files give fewer tasks than that, as one small file does; large inputs are left as they are."""
+    """``df`` dealt out to all cores, whatever its files give: rows here are narrow and the work on each is much.
+
+    One small file gives one task, and a file cut in more tasks than it has row groups leaves
+    the others without rows, so the number of tasks doesn't tell.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(max(cores, df._jdf.queryExecution().toRdd().getNumPartitions()))
 
 
 def _when(condition: Column, value) -> Column:
