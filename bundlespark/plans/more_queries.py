@@ -61,7 +61,7 @@ def _scratch(spark: SparkSession) -> str:
 @query("select 'notes/' || p_partkey as concept_id, 'a' || (p_partkey % 5) || ',b' as labels from part")
 def footnote_labels(spark, d):
     body = _text("Said [^a", _k() % 5, "] and [^b], again [^b], not `[^code]`.\n\n```\n[^block]\n```\n\n[^b]: a note\n")
-    return _notes(spark, d, body).select("concept_id", F.array_join("footnotes", ",").alias("labels"))
+    return _notes(spark, d, body, facts="footnotes").select("concept_id", F.array_join("footnotes", ",").alias("labels"))
 
 
 @query("""select 'notes/' || p_partkey as concept_id, case p_partkey % 3 when 0 then 'id|name ' || p_partkey when 1 then 'a' end as header from part""")

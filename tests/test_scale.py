@@ -33,3 +33,16 @@ def test_tasks_without_row_groups_do_not_count_as_cores(spark, tmp_path):
         assert len(dealt(carriers.spread(df))) >= spark.sparkContext.defaultParallelism
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def only_reads(spark, sf, name, reader, monkeypatch):
+    from bundlespark.plans import more_queries as m
+
+    for other in {"with_facts", "with_links", "with_footnotes"} - {reader}:
+        monkeypatch.setattr(m.markdown, other, lambda df, other=other: pytest.fail(f"{name} uses {other}"))
+    catalogue.QUERIES[name](spark, sf)
+
+
+def test_footnotes_only(spark, sf, monkeypatch):
+    only_reads(spark, sf, "footnote_labels", "with_footnotes", monkeypatch)
+    notes_are_dealt_out(spark, sf, "footnote_labels")
