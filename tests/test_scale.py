@@ -46,3 +46,8 @@ def only_reads(spark, sf, name, reader, monkeypatch):
 def test_footnotes_only(spark, sf, monkeypatch):
     only_reads(spark, sf, "footnote_labels", "with_footnotes", monkeypatch)
     notes_are_dealt_out(spark, sf, "footnote_labels")
+
+
+def test_nested_links_only(spark, sf, monkeypatch):
+    only_reads(spark, sf, "markdown_nested_links", "with_links", monkeypatch)
+    notes_are_dealt_out(spark, sf, "markdown_nested_links")
