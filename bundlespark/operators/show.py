@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import actors, paths
+from ..sources import markdown
 from . import computations, concepts, provenance, trust
 
 
@@ -24,9 +25,14 @@ def detail(projected: DataFrame, raw: str, today: str) -> DataFrame:
 
 
 def computation(projected: DataFrame, raw: str, inventory: DataFrame) -> tuple[str, str]:
-    """('inline', text) or ('file', path) of the concept's one computation; LookupError says why there is none to show."""
+    """('inline', text) or ('file', path) of the concept's one computation; LookupError says why there is none to show.
+
+    Concepts without computation_blocks are better: then the one body that is found is read, and no other.
+    """
+    one = concepts.resolve(projected, raw)
+    one = one if "computation_blocks" in one.columns else markdown.with_facts(one)
     at = computations.locations(F.col("computation"), F.col("computation_blocks"))
-    row = concepts.resolve(projected, raw).select("concept_id", at.alias("at"), paths.classify(F.col("source_path"), F.col("computation")).alias("where")).first()
+    row = one.select("concept_id", at.alias("at"), paths.classify(F.col("source_path"), F.col("computation")).alias("where")).first()
     if len(row["at"]) != 1:
         raise LookupError(f"{row['concept_id']} has {len(row['at']) or 'no'} computation{'s' * (len(row['at']) > 1)}")
     only = row["at"][0]

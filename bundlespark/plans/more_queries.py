@@ -214,7 +214,7 @@ def show_detail(spark, d):
 
 @query(_sql_rows([("inline", "select 1\n"), ("LookupError", "computations/3 has 2 computations"), ("LookupError", "computations/6 has no computation")], "kind, said"))
 def show_computation(spark, d):
-    c, have, out = carriers.parts(spark, d), spark.createDataFrame([("sql/q.sql",)], "path string"), []
+    c, have, out = carriers.parts(spark, d, facts=False), spark.createDataFrame([("sql/q.sql",)], "path string"), []
     for name in ("computations/7", "computations/3", "computations/6"):
         try:
             out.append(show.computation(c.withColumn("computation", F.lit(None).cast("string")), name, have))

@@ -51,3 +51,13 @@ def test_footnotes_only(spark, sf, monkeypatch):
 def test_nested_links_only(spark, sf, monkeypatch):
     only_reads(spark, sf, "markdown_nested_links", "with_links", monkeypatch)
     notes_are_dealt_out(spark, sf, "markdown_nested_links")
+
+
+def test_computation_reads_one_body(spark, sf):
+    """The id is looked for below whatever reads Markdown."""
+    from bundlespark.operators import concepts, show
+
+    have = spark.createDataFrame([("sql/q.sql",)], "path string")
+    bare = carriers.parts(spark, sf, facts=False).withColumn("computation", F.lit(None).cast("string"))
+    assert show.computation(bare, "computations/7", have) == show.computation(carriers.parts(spark, sf).withColumn("computation", F.lit(None).cast("string")), "computations/7", have)
+    assert "Python" not in concepts.resolve(bare, "computations/7")._jdf.queryExecution().executedPlan().toString()
