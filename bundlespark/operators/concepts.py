@@ -6,6 +6,8 @@ projection over it, so nothing derived can drift.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from ..functions import actors, ids, values
 CORE_KEYS = ["type", "title", "description", "resource", "tags", "timestamp", "generated", "verified", "status", "stale_after",
              "sources", "usage_window", "runtime", "parameters", "computation", "executor", "attester"]
 
+#: Texts that JSON writes as they are.
+_VERBATIM = re.compile(r"[A-Za-z0-9 ._:-]+")
+
 
 def from_rows(rows: DataFrame, concept_id: Column, frontmatter: Column, body: Column | None = None) -> DataFrame:
     """Concepts from table rows; ``frontmatter`` is a struct or map, its null fields are left out."""
@@ -84,7 +89,10 @@ def find_by_handle(concepts: DataFrame, raw: str, key: str | None = None) -> Dat
     if key is not None:
         return concepts.where(F.coalesce(values.strip(values.text(values.get(fm, key))) == wanted, F.lit(False)))
     every = F.map_values(fm.cast("map<string,variant>"))
-    return concepts.where(F.exists(every, lambda x: F.coalesce(values.strip(values.text(x)) == wanted, F.lit(False))))
+    holds = F.exists(every, lambda x: F.coalesce(values.strip(values.text(x)) == wanted, F.lit(False)))
+    if _VERBATIM.fullmatch(wanted):
+        holds = F.coalesce(F.to_json(fm).contains(wanted), F.lit(False)) & holds  # most concepts are told by their text, unopened
+    return concepts.where(holds)
 
 
 def resolve(concepts: DataFrame, raw: str) -> DataFrame:
@@ -96,7 +104,7 @@ def resolve(concepts: DataFrame, raw: str) -> DataFrame:
     names = sorted(r[0] for r in found.select("concept_id").limit(11).collect())
     if len(names) != 1:
         raise LookupError(f"no concept is {raw!r}" if not names else f"{raw!r} is ambiguous: {', '.join(names)}")
-    return found
+    return find_by_handle(concepts.where(F.col("concept_id") == names[0]), raw)  # by the id first, so frontmatter is opened once only
 
 
 def frontmatter_json(concepts: DataFrame) -> DataFrame:

@@ -61,3 +61,16 @@ def test_computation_reads_one_body(spark, sf):
     bare = carriers.parts(spark, sf, facts=False).withColumn("computation", F.lit(None).cast("string"))
     assert show.computation(bare, "computations/7", have) == show.computation(carriers.parts(spark, sf).withColumn("computation", F.lit(None).cast("string")), "computations/7", have)
     assert "Python" not in concepts.resolve(bare, "computations/7")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_handles_are_looked_for_in_the_text_first(spark):
+    from bundlespark.operators import concepts
+
+    rows = [("a", '{"x": "  IR-1 "}'), ("b", '{"x": ["IR-1"]}'), ("c", '{"IR-1": "y"}'), ("d", '{"x": "IR-12", "y": 1}'), ("e", '{"x": "a\\"b"}'), ("f", None)]
+    c = spark.createDataFrame(rows, "concept_id string, j string").select("concept_id", F.parse_json("j").alias("fm"))
+    found = lambda raw: sorted(r[0] for r in concepts.find_by_handle(c, raw).select("concept_id").collect())
+    assert [found(x) for x in ("IR-1", "IR-12", 'a"b', "none", "1")] == [["a"], ["d"], ["e"], [], []]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan(concepts.find_by_handle(c, "IR-1")) and "Contains(" not in plan(concepts.find_by_handle(c, 'a"b'))
+    told = plan(concepts.resolve(c, "IR-1"))
+    assert 0 < told.index("= a)") < told.index("Contains(")
