@@ -74,3 +74,13 @@ def test_handles_are_looked_for_in_the_text_first(spark):
     assert "Contains(" in plan(concepts.find_by_handle(c, "IR-1")) and "Contains(" not in plan(concepts.find_by_handle(c, 'a"b'))
     told = plan(concepts.resolve(c, "IR-1"))
     assert 0 < told.index("= a)") < told.index("Contains(")
+
+
+def test_plain_links_take_one_step(monkeypatch):
+    """Links without anything special in them never wait for their bracket, and mean the same to the links around them."""
+    from bundlespark.sources import inlines, markdown
+
+    want = ["/customers/1.md", "../customers/1.md"]
+    assert markdown.links("[a [b](c.md)](d.md) ![x [l](in.md)](i.png) [a](b(c).md) [^x](y.md)") == ["c.md", "in.md", "b(c).md", "y.md"]
+    monkeypatch.setattr(inlines, "_Bracket", lambda *_: pytest.fail("a plain link waited"))
+    assert markdown.links("For [a](/customers/1.md) and again [b](../customers/1.md).\n") == want
