@@ -51,10 +51,12 @@ def is_reserved(path: Column) -> Column:
 
 def handle(x: Column) -> Column:
     """struct<prefix, number> of PREFIX-N, the number as its digits, however many; NULL if it isn't one."""
-    def whole(t):
-        return F.when(t.rlike(HANDLE) & ~t.endswith("\n"), F.struct(*[F.regexp_extract(t, HANDLE, i).alias(name) for i, name in ((1, "prefix"), (2, "number"))]))
+    return F.aggregate(F.expr("cast(array() as array<int>)"), x, lambda acc, _: acc, handle_of)  # the text is worked out once, as values.let does it
 
-    return F.transform(F.array(x), whole)[0]  # the text is worked out once, whatever it takes
+
+def handle_of(t: Column) -> Column:
+    """``handle`` of a column that is worked out already."""
+    return F.when(t.rlike(HANDLE) & ~t.endswith("\n"), F.struct(*[F.regexp_extract(t, HANDLE, i).alias(name) for i, name in ((1, "prefix"), (2, "number"))]))
 
 
 def by_number(number: Column) -> list[Column]:

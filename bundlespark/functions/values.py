@@ -21,27 +21,37 @@ def get(v: Column, *keys: str) -> Column:
 
 
 def let(x: Column, body) -> Column:
-    """``body`` of ``x``, which is evaluated once however often ``body`` names it."""
-    return F.transform(F.array(x), body)[0]
+    """``body`` of ``x``, which is evaluated once however often ``body`` names it.
+
+    A fold over nothing that begins with ``x`` and is finished by ``body``. The first element of a
+    transformed array would do as well, but for each row Spark works the type of such an element
+    out again, whether it may be null included, from all that ``body`` holds.
+    """
+    return F.aggregate(F.expr("cast(array() as array<int>)"), x, lambda acc, _: acc, body)
 
 
-def _kind(v: Column, items: Column) -> Column:
+def kind_of(v: Column, items: Column) -> Column:
+    """``kind`` of a column that is worked out already, with its elements or whatever else is there only for a list."""
     # The schema of a list or object is worked out from all that it holds, so those are told apart by casts.
-    scalar = lambda s: F.when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null").otherwise("number")
+    scalars = F.create_map(*map(F.lit, ("STRING", "string", "BOOLEAN", "boolean", "VOID", "null")))
     return (F.when(v.isNull(), F.lit(None).cast("string")).when(items.isNotNull(), "array")
-            .when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), "object").otherwise(let(F.schema_of_variant(v), scalar)))
+            .when(F.try_variant_get(v, "$", "struct<>").isNotNull(), "object").otherwise(F.coalesce(F.try_element_at(scalars, F.schema_of_variant(v)), F.lit("number"))))
 
 
 def kind(v: Column) -> Column:
     """One of string, number, boolean, null, array, object; NULL for a missing value."""
-    return let(v, lambda w: _kind(w, items(w)))
+    return let(v, lambda w: kind_of(w, F.try_variant_get(w, "$", "array<struct<>>")))
 
 
 def read(v: Column) -> Column:
     """struct<v, k, t, xs>: a value, its kind, its text if it is one and its elements if it is a list, each read once."""
-    plain = lambda w, xs: F.struct(w.alias("v"), _kind(w, xs).alias("k"), xs.alias("xs"))
-    typed = let(v, lambda w: let(F.struct(w.alias("v"), items(w).alias("xs")), lambda p: plain(p["v"], p["xs"])))
-    return let(typed, lambda q: F.struct(q["v"].alias("v"), q["k"].alias("k"), F.when(q["k"] == "string", F.try_variant_get(q["v"], "$", "string")).alias("t"), q["xs"].alias("xs")))
+    typed = let(v, lambda w: let(F.struct(w.alias("v"), items(w).alias("xs")), lambda p: F.struct(p["v"].alias("v"), kind_of(p["v"], p["xs"]).alias("k"), p["xs"].alias("xs"))))
+    return let(typed, lambda q: F.struct(q["v"].alias("v"), q["k"].alias("k"), text_of(q["v"], q["k"]).alias("t"), q["xs"].alias("xs")))
+
+
+def text_of(v: Column, k: Column) -> Column:
+    """The text that ``v`` is, which has the kind ``k``; both worked out already."""
+    return F.when(k == "string", F.try_variant_get(v, "$", "string"))
 
 
 def _if_schema(v: Column, wanted: str, as_type: str) -> Column:
@@ -108,7 +118,7 @@ def strip(x: Column) -> Column:
 
 
 def is_blank(x: Column) -> Column:
-    return strip(x) == ""
+    return ~x.rlike(r"(?U)\S")
 
 
 def repeated(keyed: Column) -> Column:

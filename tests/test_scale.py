@@ -84,3 +84,27 @@ def test_plain_links_take_one_step(monkeypatch):
     assert markdown.links("[a [b](c.md)](d.md) ![x [l](in.md)](i.png) [a](b(c).md) [^x](y.md)") == ["c.md", "in.md", "b(c).md", "y.md"]
     monkeypatch.setattr(inlines, "_Bracket", lambda *_: pytest.fail("a plain link waited"))
     assert markdown.links("For [a](/customers/1.md) and again [b](../customers/1.md).\n") == want
+
+
+def planned(spark, sf, name):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "2000")
+    return catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_references_and_duplicates_read_concepts_twice(spark, sf):
+    """Once for what they ask and once for what they own; the third time stands for repeated ids and takes the shuffle of the second."""
+    assert planned(spark, sf, "profile_reference").count("Relation [") <= 6
+    run = catalogue.QUERIES["profile_reference"](spark, sf)
+    run.collect()
+    assert "ReusedExchange" in run._jdf.queryExecution().executedPlan().toString()
+
+
+def test_duplicate_handles_of_one_id(spark):
+    """Two concepts of one id are duplicates of each other; the first by id is left out once only."""
+    from bundlespark.plans import check, profile
+
+    c = profile.compile_profile(profile.load('{"name": "p", "okfVersion": "0.2", "idField": "id", "allowUnknownTypes": true, "types": [{"type": "D", "idPrefix": "BK"}]}'))
+    rows = [("b", "BK-1"), ("a", "BK-1"), ("a", "BK-1"), ("a", "BK-1"), ("c", " "), ("d", "x y"), ("e", "x y"), ("f", None), ("g", "BK-2")]
+    some = spark.createDataFrame(rows, "concept_id string, h string").select("concept_id", F.concat("concept_id", F.lit(".md")).alias("source_path"), F.lit("N").alias("type"), F.parse_json(F.to_json(F.struct(F.col("h").alias("id")))).alias("fm"))
+    found = check.check(some, c).where("phase = 3").select("concept_id", "code", "path", "detail", "ord").collect()
+    assert sorted(map(tuple, found)) == [(x, "DuplicateDocumentId", "id", d, 0) for x, d in (("a", "BK-1 also on a"), ("a", "BK-1 also on a"), ("b", "BK-1 also on a"), ("e", "x y also on d"))]
