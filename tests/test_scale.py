@@ -108,3 +108,31 @@ def test_duplicate_handles_of_one_id(spark):
     some = spark.createDataFrame(rows, "concept_id string, h string").select("concept_id", F.concat("concept_id", F.lit(".md")).alias("source_path"), F.lit("N").alias("type"), F.parse_json(F.to_json(F.struct(F.col("h").alias("id")))).alias("fm"))
     found = check.check(some, c).where("phase = 3").select("concept_id", "code", "path", "detail", "ord").collect()
     assert sorted(map(tuple, found)) == [(x, "DuplicateDocumentId", "id", d, 0) for x, d in (("a", "BK-1 also on a"), ("a", "BK-1 also on a"), ("b", "BK-1 also on a"), ("e", "x y also on d"))]
+
+
+@pytest.mark.parametrize("name,members", [("profile_unique_by", "flag")])
+def test_records_are_opened_at_once(spark, sf, name, members):
+    """What rules ask of a list's records comes from one cast, and nothing that is named often is the first of a transformed array."""
+    plan = planned(spark, sf, name)
+    fields = ",".join(f"StructField({m},VariantType,true)" for m in members.split(","))
+    assert f"ArrayType(StructType({fields}),true)" in plan and "transform(array(" not in plan and "map<" not in plan
+
+
+def test_records_of_odd_keys(spark):
+    """Keys that differ in case only, keys with marks, elements that are no records, null elements, null members."""
+    import json
+
+    from bundlespark.plans import check, profile
+
+    def found(names, value, **more):
+        rules = [{"field": "l", "elementFields": {"required": [{"field": n, "cardinality": "scalar"} for n in names]}, **more}]
+        c = profile.compile_profile(profile.load(json.dumps({"name": "p", "okfVersion": "0.2", "allowUnknownTypes": True, "frontmatter": {"optional": rules}})))
+        some = spark.createDataFrame([("a", json.dumps({"l": value}))], "concept_id string, j string").select("concept_id", F.lit("a.md").alias("source_path"), F.lit("N").alias("type"), F.parse_json("j").alias("fm"))
+        return [(r.code, r.path, r.detail) for r in check.check(some, c).collect()]
+
+    missing = "MissingNestedProfileField"
+    assert found(["x"], [{"x": 1}, 5, None, {"x": None}, {"X": 1}, [1]]) == [
+        ("NestedElementNotRecord", "l[1]", "5"), ("NestedElementNotRecord", "l[2]", "null"), ("CardinalityMismatch", "l[3].x", "scalar: null"), (missing, "l[4].x", ""), ("NestedElementNotRecord", "l[5]", "[1]")]
+    assert found(["x", "X"], [{"x": 1}, 5, {"X": 1}]) == [(missing, "l[0].X", ""), ("NestedElementNotRecord", "l[1]", "5"), (missing, "l[2].x", "")]
+    assert found(["a.b`c"], [{"a.b`c": 1}, {"a": {"b`c": 1}}]) == [(missing, "l[1].a.b`c", "")]
+    assert found(["x"], [{"x": "é"}, {"x": 1.0}, {"x": 1}, {}, {"x": "é"}], uniqueBy="x") == [(missing, "l[3].x", ""), ("DuplicateNestedFieldValue", "l.x", '"é" at [0, 4]'), ("DuplicateNestedFieldValue", "l.x", "1 at [1, 2]")]
