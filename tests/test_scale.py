@@ -110,7 +110,7 @@ def test_duplicate_handles_of_one_id(spark):
     assert sorted(map(tuple, found)) == [(x, "DuplicateDocumentId", "id", d, 0) for x, d in (("a", "BK-1 also on a"), ("a", "BK-1 also on a"), ("b", "BK-1 also on a"), ("e", "x y also on d"))]
 
 
-@pytest.mark.parametrize("name,members", [("profile_unique_by", "flag")])
+@pytest.mark.parametrize("name,members", [("profile_unique_by", "flag"), ("profile_nested", "flag,qty")])
 def test_records_are_opened_at_once(spark, sf, name, members):
     """What rules ask of a list's records comes from one cast, and nothing that is named often is the first of a transformed array."""
     plan = planned(spark, sf, name)
