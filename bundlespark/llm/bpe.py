@@ -13,13 +13,15 @@ forgotten when there are too many.
 from __future__ import annotations
 
 import base64
+import struct
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Transitions and words remembered in a worker process; all are forgotten beyond that.
+#: Transitions remembered in a worker process; all are forgotten beyond that.
 TRANSITIONS = 400_000
+#: Words remembered in a worker process: twice so many, of which the older half goes.
 MEMO = 300_000
 #: Characters of the longest word remembered, so that MEMO bounds bytes too.
 LONGEST = 64
@@ -35,6 +37,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+class _State(dict):
+    """byte -> (the state after it, the tokens emitted); moves are made when first asked for.
+
+    key: (bytes that the longest live path lacks, ((how many of them, path) longest first), token emitted last).
+    """
+
+    __slots__ = ("key",)
+
+
 class Transducer:
     """Encodes one pre-split piece at a time by merging the pair of lowest rank first."""
 
@@ -43,24 +54,26 @@ class Transducer:
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
         self.follows: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
-        #: A state: (bytes that the longest live path lacks, ((how many of them, path) longest first), token emitted last).
-        self.states, self.numbers, self.moves = [], {}, []
+        #: The keys of the states, the states, and the states by their keys.
+        self.states, self.moves, self.numbers = [], [], {}
         self._forget()
 
     def _forget(self) -> None:
-        for made in (self.states, self.numbers, self.moves):
+        for state in self.moves:
+            state.clear()  # states lead to each other
+        for made in (self.states, self.moves, self.numbers):
             made.clear()
-        self._number((b"", ((0, ()),), -1))
-        self.made = 0
+        self.start, self.made = self._state((b"", ((0, ()),), -1)), 0
         if len(self.follows) > TRANSITIONS:
             self.follows.clear()
 
-    def _number(self, key) -> int:
-        if key not in self.numbers:
-            self.numbers[key] = len(self.states)
+    def _state(self, key) -> _State:
+        if (state := self.numbers.get(key)) is None:
+            state = self.numbers[key] = _State()
+            state.key = key
             self.states.append(key)
-            self.moves.append({})
-        return self.numbers[key]
+            self.moves.append(state)
+        return state
 
     def _merged(self, data: bytes) -> list[bytes]:
         get, none = self.ranks.get, 1 << 60
@@ -78,72 +91,84 @@ class Transducer:
 
     def _may_follow(self, a: int, b: int) -> bool:
         key = (a, b)
-        if key not in self.follows:
+        if (may := self.follows.get(key)) is None:
             x, y = self.token[a], self.token[b]
-            self.follows[key] = self._merged(x + y) == [x, y]
-        return self.follows[key]
+            one = self.ranks.get(x + y)
+            may = self.follows[key] = not (one is not None and self._is_whole(one)) and self._merged(x + y) == [x, y]
+        return may
 
     def _is_whole(self, t: int) -> bool:
-        if t not in self.whole:
-            self.whole[t] = len(self._merged(self.token[t])) == 1
-        return self.whole[t]
+        if (whole := self.whole.get(t)) is None:
+            whole = self.whole[t] = len(self._merged(self.token[t])) == 1
+        return whole
 
-    def _move(self, state: int, byte: int) -> tuple[int, Path]:
+    def _move(self, state: _State, byte: int) -> tuple[_State, Path]:
         if self.made > TRANSITIONS:  # also within a piece, however long it is
-            here = self.states[state]
+            here = state.key
             self._forget()
-            state = self._number(here)
-        seen, live, last = self.states[state]
+            state = self._state(here)
+        seen, live, last = state.key
         seen += bytes((byte,))
+        end, get, prefixes = len(seen) - 1, self.ranks.get, self.prefixes
         new, paths = None, []
         for k, path in live:
-            tail = seen[len(seen) - k - 1:]
-            if new is None and (t := self.ranks.get(tail)) is not None and self._is_whole(t):
+            tail = seen[end - k:]
+            if new is None and (t := get(tail)) is not None and self._is_whole(t):
                 before = path[-1] if path else last
                 if before < 0 or self._may_follow(before, t):
                     new = (*path, t)
-            if tail in self.prefixes:
+            if tail in prefixes:
                 paths.append((k + 1, path))
         paths.append((0, new))
         shared, out = 0, paths[0][1]
-        while len(out) > shared and all(len(p) > shared and p[shared] == out[shared] for _, p in paths):
-            shared += 1
-        out = out[:shared]
+        if len(paths) == 1:
+            shared = len(out)
+        else:
+            while len(out) > shared and all([len(p) > shared and p[shared] == out[shared] for _, p in paths]):
+                shared += 1
+        if shared:
+            out = out[:shared]
+            paths, last = [(k, p[shared:]) for k, p in paths], out[-1]
+        else:
+            out = ()
         keep = paths[0][0]
-        live = tuple((k, p[shared:]) for k, p in paths)
-        last = out[-1] if out else last
-        key = (seen[len(seen) - keep:] if keep else b"", live, last if any(not p for _, p in live) else -2)
+        key = (seen[end + 1 - keep:] if keep else b"", tuple(paths), last if any([not p for _, p in paths]) else -2)
         self.made += 1
-        move = self.moves[state][byte] = (self._number(key), out)
+        move = state[byte] = (self._state(key), out)
         return move
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one piece; a piece that is a token is that token."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        state, out, moves = 0, [], self.moves
+        state, out = self.start, []
         for byte in piece:
-            move = moves[state].get(byte) or self._move(state, byte)
-            state = move[0]
-            if move[1]:
-                out += move[1]
-        return [*out, *self.states[state][1][-1][1]]
+            try:
+                state, got = state[byte]
+            except KeyError:
+                state, got = self._move(state, byte)
+            if got:
+                out += got
+        return [*out, *state.key[1][-1][1]]
 
 
 class _Pieces(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers."""
+    """piece -> its ids as little-endian unsigned 32-bit integers.
+
+    Full, it becomes the older half: pieces found there come back, the others are forgotten with it.
+    """
 
     def __init__(self, transducer: Transducer):
         super().__init__()
-        self.encode = transducer.encode
+        self.encode, self.older = transducer.encode, {}
 
     def __missing__(self, piece: str) -> bytes:
-        import struct
-
-        ids = self.encode(piece.encode("utf-8", "surrogateescape"))
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        if (out := self.older.get(piece)) is None:
+            ids = self.encode(piece.encode("utf-8", "surrogateescape"))
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= LONGEST:
             if len(self) >= MEMO:
+                self.older = dict(self)
                 self.clear()
             self[piece] = out
         return out

@@ -989,3 +989,14 @@ def test_pipeline(spark, tmp_path):
     for i, t in seen[2].items():
         assert ends[i] == len(reference_ids(t))
     assert p.run(spark, str(tmp_path)).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_words_seen_again_outlive_a_full_memo(monkeypatch):
+    """A full memo keeps its words in an older half, from which those seen again come back without being encoded."""
+    monkeypatch.setattr(bpe, "MEMO", 3)
+    pieces = bpe._Pieces(bpe.Transducer(bpe.read_ranks(BYTE)))
+    done, encode = [], pieces.encode
+    pieces.encode = lambda piece: done.append(piece) or encode(piece)
+    want = {w: pieces[w] for w in ("qzxa", "qzxb", "qzxc", "qzxd")}
+    assert [pieces[w] for w in want] == list(want.values()) and done == [b"qzxa", b"qzxb", b"qzxc", b"qzxd"]
+    assert len(pieces) <= 3 and len(pieces.older) <= 3
