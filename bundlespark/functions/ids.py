@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .values import let
+
 SEGMENT = r"[A-Za-z0-9_][A-Za-z0-9_.-]*"
 CONCEPT_ID = rf"^{SEGMENT}(/{SEGMENT})*$"
 HANDLE = r"^([A-Za-z][A-Za-z0-9]*)-([1-9][0-9]*)$"
@@ -24,8 +26,12 @@ def to_path(concept_id: Column) -> Column:
 
 def from_path(path: Column) -> Column:
     """The id of a file; NULL if its name can't be one. Only the last extension goes."""
-    bare = F.regexp_replace(path, r"\.[^./]*$", "")
-    return F.when(is_concept_id(bare), bare)
+    return valid(F.regexp_replace(path, r"\.[^./]*$", ""))
+
+
+def valid(x: Column) -> Column:
+    """``x`` if it can be an id; else NULL."""
+    return let(x, lambda bare: F.when(is_concept_id(bare), bare))
 
 
 def link_target(concept_id: Column) -> Column:
@@ -38,7 +44,7 @@ def segments(path: Column) -> Column:
 
 def directory(path: Column) -> Column:
     """The directory of a file, '' at the root."""
-    return F.regexp_replace(path, r"/?[^/]*$", "")
+    return F.substring(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)
 
 
 def base_name(path: Column) -> Column:

@@ -10,20 +10,34 @@ from .values import let, strip
 
 #: An absolute URI by its characters; per cent signs need two hexadecimal digits.
 URI = r"^([A-Za-z][A-Za-z0-9+.-]*):(?:[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=-]|%[0-9A-Fa-f]{2})*$"
+#: A name and the .. after it.
+_NAME_UP = r"(?<![^/])(?!\.{1,2}/)[^/]+/\.\./"
 
 
 def uri_scheme(x: Column) -> Column:
     """The lower-cased scheme of an absolute URI; NULL for anything else."""
-    return F.when(x.rlike(URI), F.lower(F.regexp_extract(x, URI, 1)))
+    return F.when(x.contains(":") & x.rlike(URI), F.lower(F.regexp_extract(x, URI, 1)))
 
 
 def without_suffix(x: Column) -> Column:
     """Without a fragment or query."""
-    return F.regexp_extract(x, r"^[^#?]*", 0)
+    return F.substring_index(F.substring_index(x, "#", 1), "?", 1)
 
 
 def collapse(path: Column) -> Column:
-    """``path`` with . and .. folded; NULL if it climbs above the root, '' if nothing is left."""
+    """``path`` with . and .. folded; NULL if it climbs above the root, '' if nothing is left.
+
+    Segments are gone through one by one only in what is left to fold once names that a .. follows are gone.
+    """
+    return let(path, lambda p: F.when(_is_folded(p), p).otherwise(let(F.regexp_replace(p, _NAME_UP, ""), lambda q: F.when(_is_folded(q), q).otherwise(_fold(q)))))
+
+
+def _is_folded(path: Column) -> Column:
+    """Surely without empty segments, . and ..; told by bytes."""
+    return ~(path.startswith("/") | path.endswith("/") | path.startswith(".") | path.contains("/.") | path.contains("//"))
+
+
+def _fold(path: Column) -> Column:
     start = F.expr("named_struct('ok', true, 'at', cast(array() as array<string>))")
 
     def step(acc, s):
@@ -43,7 +57,7 @@ def classify(source_path: Column, raw: Column) -> Column:
     malformed. A leading slash resolves from the root, anything else from the file's directory.
     """
     def parts(t, scheme, clean):
-        candidate = F.when(clean.startswith("/"), F.regexp_replace(clean, "^/+", "")).otherwise(F.concat(ids.directory(source_path), F.lit("/"), clean))
+        candidate = F.when(clean.startswith("/"), F.ltrim(clean, F.lit("/"))).otherwise(F.concat(ids.directory(source_path), F.lit("/"), clean))
         return F.struct(t.alias("t"), scheme.alias("scheme"), clean.alias("clean"), collapse(candidate).alias("path"))
 
     def kind(x):
@@ -58,5 +72,5 @@ def classify(source_path: Column, raw: Column) -> Column:
 
 def link_target(source_path: Column, url: Column) -> Column:
     """The concept id that a Markdown link names; NULL for external links and whatever isn't a concept's file."""
-    web = F.lower(url).rlike("^(https?://|mailto:)|^https?:")
-    return F.when(~web, let(classify(source_path, url)["path"], lambda p: F.when(p.endswith(".md"), ids.from_path(p))))
+    web = url.contains(":") & F.lower(url).rlike("^(https?|mailto):")  # most links are told without an expression's matcher
+    return F.when(~web, let(classify(source_path, url)["path"], lambda p: F.when(p.endswith(".md"), ids.valid(F.substring(p, F.lit(1), F.length(p) - 3)))))

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: Unicode's white space.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def _path(*keys: str) -> str:
     quoted = (f"['{k}']" if "'" not in k else f'["{k}"]' for k in keys)
@@ -114,7 +117,7 @@ def keys(fm: Column) -> Column:
 
 def strip(x: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.trim(x, F.lit(_WHITE))
 
 
 def is_blank(x: Column) -> Column:

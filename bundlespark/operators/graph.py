@@ -13,8 +13,11 @@ from ..functions import paths
 
 def links_of(concepts: DataFrame) -> DataFrame:
     """(source, link_pos, raw_url, target) of every link that names a concept, known or not."""
-    each = concepts.select(F.col("concept_id").alias("source"), "source_path", F.posexplode("links").alias("link_pos", "raw_url"))
-    return each.select("source", "link_pos", "raw_url", paths.link_target(F.col("source_path"), F.col("raw_url")).alias("target")).where("target is not null")
+    source = F.col("source_path")
+    named = F.transform("links", lambda url: F.struct(url.alias("raw_url"), paths.link_target(source, url).alias("target")))
+    # Outer, and opened only then: else the optimizer asks for rows without links or targets first and works each target out twice.
+    each = concepts.select(F.col("concept_id").alias("source"), F.posexplode_outer(named).alias("link_pos", "link"))
+    return each.select("source", "link_pos", "link.raw_url", "link.target").where("target is not null")
 
 
 def nodes(concepts: DataFrame) -> DataFrame:
@@ -30,7 +33,10 @@ def by_segments(*names: str) -> list[Column]:
 def edges(concepts: DataFrame, ordered: bool = True) -> DataFrame:
     """(source, target) of links between concepts, each once; self links included."""
     known = concepts.select(F.col("concept_id").alias("target"))
-    found = links_of(concepts).select("source", "target").join(known, "target", "left_semi").select("source", "target").distinct()
+    source = F.col("source_path")
+    named = F.array_distinct(F.transform("links", lambda url: paths.link_target(source, url)))  # outer as in links_of
+    each = concepts.select(F.col("concept_id").alias("source"), F.explode_outer(named).alias("target")).where("target is not null")
+    found = each.join(known, "target", "left_semi").select("source", "target").distinct()
     return found.orderBy(*by_segments("source", "target")) if ordered else found
 
 

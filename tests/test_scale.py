@@ -136,3 +136,63 @@ def test_records_of_odd_keys(spark):
     assert found(["x", "X"], [{"x": 1}, 5, {"X": 1}]) == [(missing, "l[0].X", ""), ("NestedElementNotRecord", "l[1]", "5"), (missing, "l[2].x", "")]
     assert found(["a.b`c"], [{"a.b`c": 1}, {"a": {"b`c": 1}}]) == [(missing, "l[1].a.b`c", "")]
     assert found(["x"], [{"x": "é"}, {"x": 1.0}, {"x": 1}, {}, {"x": "é"}], uniqueBy="x") == [(missing, "l[3].x", ""), ("DuplicateNestedFieldValue", "l.x", '"é" at [0, 4]'), ("DuplicateNestedFieldValue", "l.x", "1 at [1, 2]")]
+
+
+def test_link_targets_are_worked_out_once(spark, sf):
+    """Neither for rows without links nor for links to no concept are targets worked out before they are."""
+    from bundlespark.functions import ids
+
+    assert planned(spark, sf, "graph_edges_dedup").count(ids.CONCEPT_ID) == 1
+    assert planned(spark, sf, "dangling_links").count(ids.CONCEPT_ID) == 1
+
+
+def test_edges_and_links_of_all_kinds_of_lists(spark):
+    """A target linked twice is one edge; rows without links, without a list, and links that name nothing give none."""
+    from bundlespark.operators import graph
+
+    rows = [("x/a", ["/x/b.md", "b.md#q", "http://x/b.md", "../../up.md", "x.txt"]), ("x/a", ["./b.md", "no.md"]), ("x/b", []), ("x/c", None), ("x/d", ["d.md", None])]
+    c = spark.createDataFrame(rows, "concept_id string, links array<string>").withColumn("source_path", F.concat("concept_id", F.lit(".md")))
+    got = lambda df: sorted(tuple(r) for r in df.collect())
+    assert got(graph.edges(c, ordered=False)) == [("x/a", "x/b"), ("x/d", "x/d")]
+    assert got(graph.links_of(c)) == [("x/a", 0, "./b.md", "x/b"), ("x/a", 0, "/x/b.md", "x/b"), ("x/a", 1, "b.md#q", "x/b"), ("x/a", 1, "no.md", "x/no"), ("x/d", 0, "d.md", "x/d")]
+    assert got(graph.dangling(c, ordered=False)) == [("x/a", 1, "x/no")]
+
+
+def test_plain_bodies_need_no_blocks(monkeypatch):
+    """Text with plain links only is read at once, and with the same links as block by block."""
+    import random
+
+    from bundlespark.sources import markdown
+
+    bits = ["[a](b.md)", "[c d](/e.md#f)", "[g\nh](i.md)", "[^j](k.md)", "[l]: m.md", "[l]", "word", " ", "\n", "\n\n", "    ", "# ", "- ", "1. ", "a>b", "```\n", "`", "<b>", "<http://n.o>", "![p](q.png)", "*", "\\", "&amp;", "===\n", "]", "\r\n", "[r](s`t*u)", "é", "|", "~~~\n"]
+    deal = random.Random(3)
+    for _ in range(5_000):
+        body = "".join(deal.choices(bits, k=deal.randint(1, 8)))
+        assert markdown.links(body) == markdown._links(markdown.blocks(body)), body
+    monkeypatch.setattr(markdown, "blocks", lambda _: pytest.fail("a plain body was cut in blocks"))
+    assert markdown.links("For [a](/customers/1.md) and again [b](../customers/1.md).\n") == ["/customers/1.md", "../customers/1.md"]
+    assert markdown.links("- none\n") == []
+
+
+def test_paths_as_their_definitions_say(spark):
+    """Byte functions against the expressions that they stand for, and folding against segments gone through one by one."""
+    import itertools
+
+    from bundlespark.functions import ids, paths, values
+
+    texts = ["".join(x) for n in range(6) for x in itertools.product(["a", "/", "..", "."], repeat=n)] + ["".join(x) for n in range(4) for x in itertools.product(["b?", "#", "\n", "é/", " "], repeat=n)]
+    texts += [chr(c) + "x" + chr(c) for c in [*range(1, 0x100), 0x1680, 0x180E, *range(0x2000, 0x2070), 0x3000, 0xFEFF]] + ["  \n y z 　\r\n"]
+    df, x = spark.createDataFrame([(t,) for t in texts], "x string"), F.col("x")
+    kept = df.select("x", paths.collapse(x).alias("p")).collect()
+    differ = df.where((ids.directory(x) != F.regexp_replace(x, r"/?[^/]*$", "")) | (paths.without_suffix(x) != F.regexp_extract(x, "^[^#?]*", 0)) | (values.strip(x) != F.regexp_replace(x, r"(?U)^\s+|\s+$", "")) | ~paths._fold(x).eqNullSafe(paths.collapse(x)))
+    assert differ.collect() == []
+
+    def folded(path):
+        at = []
+        for s in path.split("/"):
+            if s == ".." and not at:
+                return None
+            at = at[:-1] if s == ".." else at if s in ("", ".") else [*at, s]
+        return "/".join(at)
+
+    assert [r["x"] for r in kept if r["p"] != folded(r["x"])] == []
